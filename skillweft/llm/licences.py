@@ -93,7 +93,10 @@ class Scanner:
         self.sizes = sorted({len(s) for s in self.seeds})
 
     def scan(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """``(licence, first word, word after the last, coverage)`` of each place where a template is covered, in order."""
+        """``(licence, first word, word after the last, coverage)`` of each place where a template is covered, in order.
+
+        Where several templates cover the same words, the one with the highest coverage and then the most words counts.
+        """
         codes = np.fromiter((self.ids.get(w, 0) for w in ws), np.int32, len(ws))
         known = codes > 0
         at: dict[int, list[int]] = {}
@@ -124,7 +127,12 @@ class Scanner:
                     last = pairs[-1][0] + 1
                     while k < len(starts) and starts[k] < last:
                         k += 1
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        # where templates overlap, the one that is covered best and has more words
+        kept: list[tuple[str, int, int, float]] = []
+        for hit in sorted(out, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
+            if all(hit[2] <= x[1] or x[2] <= hit[1] for x in kept):
+                kept.append(hit)
+        return sorted(kept, key=lambda x: x[1])
 
 
 _TYPES = {"doc_id": pa.int64(), "licence": pa.string(), "start_word": pa.int64(), "end_word": pa.int64(), "coverage": pa.float64()}

@@ -123,15 +123,15 @@ class Scanner:
                 pairs = align(ws, template, a, z)
                 covered = len(pairs) / len(template)
                 if covered >= self.least:
-                    out.append((self.names[t], pairs[0][0], pairs[-1][0] + 1, covered))
+                    out.append((self.names[t], pairs[0][0], pairs[-1][0] + 1, covered, len(template)))
                     last = pairs[-1][0] + 1
                     while k < len(starts) and starts[k] < last:
                         k += 1
         # where templates overlap, the one that is covered best and has more words
         kept: list[tuple[str, int, int, float]] = []
-        for hit in sorted(out, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
+        for *hit, _ in sorted(out, key=lambda x: (-x[3], -x[4], x[1], x[0])):
             if all(hit[2] <= x[1] or x[2] <= hit[1] for x in kept):
-                kept.append(hit)
+                kept.append(tuple(hit))
         return sorted(kept, key=lambda x: x[1])
 
 

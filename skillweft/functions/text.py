@@ -68,6 +68,18 @@ def desensitised(text: Column) -> Column:
     return text
 
 
+def _label(i: Column, kind: str) -> Column:
+    return F.when(i == 0, F.lit(f"[{kind}]")).otherwise(F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]")))
+
+
+def _labelled(parts: Column, kind: str) -> Column:
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, _label(i, kind))).otherwise(p)), "")
+
+
+def _originals(hits: Column, kind: str) -> Column:
+    return F.map_from_entries(F.transform(hits, lambda h, i: F.struct(_label(i, kind), h)))
+
+
 def masked(text: Column, surnames: str = "") -> tuple[Column, Column]:
     """Text with numbered placeholders, and the map from placeholder to original.
 
@@ -80,10 +92,9 @@ def masked(text: Column, surnames: str = "") -> tuple[Column, Column]:
     maps = []
     for kind, pattern in kinds:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        parts = F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001")
-        label = lambda i, kind=kind: F.when(i == 0, F.lit(f"[{kind}]")).otherwise(F.concat(F.lit(f"[{kind}_"), (i + 1).cast("string"), F.lit("]")))
-        text = F.array_join(F.flatten(F.transform(parts, lambda p, i, label=label, parts=parts: F.when(i < F.size(parts) - 1, F.array(p, label(i))).otherwise(F.array(p)))), "")
-        maps.append(F.map_from_entries(F.transform(hits, lambda h, i, label=label: F.struct(label(i), h))))
+        parts = F.split(text, pattern)
+        text = _labelled(parts, kind)
+        maps.append(_originals(hits, kind))
     return text, F.map_concat(*maps)
 
 

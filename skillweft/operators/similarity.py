@@ -134,4 +134,4 @@ def normalize_clusters(names: DataFrame, vectors: DataFrame, least: float = 0.75
             rows += [(n, top, round(trust, 4)) for n in c]
         return pd.DataFrame(rows, columns=["name", "standard", "confidence"])
 
-    return names.join(vectors, "name", "left").groupBy(F.lit(1)).applyInPandas(run, "name string, standard string, confidence double")
+    return names.join(vectors, "name", "left").groupBy().applyInPandas(run, "name string, standard string, confidence double")

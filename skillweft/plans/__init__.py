@@ -1 +1,14 @@
 """Domain views over relational tables, and the named queries with their SQL."""
+
+from __future__ import annotations
+
+
+def registry() -> tuple[dict, dict]:
+    """All named queries and the SQL of those that SQL can express."""
+    from skillweft.plans import graph_queries, quality_queries, trend_queries
+
+    queries, sql = {}, {}
+    for m in (trend_queries, quality_queries, graph_queries):
+        queries |= m.QUERIES
+        sql |= m.ORACLES
+    return queries, sql

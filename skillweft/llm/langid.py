@@ -134,7 +134,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 15, dim: i
     e, w, b = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, n)), np.zeros(n)
     order = rng.permutation(len(rows))
     fit, calibrate = (order[len(rows) // 5 :], order[: len(rows) // 5]) if len(rows) >= 10 * n else (order, order)
-    weights = [(r[2] / r[2].sum()).astype(float) for r in rows]
+    weights = [(r[2] / r[2].sum()).astype(np.float32) for r in rows]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
@@ -185,7 +185,11 @@ def fit(labelled: DataFrame, per_language: int = 800, languages: int = 200, bits
             yield batch({"lang": b.column("lang"), "at": [x.astype(np.int32) for x, _ in found], "n": [n.astype(np.int32) for _, n in found]}, types)
 
     sample = arrow_map(rows.where(F.col("h") < limits[F.col("lang")]).drop("h"), features, "lang string, at array<int>, n array<int>").toArrow()
-    found = [(lang, np.array(at, np.int64), np.array(n, np.int64)) for lang, at, n in zip(*(sample.column(c).to_pylist() for c in ("lang", "at", "n")), strict=True)]
+    found = []
+    for b in sample.to_batches():
+        at, n = b.column("at"), b.column("n")
+        ends, buckets, counts = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
+        found += [(lang, buckets[a:z], counts[a:z]) for lang, a, z in zip(b.column("lang").to_pylist(), ends[:-1], ends[1:], strict=True)]
     found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     return train(found, bits=bits, **options)
 

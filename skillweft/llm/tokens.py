@@ -16,6 +16,19 @@ _KEPT_SPACE = re.compile(rf"\s*(?:{_PIECES})|\s+$")
 _WORD = re.compile(r" ?[^\W\d_]+\Z")
 
 
+class _Index(dict):
+    """Numbers of pieces; one that is asked for the first time gets the next number and waits to be learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class CachedEncoder:
     """Ids equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of the whole text.
 
@@ -26,7 +39,7 @@ class CachedEncoder:
 
     _loaded: dict[str, CachedEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task a core
         from tokenizers import Tokenizer
 
@@ -46,33 +59,34 @@ class CachedEncoder:
         return cls._loaded[path]
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.counts = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
 
-    def _learn(self, pieces: set[str]) -> None:
-        plain = [p for p in pieces if _WORD.match(p) and (p[0] == " ") == self.keeps_space]
-        other = list(pieces.difference(plain))
-        joined = self.tokenizer.encode(("" if self.keeps_space else " ").join(plain), add_special_tokens=False)
-        at = np.array(joined.word_ids, np.int64)
-        counts = np.bincount(at, minlength=len(plain))
-        self._add(plain, np.array(joined.ids, np.uint32), counts)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        self._add(other, np.fromiter((i for e in encoded for i in e), np.uint32), np.fromiter(map(len, encoded), np.int64, len(other)))
-
-    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        if len(counts) != len(pieces) or counts.sum() != len(ids):
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        first = len(self.index) - len(new)
+        while len(self.index) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        is_plain = [bool(_WORD.match(p)) and (p[0] == " ") == self.keeps_space for p in new]
+        plain = [i for i, x in enumerate(is_plain) if x]
+        lots = [plain[i : i + 400] for i in range(0, len(plain), 400)]  # long inputs cost more a word
+        between = "" if self.keeps_space else " "
+        for lot, joined in zip(lots, self.tokenizer.encode_batch([between.join([new[i] for i in x]) for x in lots], add_special_tokens=False), strict=True):
+            self._add(np.array(lot) + first, np.array(joined.ids, np.uint32), np.bincount(joined.word_ids, minlength=len(lot)))
+        other = [i for i, x in enumerate(is_plain) if not x]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)]
+        self._add(np.array(other, np.int64) + first, np.fromiter((i for e in encoded for i in e), np.uint32), np.fromiter(map(len, encoded), np.int64, len(other)))
+
+    def _add(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(counts) != len(at) or counts.sum() != len(ids):
             raise ValueError("the tokenizer doesn't split between these pieces")
-        n = len(self.index)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(pieces) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.counts[n : n + len(pieces)] = counts
-        self.starts[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
+        self.counts[at] = counts
+        self.starts[at] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.index.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers; none for null."""
@@ -80,26 +94,22 @@ class CachedEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text. The pieces that are new in any of the texts are encoded together."""
-        split = [self._pieces(t) if t else [] for t in texts]
-        new = set().union(*(p for p in split if p)).difference(self.index)
-        if new and self.index and len(self.index) + len(new) > self.limit:
+        if len(self.index) > self.limit:
             self._forget()
-            new = set().union(*(p for p in split if p))
-        if new:
-            self._learn(new)
-        return [self._ids(p) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for p, t in zip(split, texts, strict=True)]
+        number = self.index.__getitem__
+        at = [None if (p := self._pieces(t) if t else []) is None else np.fromiter(map(number, p), np.int64, len(p)) for t in texts]
+        if self.index.new:
+            self._learn()
+        return [self._ids(a) if a is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for a, t in zip(at, texts, strict=True)]
 
     def _pieces(self, text: str) -> list[str] | None:
         if _OTHER.search(text) or any(s in text for s in self.special):
             return None
         return _KEPT_SPACE.findall(text) if self.keeps_space else _DROPPED_SPACE.findall(text.lower())
 
-    def _ids(self, pieces: list[str]) -> np.ndarray:
-        if not pieces:
-            return np.empty(0, np.uint32)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+    def _ids(self, at: np.ndarray) -> np.ndarray:
         counts = self.counts[at]
         ends = np.cumsum(counts)
-        if not ends[-1]:
+        if not len(ends) or not ends[-1]:
             return np.empty(0, np.uint32)
         return self.flat[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(ends[-1])]

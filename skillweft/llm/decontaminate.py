@@ -24,7 +24,8 @@ BLOCK_BYTES = 32 << 20
 #: Symbols of a shard.
 SHARD = 1 << 20
 SAMPLE = 16
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words as they stand in a text, before A-Z become lower case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class FMIndex:

@@ -232,9 +232,9 @@ def pack(documents: DataFrame, work: str, tokenizer: str, end_id: int, capacity:
 def sequences(held: DataFrame, placed: DataFrame) -> DataFrame:
     """The packed training sequences: ``sequence_id, length, ids`` (array of long); rows of one sequence have at most its capacity."""
     key = ["doc_id", "start", "ids_crc32"]
-    ids = held.select("doc_id", "start", F.crc32("ids").alias("ids_crc32"), "ids").dropDuplicates(key)
-    on = [ids[k].eqNullSafe(placed[k]) for k in key]
-    one = placed.join(ids, on).select(placed["sequence_id"], placed["offset"], placed["length"], ids["ids"])
+    ids = held.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.crc32("ids").alias("_c"), F.col("ids").alias("_ids")).dropDuplicates(["_d", "_s", "_c"])
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("_d", "_s", "_c"), key, strict=True)]
+    one = placed.join(ids, on).select("sequence_id", "offset", "length", F.col("_ids").alias("ids"))
     joined = one.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     hexed = F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")
     whole = F.expr("transform(sequence(0, cast(length as int) - 1), i -> cast(conv(concat(substr(h, i * 8 + 7, 2), substr(h, i * 8 + 5, 2), substr(h, i * 8 + 3, 2), substr(h, i * 8 + 1, 2)), 16, 10) as long))")

@@ -1,0 +1,505 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import html as htmllib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from skillweft.llm import decontaminate, idfile, jaccard, langid, licences, packing, queries, rollups, sharding, vectors
+from skillweft.llm import html as html_
+from skillweft.llm.common import WordHashes, runs, shingles, words, workspace
+
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+CLASH = "node long, unit long, part long, class int, shard int, slot long, host string, template string, lang_pred string, tokens long"
+DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}"
+
+
+def frame(spark, rows):
+    """``(doc_id, text, lang, source)`` with further columns that clash with working names."""
+    return spark.createDataFrame([(*r, None, 1, 2, 3, 4, 5, 6, "h", "t", "xx", 7) for r in rows], DOCS)
+
+
+ODD = [(1, None, None, None), (2, "", "en", "s"), (None, "a b c d e f", "en", "s"), (4, "one", "en", None), (4, "one", "en", None), (6, "\n \t ...", "en", "s"), (7, "word " * 60_000, "en", "s"), (8, "Ünïcödé 中文 \U0001f600 \x1c x y ́", "de", "s"), (9, "one", "fr", "s")]
+
+
+def grams(text, n=5):
+    w = words(text)
+    n = min(n, len(w))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def jaccard_truth(rows):
+    sets = [grams(t) if i is not None else frozenset() for i, t in rows]
+    index = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            index[g].append(k)
+    both = Counter((x, y) for at in index.values() for i, x in enumerate(at) for y in at[i + 1 :])
+    links, parent = Counter(), list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (x, y), n in both.items():
+        if 5 * n >= 4 * (len(sets[x]) + len(sets[y]) - n):
+            links[x] += 1
+            links[y] += 1
+            parent[root(x)] = root(y)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[root(k)] = min(low.get(root(k), i), i)
+    return sorted(((i, low[root(k)] if i is not None else None, links[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("giant", [20_000, 3])
+def test_jaccard_against_brute_force(spark, sf, giant):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = sorted(map(tuple, jaccard.jaccard_join(docs, workspace(spark, "t"), giant=giant).collect()), key=str)
+    assert found == jaccard_truth([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_jaccard_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.integers(0, 120, rng.integers(0, 4)):
+            w[k] = f"x{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    for giant in (20_000, 10):
+        found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t"), giant=giant)
+        got, want = sorted(map(tuple, found.collect()), key=str), jaccard_truth(rows)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        exact = sum(a[2] for a in want)
+        assert (got == want) if giant > 90 else exact * 0.99 <= sum(a[2] for a in got) <= exact
+
+
+def test_jaccard_odd_rows(spark):
+    found = sorted(map(tuple, jaccard.jaccard_join(frame(spark, ODD), workspace(spark, "t")).collect()), key=str)
+    assert found == jaccard_truth([r[:2] for r in ODD])
+    assert jaccard.jaccard_join(frame(spark, []), workspace(spark, "t")).collect() == []
+
+
+def test_overlaps():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(7)]
+    assert (jaccard.overlaps(sets) == [[len(np.intersect1d(a, b)) if i != j or len(sets) == 2 else _self(a, sets) for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
+
+
+def _self(a, sets):
+    """Of its own n-grams only those that another set shares count, and the diagonal is never asked for."""
+    return sum(sum(x in s for s in sets) > 1 for x in a)
+
+
+def test_shingles_are_sets_of_all_windows():
+    h = WordHashes()
+    assert len(shingles("a b c d e f g", h)) == 3
+    assert len(shingles("a b", h)) == 1
+    assert len(shingles(None, h)) == len(shingles("...", h)) == 0
+    assert (shingles("A b C d E", h) == shingles("a, B c. D e", h)).all()
+
+
+def test_runs_join_batches():
+    import pyarrow as pa
+
+    t = pa.table({"k": [1, 1, 2, 2, 2, 3], "v": list(range(6))})
+    assert [[x["v"] for x in r.to_pylist()] for r in runs(iter(t.to_batches(max_chunksize=1)), "k")] == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_patience():
+    assert licences.increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
+    assert licences.increasing([]) == []
+    a, b = "x the a cat sat the b".split(), "the a dog sat the c".split()
+    assert licences.align(a, b) == [(1, 0), (2, 1), (4, 3), (5, 4)]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (list(rng.integers(0, 6, rng.integers(0, 12))) for _ in range(2))
+        pairs = licences.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_licences(spark):
+    rows = [(10, "Foo bar. Licensed under CC BY-NC 4.0. more\nAll rights reserved.", "en", "s"), (11, "Released under the   MIT license", "en", "s"), (12, "this work is licensed under the GNU General Public Licence, version 3", "en", "s"), (13, "the mit of under", "en", "s"), *ODD]
+    found = sorted((r.doc_id, r.licence, r.start_word, r.end_word) for r in licences.licence_scan(frame(spark, rows)).collect())
+    assert found == [(10, "CC-BY-NC-4.0", 2, 9), (10, "all-rights-reserved", 10, 13), (11, "MIT", 0, 5), (12, "GPL-3.0", 0, 12)]
+    assert licences.licence_scan(frame(spark, [])).collect() == []
+
+
+def test_licences_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = Counter(r.doc_id for r in licences.licence_scan(docs).collect())
+    shape = re.compile(r"Licensed under CC BY-NC 4.0|GNU General Public License, version 3|Apache License, Version 2.0|Released under the MIT License|All rights reserved")
+    assert found == Counter({r.doc_id: n for r in docs.collect() if (n := len(shape.findall(r.text)))})
+
+
+def encoded(path, end):
+    t = Tokenizer.from_file(path)
+    return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_encoder_equals_the_tokenizer(path):
+    from skillweft.llm.tokens import CachedEncoder
+
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = [" ", "  ", "\n", "\t", "a", "Tt", "ll", "'", "'s", "12", "_", "-", "...", "é", "ß", "Ñ", "·", "²", "́", "中", "\U0001f600", "\x1d", " ", "<|endoftext|>", "İ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(1500)]
+    enc = CachedEncoder(path, limit=50)  # forgets again and again
+    for i in range(0, len(texts), 40):
+        for text, ids in zip(texts[i : i + 40], enc.encode(texts[i : i + 40]), strict=True):
+            assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def check_packing(spark, docs, rows, capacity):
+    want = encoded(WORD_BPE, 1)
+    held, placed = packing.pack(docs, workspace(spark, "t"), WORD_BPE, 1, capacity)
+    got = placed.collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[i].append(want(t))
+    for i, docs_ in ids.items():
+        assert sum(r.length for r in by_doc[i]) == sum(map(len, docs_))
+        assert Counter((r.start, r.ids_crc32, r.doc_tokens) for r in by_doc[i]) == Counter((s, zlib.crc32(d[s : s + capacity].tobytes()), len(d)) for d in docs_ for s in range(0, len(d), capacity))
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append(r)
+    assert sorted(seqs) == list(range(len(seqs)))
+    for s in seqs.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))]
+        assert sum(r.length for r in s) <= capacity
+    return held, placed, seqs
+
+
+def test_packing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    _, placed, seqs = check_packing(spark, docs, rows, 2048)
+    assert sum(r.length for s in seqs.values() for r in s) > 0.97 * 2048 * len(seqs)
+
+
+def test_packing_odd_rows(spark):
+    rows = [*ODD, *((100 + i, "", "en", "s") for i in range(70))]
+    held, placed, _ = check_packing(spark, frame(spark, rows), [r[:2] for r in rows], 256)
+    whole = packing.sequences(held, placed).collect()
+    assert sum(len(r.ids) for r in whole) == sum(r.length for r in whole)
+    assert all(len(r.ids) == r.length for r in whole)
+    assert Counter(i for r in whole for i in r.ids)[1] == len(rows)
+    assert packing.pack(frame(spark, []), workspace(spark, "t"), WORD_BPE, 1)[1].collect() == []
+
+
+def test_column_generation_reaches_the_bound():
+    rng = np.random.default_rng(3)
+    ends = packing.classes(2048)
+    n = np.bincount(np.searchsorted(ends, np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048)), minlength=len(ends))
+    patterns = packing.plan(ends, n, 2048)
+    assert (sum(a * x for a, x in patterns) == -(-n // packing.bundles(ends))).all()
+    assert all((a * packing.bundles(ends) * ends).sum() <= 2048 for a, _ in patterns)
+    assert sum(x for _, x in patterns) * 2048 <= (n * ends).sum() * 1.02 + 2048 * 8
+
+
+def test_language_accuracy_and_calibration(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    model = langid.fit(langid.taught(docs))
+    held = langid.identify(docs.where(langid.held_out(docs.doc_id)), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.98
+    assert np.mean([r.lang_rejected for r in held]) < 0.02
+    assert all(0 <= r.lang_score <= 1 for r in held)
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
+
+
+def test_language_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    out = {(r.doc_id, r.text): r for r in langid.identify(frame(spark, ODD), model).collect()}
+    for key in ((1, None), (2, ""), (6, "\n \t ...")):
+        assert (out[key].lang_pred, out[key].lang_score, out[key].lang_rejected) == ("und", 0.0, True)
+    assert out[8, ODD[7][1]].lang_pred in model.languages
+    assert len(langid.identify(frame(spark, ODD), model).collect()) == len(ODD)
+    assert langid.identify(frame(spark, []), model).collect() == []
+    assert langid.fit(frame(spark, [])).languages == ["und"]
+
+
+def test_scores_of_a_long_text_add_up():
+    model = langid.train([("a", *np.unique(langid.grams(langid.codes("abc abd"), 10)[0], return_counts=True)), ("b", *np.unique(langid.grams(langid.codes("xyz xyw"), 10)[0], return_counts=True))] * 12, bits=10)
+    assert model.predict(["abc abd " * 200_000])[0] == model.predict(["abc abd"])[0] == ["a"]
+
+
+def test_rollups(spark):
+    rollup = rollups.Rollup(spark, workspace(spark, "t"))
+    assert rollup.totals().collect() == []
+    rows = spark.createDataFrame([("s", "en", 5), ("s", "en", 7), (None, None, 1), ("t", "de", 4)], "source string, lang string, tokens long")
+    assert rollup.commit("a", rollups.changes(rows, "v1", 1))
+    assert not rollup.commit("a", rollups.changes(rows, "v1", 1))
+    assert rollup.commit("b/ü", rollups.changes(rows.where("source = 's'"), "v1", -1))
+    from pyspark.sql import functions as F
+
+    assert rollup.commit("c", rollups.changes(rows.where("source = 't'"), "v1", 0, F.lit(3)))
+    assert rollup.commit("d", rollups.changes(rows.limit(0), "v1", 1))
+    assert sorted(map(tuple, rollup.totals().collect()), key=str) == [("t", "de", "v1", 1, 7), (None, None, "v1", 1, 1)]
+
+
+def test_a_lost_batch_counts_nothing(spark):
+    work = workspace(spark, "t")
+    rollup = rollups.Rollup(spark, work)
+    rows = spark.createDataFrame([("s", "en", 5)], "source string, lang string, tokens long")
+    rollups.changes(rows, "v", 1).groupBy("source", "lang", "version").agg({"sign": "sum"}).write.parquet(f"{work}/batches/attempt-lost")
+    assert rollup.totals().collect() == []
+    assert rollup.commit("x", rollups.changes(rows, "v", 1))
+    assert [r.tokens for r in rollup.totals().collect()] == [5]
+
+
+def test_token_rollup_query(spark, sf):
+    want, count = Counter(), encoded(BYTE_BPE, 2)
+    seen = set()
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect()):
+        if r.text not in seen:
+            seen.add(r.text)
+            want[r.source, r.lang] += len(count(r.text))
+    assert {(r.source, r.lang): r.tokens for r in queries.op5_token_rollup(spark, sf).collect()} == dict(want)
+    assert len(rollups.counted(frame(spark, ODD), BYTE_BPE).collect()) == len(ODD)
+
+
+def vector_truth(rows, cosine=0.95):
+    ok = [i is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v in rows]
+    near = lambda a, b: len(a) == len(b) and np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)) >= cosine
+    link = [[x != y and ok[x] and ok[y] and near(rows[x][1], rows[y][1]) for y in range(len(rows))] for x in range(len(rows))]
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min([label[x], *(label[y] for y in range(len(rows)) if link[x][y])], key=lambda k: (rows[k][0] is None, rows[k][0], k)) for x in range(len(rows))]
+    return sorted(((i, sum(link[k]), rows[label[k]][0] if i is not None else None, i is not None and rows[label[k]][0] == i) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def vector_rows(dim, seed):
+    rng = np.random.default_rng(seed)
+    out, i = [], 0
+    for _ in range(12):
+        c = rng.normal(size=dim)
+        for _ in range(rng.integers(1, 7)):
+            out.append((i, [float(np.float32(x)) for x in c + rng.normal(size=dim) * rng.choice([0, 0.15, 0.3, 0.35])]))
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize(("dim", "chunk", "kind"), [(16, 8192, "float"), (16, 5, "double"), (3, 4, "float"), (1, 8, "double")])
+def test_vectors_against_brute_force(spark, dim, chunk, kind):
+    rows = [*vector_rows(dim, dim), (900, None), (901, [0.0] * dim), (902, [float("nan")] * dim), (903, [float("inf")] * dim), (904, [None] * dim), (905, []), (None, [1.0] * dim), (906, [1.0] * (dim + 1)), (907, [2.0] * (dim + 1)), (908, [1.0] * dim), (909, [1.0] * dim), (910, [3.0] * dim)]
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], f"vec_id long, embedding array<{kind}>, label int, node long, unit long")
+    found = vectors.near_vectors(df, workspace(spark, "t"), chunk=chunk)
+    assert sorted(map(tuple, found.collect()), key=str) == vector_truth(rows)
+    assert vectors.near_vectors(df.limit(0), workspace(spark, "t")).collect() == []
+
+
+def test_sharding(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = sharding.shard(docs, workspace(spark, "t")).collect()
+    assert len(rows) == len(text)
+    assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
+    by_text, size, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in rows:
+        by_text[text[r.doc_id]].add(r.shard)
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(map(len, by_text.values())) == 1
+    assert max(size.values()) - min(size.values()) <= 1000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sharding_odd_rows(spark):
+    rows = [*ODD, *((50 + i, "the same text", "en", "s") for i in range(20))]
+    got = sharding.shard(frame(spark, rows), workspace(spark, "t"), 3, hot_share=0.3).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert len({r.shard for r in got if r.doc_id and r.doc_id >= 50}) == 1
+    assert sharding.shard(frame(spark, []), workspace(spark, "t"), 3).collect() == []
+
+
+def test_differencing():
+    for sums in ([], [(5,)], [(8,), (7,), (6,), (5,), (4,)]):
+        out = sharding.differencing(sums, 2)
+        total = [0, 0]
+        for t, to in zip(sums, out, strict=True):
+            assert sorted(to) == [0, 1]
+            for s, k in zip(t, to, strict=False):
+                total[k] += s
+        assert abs(total[0] - total[1]) <= (5 if len(sums) == 1 else 2)
+
+
+PAGE = "<!doctype html><html><head><title>t</title><style>p{{}}</style><script>var x='</p><p>no';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use cookies</div>{0}<aside>side</aside><form><input><button>Go</button></form><footer>&copy; f</footer></body></html>"
+
+
+def test_extract():
+    e = html_.extract
+    assert e(None) == e("") == e("<p></p>") == ""
+    assert e(PAGE.format("<article><h1>A &amp; B</h1><p>one<b>two</b>  three<br>four<p>five &lt;6&gt;</p><!-- c --><section class=comments><p>me</p></section></article>")) == "A & B onetwo three four five <6>"
+    assert e(PAGE.format("<div id=content><p>one</p> x < y <ul><li>a<li>b</ul></div>")) == "one x < y a b"
+    assert e(PAGE.format("<main><div class=sidebar>s</div><header>h</header><p>m</p></main>")) == "h m"
+    assert e("<article>a<p>b") == "a b"
+    assert e("plain &eacute;&#233;&#xe9; &unknown; &am") == "plain ééé &unknown; &am"
+    assert e("<p>a&nbsp;b c") == "a b c"
+    assert e("<div " * 3 + "x") is not None
+    assert e("<p>" + "x " * 200_000) == ("x " * 200_000).strip()
+    assert e("<b>" * 500 + "deep" + "</b>" * 500) == "deep"
+
+
+def test_tree_matching():
+    t = ("a", (("b", ()), ("c", (("d", ()),)), ("b", ())))
+    u = ("a", (("c", (("d", ()), ("e", ()))), ("b", ())))
+    assert html_.match(t, t) == 5
+    assert html_.match(t, u) == 4
+    w = html_.merge(t, u)
+    assert html_.match(w, t) == 5
+    assert html_.match(w, u) == 5
+    assert html_.numbers(w, t)[0] == 0
+    assert -1 not in html_.numbers(w, u)
+
+
+def test_constant_texts_become_template(spark):
+    page = lambda i, extra="": f"<html><body><div><p>Share this page</p><p>Story {i} of the day</p>{extra}<div><span>Read more here</span></div></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    rows += [(100 + i, f"http://h.example/c{i}", page(7)) for i in range(30)]  # copies don't make an article a template
+    rows += [(200, "http://other.example/", page(1)), (201, None, None), (202, "not a url", ""), (202, "not a url", ""), (None, "http://h.example/x", page(9, "<h2>Odd</h2>"))]
+    df = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], "page_id long, url string, html string, text string, host string, template int")
+    got = html_.main_text(df, workspace(spark, "t")).collect()
+    assert len(got) == len(rows)
+    text = {r.page_id: r.text for r in got}
+    assert all(text[i] == f"Story {i} of the day" for i in range(8))
+    assert all(text[100 + i] == "Story 7 of the day" for i in range(30))
+    assert text[None] == "Story 9 of the day Odd"
+    assert text[200] == "Share this page Story 1 of the day Read more here"
+    assert text[201] == text[202] == ""
+    assert html_.main_text(df.limit(0), workspace(spark, "t")).collect() == []
+
+
+def test_pages(spark, sf):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in queries.op8_main_text(spark, sf).collect():
+        m = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        want = " ".join(htmllib.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", m))).split())
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
+def test_bit_packing(bits):
+    rng = np.random.default_rng(bits)
+    ids = rng.integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
+    data = idfile.packed(ids, bits)
+    assert len(data) == -(-1001 * bits // 8)
+    assert (idfile.unpacked(data, bits, 1001) == ids).all()
+    assert (idfile.unpacked(data, bits, 50, 777) == ids[777:827]).all()
+    assert idfile.width(50257) == 16
+    assert idfile.width(1) == 1
+
+
+def test_part_file_random_access(tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "BLOCK", 64)
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 5000, n).astype(np.uint32) for n in (0, 1, 63, 64, 65, 500, 0)]
+    w = idfile.PartWriter(f"file://{tmp_path}/a/x.swtb", 13)
+    for i, d in enumerate(docs):
+        w.add(None if i == 0 else i, d)
+    assert w.close() == sum(map(len, docs))
+    f = idfile.PartFile(f"file://{tmp_path}/a/x.swtb")
+    whole = np.concatenate(docs)
+    for a, n in ((0, len(whole)), (63, 2), (130, 400), (5, 0)):
+        assert (f.read(a, n) == whole[a : a + n]).all()
+    assert f.doc_ids[0] == idfile.NULL_ID
+
+
+def test_token_files(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, count, start = {}, encoded(BYTE_BPE, 2), 0
+    for r in sorted(docs.collect()):
+        ids = count(r.text)
+        want[r.doc_id] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op9_token_files(spark, sf).collect()} == want
+
+
+def test_token_files_odd_rows(spark):
+    parts = idfile.write_ids(frame(spark, ODD), workspace(spark, "t"), BYTE_BPE, 50257, 2)
+    rows = sorted(idfile.read_ids(spark, parts).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((r[0] for r in ODD), key=lambda i: (i is not None, i))
+    count = encoded(BYTE_BPE, 2)
+    assert Counter(bytes(r.ids) for r in rows) == Counter(count(t).tobytes() for _, t, *_ in ODD)
+    assert [r.start for r in rows] == [sum(len(x.ids) // 4 for x in rows[:k]) for k in range(len(rows))]
+    none = idfile.write_ids(frame(spark, []), workspace(spark, "t"), BYTE_BPE, 50257, 2)
+    assert idfile.read_ids(spark, none).collect() == []
+
+
+def contamination_truth(rows, items, size=10):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(size, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(str(i))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[x]
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 150])
+def test_contamination(spark, block_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD", 200)
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(rng.choice([f"W{k}" for k in range(40)], n))
+    items = [(i, word(rng.integers(1, 30) if i else 14)) for i in range(12)] + [(12, None), (13, "..."), (None, "w1 w2"), (14, "alone"), (15, "alone")]
+    rows = []
+    for i in range(60):
+        w = word(rng.integers(0, 60)).split()
+        if i % 3 == 0:
+            k = rng.integers(0, len(w) + 1)
+            w[k:k] = (items[i % 12][1] or "").upper().split()
+        rows.append((i, ", ".join(w)))
+    rows += [(7, "alone again; ALONE"), (7, "alone again; ALONE"), (None, "x alone"), (90, None), (91, ""), (92, "w1 " * 5000)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, items int, spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.report(decontaminate.contamination(docs, bench, block_bytes=block_bytes))
+    assert sorted(map(tuple, found.collect()), key=str) == contamination_truth(rows, [x for x in items if x[0] is not None])
+    assert decontaminate.contamination(docs.limit(0), bench).collect() == []
+    assert decontaminate.report(decontaminate.contamination(docs, bench.limit(0))).where("contaminated").collect() == []
+
+
+def test_fm_index_against_scan():
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 4, 500).astype(np.int64)
+    index = decontaminate.FMIndex(text, 3)
+    patterns = np.zeros((40, 5), np.int64)
+    lengths = rng.integers(1, 6, 40)
+    for i, n in enumerate(lengths):
+        patterns[i, 5 - n :] = rng.integers(1, 4, n)
+    lo, hi = index.search(patterns, lengths)
+    for i, n in enumerate(lengths):
+        at = sorted(index.locate(np.arange(lo[i], hi[i])).tolist()) if hi[i] > lo[i] else []
+        assert at == [k for k in range(len(text) - n + 1) if (text[k : k + n] == patterns[i, 5 - n :]).all()]
+
+
+def test_removal_spans():
+    assert decontaminate.merged(np.array([5, 0, 8]), np.array([4, 3, 2])) == [(0, 3), (5, 10)]
+    assert decontaminate.without_spans("A b, c. D e f", [(1, 3), (5, 6)]) == "A . D e "
+    assert decontaminate.without_spans(None, []) is None

@@ -198,7 +198,7 @@ def education_score(required: Column, candidate: Column) -> Column:
 
 
 def monthly_salary(raw: Column, source: Column) -> Column:
-    """middle of a salary text in CNY a month; null if it can't be read."""
+    """middle of a salary text in CNY a month; null if it can't be read. ``k`` means thousands in every currency."""
     text = F.regexp_replace(F.trim(raw), ",", "")
     sep, num = "(?:-|~|至)", r"([\d.]+)"
     amount = r"(\d+(?:\.\d+)?)"
@@ -220,8 +220,8 @@ def monthly_salary(raw: Column, source: Column) -> Column:
             mid(rf"{num}\s*{sep}\s*{num}\s*元/天", float(V.DAYS_PER_MONTH)),
             mid(rf"(?i)USD\s*\$?{amount}\s*{sep}\s*\$?{amount}", year),
             mid(rf"(?i){amount}\s*{sep}\s*\$?{amount}\s*/\s*year", year),
-            F.when(dollar, up_to * year).otherwise(up_to * 1000.0),
-            one(rf"(?i)up to\s*\$\s*{amount}\s*k") * year,
+            F.when(dollar, up_to * 1000.0 * year).otherwise(up_to * 1000.0),
+            one(rf"(?i)up to\s*\$\s*{amount}\s*k") * 1000.0 * year,
             one(r"(?i)up to\s*\$?([\d.]+)\s*/hour") * hour,
             one(rf"(?i)\$\s*{amount}\s*/hour") * hour,
         ),
@@ -251,7 +251,7 @@ def duration_hours(text: Column) -> Column:
 
 def week_key(ts: Column) -> Column:
     """ISO week ``YYYY-Www``."""
-    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts))
+    return F.when(ts.isNotNull(), F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts)))
 
 
 def week_key_of_text(text: Column) -> Column:
@@ -292,7 +292,7 @@ def shared_bigrams(a: Column, b: Column) -> Column:
 
 def split_skills(text: Column) -> Column:
     """A comma-separated list, trimmed, without empty parts."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def summary_text(position: Column, matched: Column, missing: Column) -> Column:

@@ -130,9 +130,9 @@ def edit_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evolved_from(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names of large parts that smaller ones don't have."""
+    """Part names of one brand's large parts that another's small ones don't have."""
     p = table(spark, sf, "part")
-    big, rest = p.where("p_size > 45").select(F.col("p_name").alias("name")).distinct(), p.where("p_size <= 5").select(F.col("p_name").alias("name")).distinct()
+    big, rest = p.where("p_size > 35 and p_brand like '%1'").select(F.col("p_name").alias("name")).distinct(), p.where("p_size <= 15 and p_brand = 'Brand#12'").select(F.col("p_name").alias("name")).distinct()
     return graph.evolved_from(big.subtract(rest), rest.subtract(big), 6).select("new", "old", F.col("shared").cast("long").alias("shared"), "relation")
 
 
@@ -259,9 +259,9 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors from 0.5 up among the vocabulary of each label's first ones, five each."""
+    """Vectors from 0.25 up among a vocabulary of forty, six each."""
     v = _vectors(spark, sf)
-    near = similarity.nearest(v, F.broadcast(v.where("id < 40")), 0.5, 6)
+    near = similarity.nearest(v, F.broadcast(v.where("id < 40")), 0.25, 6)
     return near.where("a <> b").select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -371,7 +371,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """T7."""
     c = _candidates(spark, sf).groupBy("candidate").agg(F.collect_set("skill").alias("skills"))
-    p = _positions(spark, sf).where("necessity = 'must'").groupBy("position_name").agg(F.collect_set("skill").alias("skills"))
+    p = _positions(spark, sf).where("source_count % 3 = 0").groupBy("position_name").agg(F.collect_set("skill").alias("skills"))
     return evaluation.labelled_pairs(c, p)
 
 

@@ -58,7 +58,7 @@ ORACLES = {
     "type_counts": _NODE + " SELECT version, type, count(*) AS n FROM node GROUP BY ALL",
     "retained_versions": _NODE + " SELECT version, count(*) AS n FROM node WHERE version >= '2001-01' GROUP BY ALL",
     "edit_diff": with_views("jd", "jd_skill") + "x AS (SELECT position_name, skill, max(necessity) AS o FROM jd_skill WHERE publish_date < DATE '2000-01-01' GROUP BY ALL), y AS (SELECT position_name, skill, max(necessity) AS n FROM jd_skill WHERE publish_date >= DATE '2000-01-01' GROUP BY ALL), d AS (SELECT position_name, CASE WHEN o IS NULL THEN '+' WHEN n IS NULL THEN '-' WHEN o <> n THEN '~' END || skill AS m FROM x FULL JOIN y USING (position_name, skill)) SELECT position_name, coalesce(string_agg(m, ',' ORDER BY m), '') AS diff FROM d GROUP BY ALL",
-    "evolved_from": "WITH x AS (SELECT DISTINCT p_name AS n FROM part WHERE p_size > 45 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 5)), y AS (SELECT DISTINCT p_name AS o FROM part WHERE p_size <= 5 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size > 45)), g AS (SELECT n, o, len(list_intersect(list_distinct([n[i:i+1] for i in range(1, length(n))]), list_distinct([o[i:i+1] for i in range(1, length(o))]))) AS s FROM x, y) SELECT n AS new, o AS old, CAST(s AS BIGINT) AS shared, CASE WHEN (contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2 THEN 'rename' ELSE 'split' END AS relation FROM g WHERE s >= 6 OR ((contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2)",
+    "evolved_from": "WITH bg AS (SELECT DISTINCT p_name AS n FROM part WHERE p_size > 35 AND p_brand LIKE '%1'), sm AS (SELECT DISTINCT p_name AS o FROM part WHERE p_size <= 15 AND p_brand = 'Brand#12'), x AS (SELECT n FROM bg WHERE n NOT IN (FROM sm)), y AS (SELECT o FROM sm WHERE o NOT IN (FROM bg)), g AS (SELECT n, o, len(list_intersect(list_distinct([n[i:i+1] for i in range(1, length(n))]), list_distinct([o[i:i+1] for i in range(1, length(o))]))) AS s FROM x, y) SELECT n AS new, o AS old, CAST(s AS BIGINT) AS shared, CASE WHEN (contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2 THEN 'rename' ELSE 'split' END AS relation FROM g WHERE s >= 6 OR ((contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2)",
     "pagerank": _RANKS + " SELECT id, round(rank, 6) AS rank FROM r10",
     "modularity": _MOD + " SELECT round(coalesce(sum(inside / m - (tot / m) ** 2), 0), 6) AS q FROM per, (SELECT sum(weight) AS m FROM adj)",
     "shortest_path": _PATH + " SELECT array_to_string(min(path), '>') AS path FROM w WHERE id = 'p39' AND hops = (SELECT min(hops) FROM w WHERE id = 'p39') HAVING count(*) > 0",
@@ -71,7 +71,7 @@ ORACLES = {
     "learning_hours": _GAP + ", l AS (SELECT *, row_number() OVER (PARTITION BY candidate, position_name ORDER BY weight DESC, CASE WHEN gap = 'missing' THEN 0 ELSE 1 END, skill) AS k FROM g WHERE gap <> 'matched') SELECT candidate, position_name, round(sum(CASE skill WHEN 'Brand#11' THEN 80.0::DOUBLE WHEN 'Brand#22' THEN 12.5::DOUBLE ELSE 30.0::DOUBLE END), 1) AS hours, count(*) AS skills FROM l WHERE k <= 5 GROUP BY ALL",
     "course_ranking": "SELECT * FROM (SELECT p_brand AS skill, p_partkey AS course, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_retailprice > 1000 THEN p_retailprice END DESC NULLS LAST, p_partkey) AS rank FROM part) WHERE rank <= 3",
     "staleness": with_views("jd")[:-2] + f" SELECT id, CAST(CASE WHEN date_diff('day', publish_date, DATE '{AS_OF}') > 365 THEN 0.85 WHEN date_diff('day', publish_date, DATE '{AS_OF}') > 180 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS penalty FROM jd",
-    "knn": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE y.id < 40), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.5) SELECT a, b, round(score, 6) AS score FROM r WHERE k <= 6 AND a <> b",
+    "knn": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE y.id < 40), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.25) SELECT a, b, round(score, 6) AS score FROM r WHERE k <= 6 AND a <> b",
     "nn_align": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE x.id >= 10 AND y.id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.2) SELECT a, b, round(score, 6) AS score FROM r WHERE k = 1",
     "verified_pairs": _VEC + " SELECT x.id AS a, x.id + 1 AS b FROM v x LEFT JOIN v y ON y.id = x.id + 1 AND y.id < 300 WHERE x.id >= 300 OR y.id IS NULL OR list_cosine_similarity(x.e, y.e) >= 0.1",
     "hit_merge": "SELECT user_id AS code, max(value) AS score FROM events GROUP BY ALL ORDER BY score DESC, code LIMIT 10",

@@ -107,10 +107,10 @@ def anomaly_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def promotable(spark: SparkSession, sf: str) -> DataFrame:
-    """Hit skills that were watched in the first week and bought nothing yet."""
+    """Hit skills that were watched in the first week and weren't bought in the second."""
     weekly = _weekly(spark, sf)
     first = weekly.where(F.col("week") == "2024-W01").select("skill").distinct()
-    known = weekly.where(F.col("source") == "purchase").select("skill").distinct()
+    known = weekly.where((F.col("source") == "purchase") & (F.col("week") == "2024-W02")).select("skill").distinct()
     return trends.promotable(trends.watch_z(weekly), first, known)
 
 
@@ -239,7 +239,7 @@ ORACLES = {
     "ma_growth": _FREQ + _MA.format(back=11) + " SELECT k AS skill, round(ma, 6) AS ma, round(growth, 6) AS growth, coalesce(growth > 0.5, false) AS hit FROM g",
     "ma3_growth": _SEG + ", f AS (SELECT name AS k, version AS v, freq FROM w)" + _MA.format(back=2) + " SELECT k AS name, round(ma, 6) AS ma, round(growth, 6) AS growth FROM g",
     "anomaly_flags": _WATCH + " SELECT 'p' || (skill % 10) AS name, coalesce(bool_or(source = 'click' AND z >= 2), false) AS click, coalesce(bool_or(source = 'purchase' AND z >= 2), false) AS purchase FROM z GROUP BY ALL",
-    "promotable": _WATCH + " SELECT DISTINCT skill FROM z WHERE z >= 2 AND skill IN (SELECT skill FROM w WHERE week = '2024-W01') AND skill NOT IN (SELECT skill FROM w WHERE source = 'purchase')",
+    "promotable": _WATCH + " SELECT DISTINCT skill FROM z WHERE z >= 2 AND skill IN (SELECT skill FROM w WHERE week = '2024-W01') AND skill NOT IN (SELECT skill FROM w WHERE source = 'purchase' AND week = '2024-W02')",
     "skill_trend_points": with_views("snapshots") + "c AS (SELECT version, count(*) AS n FROM snapshots WHERE target = 'Brand#11' GROUP BY ALL) SELECT version, CAST(coalesce(n, 0) AS BIGINT) AS freq, n IS NOT NULL AS present FROM (SELECT DISTINCT version FROM snapshots WHERE version >= '2000-07') LEFT JOIN c USING (version)",
     "skill_first_seen": _AGE + " SELECT DISTINCT position_name, skill, age FROM aged",
     "sai": _SAI + " SELECT id, round(sai, 6) AS sai, label, weight FROM lab",

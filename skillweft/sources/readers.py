@@ -42,7 +42,7 @@ def category(code: Column) -> Column:
 
 def alias_list(text: Column) -> Column:
     """Aliases in the order of their first mention."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda a: a != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda a: a != ""))
 
 
 def job_titles(spark: SparkSession, path: str) -> DataFrame:

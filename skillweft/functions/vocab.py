@@ -87,3 +87,12 @@ EN_POSITIONS = {"software engineer": "软件工程师", "data analyst": "数据
 
 STATES = ("candidate", "emerging", "stable", "declining", "archived", "rejected")
 TRANSITIONS = (("candidate", "emerging"), ("candidate", "rejected"), ("emerging", "stable"), ("emerging", "declining"), ("stable", "declining"), ("declining", "stable"), ("declining", "archived"))
+
+POLLUTED_POSITIONS = ("解决方案", "DevOps 工具", "站点可靠性", "系统")
+EDUCATION_LEVELS = ("博士", "硕士", "本科", "大专")
+EXPERIENCE_IN_CONTEXT = r"经验[^\d年]{0,4}(\d+(?:\.\d+)?)\s*年|(\d+(?:\.\d+)?)\s*年[^\d]{0,4}经验"
+YEARS = r"(?<!\d)(?!19\d{2}|20\d{2})(\d+(?:\.\d+)?)\s*年"
+NOT_SKILLS = ("前端开发", "后端开发", "通信/物联网/自动化", "嵌入式", "固定年终", "周末加班双薪", "经验不限", "1-3年", "3-5年", "5-10年", "10年以上", "大专", "本科", "硕士", "博士", "学历不限", "5天/周", "4天/周", "3天/周", "6天/周", "3个月", "6个月", "9个月", "12个月", "Remote", "全职", "兼职", "实习")
+COURSE_SOURCES = ("icourse163", "coursera", "edx")
+PAPER_SOURCES = ("arxiv", "github", "stackoverflow")
+FRAGMENTS = {"微": "微服务"}

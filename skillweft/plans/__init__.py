@@ -5,10 +5,10 @@ from __future__ import annotations
 
 def registry() -> tuple[dict, dict]:
     """All named queries and the SQL of those that SQL can express."""
-    from skillweft.plans import graph_queries, quality_queries, trend_queries
+    from skillweft.plans import graph_queries, quality_queries, record_queries, trend_queries
 
     queries, sql = {}, {}
-    for m in (trend_queries, quality_queries, graph_queries):
+    for m in (trend_queries, quality_queries, graph_queries, record_queries):
         queries |= m.QUERIES
         sql |= m.ORACLES
     return queries, sql

@@ -40,8 +40,7 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count proves that it has at most ``limit`` rows; otherwise leave the join to AQE."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

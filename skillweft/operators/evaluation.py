@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweft.operators.running import running_sum
+
 
 def f1(rows: DataFrame, shortest: int = 3) -> DataFrame:
     """Micro precision, recall and F1 of skill arrays ``pred`` and ``gold``; names shorter than ``shortest`` are noise."""
@@ -32,13 +34,13 @@ def recall_fpr(rows: DataFrame) -> DataFrame:
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks on ties.
 
-    The rank of a value follows from how many rows have each smaller one: values are counted first, and the running sum is
-    over distinct values.
+    The rank of a value follows from how many rows have each smaller one: values are counted first, and the running sum over
+    distinct values is dealt by ranges.
     """
 
     def ranks(c: str) -> DataFrame:
-        n = rows.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        return n.select("v", (F.sum("n").over(Window.orderBy("v")) - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
+        n = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        return running_sum(n, "v", F.col("n"), "s").select("v", (F.col("s") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
 
     a, b = ranks(x).toDF(x, "rx"), ranks(y).toDF(y, "ry")
     return rows.join(a, x).join(b, y).agg(F.corr("rx", "ry").alias("rho"))

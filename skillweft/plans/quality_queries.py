@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skillweft.functions import scores as S
 from skillweft.functions import text as X
 from skillweft.functions import vocab as V
-from skillweft.operators import ingest, quality, similarity
+from skillweft.operators import ingest, quality, running, similarity
 from skillweft.plans.views import jd, jd_skill, table, with_views
 
 AS_OF = "2001-08-01"
@@ -104,10 +104,8 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     """hash ids and running ids of skills."""
-    from pyspark.sql import Window
-
     s = table(spark, sf, "part").select(F.col("p_brand").alias("skill")).distinct()
-    return s.select("skill", X.stable_id("sk", F.col("skill")).alias("stable_id"), F.format_string("skill_%04d", F.dense_rank().over(Window.orderBy("skill"))).alias("running_id"))
+    return running.numbered(s, "skill", "n").select("skill", X.stable_id("sk", F.col("skill")).alias("stable_id"), F.format_string("skill_%04d", "n").alias("running_id"))
 
 
 def source_distribution(spark: SparkSession, sf: str) -> DataFrame:

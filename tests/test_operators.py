@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, retrieval, similarity, temporal, trends
+from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, retrieval, running, similarity, temporal, trends
 
 
 def rows(df):
@@ -214,3 +214,14 @@ def test_evaluation(spark):
     assert evaluation.weights_of({"a": "x"}, {"a": 1.0}) == {"a": 1.0}
     assert evaluation.weights_of({"a": 2}, {"a": 1.0}) == {"a": 2.0}
     assert evaluation.weights_of({"a": -2}, {"a": 1.0}) == {"a": 1.0}
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k long, v long")
+    got = {r.k: r.s for r in running.running_sum(df, "k", F.col("v"), "s").collect()}
+    total = 0
+    for k, v in sorted((i * 7 % 101, i) for i in range(101)):
+        total += v
+        assert got[k] == total
+    assert running.numbered(df.limit(0), "k", "n").collect() == []
+    assert sorted(r.n for r in running.numbered(df, "k", "n").collect()) == list(range(1, 102))

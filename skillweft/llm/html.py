@@ -41,7 +41,10 @@ SCOPES = frozenset("ul ol dl table body html article main section div td th bloc
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments reply replies disqus respond footer masthead toolbar search searchbox paywall skip dialog contentinfo complementary disclaimer".split())
 MARKED = frozenset({"article", "main"})
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[a-zA-Z/](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[a-zA-Z/][^>]*>|[!?][^>]*>)", re.S)
+#: A quoted value may hold ``>``; one that isn't closed within 4000 characters is no quote, so the scan stays linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[a-zA-Z/](?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>|[a-zA-Z/][^>]*>|[!?][^>]*>)", re.S)
+#: Elements that are nested deeper count as part of the one at this depth.
+DEPTH = 120
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -77,6 +80,7 @@ def parse(source: str) -> Node:
     """The element tree of a page, however badly it is closed."""
     root = Node("#", "#", False)
     stack, at, n = [root], 0, len(source)
+    flat: dict[str, int] = {}  # open elements that were too deep
     while at < n:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
@@ -93,6 +97,9 @@ def parse(source: str) -> Node:
             continue
         tag = name[0].lower()
         if closing:
+            if flat.get(tag):
+                flat[tag] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -122,6 +129,9 @@ def parse(source: str) -> Node:
             at = source.find(">", stop) + 1 if end else n
             at = at or n
             continue
+        if len(stack) >= DEPTH and (not node.skip or stack[-1].skip):
+            flat[tag] = flat.get(tag, 0) + 1
+            continue
         stack.append(node)
     return root
 

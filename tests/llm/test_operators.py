@@ -60,10 +60,10 @@ def jaccard_truth(rows):
     return sorted(((i, low[root(k)] if i is not None else None, links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("giant", [20_000, 3])
-def test_jaccard_against_brute_force(spark, sf, giant):
+@pytest.mark.parametrize("by", [None, "group", "bucket"])
+def test_jaccard_against_brute_force(spark, sf, by):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    found = sorted(map(tuple, jaccard.jaccard_join(docs, workspace(spark, "t"), giant=giant).collect()), key=str)
+    found = sorted(map(tuple, jaccard.jaccard_join(docs, workspace(spark, "t"), by=by).collect()), key=str)
     assert found == jaccard_truth([(r.doc_id, r.text) for r in docs.collect()])
 
 
@@ -77,12 +77,12 @@ def test_jaccard_tiles(spark, monkeypatch):
             w[k] = f"x{rng.integers(0, 9)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(jaccard, "CHUNK", 16)
-    for giant in (20_000, 10):
-        found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t"), giant=giant)
+    for by in ("group", "bucket"):
+        found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t"), by=by)
         got, want = sorted(map(tuple, found.collect()), key=str), jaccard_truth(rows)
         assert [x[:2] for x in got] == [x[:2] for x in want]
         exact = sum(a[2] for a in want)
-        assert (got == want) if giant > 90 else exact * 0.99 <= sum(a[2] for a in got) <= exact
+        assert (got == want) if by == "group" else exact * 0.99 <= sum(a[2] for a in got) <= exact
 
 
 def test_jaccard_odd_rows(spark):
@@ -355,7 +355,12 @@ def test_extract():
     assert e("<p>a&nbsp;b c") == "a b c"
     assert e("<div " * 3 + "x") is not None
     assert e("<p>" + "x " * 200_000) == ("x " * 200_000).strip()
-    assert e("<b>" * 500 + "deep" + "</b>" * 500) == "deep"
+    for tag in ("b", "div", "p", "article", "nav", "ul><li"):
+        page = f"<{tag}>" * 20_000 + "deep" + "".join(f"</{x}>" for x in tag.split("><")[::-1]) * 20_000
+        assert e(page) == ("" if tag == "nav" else "deep")
+        html_.fold(html_.parse(page))
+    assert e("<p>a</p>" + "<a title='it's>b" * 20_000).startswith("a ")
+    assert e('<a title="x>y" class=q>z</a><p data-x="<p>">w') == "z w"
 
 
 def test_tree_matching():

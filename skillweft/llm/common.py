@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only after its rows were counted and are no more than this.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 #: Python workers get no Arrow batch above this many bytes (rows are never split).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -90,7 +90,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -2,8 +2,9 @@
 
 Equal sets are collapsed to one node first. A node has ``BANDS`` bands of ``ROWS`` minima; at Jaccard 0.8 a pair shares no band
 with probability (1 - 0.8 ** 6) ** 36 < 2e-5. Nodes that share a band are joined to candidate groups. Each group is compared
-within tasks in tiles of bounded size, where links are counted and joined, so no list of pairs is ever made. A group that has
-run together over more than ``GIANT`` nodes is compared bucket by bucket instead; a pair then counts in its first common band.
+within tasks in tiles of bounded size, where links are counted and joined, so no list of pairs is ever made. A group with far
+more pairs than its buckets have together (many documents have run together over few) is compared bucket by bucket
+instead; a pair then counts in its first common band.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from skillweft.llm.components import connected_components
 from skillweft.llm.units import Links, grouped, tiles, verified
 
 BANDS, ROWS = 36, 6
-#: Nodes and n-grams of a chunk; a unit compares two chunks.
-CHUNK, CHUNK_GRAMS, GIANT = 1024, 2_000_000, 20_000
+#: Nodes of a chunk, a unit compares two chunks: 256 in groups of up to 16 chunks, 1024 in larger ones, so that a small
+#: group's tasks are short and a large one's nodes aren't sent out too often. N-grams of a chunk.
+CHUNK, MANY, LARGE_CHUNK, CHUNK_GRAMS = 256, 16, 1024, 2_000_000
+#: A node stands in up to ``BANDS`` buckets but in one group, so buckets have to have so many times fewer pairs.
+FEWER = 16
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _MULTIPLY = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -131,8 +135,8 @@ def _compare(n: int, numerator: int, denominator: int):
         if unit.column("low")[0] != unit.column("high")[0]:
             keep = chunk[i] != chunk[j]
             i, j = i[keep], j[keep]
-        if len(i) and unit.column("bands")[0].is_valid:
-            bands = np.array([unit.column("bands")[k].as_py() for k in at.tolist()])
+        if len(i) and unit.column("bucket")[0].as_py():
+            bands = signatures(sets).view(np.int64)
             first = (bands[i] == bands[j]).argmax(1)
             keep = bands[i, first] == unit.column("group")[0].as_py()
             i, j = i[keep], j[keep]
@@ -143,12 +147,13 @@ def _compare(n: int, numerator: int, denominator: int):
     return compare
 
 
-def jaccard_join(documents: DataFrame, work: str, n: int = 5, numerator: int = 4, denominator: int = 5, giant: int = GIANT) -> DataFrame:
+def jaccard_join(documents: DataFrame, work: str, n: int = 5, numerator: int = 4, denominator: int = 5, by: str | None = None) -> DataFrame:
     """``doc_id, class_id, n_links`` of every row: links are other rows whose word ``n``-gram sets have a Jaccard similarity of at least ``numerator / denominator``.
 
     Words are those of ``common.words``; a text of fewer than ``n`` words has one gram of all of them; null texts and texts without
     words have none and link with nothing. The class is the smallest ``doc_id`` reachable by links. Rows with a null id link
-    with nothing and have a null class. Rows with equal ids are rows of their own. Other columns are ignored.
+    with nothing and have a null class. Rows with equal ids are rows of their own. Other columns are ignored. ``by`` forces comparison by
+    ``group`` or by ``bucket``; the cheaper one of each group is the default.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = staged(arrow_map(docs, _sign(n), "id long, node long, grams long, bands array<long>"), f"{work}/signed")
@@ -157,16 +162,19 @@ def jaccard_join(documents: DataFrame, work: str, n: int = 5, numerator: int = 4
     keyed = classes.select("node", F.explode("bands").alias("key")).repartition("key")
     full = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     buckets = staged(keyed.join(full, "key"), f"{work}/buckets")
+    full = buckets.groupBy("key").agg(F.min("first").alias("first"), F.max("n").alias("n"))
     near = staged(connected_components(buckets.select(F.col("node").alias("a"), F.col("first").alias("b")), f"{work}/near"), f"{work}/candidates")
-    nodes = near.join(classes, "node")
-    sizes = small(nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("g")))
-    nodes = staged(nodes.join(sizes, "component"), f"{work}/nodes")
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("g") / CHUNK_GRAMS))
-    usual = tiles(nodes.where(F.col("n") <= giant).select("node", "low", "weight", F.col("component").alias("group"), F.lit(None).cast("array<long>").alias("bands"), "n", "g").withColumnRenamed("low", "rep"), chunks, [F.lit("component"), F.col("group")])
-    large = nodes.where(F.col("n") > giant).drop("n", "g", "component")
-    dealt = large.join(buckets.select("node", F.col("key").alias("group"), "n"), "node")
+    nodes = near.join(classes.drop("bands"), "node")
+    # every bucket lies in one group, which its first node names
+    pairs = full.join(near.select(F.col("node").alias("first"), "component"), "first").groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("bucket_pairs"))
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("g")).join(pairs, "component")
+    nodes = staged(nodes.join(small(staged(sizes, f"{work}/sizes")), "component"), f"{work}/nodes")
+    whole = F.lit(by == "group") if by else (F.col("n") <= 2 * CHUNK) | (F.col("n") * F.col("n") <= FEWER * F.col("bucket_pairs"))
+    chunks = F.greatest(F.least(F.ceil(F.col("n") / CHUNK), F.lit(MANY)), F.ceil(F.col("n") / LARGE_CHUNK), F.ceil(F.col("g") / CHUNK_GRAMS))
+    usual = tiles(nodes.where(whole).select("node", F.col("low").alias("rep"), "weight", F.col("component").alias("group"), F.lit(False).alias("bucket"), "n", "g"), chunks, [F.lit("component"), F.col("group")])
+    dealt = nodes.where(~whole).select("node", "low", "weight", "grams").join(buckets.select("node", F.col("key").alias("group"), "n"), "node")
     weights = dealt.groupBy("group").agg(F.sum("grams").alias("g"))
-    large = tiles(dealt.join(weights, "group").select("node", "low", "weight", "group", "bands", "n", "g").withColumnRenamed("low", "rep"), chunks, [F.lit("bucket"), F.col("group")])
+    large = tiles(dealt.join(weights, "group").select("node", F.col("low").alias("rep"), "weight", "group", F.lit(True).alias("bucket"), "n", "g"), chunks, [F.lit("bucket"), F.col("group")])
     units = staged(usual.unionByName(large).drop("n", "g"), f"{work}/units")
     texts = docs.join(small(units), docs["id"] == units["rep"]).drop("id", "rep")
     found = staged(verified(texts, _compare(n, numerator, denominator)), f"{work}/links")

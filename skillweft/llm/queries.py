@@ -123,4 +123,25 @@ n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op10_decontamination": OP10_SQL, "op6_near_vectors": OP6_SQL}
+#: All pairs that share a word 5-gram, verified by integer arithmetic, and the smallest id that links reach.
+OP1_SQL = f"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
+gram AS (SELECT DISTINCT r, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s FROM doc, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0 AND doc_id IS NOT NULL),
+size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM gram x JOIN gram y ON x.s = y.s AND x.r < y.r GROUP BY ALL),
+pair AS (SELECT a, b FROM common JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach(a, b) AS (SELECT r, r FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(doc_id) AS class_id FROM reach JOIN doc ON b = r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM doc JOIN low ON low.a = r LEFT JOIN n ON n.a = r
+"""
+
+#: The test tables' pages mark their article, and only a few character references occur in it.
+OP8_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM b
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op6_near_vectors": OP6_SQL, "op8_main_text": OP8_SQL, "op10_decontamination": OP10_SQL}

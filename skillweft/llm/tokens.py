@@ -34,7 +34,7 @@ class CachedEncoder:
 
     Both public tokenizers split a text after every letter run and before every white space that follows a character
     which is none, whatever stands further away, so the ids of a text are those of its pieces. Pieces recur far more often
-    than texts; up to ``limit`` of them are remembered in flat arrays, and then forgotten together.
+    than texts; up to ``limit`` of them are remembered in flat arrays, and then those that didn't recur are forgotten.
     """
 
     _loaded: dict[str, CachedEncoder] = {}
@@ -61,13 +61,29 @@ class CachedEncoder:
     def _forget(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.starts, self.counts, self.recurred = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), np.zeros(1 << 18, bool)
+
+    def _shrink(self) -> None:
+        """Keep the pieces that came again after they were learned; none if those are most of them."""
+        kept = np.flatnonzero(self.recurred[: len(self.index)])
+        if len(kept) > 0.7 * self.limit:
+            return self._forget()
+        pieces = list(self.index)
+        ids, counts = self._ids(kept), self.counts[kept]
+        self._forget()
+        for i in kept.tolist():
+            self.index[pieces[i]] = len(self.index)
+        self._room()
+        self._add(np.arange(len(kept)), ids, counts)
+
+    def _room(self) -> None:
+        while len(self.index) > len(self.starts):
+            self.starts, self.counts, self.recurred = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.recurred))
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
         first = len(self.index) - len(new)
-        while len(self.index) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        self._room()
         is_plain = [bool(_WORD.match(p)) and (p[0] == " ") == self.keeps_space for p in new]
         plain = [i for i, x in enumerate(is_plain) if x]
         lots = [plain[i : i + 400] for i in range(0, len(plain), 400)]  # long inputs cost more a word
@@ -95,11 +111,15 @@ class CachedEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text. The pieces that are new in any of the texts are encoded together."""
         if len(self.index) > self.limit:
-            self._forget()
-        number = self.index.__getitem__
+            self._shrink()
+        number, known = self.index.__getitem__, len(self.index)
         at = [None if (p := self._pieces(t) if t else []) is None else np.fromiter(map(number, p), np.int64, len(p)) for t in texts]
         if self.index.new:
             self._learn()
+        for a in at:
+            if a is not None:
+                self.recurred[a] = True
+        self.recurred[known : len(self.index)] = False
         return [self._ids(a) if a is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for a, t in zip(at, texts, strict=True)]
 
     def _pieces(self, text: str) -> list[str] | None:

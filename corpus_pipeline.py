@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweft.llm import decontaminate, jaccard, langid, packing
-from skillweft.llm.common import small, workspace
+from skillweft.llm.common import small, staged, workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,25 +23,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest id. Rows with a null id are in no group and stay.
+    """One document of each near-duplicate group: the row with the smallest id. Texts without words are in no group and stay.
 
-    Only if ids repeat, rows of the kept ids are reduced to one for each group that has the id as its class.
+    Where ids are null or repeat, rows get numbers of their own in a written copy first; null ids come last in a group.
     """
-    found = jaccard.jaccard_join(docs, workspace(spark, "near"))
-    lost = small(found.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(lost, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = small(repeated)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    work = workspace(spark, "near")
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        found = jaccard.jaccard_join(docs, work)
+        return docs.join(small(staged(found.where("doc_id <> class_id").select("doc_id"), f"{work}/lost")), "doc_id", "left_anti").select(*docs.columns)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), f"{work}/rows")
+    found = staged(jaccard.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), work), f"{work}/found").select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(small(staged(first.select("_row"), f"{work}/first")), "_row", "left_semi").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any 10-word window of the benchmark."""
+    """Documents without any 10-word window of the benchmark. Rows are told apart by id and text, so null and repeated ids don't matter."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).where(F.size("spans") > 0)
-    return docs.join(small(found.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where(F.size("spans") > 0)
+    lost = staged(found.select(F.col("doc_id").alias("_row")).distinct(), f"{workspace(spark, 'clean')}/lost")
+    return docs.withColumn("_row", key).join(small(lost), "_row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,10 @@ def test_all_documents_are_packed(stages):
 def test_repeated_and_null_ids(spark, sf):
     rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (3, "other words are here too", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()) == [0, 0, 1, 3]
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()) == [0, 1, 3]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    odd = docs.unionByName(spark.createDataFrame([(None, item, "en", "s", 1), (3, f"x {item}", "en", "s", 1)], docs.schema))
+    assert sorted(map(tuple, corpus_pipeline.clean(spark, odd, sf).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each(spark, odd, sf).collect())[:3] == [0, 1, 3]
     assert corpus_pipeline.language(spark, docs.limit(0), sf).collect() == []
     assert corpus_pipeline.packed(spark, docs.limit(0), sf).collect() == []

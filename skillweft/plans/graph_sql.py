@@ -76,6 +76,7 @@ ORACLES = {
     "verified_pairs": _VEC + " SELECT x.id AS a, x.id + 1 AS b FROM v x LEFT JOIN v y ON y.id = x.id + 1 AND y.id < 300 WHERE x.id >= 300 OR y.id IS NULL OR list_cosine_similarity(x.e, y.e) >= 0.1",
     "hit_merge": "SELECT user_id AS code, max(value) AS score FROM events GROUP BY ALL ORDER BY score DESC, code LIMIT 10",
     "keyword_hits": "SELECT p_partkey AS code, CAST(CASE WHEN contains(lower(p_name), 'o') THEN 1.0 ELSE 0.5 END AS DOUBLE) AS score FROM part WHERE contains(lower(p_name), 'o') OR contains(lower(p_type), 'o')",
+    "rag_budget": "WITH RECURSIVE d AS (SELECT source, doc_id, CAST(length(text) % 997 AS DOUBLE) AS score, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS i FROM d WHERE tokens <= 2000), r(source, doc_id, score, tokens, i, used, n, kept) AS (SELECT source, doc_id, score, tokens, i, tokens, CAST(1 AS BIGINT), true FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.score, o.tokens, o.i, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.used + o.tokens ELSE r.used END, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.n + 1 ELSE r.n END, r.used + o.tokens <= 2000 AND r.n < 5 FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1) SELECT source, doc_id, score, tokens, CAST(n AS INT) AS rank FROM r WHERE kept",
     "seed_match": with_views("jd") + "s(o, seed, t) AS (VALUES (1, 'goods', 'goods'), (1, 'goods', 'nation_1'), (2, 'house', 'house'), (3, 'build', 'building/nation_10 and more')) SELECT position_name AS name, arg_min(seed, o) AS seed FROM (SELECT DISTINCT position_name FROM jd), s WHERE contains(lower(position_name), t) OR contains(t, lower(position_name)) GROUP BY ALL",
     "fulltext": f"WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'licensed')) AS f0, len(list_filter(t, lambda x: x = 'the')) AS f1 FROM d), n AS (SELECT count(*) AS n, avg(l) AS a, count_if(f0 > 0) AS d0, count_if(f1 > 0) AS d1 FROM c), s AS (SELECT doc_id, ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM c, n) SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0",
     "occupation_align": with_views("jd") + "p AS (SELECT DISTINCT position_name AS name FROM jd), t AS (SELECT n_nationkey AS code, lower(n_name) AS t FROM nation UNION ALL SELECT n_nationkey, 'x' || lower(n_name) FROM nation) SELECT name, min(code) AS code, CAST(1.0 AS DOUBLE) AS confidence FROM p JOIN t ON contains(lower(name), t) GROUP BY name",

@@ -4,7 +4,7 @@ A change is ``doc_id, source, lang, version, sign, tokens``: +1 adds a document,
 ``tokens``, which may be negative. A batch is aggregated once (combined before the shuffle, so a source with most of the rows is
 no group in one task) and its sums are written as one folder named by the batch. Totals are the sum over committed batches.
 A folder counts as committed when its ``_SUCCESS`` file is there: a batch that is sent again is not applied again, and a batch
-whose job was lost half-way leaves nothing that counts.
+whose job was lost half-way leaves nothing that counts. ``compact`` adds up many small batches to one base, which lists them.
 """
 
 from __future__ import annotations
@@ -38,12 +38,25 @@ class Rollup:
     def _name(batch_id: str) -> str:
         return "b-" + quote(batch_id, safe="")
 
-    def committed(self) -> list[str]:
-        """Folder names of committed batches."""
+    def _folders(self, prefix: str) -> list[str]:
         if not self._fs.exists(self._root):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
-        return sorted(n for n in names if n.startswith("b-") and self._fs.exists(self._at(f"{n}/_SUCCESS")))
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._root)]
+        return sorted(n for n in names if n.startswith(prefix))
+
+    def _whole(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"{name}/_SUCCESS"))
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base and the batches in it."""
+        bases = [n for n in self._folders("c-") if self._whole(f"{n}/sums") and self._whole(f"{n}/batches")]
+        if not bases:
+            return None, set()
+        return bases[-1], {r[0] for r in self.spark.read.schema("name string").parquet(f"{self.path}/batches/{bases[-1]}/batches").collect()}
+
+    def committed(self) -> list[str]:
+        """Folder names of committed batches."""
+        return sorted(self._base()[1] | {n for n in self._folders("b-") if self._whole(n)})
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; false if it was applied before. Rows with a null sign or count change nothing in that sum.
@@ -52,7 +65,7 @@ class Rollup:
         rename succeeds.
         """
         name = self._name(batch_id)
-        if self._fs.exists(self._at(f"{name}/_SUCCESS")):
+        if self._whole(name) or name in self._base()[1]:
             return False
         sums = changes.groupBy(*KEY).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("long").alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"))
         own = f"attempt-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
@@ -65,13 +78,41 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """``source, lang, version, docs, tokens`` over committed batches; groups in which nothing is left don't show."""
-        names = self.committed()
-        if not names:
+        rows = self._rows()[0]
+        if rows is None:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batches/{n}" for n in names])
         return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
+    def _rows(self) -> tuple[DataFrame | None, list[str]]:
+        """Sums of the base and of the batches that aren't in it, and the names of those."""
+        base, held = self._base()
+        new = [n for n in self._folders("b-") if n not in held and self._whole(n)]
+        paths = [f"{self.path}/batches/{x}" for x in ([f"{base}/sums"] if base else []) + new]
+        return (self.spark.read.schema(SCHEMA).parquet(*paths) if paths else None), new
+
+    def compact(self) -> bool:
+        """Add committed batches to a new base; false if there are none. A base counts once both its parts are whole.
+
+        Batches in the base are then removed; one that isn't yet counts once all the same, as the base lists it.
+        """
+        rows, new = self._rows()
+        base, held = self._base()
+        if rows is None or not new:
+            return False
+        number = 1 + (int(base[2:]) if base else 0)
+        own = f"attempt-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+        rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/batches/{own}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted(held | set(new))], "name string").write.parquet(f"{self.path}/batches/{own}/batches")
+        to = f"c-{number:09d}"
+        if self._fs.exists(self._at(to)) or not self._fs.rename(self._at(own), self._at(to)):
+            self._fs.delete(self._at(own), True)
+            return False
+        for n in new:
+            self._fs.delete(self._at(n), True)
+        return True
+
+
 def counted(documents: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, source, lang, tokens`` and the text's hash: the tokenizer's ids of each whole text (null: none)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))

@@ -255,6 +255,20 @@ def test_rollups(spark):
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == [("t", "de", "v1", 1, 7), (None, None, "v1", 1, 1)]
 
 
+def test_compaction_keeps_totals_and_idempotence(spark):
+    rollup = rollups.Rollup(spark, workspace(spark, "t"))
+    rows = spark.createDataFrame([("s", "en", 5), (None, "de", 2)], "source string, lang string, tokens long")
+    assert not rollup.compact()
+    for k in range(5):
+        assert rollup.commit(f"b{k}", rollups.changes(rows, "v", 1))
+        if k in (1, 2):
+            assert rollup.compact()
+        assert sorted(map(tuple, rollup.totals().collect()), key=str) == [("s", "en", "v", k + 1, 5 * (k + 1)), (None, "de", "v", k + 1, 2 * (k + 1))]
+        assert not any(rollup.commit(f"b{j}", rollups.changes(rows, "v", 1)) for j in range(k + 1))
+    assert len(rollup.committed()) == 5
+    assert len(rollup._folders("b-")) == 2
+
+
 def test_a_lost_batch_counts_nothing(spark):
     work = workspace(spark, "t")
     rollup = rollups.Rollup(spark, work)

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import contamination_truth, jaccard_truth
+from test_llm_operators import contamination_truth, jaccard_truth
 
 from skillweft.llm.common import workspace
 

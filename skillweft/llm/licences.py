@@ -1,12 +1,13 @@
 """Licence scans by patience alignment.
 
-A text is compared with each template where they share word trigrams. There, words unique to both the stretch of text and
-the template are anchors; their longest increasing subsequence is kept and the gaps between anchors are aligned in the same
-way. Coverage is the share of the template's words that were aligned.
+A text is compared with each template where they share word trigrams and a stretch holds enough of the template's words in
+order. There, words unique to both the stretch of text and the template are anchors; their longest increasing subsequence is
+kept and the gaps between anchors are aligned in the same way. Coverage is the share of the template's words that were aligned.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -85,20 +86,58 @@ class Scanner:
         self.least, self.names = least, sorted(templates)
         self.texts = [words(templates[n]) for n in self.names]
         self.ids = {w: i + 1 for i, w in enumerate(sorted({w for t in self.texts for w in t}))}
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.miss = [len(t) - max(1, math.ceil(least * len(t) - 1e-9)) for t in self.texts]
+        self.span = [len(t) + 3 * (2 + len(t) // 4) for t in self.texts]
+        self.held = [frozenset(self.ids[w] for w in t) for t in self.texts]
+        self.masks: list[dict[int, int]] = []
+        self.seeds: dict[tuple[int, ...], list[int]] = {}
         for t, ws in enumerate(self.texts):
+            bits: dict[int, int] = {}
+            for i, w in enumerate(ws):
+                bits[self.ids[w]] = bits.get(self.ids[w], 0) | 1 << i
+            self.masks.append(bits)
             n = min(3, len(ws))
             for i in range(len(ws) - n + 1 if n else 0):
-                self.seeds.setdefault(tuple(self.ids[w] for w in ws[i : i + n]), []).append((t, i))
+                self.seeds.setdefault(tuple(self.ids[w] for w in ws[i : i + n]), []).append(t)
         self.sizes = sorted({len(s) for s in self.seeds})
 
+    def stretches(self, t: int, codes: list[int], a: int, z: int) -> list[tuple[int, int, int]]:
+        """``(-common words, length, start)`` of stretches in ``codes[a:z]`` that share enough words in order with template ``t``.
+
+        From each word that can be the first, the longest common subsequence with the template grows word by word, as bits of
+        one integer; where it grows, a stretch ends.
+        """
+        bits, size = self.masks[t], len(self.texts[t])
+        full, need = (1 << size) - 1, size - self.miss[t]
+        first = {self.ids[w] for w in self.texts[t][: self.miss[t] + 1]}
+        places = [i for i in range(a, z) if codes[i] in bits]
+        out = []
+        for k, i in enumerate(places):
+            if codes[i] not in first:
+                continue
+            v, n = full, 0
+            for j in places[k:]:
+                if j - i >= self.span[t]:
+                    break
+                u = v & bits[codes[j]]
+                v = ((v + u) | (v - u)) & full
+                if (now := size - v.bit_count()) > n:
+                    n = now
+                    if n >= need:
+                        out.append((-n, j + 1 - i, i))
+                        if n == size:
+                            break
+        return out
+
     def scan(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
         """``(licence, first word, word after the last, coverage)`` of each place where a template is covered, in order.
 
-        Where several templates cover the same words, the one with the highest coverage and then the most words counts.
+        Of overlapping stretches of a template the one with the most words in common and then the shortest counts, so each of
+        several copies is found. Where several templates cover the same words, the one with the highest coverage and then
+        the most words counts.
         """
-        codes = np.fromiter((self.ids.get(w, 0) for w in ws), np.int32, len(ws))
-        known = codes > 0
+        row = np.fromiter((self.ids.get(w, 0) for w in ws), np.int32, len(ws))
+        known = row > 0
         at: dict[int, list[int]] = {}
         for n in self.sizes:
             if len(ws) < n:
@@ -107,30 +146,42 @@ class Scanner:
             for j in range(1, n):
                 run &= known[j : len(ws) - n + 1 + j]
             for i in np.flatnonzero(run).tolist():
-                for t, k in self.seeds.get(tuple(codes[i : i + n].tolist()), ()):
-                    at.setdefault(t, []).append(i - k)  # where the template would begin
-        out = []
-        for t, starts in at.items():
-            template, last = self.texts[t], -1
-            slack = 2 + len(template) // 4
-            starts.sort()
-            k = 0
-            while k < len(starts):
-                first = starts[k]
-                while k < len(starts) and starts[k] <= first + slack:
+                for t in self.seeds.get(tuple(row[i : i + n].tolist()), ()):
+                    at.setdefault(t, []).append(i)
+        if not at:
+            return []
+        codes = row.tolist()
+        held, out = set(codes), []
+        for t, places in at.items():
+            template, few = self.texts[t], len(self.held[t]) - self.miss[t]
+            if len(held & self.held[t]) < few:
+                continue
+            found, k = [], 0
+            places.sort()
+            while k < len(places):
+                a = max(0, places[k] - self.span[t] + 1)
+                z = places[k] + self.span[t]
+                while k < len(places) and places[k] - self.span[t] < z:
+                    z = places[k] + self.span[t]
                     k += 1
-                a, z = max(0, first - slack, last), min(len(ws), first + len(template) + 2 * slack)
-                pairs = align(ws, template, a, z)
+                if len(self.held[t].intersection(codes[a:z])) >= few:
+                    found += self.stretches(t, codes, a, min(z, len(codes)))
+            taken = bytearray(len(ws))
+            for _, n, i in sorted(found):
+                if taken.find(1, i, i + n) >= 0:
+                    continue
+                pairs = align(ws, template, i, i + n)
                 covered = len(pairs) / len(template)
-                if covered >= self.least:
-                    out.append((self.names[t], pairs[0][0], pairs[-1][0] + 1, covered, len(template)))
-                    last = pairs[-1][0] + 1
-                    while k < len(starts) and starts[k] < last:
-                        k += 1
+                if pairs and covered >= self.least:
+                    begin, end = pairs[0][0], pairs[-1][0] + 1
+                    taken[begin:end] = b"\1" * (end - begin)
+                    out.append((self.names[t], begin, end, covered, len(template)))
         # where templates overlap, the one that is covered best and has more words
         kept: list[tuple[str, int, int, float]] = []
+        taken = bytearray(len(ws))
         for *hit, _ in sorted(out, key=lambda x: (-x[3], -x[4], x[1], x[0])):
-            if all(hit[2] <= x[1] or x[2] <= hit[1] for x in kept):
+            if taken.find(1, hit[1], hit[2]) < 0:
+                taken[hit[1] : hit[2]] = b"\1" * (hit[2] - hit[1])
                 kept.append(tuple(hit))
         return sorted(kept, key=lambda x: x[1])
 
@@ -141,7 +192,8 @@ _TYPES = {"doc_id": pa.int64(), "licence": pa.string(), "start_word": pa.int64()
 def licence_scan(documents: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """A row ``doc_id, licence, start_word, end_word, coverage`` for each covered template in each whole text.
 
-    Words are those of ``common.words``. A template that occurs twice gives two rows. Null and empty texts give none; rows with
+    Words are those of ``common.words``. A template that occurs twice gives two rows. Words may be missing or inserted, up to a
+    stretch of ``n + 3 * (2 + n // 4)`` words for a template of ``n``. Null and empty texts give none; rows with
     null or repeated ids each give their own; other columns are ignored; templates without words are never found.
     """
     chosen = TEMPLATES if templates is None else templates

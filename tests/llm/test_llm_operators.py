@@ -137,6 +137,14 @@ def test_licences(spark):
     assert licences.licence_scan(frame(spark, [])).collect() == []
 
 
+def test_repeated_licences():
+    scan = lambda text: [(x[0], x[1], x[2]) for x in licences.Scanner(licences.TEMPLATES).scan(words(text))]
+    mit = "Released under the MIT License. "
+    assert scan("x y z " + 2 * mit + "q r s t u v w") == [("MIT", 3, 8), ("MIT", 8, 13)]
+    assert scan("some prose here\n" + 5 * "All rights reserved.\n") == [("all-rights-reserved", k, k + 3) for k in range(3, 18, 3)]
+    assert scan("Released under the MIT. " + mit) == [("MIT", 0, 4), ("MIT", 4, 9)]
+
+
 def test_licences_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = Counter(r.doc_id for r in licences.licence_scan(docs).collect())

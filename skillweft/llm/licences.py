@@ -1,8 +1,8 @@
 """Licence scans by patience alignment.
 
-A text is compared with each template where they share word trigrams and a stretch holds enough of the template's words in
-order. There, words unique to both the stretch of text and the template are anchors; their longest increasing subsequence is
-kept and the gaps between anchors are aligned in the same way. Coverage is the share of the template's words that were aligned.
+A text is compared with each template where a stretch of it holds enough of the template's words in order. There, words unique
+to both the stretch of text and the template are anchors; their longest increasing subsequence is kept and the gaps between
+anchors are aligned in the same way. Coverage is the share of the template's words that were aligned.
 """
 
 from __future__ import annotations
@@ -79,8 +79,16 @@ def align(a: list, b: list, a0: int = 0, a1: int | None = None, b0: int = 0, b1:
     return sorted(out)
 
 
+#: Words that most texts hold; others are sought first. Any choice finds the same places.
+COMMON = frozenset(words("a all an and any are as at be by copies copy do file following for form free from have if in is it may must not of on or other out own rights see source that the their this to under use with without work you your"))
+
+
 class Scanner:
-    """Templates prepared for scanning; ``least`` is the coverage that counts as found."""
+    """Templates prepared for scanning; ``least`` is the coverage that counts as found.
+
+    A stretch that covers ``least`` of a template lacks at most ``miss`` of its words, so it holds one of any ``miss + 1``
+    different ones. Texts are searched for these, and alignments are tried only around them.
+    """
 
     def __init__(self, templates: dict[str, str], least: float = 0.8) -> None:
         self.least, self.names = least, sorted(templates)
@@ -90,16 +98,16 @@ class Scanner:
         self.span = [len(t) + 3 * (2 + len(t) // 4) for t in self.texts]
         self.held = [frozenset(self.ids[w] for w in t) for t in self.texts]
         self.masks: list[dict[int, int]] = []
-        self.seeds: dict[tuple[int, ...], list[int]] = {}
+        self.seeds: dict[int, list[int]] = {}
         for t, ws in enumerate(self.texts):
             bits: dict[int, int] = {}
             for i, w in enumerate(ws):
                 bits[self.ids[w]] = bits.get(self.ids[w], 0) | 1 << i
             self.masks.append(bits)
-            n = min(3, len(ws))
-            for i in range(len(ws) - n + 1 if n else 0):
-                self.seeds.setdefault(tuple(self.ids[w] for w in ws[i : i + n]), []).append(t)
-        self.sizes = sorted({len(s) for s in self.seeds})
+            for w in sorted(set(ws), key=lambda w: (w in COMMON, -len(w), w))[: self.miss[t] + 1]:
+                self.seeds.setdefault(self.ids[w], []).append(t)
+        self.seeding = np.zeros(len(self.ids) + 1, bool)
+        self.seeding[list(self.seeds)] = True
 
     def stretches(self, t: int, codes: list[int], a: int, z: int) -> list[tuple[int, int, int]]:
         """``(-common words, length, start)`` of stretches in ``codes[a:z]`` that share enough words in order with template ``t``.
@@ -137,17 +145,10 @@ class Scanner:
         the most words counts.
         """
         row = np.fromiter((self.ids.get(w, 0) for w in ws), np.int32, len(ws))
-        known = row > 0
         at: dict[int, list[int]] = {}
-        for n in self.sizes:
-            if len(ws) < n:
-                continue
-            run = known[: len(ws) - n + 1].copy()
-            for j in range(1, n):
-                run &= known[j : len(ws) - n + 1 + j]
-            for i in np.flatnonzero(run).tolist():
-                for t in self.seeds.get(tuple(row[i : i + n].tolist()), ()):
-                    at.setdefault(t, []).append(i)
+        for i in np.flatnonzero(self.seeding[row]).tolist():
+            for t in self.seeds[int(row[i])]:
+                at.setdefault(t, []).append(i)
         if not at:
             return []
         codes = row.tolist()
@@ -157,7 +158,6 @@ class Scanner:
             if len(held & self.held[t]) < few:
                 continue
             found, k = [], 0
-            places.sort()
             while k < len(places):
                 a = max(0, places[k] - self.span[t] + 1)
                 z = places[k] + self.span[t]

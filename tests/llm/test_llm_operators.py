@@ -145,6 +145,24 @@ def test_repeated_licences():
     assert scan("Released under the MIT. " + mit) == [("MIT", 0, 4), ("MIT", 4, 9)]
 
 
+def test_covered_licences_without_a_trigram():
+    scan = lambda text: licences.Scanner(licences.TEMPLATES).scan(words(text))
+    assert scan("x Released under MIT License y") == [("MIT", 1, 5, 0.8)]
+    assert scan("x All rights are reserved y") == [("all-rights-reserved", 1, 5, 1.0)]
+    assert scan("Released under License") == scan("reserved rights all") == scan("the license under which it is released") == []
+    # a stretch that covers enough is found, wherever words are left out or put in
+    rng = np.random.default_rng(5)
+    for name, text in licences.TEMPLATES.items():
+        ws = words(text)
+        for _ in range(30):
+            gone = set(rng.choice(len(ws), len(ws) // 5, replace=False).tolist())
+            cut = [w for i, w in enumerate(ws) if i not in gone]
+            for at in sorted(rng.integers(1, len(cut), 2 + len(ws) // 4).tolist(), reverse=True):
+                cut.insert(at, b"zzz")
+            only = licences.Scanner({name: text}).scan([b"q"] * 3 + cut + [b"q"] * 3)
+            assert [(x[0], x[1], x[2]) for x in only] == [(name, 3, 3 + len(cut))]
+
+
 def test_licences_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = Counter(r.doc_id for r in licences.licence_scan(docs).collect())

@@ -311,13 +311,17 @@ _SHAPE = {"host": pa.string(), "shape": pa.int64(), "tree": pa.string(), "page":
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each page; a task gives the tree with the first page of a shape only."""
+    seen: set[tuple[str, int]] = set()
     for b in batches:
         rows = []
         for name, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             root = parse(source)
             tree, texts = fold(root)
             shape = json.dumps(tree, separators=(",", ":"))
-            rows.append((name, digest(shape), shape, digest(extract(source)), [{"slot": k, "text": digest(s)} for k, v in texts.items() for s in v]))
+            key = (name, digest(shape))
+            rows.append((*key, None if key in seen else shape, digest(extract(source)), [{"slot": k, "text": x} for k, v in texts.items() for x in sorted(map(digest, v))]))
+            seen.add(key)
         if rows:
             yield batch(dict(zip(_SHAPE, map(list, zip(*rows, strict=True)), strict=True)), _SHAPE)
 
@@ -344,17 +348,19 @@ def templates(pages: DataFrame, work: str, share: float = 0.6, least: int = 5, s
 
     A text is constant in a wrapper node if at least ``share`` of the host's different pages that have the node have that text
     there, and at least ``least`` of them. Pages with the same main text count as one, so copies of an article don't make it a
-    template. The trees of a host are merged in ``salts`` parts first and those then, so a host with most of the pages is no
+    template; the shapes of all of them are aligned, so that a constant text is found on every copy. The trees of a host are merged in ``salts`` parts first and those then, so a host with most of the pages is no
     group in one task; what is merged are its different trees.
     """
     held = pages.select("host", "html").where("html is not null and html <> ''")
-    shapes = staged(arrow_map(held, _shapes, "host string, shape long, tree string, page long, slots array<struct<slot:int,text:long>>").dropDuplicates(["host", "page"]), f"{work}/shapes")
-    trees = staged(shapes.groupBy("host", "shape").agg(F.first("tree").alias("tree"), F.count("*").alias("pages")), f"{work}/trees")
+    every = staged(arrow_map(held, _shapes, "host string, shape long, tree string, page long, slots array<struct<slot:int,text:long>>"), f"{work}/shapes")
+    counted = every.groupBy("host", "page").agg(F.min(F.struct("shape", "slots")).alias("p")).select("host", "p.shape", F.lit(None).cast("string").alias("tree"), "p.slots", F.lit(1).alias("counted"))
+    shapes = every.select("host", "shape", "tree", "slots", F.lit(0).alias("counted")).unionByName(counted)
+    trees = staged(shapes.groupBy("host", "shape").agg(F.first("tree", ignorenulls=True).alias("tree"), F.sum("counted").alias("pages")), f"{work}/trees")
     part = trees.withColumn("run", F.xxhash64("host", F.pmod("shape", F.lit(salts)))).select("host", "tree", "run")
     part = arrow_map(part.repartition("run").sortWithinPartitions("run"), _wrappers, "host string, tree string").withColumn("run", F.xxhash64("host"))
     whole = arrow_map(part.repartition("run").sortWithinPartitions("run"), _wrappers, "host string, tree string").withColumnRenamed("tree", "wrapper")
     aligned = staged(arrow_map(trees.join(whole, "host").select("host", "shape", "tree", "wrapper"), _aligned, "host string, shape long, nodes array<int>"), f"{work}/aligned")
-    counts = shapes.select("host", "shape", F.explode("slots").alias("s")).groupBy("host", "shape", F.col("s.slot").alias("slot"), F.col("s.text").alias("text")).agg(F.count("*").alias("n"))
+    counts = shapes.select("host", "shape", "counted", F.explode("slots").alias("s")).groupBy("host", "shape", F.col("s.slot").alias("slot"), F.col("s.text").alias("text")).agg(F.sum("counted").alias("n"))
     placed = counts.join(aligned, ["host", "shape"]).withColumn("node", F.get("nodes", "slot")).drop("nodes")
     has = aligned.join(trees.select("host", "shape", "pages"), ["host", "shape"]).select("host", "pages", F.explode("nodes").alias("node")).where("node >= 0").groupBy("host", "node").agg(F.sum("pages").alias("pages"))
     constant = placed.where("node >= 0").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.collect_set(F.struct("shape", "slot")).alias("where")).where(F.col("n") >= least)

@@ -432,6 +432,14 @@ def test_constant_texts_become_template(spark):
     assert html_.main_text(df.limit(0), workspace(spark, "t")).collect() == []
 
 
+def test_copies_of_other_shapes_lose_their_template(spark):
+    page = lambda i, extra="": f"<html><body>{extra}<div><p>Share this page</p><p>Story {i} of the day</p></div></body></html>"
+    extras = ["", "<aside>a</aside>", "<nav>n</nav>", "<aside><ul><li>a</li></ul></aside>", "<aside>a</aside><nav>n</nav>"]
+    rows = [(10 * i + k, f"http://h.example/{i}/{k}", page(i, x)) for i in range(8) for k, x in enumerate(extras if i < 2 else extras[:1])]
+    got = html_.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), workspace(spark, "t")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: f"Story {r[0] // 10} of the day" for r in rows}
+
+
 def test_pages(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op8_main_text(spark, sf).collect():

@@ -39,46 +39,82 @@ CLOSES = {
 SCOPES = frozenset("ul ol dl table body html article main section div td th blockquote nav aside form header footer".split())
 #: Words of a class, id or role that say what an element is for.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments reply replies disqus respond footer masthead toolbar search searchbox paywall skip dialog contentinfo complementary disclaimer".split())
+#: Of these, words that inside an article name what is never part of it; others may be its sections, and the wrapper decides.
+NEVER_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies gdpr newsletter signup nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar sidebars comments disqus masthead paywall contentinfo".split())
+#: Of these, words of elements that list other articles than the page's own.
+LISTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion widget widgets related recommended recommendations comment comments reply replies disqus respond".split())
+#: Classes of an element's state or layout say what it has, not what it is.
+_STATE = re.compile(r"(?:has|no|with|without)[-_]")
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MARKED = frozenset({"article", "main"})
+#: Why an element is left out: by its name, by the name of a list, or by its tag or as hidden.
+BY_NAME, BY_LIST, ALWAYS = 1, 2, 3
 
 #: A quoted value may hold ``>``; one that isn't closed within 4000 characters is no quote, so the scan stays linear.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[a-zA-Z/](?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>|[a-zA-Z/][^>]*>|[!?][^>]*>)", re.S)
 #: Elements that are nested deeper count as part of the one at this depth.
 DEPTH = 120
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z]+")
 
 
 class Node:
     """An element with its children; text stands among them as strings."""
 
-    __slots__ = ("children", "label", "kind", "skip", "tag")
+    __slots__ = ("children", "label", "kind", "skip", "tag", "inside")
 
-    def __init__(self, tag: str, label: str, skip: bool) -> None:
-        self.tag, self.label, self.skip, self.children, self.kind = tag, label, skip, [], -1
+    def __init__(self, tag: str, label: str, skip: int, inside: bool = False) -> None:
+        self.tag, self.label, self.skip, self.inside, self.children, self.kind = tag, label, skip, inside, [], -1
 
 
-def _element(tag: str, source: str) -> Node:
-    skip, label = tag in DROPPED, tag
+def _element(tag: str, source: str, inside: bool = False) -> Node:
+    """``inside``: it stands in an article."""
+    skip, label = ALWAYS if tag in DROPPED else 0, tag
     if " " in source or "\n" in source or "\t" in source:
         for m in _ATTRIBUTE.finditer(source, len(tag) + 1):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role"):
                 if name != "id":
                     label += "." + " ".join(value.lower().split())
-                if tag not in ("html", "body", "article", "main") and not NOT_CONTENT.isdisjoint(_PART.findall(value.lower())):
-                    skip = True
+                if tag not in ("html", "body", "article", "main") and not (name == "id" and (tag in NAMED or inside and value.lower() not in NEVER_ARTICLE)):
+                    found = {w for x in value.lower().split() if not _STATE.match(x) for w in _PART.findall(x)}
+                    if not found.isdisjoint(NEVER_ARTICLE if inside else NOT_CONTENT):
+                        skip = max(skip, BY_NAME if found.isdisjoint(LISTS) else BY_LIST)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                skip = True
+                skip = ALWAYS
             elif name == "itemprop" and value.lower() == "articlebody":
                 label += "@articlebody"
-    return Node(tag, label, skip)
+    return Node(tag, label, skip, inside or tag == "article" or "@articlebody" in label)
+
+
+def revive(root: Node, most: int) -> bool:
+    """Keep elements that would be left out for a name (``most`` at most), but hold an article and no other is kept; or else ``main``."""
+    found: dict[bool, list[tuple[Node, ...]]] = {True: [], False: []}
+    stack: list[tuple[Node, tuple[Node, ...]]] = [(root, ())]
+    while stack:
+        node, above = stack.pop()
+        if node.skip > most:
+            continue
+        if node.skip:
+            above = (*above, node)
+        if node.tag in MARKED or "@articlebody" in node.label:
+            found[node.tag != "main"].append(above)
+            if node.tag != "main":
+                continue
+        stack += [(c, above) for c in node.children if isinstance(c, Node)]
+    held = found[True] or found[False]
+    if not held or () in held:
+        return False
+    for above in held:
+        for node in above:
+            node.skip = 0
+    return True
 
 
 def parse(source: str) -> Node:
     """The element tree of a page, however badly it is closed."""
-    root = Node("#", "#", False)
+    root = Node("#", "#", 0)
     stack, at, n = [root], 0, len(source)
     flat: dict[str, int] = {}  # open elements that were too deep
     while at < n:
@@ -106,7 +142,7 @@ def parse(source: str) -> Node:
                     break
             else:
                 if tag in ("br", "p"):
-                    stack[-1].children.append(Node(tag, tag, False))
+                    stack[-1].children.append(Node(tag, tag, 0, stack[-1].inside))
             continue
         if tag not in INLINE and tag not in VOID or tag == "hr":
             ends = CLOSES.get(tag, CLOSES["p"])
@@ -118,7 +154,7 @@ def parse(source: str) -> Node:
                     break
                 if stack[k].tag in SCOPES:
                     break
-        node = _element(tag, token)
+        node = _element(tag, token, stack[-1].inside)
         stack[-1].children.append(node)
         if tag in VOID or token.endswith("/>"):
             continue
@@ -133,6 +169,7 @@ def parse(source: str) -> Node:
             flat[tag] = flat.get(tag, 0) + 1
             continue
         stack.append(node)
+    revive(root, BY_NAME)
     return root
 
 
@@ -304,7 +341,12 @@ def extract(source: str | None, template: dict[int, set[int]] | None = None) ->
 
     for region in regions(root):
         block(region, region is not root)
-    return " ".join("".join(out).split())
+    text = " ".join("".join(out).split())
+    if not text and revive(root, BY_LIST):  # a page of nothing else
+        for region in regions(root):
+            block(region, True)
+        text = " ".join("".join(out).split())
+    return text
 
 
 _SHAPE = {"host": pa.string(), "shape": pa.int64(), "tree": pa.string(), "page": pa.int64(), "slots": pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.int64())]))}

@@ -403,6 +403,20 @@ def test_extract():
     assert e('<a title="x>y" class=q>z</a><p data-x="<p>">w') == "z w"
 
 
+def test_names_that_do_not_say_what_an_element_is_for():
+    e = html_.extract
+    for name in ("content has-sidebar", "no-sidebar", "layout sidebar-right", "related"):
+        assert e(PAGE.format(f"<div class='{name}'><article><p>one</p></article></div>")) == "one"
+    assert e("<main><h1>t</h1><div class='sidebar-layout'><article>one</article></div></main>") == "one"
+    assert e("<article>one</article><div class=sidebar><article>two</article></div>") == "one"
+    assert e("<div>one</div><div class=related><article>two</article></div>") == "one"
+    assert e("<div style='display:none' class=nav><article>two</article></div>") == ""
+    inside = "<h2 id='search-results'>a</h2><section id='related-work'><p class='notice'>b</p></section><div data-id='menu' data-class=ad>c</div><h3 id=share>d</h3>"
+    assert e(f"<article>{inside}<div class=ad>x</div><div class=comments>x</div><div id=comments>x</div></article>") == "a b c d"
+    assert e("<h2 id=login-notice>a</h2><p data-role='menu'>b</p><p title='x class=ad'>c</p>") == "a b c"
+    assert e("<div itemprop=articleBody><p class=alert>a</p></div>") == "a"
+
+
 def test_tree_matching():
     t = ("a", (("b", ()), ("c", (("d", ()),)), ("b", ())))
     u = ("a", (("c", (("d", ()), ("e", ()))), ("b", ())))

@@ -88,11 +88,29 @@ def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], quot
     return held.orderBy(first, *order).limit(total).drop("_k")
 
 
+def _strangers(candidates: DataFrame, positions: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """For each position the next ``k`` candidates (``candidate, position_name``) that it doesn't meet, in a ring by hash.
+
+    A position's ring begins at a place of its own; ``d`` is the distance from there.
+    """
+    ring = running_sum(candidates.select("candidate", F.struct(F.xxhash64("candidate").alias("h"), F.col("candidate").alias("c")).alias("v")), "v", F.lit(1), "s").select("candidate", (F.col("s") - 1).alias("at"))
+    size = candidates.agg(F.count("*").alias("n"))
+    begin = positions.join(F.broadcast(size), how="cross").where("n > 0").withColumn("begin", F.pmod(F.xxhash64("position_name"), F.col("n")))
+    places = met.join(ring, "candidate").join(begin, "position_name").select("position_name", "n", "begin", F.pmod(F.col("at") - F.col("begin"), F.col("n")).alias("d"))
+    places = places.unionByName(begin.withColumn("d", F.col("n")))  # the end of the ring
+    w = Window.partitionBy("position_name").orderBy("d")
+    gaps = places.withColumn("i", F.row_number().over(w) - 1).withColumn("from", F.coalesce(F.lag("d").over(w), F.lit(-1)) + 1)
+    last = F.least(F.col("d"), F.col("i") + k) - 1  # before a place ``x`` in the gap, ``x - i`` strangers stand
+    free = gaps.where(F.col("from") <= last).select("position_name", F.explode(F.sequence("from", last)).alias("d"), "begin", "n")
+    return free.withColumn("at", F.pmod(F.col("begin") + F.col("d"), F.col("n"))).join(ring, "at").select("candidate", "position_name")
+
+
 def labelled_pairs(candidates: DataFrame, positions: DataFrame, share: float = 0.6, most: int = 1) -> DataFrame:
     """Pairs of skill arrays as positives (``share`` of the position's skills are common) and negatives (``most`` at most).
 
-    Drawn alike every time: by the hash of the pair. Positives meet by a common skill; negatives are each position's
-    candidates of the next hash.
+    Drawn alike every time: ten of each label by the hash of the pair. Positives meet by a common skill, and so do negatives with
+    few of them. Of those without a common skill a position has the next ten in the ring of all candidates, which stand in the
+    gaps between the ones that it meets; so pairs that share nothing are never listed.
     """
     common = F.size(F.array_intersect("have", "want"))
     p = positions.select("position_name", F.col("skills").alias("want"))
@@ -100,8 +118,9 @@ def labelled_pairs(candidates: DataFrame, positions: DataFrame, share: float = 0
     by_skill = c.select("candidate", "have", F.explode("have").alias("s")).join(p.select("position_name", "want", F.explode("want").alias("s")), "s").drop("s").distinct()
     yes = by_skill.where(common >= F.size("want") * share).select("candidate", "position_name", F.lit(1).alias("label"))
     few = by_skill.where(common <= most).select("candidate", "position_name", F.lit(0).alias("label"))
-    w = Window.partitionBy("position_name", "label").orderBy(F.xxhash64("candidate", "position_name"))
-    return yes.unionByName(few).withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+    none = _strangers(c.select("candidate"), p.select("position_name"), by_skill.select("candidate", "position_name"), 10).withColumn("label", F.lit(0))
+    w = Window.partitionBy("position_name", "label").orderBy(F.xxhash64("candidate", "position_name"), "candidate")
+    return yes.unionByName(few).unionByName(none).withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
 
 
 def weights_of(config: dict[str, object], defaults: dict[str, float]) -> dict[str, float]:

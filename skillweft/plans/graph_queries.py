@@ -371,7 +371,7 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """T7."""
     c = _candidates(spark, sf).groupBy("candidate").agg(F.collect_set("skill").alias("skills"))
-    p = _positions(spark, sf).where("source_count % 3 = 0").groupBy("position_name").agg(F.collect_set("skill").alias("skills"))
+    p = _positions(spark, sf).groupBy("position_name").agg(F.collect_set("skill").alias("skills"))
     return evaluation.labelled_pairs(c, p)
 
 

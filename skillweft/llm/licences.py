@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skillweft.llm.common import arrow_map, batch, words
 
-# Short notices by which works name their licence.
+# Short notices by which works name their licence; no full texts. BSD-2 has the opening of BSD-3-Clause too.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',

@@ -23,7 +23,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place in every document where a licence notice is covered to 0.8 or more."""
+    """Every place in every document where one of the eleven short notices of ``licences.TEMPLATES`` is covered to 0.8 or more.
+
+    Other licences and full texts (GPL-2, LGPL, AGPL, the GPL header, ISC, Unlicense, CC0, EPL, BSD-2) are not among them.
+    """
     return licences.licence_scan(_read(spark, sf_dir, "documents"))
 
 

@@ -163,6 +163,11 @@ def test_covered_licences_without_a_trigram():
             assert [(x[0], x[1], x[2]) for x in only] == [(name, 3, 3 + len(cut))]
 
 
+def test_docstring_names_the_set_of_notices():
+    assert len(licences.TEMPLATES) == 11
+    assert "eleven short notices" in queries.op2_licence_scan.__doc__
+
+
 def test_licences_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = Counter(r.doc_id for r in licences.licence_scan(docs).collect())

@@ -105,10 +105,19 @@ def first_fit_clusters(names: list[str], vectors: dict[str, list[float]], least:
     import numpy as np
 
     unit = {n: np.array(vectors[n], float) / (np.linalg.norm(vectors[n]) or 1.0) for n in names if n in vectors}
+    rows = {len(u): np.empty((sum(len(x) == len(u) for x in unit.values()), len(u))) for u in {len(u): u for u in unit.values()}.values()}
+    homes: dict[int, list[int]] = {size: [] for size in rows}  # the cluster of each row so far
     out: list[list[str]] = []
     for n in names:
-        home = next((c for c in out if n in unit and any(m in unit and float(unit[n] @ unit[m]) >= least for m in c)), None)
-        out.append([n]) if home is None else home.append(n)
+        if n not in unit:
+            out.append([n])
+            continue
+        m, held = rows[len(unit[n])], homes[len(unit[n])]
+        near = np.flatnonzero(m[: len(held)] @ unit[n] >= least)
+        home = min((held[i] for i in near.tolist()), default=len(out))
+        out.append([n]) if home == len(out) else out[home].append(n)
+        m[len(held)] = unit[n]
+        held.append(home)
     return out
 
 
@@ -128,7 +137,7 @@ def normalize_clusters(names: DataFrame, vectors: DataFrame, least: float = 0.75
 
         rows = []
         for c in first_fit_clusters(list(pdf["name"]), held, least):
-            top = max(c, key=lambda n: (count[n], -c.index(n)))
+            top = max(c, key=lambda n: count[n])  # the first on ties
             cos = lambda a, b: float(np.dot(held[a], held[b]) / ((np.linalg.norm(held[a]) * np.linalg.norm(held[b])) or 1.0)) if a in held and b in held else 1.0 * (a == b)
             trust = sum(cos(n, top) for n in c) / len(c)
             rows += [(n, top, round(trust, 4)) for n in c]

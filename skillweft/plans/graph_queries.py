@@ -376,8 +376,8 @@ def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """A vocabulary of hundred vectors."""
-    v = _vectors(spark, sf).where("id < 100").select(F.col("id").cast("string").alias("name"), "vector")
+    """All vectors are the vocabulary."""
+    v = _vectors(spark, sf).select(F.col("id").cast("string").alias("name"), "vector")
     return similarity.normalize_clusters(v.select("name", F.col("name").cast("long").alias("seq"), F.lit(1).alias("cnt")), v, 0.3)
 
 

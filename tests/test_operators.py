@@ -94,6 +94,22 @@ def test_labelled_pairs_draw_strangers(spark):
     assert len({r.candidate for r in s if r.position_name == "t"}) == 10
 
 
+def test_clusters_take_all_vectors(spark, sf):
+    import random
+
+    from skillweft.plans import graph_queries
+
+    rng = random.Random(4)
+    vectors = {str(i): [rng.gauss(0, 1) for _ in range(3 + i % 2)] for i in range(60)}
+    names, cos = [*vectors, "none"], lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want: list[list[str]] = []
+    for n in names:
+        home = next((c for c in want if any(n in vectors and m in vectors and len(vectors[n]) == len(vectors[m]) and cos(vectors[n], vectors[m]) >= 0.9 for m in c)), None)
+        want.append([n]) if home is None else home.append(n)
+    assert similarity.first_fit_clusters(names, vectors, 0.9) == want
+    assert graph_queries.normalize_clusters(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 100
+
+
 def test_quality_operators(spark):
     empty = spark.createDataFrame([], "fingerprint string")
     assert rows(quality.dedup_stats(empty)) == [(0, 0, 0, 0.0)]

@@ -3,7 +3,9 @@
 Vectors of length 1 are rotated and split into ``BLOCKS`` blocks. If two of them are within a squared distance of 2 - 2 cos, some
 block has at most its proportional share of it, so it is enough to find, in each block, the pairs within that budget. A range join
 does so on a grid over the block's first coordinates: a vector is at home in its cell and a guest in the later cells that
-the budget reaches. Candidates within the budget are verified exactly; a pair counts in the block where it is closest.
+the budget reaches. The cells are compared in tiles of two bounded chunks that hold the block's coordinates only, as whole
+steps of a byte; rounding widens the budget, so no pair is lost. Vectors are fetched for rows with a candidate, which are verified
+exactly; a pair counts in the block where it is closest.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweft.llm.common import arrow_map, batch, small, staged
+from skillweft.llm.common import arrow_map, batch, runs, small, staged
 from skillweft.llm.units import Links, grouped, verified
 
-BLOCKS, GRID = 4, 2
-#: Vectors at home in a unit.
-CHUNK = 8192
+BLOCKS = 4
+#: Rows of a chunk; a unit compares two.
+CHUNK = 16384
+TILE = 512
+#: Byte steps for a distance of 1: coordinates of a block lie within 1.
+STEPS = 127
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -44,7 +49,12 @@ def budgets(dim: int, cosine: float) -> np.ndarray:
     return np.array([(2 - 2 * cosine) * (s.stop - s.start) / dim for s in blocks(dim)]) + 1e-6
 
 
-_CELL = {"node": pa.int64(), "weight": pa.int64(), "dim": pa.int32(), "vector": pa.binary(), "block": pa.int32(), "cell": pa.int64(), "home": pa.bool_()}
+def coordinates(rows: int) -> int:
+    """Grid coordinates of a block: with each, cells hold about half the pairs and rows have three times the guests."""
+    return min(4, 1 + max(0, round(np.log(max(rows, 1) / 100_000) / np.log(8))))
+
+
+_CELL = {"node": pa.int64(), "dim": pa.int32(), "block": pa.int32(), "cell": pa.int64(), "home": pa.bool_(), "at": pa.binary()}
 
 
 def _cell(c: np.ndarray) -> np.ndarray:
@@ -64,44 +74,81 @@ def _cells(kind: str, cosine: float, grid: int):
                 dims = np.array([len(v) for v in raw])
                 for dim in np.unique(dims).tolist():
                     rows = np.flatnonzero(dims == dim)
-                    x = np.array([raw[i] for i in rows], kind)
-                    z = rotated(x.astype(float))
-                    node, weight = part.column("node").to_numpy()[rows], part.column("weight").to_numpy()[rows]
-                    data = [v.tobytes() for v in x]
+                    z = rotated(np.array([raw[i] for i in rows], kind).astype(float))
+                    node = part.column("node").to_numpy()[rows]
                     for k, (s, budget) in enumerate(zip(blocks(dim), budgets(dim, cosine), strict=True)):
-                        side = float(np.sqrt(budget)) + 1e-6
-                        c = np.floor(z[:, s][:, :grid] / side).astype(np.int64)
-                        own = _cell(c)
+                        reach = float(np.sqrt(budget)) + 1e-6
+                        steps = np.round(z[:, s] * STEPS).astype(np.int8)
+                        data = [v.tobytes() for v in steps]
+                        c = np.floor(z[:, s][:, :grid] / reach).astype(np.int64)
                         for move in itertools.product((-1, 0, 1), repeat=c.shape[1]):
                             if move < (0,) * len(move):
                                 continue  # guests go to later cells only, so a pair meets once
-                            sel = np.arange(len(rows))
-                            cell = own if not any(move) else _cell(c + np.array(move))
-                            yield batch({"node": node[sel], "weight": weight[sel], "dim": np.full(len(sel), dim, np.int32), "vector": [data[i] for i in sel], "block": np.full(len(sel), k, np.int32), "cell": cell[sel], "home": np.full(len(sel), not any(move))}, _CELL)
+                            yield batch({"node": node, "dim": np.full(len(rows), dim, np.int32), "block": np.full(len(rows), k, np.int32), "cell": _cell(c + np.array(move)), "home": np.full(len(rows), not any(move)), "at": data}, _CELL)
+
+    return run
+
+
+def near_rows(first: np.ndarray, second: np.ndarray, budget: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two chunks have a row of the other within the budget, up to the rounding to steps."""
+    reach = (np.sqrt(budget) + np.sqrt(first.shape[1]) / STEPS) ** 2 * STEPS * STEPS * (1 + 1e-5) + 1
+    a, b = first.astype(np.float32), second.astype(np.float32)
+    # one product gives the squared distance: |a|^2 + |b|^2 - 2 a b
+    a = np.hstack([-2 * a, (a * a).sum(1, keepdims=True), np.ones((len(a), 1), np.float32)])
+    b = np.hstack([b, np.ones((len(b), 1), np.float32), (b * b).sum(1, keepdims=True)])
+    hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    buffer = np.empty(TILE * TILE, np.float32)  # tiles of this size stay in a core's cache
+    for i in range(0, len(a), TILE):
+        for j in range(i if same else 0, len(b), TILE):
+            x, y = a[i : i + TILE], b[j : j + TILE]
+            d = np.matmul(x, y.T, out=buffer[: len(x) * len(y)].reshape(len(x), len(y)))
+            if same and i == j:
+                np.fill_diagonal(d, np.inf)  # not with itself
+            rows = np.flatnonzero(d.min(1) <= reach)
+            if len(rows):
+                hit_a[i + rows] = True
+                hit_b[j : j + TILE] |= (d[rows] <= reach).any(0)
+    return (hit_a | hit_b, hit_a | hit_b) if same else (hit_a, hit_b)
+
+
+def _candidates(cosine: float):
+    """``node, unit`` and its keys for rows that have a candidate in their unit."""
+    types = {"node": pa.int64(), "unit": pa.int64(), "block": pa.int32(), "side": pa.int32(), "low": pa.int32(), "high": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in runs(batches, "unit"):
+            dim, block, low, high = (unit.column(c)[0].as_py() for c in ("dim", "block", "low", "high"))
+            side, at = unit.column("side").to_numpy(), unit.column("at").combine_chunks()
+            x = np.frombuffer(b"".join(at.to_pylist()), np.int8).reshape(len(side), -1)
+            one, two = np.flatnonzero(side == low), np.flatnonzero(side == high)
+            if not len(one) or not len(two):
+                continue
+            a, b = near_rows(x[one], x[two], float(budgets(dim, cosine)[block]), low == high)
+            hit = one[a] if low == high else np.concatenate([one[a], two[b]])
+            if len(hit):
+                yield batch({"node": unit.column("node").to_numpy()[hit], "unit": np.full(len(hit), unit.column("unit")[0].as_py()), "block": np.full(len(hit), block, np.int32), "side": side[hit], "low": np.full(len(hit), low, np.int32), "high": np.full(len(hit), high, np.int32)}, types)
 
     return run
 
 
 def _compare(kind: str, cosine: float):
     def compare(unit: pa.Table) -> Links | None:
-        home = unit.column("home").to_numpy()
-        order = np.argsort(~home, kind="stable")
-        n = int(home.sum())
-        if not n:
-            return None
-        table = unit.take(order)
-        x = np.stack([np.frombuffer(v.as_buffer(), kind) for v in table.column("vector").combine_chunks()]).astype(float)
+        table = unit.sort_by([("side", "ascending"), ("node", "ascending")])
+        low, high, block = (table.column(c)[0].as_py() for c in ("low", "high", "block"))
+        side = table.column("side").to_numpy()
+        values = table.column("vector").combine_chunks()
+        x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
         norm, z = np.linalg.norm(x, axis=1), rotated(x)
-        dim, k = x.shape[1], table.column("block")[0].as_py()
-        budget, parts = budgets(dim, cosine)[k], blocks(dim)
-        y = z[:, parts[k]].astype(np.float32)
+        budget, parts = budgets(x.shape[1], cosine)[block], blocks(x.shape[1])
+        y = z[:, parts[block]].astype(np.float32)
         square = (y.astype(float) ** 2).sum(1).astype(np.float32)
         out = Links(table.column("node").to_numpy(), table.column("weight").to_numpy())
-        for a in range(0, n, 2048):
-            end = min(a + 2048, n)
-            for b in range(a, len(y), 4096):
+        end, start = (len(y), 0) if low == high else (int((side == low).sum()),) * 2
+        for a in range(0, end, 2048):
+            to_a = min(a + 2048, end)
+            for b in range(a if low == high else start, len(y), 4096):
                 to = min(b + 4096, len(y))
-                close = square[a:end, None] + square[b:to] - 2 * (y[a:end] @ y[b:to].T) <= np.float32(budget + 1e-5)
+                close = square[a:to_a, None] + square[b:to] - 2 * (y[a:to_a] @ y[b:to].T) <= np.float32(budget + 1e-5)
                 i, j = np.nonzero(close)
                 i, j = i + a, j + b
                 keep = i < j
@@ -113,20 +160,36 @@ def _compare(kind: str, cosine: float):
                     if len(p):
                         d = (z[p] - z[q]) ** 2
                         share = np.stack([d[:, s].sum(1) / (s.stop - s.start) for s in parts])
-                        mine = np.round(share * 1e9).argmin(0) == k
+                        mine = np.round(share * 1e9).argmin(0) == block
                         out.add(p[mine], q[mine])
         return out
 
     return compare
 
 
-def near_vectors(embeddings: DataFrame, work: str, cosine: float = 0.95, grid: int = GRID, chunk: int = CHUNK) -> DataFrame:
+def units(cells: DataFrame, counts: DataFrame, chunk: int) -> DataFrame:
+    """Rows of cells dealt to units of two chunks of about ``chunk`` rows: adds ``unit``, ``side`` (the row's chunk), ``low``, ``high``.
+
+    The chunks of a cell are those of its home rows, from 0 on, and then those of its guests. Home chunks meet each
+    other and themselves, and the guests' chunks: a home row stands in as many units as there are chunks, a guest in as
+    many as there are home chunks. ``counts``: ``dim, block, cell, homes, guests``.
+    """
+    sizes = counts.where("homes > 0").select("dim", "block", "cell", F.ceil(F.col("homes") / chunk).cast("int").alias("h"), F.ceil(F.col("guests") / chunk).cast("int").alias("g"))
+    mine = F.pmod(F.xxhash64("node", F.lit("chunk")), F.when(F.col("home"), F.col("h")).otherwise(F.col("g")).cast("long")).cast("int")
+    side = F.when(F.col("home"), mine).otherwise(F.col("h") + mine)
+    others = F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("g")).otherwise(F.col("h")) - 1)
+    dealt = cells.join(small(sizes), ["dim", "block", "cell"]).withColumn("side", side).withColumn("_o", F.explode(others))
+    dealt = dealt.withColumn("low", F.least("side", "_o")).withColumn("high", F.greatest("side", "_o"))
+    return dealt.withColumn("unit", F.xxhash64("dim", "block", "cell", "low", "high")).select("node", "dim", "block", "at", "side", "low", "high", "unit")
+
+
+def near_vectors(embeddings: DataFrame, work: str, cosine: float = 0.95, grid: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding`` (array of float or double).
 
     Rows link at a cosine of at least ``cosine`` in double precision. Null or zero vectors and those with null or non-finite
     components link with nothing, nor do vectors of different lengths; a null id has a null component, no links and isn't kept.
-    Rows with equal ids are rows of their own. Equal vectors are compared once. Other columns are ignored. A cell with more
-    than ``chunk`` vectors at home is dealt to several units; its guests go to each.
+    Rows with equal ids are rows of their own. Equal vectors are compared once. Other columns are ignored. ``grid`` sets how
+    many coordinates cells have, by default by the number of rows; the links are the same with any.
     """
     element = embeddings.schema["embedding"].dataType.elementType.simpleString()
     v = F.col("embedding") if element in ("float", "double") else F.col("embedding").cast("array<double>")
@@ -136,14 +199,12 @@ def near_vectors(embeddings: DataFrame, work: str, cosine: float = 0.95, grid: i
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.when(fit & F.col("vec_id").isNotNull(), v).alias("vector"))
     rows = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
     members = staged(rows.select("id", "node"), f"{work}/members")
-    classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.first("vector").alias("vector"))
-    cells = staged(arrow_map(classes, _cells(kind, cosine, grid), "node long, weight long, dim int, vector binary, block int, cell long, home boolean"), f"{work}/cells")
-    key = ["dim", "block", "cell"]
-    homes = cells.where("home").groupBy(key).agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
-    # home rows stand in their own chunk and are guests of the later ones; guests go to every chunk
-    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("n").cast("long")).cast("int")
-    first = F.when(F.col("home"), own).otherwise(F.lit(0))
-    dealt = cells.join(small(homes), key).withColumn("first", first).withColumn("part", F.explode(F.sequence("first", F.col("n") - 1)))
-    units = dealt.withColumn("home", F.col("home") & (F.col("part") == F.col("first"))).withColumn("unit", F.xxhash64(*key, "part")).drop("cell", "n", "first", "part")
-    found = staged(verified(units, _compare(kind, cosine)), f"{work}/links")
+    classes = staged(rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.first("vector").alias("vector")), f"{work}/classes")
+    grid = grid or coordinates(classes.count())
+    cells = staged(arrow_map(classes.select("node", "vector"), _cells(kind, cosine, grid), "node long, dim int, block int, cell long, home boolean, at binary"), f"{work}/cells")
+    counts = staged(cells.groupBy("dim", "block", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")), f"{work}/counts")
+    dealt = units(cells, counts, chunk).repartition("unit").sortWithinPartitions("unit")
+    near = staged(arrow_map(dealt, _candidates(cosine), "node long, unit long, block int, side int, low int, high int"), f"{work}/near")
+    fetched = near.join(classes, "node")
+    found = staged(verified(fetched, _compare(kind, cosine)), f"{work}/links")
     return grouped(members, found, f"{work}/groups").select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

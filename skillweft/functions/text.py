@@ -145,13 +145,15 @@ def document_text(description: Column, requirements: Column, raw_text: Column, *
     return F.when(blank, raw_text).otherwise(F.concat_ws("\n", *[blank_to_null(c) for c in (*others, description, requirements)]))
 
 
+def _map(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,string>")
+
+
 def skill_alias(raw: Column, aliases: dict[str, str] | None = None, whitelist: tuple[str, ...] | None = None) -> Column:
-    """trimmed; an alias, in any case; else the whitelist's spelling; else as it is."""
+    """trimmed; an alias as it stands or in lower case; else the whitelist's spelling; else as it is."""
     aliases, whitelist = V.SKILL_ALIASES if aliases is None else aliases, V.SKILL_WHITELIST if whitelist is None else whitelist
-    table = {w.lower(): w for w in whitelist} | {k.lower(): v for k, v in aliases.items()}
-    t = F.trim(raw)
-    entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(entries, F.lower(t)), t)
+    t, other, standard = F.regexp_replace(raw, r"^\s+|\s+$", ""), _map(aliases), _map({w.lower(): w for w in whitelist})
+    return F.coalesce(F.try_element_at(other, t), F.try_element_at(other, F.lower(t)), F.try_element_at(standard, F.lower(t)), t)
 
 
 def clean_skill(name: Column) -> Column:

@@ -17,9 +17,85 @@ EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 SKILL_SUFFIXES = ("工程师", "中间件", "技术", "系统", "框架", "平台", "工具", "软件", "开发", "设计", "管理", "应用", "方案", "产品", "项目", "算法", "架构", "引擎", "组件", "协议", "标准", "接口")
 SOFT_SKILLS = ("团队协作", "沟通能力", "项目管理", "需求分析", "产品设计", "问题解决", "逻辑思维", "学习能力", "抗压能力", "时间管理", "领导力", "跨部门协作", "创新思维", "客户服务意识", "责任心", "主动性", "文档撰写", "汇报能力", "数据分析思维", "执行力")
-SKILL_STOPWORDS = ("保险", "金融", "银行", "证券", "地产", "零售", "电商", "餐饮", "医疗", "教育", "旅游", "物流", "汽车", "能源", "制造", "农业", "传媒", "广告", "娱乐", "生活服务", "车联网", "五险", "五险一金", "社保")
-SKILL_ALIASES = {"js": "JavaScript", "ts": "TypeScript", "py": "Python", "golang": "Go", "k8s": "Kubernetes", "postgres": "PostgreSQL", "springboot": "Spring Boot", "nodejs": "Node.js", "reactjs": "React", "vuejs": "Vue", "tf": "TensorFlow", "sklearn": "scikit-learn"}
-SKILL_WHITELIST = ("Python", "Java", "JavaScript", "TypeScript", "Go", "C", "C++", "R", "SQL", "Rust", "Scala", "Spark", "Kafka", "Flink", "Hadoop", "Hive", "Kubernetes", "Docker", "Linux", "Git", "MySQL", "PostgreSQL", "Redis", "MongoDB", "React", "Vue", "Node.js", "Spring", "Spring Boot", "Django", "Flask", "FastAPI", "PyTorch", "TensorFlow", "scikit-learn", "Pandas", "NumPy", "NLP", "LLM", "RAG", "ETL", "MATLAB", "ECharts", "Tableau", "Excel")
+#: Trades, benefits and fragments that are no skills.
+SKILL_STOPWORDS = (
+    "保险", "金融", "银行", "证券", "地产", "零售", "电商", "餐饮",
+    "医疗", "教育", "旅游", "物流", "汽车", "能源", "制造", "农业",
+    "传媒", "广告", "娱乐", "生活服务", "车联网", "无人机组装测试", "五险", "五险一金",
+    "社保", "公积金", "双休", "不加班", "福利", "年终奖", "提成", "股票期权",
+    "运营", "销售", "客服", "市场", "行政", "财务", "人力资源", "公关",
+    "采购", "前台", "助理岗", "兼职", "实习岗", "微", "软件",
+)
+#: Other spellings of skills: the key as it is, or the lower-cased text.
+SKILL_ALIASES = {
+    "JS": "JavaScript",
+    "TS": "TypeScript",
+    "C++": "C++",
+    ".net": ".NET",
+    "c/c++": "C++",
+    "c语言": "C",
+    "c#": "C#",
+    "golang": "Go",
+    "spring": "Spring Boot",
+    "springboot": "Spring Boot",
+    "springcloud": "Spring Cloud",
+    "vue": "Vue.js",
+    "react": "React",
+    "node": "Node.js",
+    "express": "Express.js",
+    "mybatis": "MyBatis",
+    "hadoop": "Hadoop",
+    "spark": "Apache Spark",
+    "flink": "Apache Flink",
+    "kafka": "Apache Kafka",
+    "pyspark": "PySpark",
+    "k8s": "Kubernetes",
+    "docker": "Docker",
+    "pytorch": "PyTorch",
+    "tf": "TensorFlow",
+    "sklearn": "scikit-learn",
+    "numpy": "NumPy",
+    "pandas": "Pandas",
+    "大模型": "大语言模型",
+    "llm": "大语言模型",
+    "rag": "检索增强生成",
+    "自然语言处理算法": "自然语言处理",
+    "深度学习算法": "深度学习",
+    "机器学习算法": "机器学习",
+    "sql": "SQL",
+    "mysql": "MySQL",
+    "pg": "PostgreSQL",
+    "redis": "Redis",
+    "mongo": "MongoDB",
+    "es": "Elasticsearch",
+    "git": "Git",
+    "jenkins": "Jenkins",
+}
+#: Standard skills where no longer list is given (``sources.readers.whitelist`` reads one).
+SKILL_WHITELIST = (
+    "Python", "Java", "JavaScript", "TypeScript", "Go", "Rust", "C++", "C#",
+    "Ruby", "PHP", "Swift", "Kotlin", "Scala", "R", "MATLAB", "Shell",
+    "C", "SQL", "React", "Vue.js", "Angular", "HTML", "HTML5", "CSS",
+    "Webpack", "Vite", "Tailwind CSS", "Next.js", "Nuxt.js", "Bootstrap", "ECharts", "Three.js",
+    "数据可视化", "UI设计", "前端工程化", "React Native", "jQuery", "ElementUI", "Spring Boot", "Spring Cloud",
+    "Django", "Flask", "FastAPI", "Express.js", "Node.js", "ASP.NET", "Microservices", "MyBatis",
+    "Scrapy", "RESTful API", "REST", "JSON", "API", "MySQL", "PostgreSQL", "MongoDB",
+    "Redis", "Elasticsearch", "SQLite", "Oracle", "SQL Server", "Cassandra", "ClickHouse", "NoSQL",
+    "Hadoop", "Apache Spark", "Apache Flink", "Apache Kafka", "Hive", "HBase", "Airflow", "PySpark",
+    "数据治理", "ETL", "Snowflake", "数据建模", "数据挖掘", "Docker", "Kubernetes", "Jenkins",
+    "Git", "GitHub Actions", "Terraform", "Ansible", "Prometheus", "Grafana", "CI/CD", "Nginx",
+    "系统运维", "AWS", "Azure", "GCP", "Linux", "DevOps", "PyTorch", "TensorFlow",
+    "scikit-learn", "大语言模型", "检索增强生成", "机器学习", "深度学习", "自然语言处理", "计算机视觉", "数据分析",
+    "OpenAI API", "LangChain", "LlamaIndex", "大模型算法", "推荐算法", "图像算法", "风控算法", "强化学习",
+    "SLAM算法", "广告算法", "AIGC", "多模态模型", "语音识别", "运筹优化算法", "具身智能", "机器人",
+    "OpenCV", "嵌入式开发", "自动化测试", "多线程", "三维开发", "GIS开发", "大模型评测", "音频标注",
+    "视频标注", "AI", "Transformer", "Agentic AI", "Pandas", "NumPy", "Matplotlib", "统计学",
+    "Excel", "Tableau", "Power BI", "SAS", "Agile", "Scrum", "Maven", "JUnit",
+    "Hibernate", "JDBC", "Core Java", "JIRA", "SIEM", "SOAR", "团队协作", "沟通能力",
+    "项目管理", "需求分析", "产品设计", "问题解决", "逻辑思维", "学习能力", "抗压能力", "时间管理",
+    "领导力", "跨部门协作", "创新思维", "客户服务意识", "责任心", "主动性", "文档撰写", "汇报能力",
+    "数据分析思维", "执行力",
+)
 
 PROFICIENCY = ((("精通", "深入", "专家", "资深"), "高级"), (("掌握", "熟练", "独立"), "中级"), (("熟悉", "了解", "入门", "基础"), "初级"))
 EDUCATION = (("博士", 4), ("硕士", 3), ("研究生", 3), ("本科", 2), ("学士", 2), ("大专", 1), ("专科", 1), ("高中", 0), ("中专", 0))
@@ -83,7 +159,92 @@ TECH_STACKS = (("小程序", "小程序"), ("鸿蒙", "鸿蒙"), ("移动端", "
 POSITION_STOPWORDS = ("技术", "开发", "工程师", "管理", "专员", "前台", "文员")
 POSITION_PREFIX = r"^(初级|中级|高级|资深|专家|助理|实习|见习|应届|研发)"
 POSITION_SUFFIX = r"(工程师|技术员|程序员|研发人员|研发|开发|设计师|经理|主管|负责人|专员|分析师|科学家|研究员|专家|顾问|高级)$"
-EN_POSITIONS = {"software engineer": "软件工程师", "data analyst": "数据分析师", "data engineer": "大数据开发工程师", "data scientist": "数据科学家", "machine learning engineer": "机器学习工程师", "frontend developer": "前端开发工程师", "front end developer": "前端开发工程师", "backend developer": "后端开发工程师", "full stack developer": "全栈工程师", "devops engineer": "运维工程师", "qa engineer": "测试工程师", "test engineer": "测试工程师", "network engineer": "网络工程师", "product manager": "产品经理", "project manager": "项目经理", "business analyst": "业务分析师", "intern": "实习"}
+#: English job titles.
+EN_POSITIONS = {
+    "software engineer": "软件工程师",
+    "senior software engineer": "软件工程师",
+    "staff software engineer": "软件工程师",
+    "software developer": "软件工程师",
+    "software developer, experiment controls": "软件工程师",
+    "backend software engineer": "后端开发工程师",
+    "back end developer": "后端开发工程师",
+    "backend developer": "后端开发工程师",
+    "backend engineer": "后端开发工程师",
+    "frontend engineer": "前端开发工程师",
+    "frontend software engineer": "前端开发工程师",
+    "front end developer": "前端开发工程师",
+    "frontend developer": "前端开发工程师",
+    "full stack engineer": "全栈工程师",
+    "full-stack engineer": "全栈工程师",
+    "fullstack engineer": "全栈工程师",
+    "full stack developer": "全栈工程师",
+    "data scientist": "数据分析师",
+    "data analyst": "数据分析师",
+    "senior data analyst": "数据分析师",
+    "business analyst": "数据分析师",
+    "analytics engineer": "数据分析师",
+    "data engineer": "大数据开发工程师",
+    "machine learning engineer": "机器学习工程师",
+    "ml engineer": "机器学习工程师",
+    "machine learning operations engineer": "机器学习工程师",
+    "ai engineer": "算法工程师",
+    "nlp engineer": "算法工程师",
+    "applied scientist": "算法工程师",
+    "qa engineer": "测试工程师",
+    "software test engineer": "测试工程师",
+    "senior quality engineer": "测试工程师",
+    "devops engineer": "运维工程师",
+    "site reliability engineer": "运维工程师",
+    "sre": "运维工程师",
+    "network engineer": "网络工程师",
+    "network production engineer": "网络工程师",
+    "embedded engineer": "嵌入式开发工程师",
+    "desktop engineer": "桌面工程师",
+    "security engineer": "网络安全工程师",
+    "cyber security engineer": "网络安全工程师",
+    "quantitative analyst": "量化分析师",
+    "quant analyst": "量化分析师",
+    "quantitative developer": "量化分析师",
+    "product manager": "产品经理",
+    "project manager": "项目经理",
+    "product engineer": "产品工程师",
+    "ui designer": "UI设计师",
+    "ux designer": "UX设计师",
+    "founding engineer": "创始工程师",
+    "founding product engineer": "创始工程师",
+    "forward deployed engineer": "现场工程师",
+    "customer engineer": "客户工程师",
+    "analyst, strategy & analytics": "数据分析师",
+    "analytics avp": "数据分析师",
+    "applications development technology lead analyst": "数据分析师",
+    "business analytics senior analyst": "数据分析师",
+    "data analysis manager": "数据分析师",
+    "director, planning & analytics": "数据分析师",
+    "fsr analyst": "数据分析师",
+    "financial & credit analytics analyst": "数据分析师",
+    "manager capital markets financial analysis": "数据分析师",
+    "model/anlys/valid sr analyst": "数据分析师",
+    "senior measurement analyst": "数据分析师",
+    "senior statistical analyst": "数据分析师",
+    "specialist, hr data, analytics & insights": "数据分析师",
+    "sr analyst intl solutions business intelligence": "数据分析师",
+    "sr. analyst, marketing analytics": "数据分析师",
+    "visualization software and data specialist": "数据分析师",
+    "data automation engineer": "大数据开发工程师",
+    "kafka streaming architect": "大数据开发工程师",
+    "snowflake engineer": "大数据开发工程师",
+    "inference engineer, gpu kernel optimization": "算法工程师",
+    "advanced cyber threat response & forensics lead/manager": "网络安全工程师",
+    "threat context analyst": "网络安全工程师",
+    "member of technical staff": "软件开发工程师",
+    "principal subsystem engineer": "软件开发工程师",
+    "regulatory developer vp": "软件开发工程师",
+    "seismic developer": "软件开发工程师",
+    "engineering manager, platform engineering": "运维工程师",
+    "senior supervisor, quality engineering": "测试工程师",
+    "sensor test r&d mechatronics engineer": "嵌入式开发工程师",
+    "rfic system engineer": "硬件工程师",
+}
 
 STATES = ("candidate", "emerging", "stable", "declining", "archived", "rejected")
 TRANSITIONS = (("candidate", "emerging"), ("candidate", "rejected"), ("emerging", "stable"), ("emerging", "declining"), ("stable", "declining"), ("declining", "stable"), ("declining", "archived"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.operators.running import running_sum
+from skillweft.sources.staging import shared_path, small, staged
 
 
 def f1(rows: DataFrame, shortest: int = 3) -> DataFrame:
@@ -66,10 +68,20 @@ def kappa(rows: DataFrame, a: str, b: str, at: float = 0.5) -> DataFrame:
     return s.select(F.when(F.col("n") < 2, 0.0).when(pe == 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
+def random_points(spark, ranges: dict[str, tuple[float, float]], n: int, seed: int = 42) -> DataFrame:
+    """``n`` points of a search over continuous ranges, the same for the same seed."""
+    rng = np.random.default_rng(seed)
+    low, high = (np.array([r[i] for r in ranges.values()], float) for i in (0, 1))
+    points = low + rng.random((n, len(ranges))) * (high - low)
+    return spark.createDataFrame(pd.DataFrame(points, columns=list(ranges)))
+
+
 def grid_search(rows: DataFrame, grid: DataFrame, pred, least_recall: float = 0.8) -> DataFrame:
-    """For each point of a (small, broadcast) grid recall and false-positive rate; the best is the one with the lowest
+    """For each point of a grid or of ``random_points`` (ten thousand at most) recall and false-positive rate; the best is the one with the lowest
     rate of those that reach ``least_recall``. ``pred``: a boolean column over rows and grid."""
     keys = grid.columns
+    if grid.limit(10_001).count() > 10_000:
+        raise ValueError("more than ten thousand points")
     both = rows.join(F.broadcast(grid), how="cross").withColumn("pred", pred)
     tp, fn, fp, tn = (F.count_if(c) for c in (F.col("pred") & F.col("gold"), ~F.col("pred") & F.col("gold"), F.col("pred") & ~F.col("gold"), ~F.col("pred") & ~F.col("gold")))
     scored = both.groupBy(*keys).agg(F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(fp, fp + tn), F.lit(0.0)).alias("fpr"))
@@ -105,22 +117,22 @@ def _strangers(candidates: DataFrame, positions: DataFrame, met: DataFrame, k: i
     return free.withColumn("at", F.pmod(F.col("begin") + F.col("d"), F.col("n"))).join(ring, "at").select("candidate", "position_name")
 
 
-def labelled_pairs(candidates: DataFrame, positions: DataFrame, share: float = 0.6, most: int = 1) -> DataFrame:
+def labelled_pairs(candidates: DataFrame, positions: DataFrame, share: float = 0.6, most: int = 1, each: int = 10) -> DataFrame:
     """Pairs of skill arrays as positives (``share`` of the position's skills are common) and negatives (``most`` at most).
 
-    Drawn alike every time: ten of each label by the hash of the pair. Positives meet by a common skill, and so do negatives with
-    few of them. Of those without a common skill a position has the next ten in the ring of all candidates, which stand in the
+    Drawn alike every time: ``each`` of each label and position by the hash of the pair, which is what this sample is for. Positives meet by a common skill, and so do negatives with
+    few of them. Of those without a common skill a position has the next ``each`` in the ring of all candidates, which stand in the
     gaps between the ones that it meets; so pairs that share nothing are never listed.
     """
-    common = F.size(F.array_intersect("have", "want"))
-    p = positions.select("position_name", F.col("skills").alias("want"))
-    c = candidates.select("candidate", F.col("skills").alias("have"))
-    by_skill = c.select("candidate", "have", F.explode("have").alias("s")).join(p.select("position_name", "want", F.explode("want").alias("s")), "s").drop("s").distinct()
-    yes = by_skill.where(common >= F.size("want") * share).select("candidate", "position_name", F.lit(1).alias("label"))
-    few = by_skill.where(common <= most).select("candidate", "position_name", F.lit(0).alias("label"))
-    none = _strangers(c.select("candidate"), p.select("position_name"), by_skill.select("candidate", "position_name"), 10).withColumn("label", F.lit(0))
+    p = positions.select("position_name", F.explode(F.array_distinct("skills")).alias("s"))
+    c = candidates.select("candidate", F.explode(F.array_distinct("skills")).alias("s"))
+    sizes = p.groupBy("position_name").agg(F.count("*").alias("n"))
+    by_skill = staged(c.join(p, "s").groupBy("candidate", "position_name").agg(F.count("*").alias("common")), shared_path(candidates.sparkSession, "pairs"))
+    yes = by_skill.join(small(sizes), "position_name").where(F.col("common") >= F.col("n") * share).select("candidate", "position_name", F.lit(1).alias("label"))
+    few = by_skill.where(F.col("common") <= most).select("candidate", "position_name", F.lit(0).alias("label"))
+    none = _strangers(candidates.select("candidate"), positions.select("position_name"), by_skill.select("candidate", "position_name"), each).withColumn("label", F.lit(0))
     w = Window.partitionBy("position_name", "label").orderBy(F.xxhash64("candidate", "position_name"), "candidate")
-    return yes.unionByName(few).unionByName(none).withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+    return yes.unionByName(few).unionByName(none).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).drop("k")
 
 
 def weights_of(config: dict[str, object], defaults: dict[str, float]) -> dict[str, float]:

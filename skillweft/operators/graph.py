@@ -5,13 +5,14 @@ Vertices are ``id, label, name``; edges ``src, dst`` with their properties.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillweft.sources.staging import shared_path, staged
+from skillweft.sources.staging import shared_path, small, staged
 
 
 def expand(edges: DataFrame, positions: DataFrame, least: float = 0.0) -> DataFrame:
@@ -144,7 +145,7 @@ def version_counters(nodes: DataFrame) -> DataFrame:
     ``nodes``: ``version, id, name, type``. Each node is compared with itself in the version before by a join on both.
     """
     versions = nodes.select("version").distinct().withColumn("next", F.lead("version").over(Window.orderBy("version")))
-    old = nodes.join(F.broadcast(versions), "version").where("next is not null").select(F.col("next").alias("version"), "id", F.struct("name", "type").alias("old"))
+    old = nodes.join(small(versions, 10_000), "version").where("next is not null").select(F.col("next").alias("version"), "id", F.struct("name", "type").alias("old"))
     new = nodes.select("version", "id", F.struct("name", "type").alias("new"))
     return new.join(old, ["version", "id"], "full").groupBy("version").agg(F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).alias("changed"))
 
@@ -290,8 +291,13 @@ def _louvain(adjacent: dict[str, dict[str, float]], most: int = 32) -> dict[str,
     return {a: order.setdefault(best[a], len(order)) for a in adjacent}
 
 
-def louvain(pairs: DataFrame) -> DataFrame:
-    """Communities of weighted pairs. The moves depend on order, so the skill graph, a vocabulary, is one group."""
+def louvain(pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Communities of weighted pairs. The moves depend on order, so the skill graph, a vocabulary, is one group.
+
+    It may have ``most`` pairs: more are an error.
+    """
+    if pairs.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} pairs: their moves depend on order, in one task")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         adjacent: dict[str, dict[str, float]] = {}
@@ -329,12 +335,15 @@ def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 6) -> Data
     return frontier.where(F.lit(False)).select("path")
 
 
-def reachable(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``src, dst`` for all chains of prerequisites ``src -> dst`` without the start itself; cycles end."""
+def reachable(edges: DataFrame) -> DataFrame:
+    """``src, dst`` for all chains of prerequisites ``src -> dst`` without the start itself; cycles end.
+
+    Chains double in length each round, until a round finds none.
+    """
     work = shared_path(edges.sparkSession, "reach")
     closed = staged(edges.select("src", "dst").where("src <> dst").distinct(), f"{work}/0")
     n = closed.count()
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1):
         longer = closed.join(closed.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).where("src <> dst")
         closed = staged(closed.unionByName(longer).distinct(), f"{work}/{i}")
         if (m := closed.count()) == n:

@@ -41,8 +41,23 @@ def cii_corrected(positions: DataFrame, most: int = 7, share: float = 0.2) -> Da
     return rows.withColumn("demoted", demote).withColumn("necessity", F.when(demote, "nice").otherwise(F.col("necessity"))).drop("_n", "_open", "_rank")
 
 
+#: Positions whose skill sets are sent to all tasks at once; with more, candidates and positions meet by their skills.
+FEW_POSITIONS = 5_000
+
+
 def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> DataFrame:
-    """For each candidate the ``k`` positions with the most common skills."""
+    """For each candidate the ``k`` positions with the most common skills; ties by name.
+
+    Positions are aggregates. If they are counted to be few, all of them are one broadcast row, and a candidate's best are found
+    in its own row: no pairs are shuffled or ranked, and no skill is a key. The result is the same either way.
+    """
+    want = positions.groupBy("position_name").agg(F.collect_set("skill").alias("want"))
+    if positions.select("position_name").distinct().limit(FEW_POSITIONS + 1).count() <= FEW_POSITIONS:
+        every = want.agg(F.array_sort(F.collect_list(F.struct("position_name", "want"))).alias("every"))
+        rows = candidates.groupBy("candidate").agg(F.collect_set("skill").alias("have")).join(F.broadcast(every), how="cross")
+        hits = F.transform("every", lambda p: F.struct((-F.size(F.array_intersect("have", p["want"]))).alias("n"), p["position_name"].alias("position_name")))
+        best = F.slice(F.array_sort(F.filter(hits, lambda h: h["n"] < 0)), 1, k)
+        return rows.select("candidate", F.explode(best).alias("b")).select("candidate", "b.position_name", (-F.col("b.n")).cast("long").alias("hits"))
     hits = candidates.select("candidate", "skill").distinct().join(positions.select("position_name", "skill").distinct(), "skill").groupBy("candidate", "position_name").agg(F.count("*").alias("hits"))
     w = Window.partitionBy("candidate").orderBy(F.desc("hits"), "position_name")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "position_name", "hits")
@@ -112,14 +127,24 @@ def courses_of_skills(skills: DataFrame, by_id: DataFrame, by_name: DataFrame) -
     return a.unionByName(skills.join(by_name, "skill").select("skill", "course", "score")).distinct()
 
 
-def project_score(projects: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Mean cosine of a candidate's projects with a position's scenarios. Both: an id, and ``vector``.
+def project_score(projects: DataFrame, scenarios: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Mean cosine of a candidate's projects with a position's scenarios, for chosen pairs ``candidate, position_name``.
 
-    The mean of pairwise cosines is the cosine-free product of two mean unit vectors, so no pairs are made.
+    ``projects``: ``candidate, vector``; ``scenarios``: ``position_name, vector``. The mean of pairwise cosines is the product of two mean unit
+    vectors, so no pairs of projects and scenarios are made, and both sides are joined by their keys.
     """
     def mean_unit(rows: DataFrame, key: str) -> DataFrame:
         unit = rows.select(key, F.posexplode(F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.sqrt(S.dot(F.col("vector"), F.col("vector")))), F.lit(0.0)))).alias("i", "x"))
         return unit.groupBy(key, "i").agg(F.avg("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
-    a, b = mean_unit(projects, "candidate"), mean_unit(scenarios, "position_name")
-    return a.withColumnRenamed("v", "va").join(F.broadcast(b.withColumnRenamed("v", "vb")), how="cross").select("candidate", "position_name", S.dot(F.col("va"), F.col("vb")).alias("score"))
+    a, b = mean_unit(projects, "candidate").withColumnRenamed("v", "va"), mean_unit(scenarios, "position_name").withColumnRenamed("v", "vb")
+    return chosen.select("candidate", "position_name").join(a, "candidate").join(b, "position_name").select("candidate", "position_name", S.dot(F.col("va"), F.col("vb")).alias("score"))
+
+
+def radar(scored: DataFrame, education: DataFrame, projects: DataFrame) -> DataFrame:
+    """Five dimensions of each pair: must and nice skills, experience, education and projects; unknown ones are 0.
+
+    ``education``: ``candidate, position_name, education_score``; ``projects``: of ``project_score``.
+    """
+    rows = scored.select("candidate", "position_name", "must_score", "nice_score", "exp_score").join(education, ["candidate", "position_name"], "left").join(projects.withColumnRenamed("score", "project_score"), ["candidate", "position_name"], "left")
+    return rows.select("candidate", "position_name", "must_score", "nice_score", "exp_score", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("education_score", "project_score")])

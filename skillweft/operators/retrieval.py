@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
+from skillweft.sources.staging import shared_path, small, staged
 
 
 def match_seeds(names: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -55,13 +56,23 @@ def merge_hits(hits: DataFrame, key: str, n: int) -> DataFrame:
 def within_budget(hits: DataFrame, group: str, key: str, tokens: str, budget: int, k: int) -> DataFrame:
     """V8: of each group's hits by score, those that still fit a token budget, at most ``k``; one that doesn't fit is skipped.
 
-    Which fit depends on those before, so the hits of a group (one query's) are folded in order inside its row.
+    The next one kept is the best after the last that fits what is left, an aggregation that combines before its shuffle: ``k``
+    of them, with a row a group between, and a group's hits are never together.
     """
-    best = hits.groupBy(group, key).agg(F.max("score").alias("score"), F.max(tokens).alias("tokens")).where(F.col("tokens") <= budget)
-    listed = best.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col("tokens").cast("long").alias("n")))).alias("h"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<s:double,k:" + hits.schema[key].dataType.simpleString() + ",n:bigint>>)").alias("kept"))
-    fold = F.aggregate("h", start, lambda a, x: F.when((a["used"] + x["n"] <= budget) & (F.size(a["kept"]) < k), F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))
-    return listed.select(group, F.posexplode(fold["kept"]).alias("rank", "x")).select(group, F.col("x.k").alias(key), (-F.col("x.s")).alias("score"), F.col("x.n").alias("tokens"), (F.col("rank") + 1).alias("rank"))
+    work = shared_path(hits.sparkSession, "budget")
+    order = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))
+    best = staged(hits.groupBy(group, key).agg(F.max("score").alias("score"), F.max(tokens).cast("long").alias("tokens")).where(F.col("tokens") <= budget).select(group, order.alias("o"), "tokens"), f"{work}/best")
+    state, out = None, None
+    for rank in range(1, k + 1):
+        open_ = best if state is None else best.join(small(state), group).where((F.col("o") > F.col("_o")) & (F.col("tokens") + F.col("_used") <= budget))
+        used = F.lit(0).cast("long") if state is None else F.col("_used")
+        step = staged(open_.groupBy(group).agg(F.min(F.struct("o", "tokens", used.alias("used"))).alias("x")).select(group, F.col("x.o").alias("_o"), F.col("x.tokens").alias("tokens"), (F.col("x.used") + F.col("x.tokens")).alias("_used")), f"{work}/{rank}")
+        if step.isEmpty():
+            break
+        kept = step.select(group, F.col("_o.k").alias(key), (-F.col("_o.s")).alias("score"), "tokens", F.lit(rank).alias("rank"))
+        out = kept if out is None else out.unionByName(kept)
+        state = step.select(group, "_o", "_used")
+    return out if out is not None else best.select(group, F.col("o.k").alias(key), (-F.col("o.s")).alias("score"), "tokens", F.lit(0).alias("rank"))
 
 
 def ranked(hits: DataFrame, group: str, key: str, k: int) -> DataFrame:

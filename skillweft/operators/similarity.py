@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
-import operator
+import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +15,46 @@ from skillweft.functions import text as X
 
 
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, simhash`` of every row with distinct keys: 64 votes of hashed tokens; 0 without tokens.
+    """``key, simhash`` of every row: 64 votes of hashed tokens; 0 without tokens.
 
-    Votes are 64 sums that are combined before the shuffle, so a document sends one row from each task.
+    A row's tokens vote inside the row, so nothing is shuffled. Bits i and i + 32 of all hashes are added up at once, in the
+    two halves of a 64-bit integer; a bit is set if more than half of the tokens have it.
     """
     hashes = F.transform(X.tokens(F.coalesce(F.col(text), F.lit(""))), X.token_hash)
-    exploded = docs.select(key, F.explode_outer(hashes).alias("h"))
-    votes = [F.sum(F.getbit("h", F.lit(i)).cast("int") * 2 - 1).alias(f"b{i}") for i in range(64)]
-    summed = exploded.groupBy(key).agg(*votes)
-    signed = [F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    return summed.select(key, functools.reduce(lambda a, b: a.bitwiseOR(b), signed).alias("simhash"))
+    rows = docs.select(key, hashes.alias("h"))
+    both = F.lit((1 << 32) + 1)
+
+    def votes(i: int):
+        return F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, i).bitwiseAND(both))
+
+    sums = [votes(i).alias(f"s{i}") for i in range(32)]
+    counted = rows.select(key, F.size("h").alias("n"), *sums)
+    low = [F.when((F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))) * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
+    high = [F.when(F.shiftrightunsigned(f"s{i}", 32) * 2 > F.col("n"), F.lit(1 << (i + 32) if i < 31 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(32)]
+    return counted.select(key, functools.reduce(lambda x, y: x.bitwiseOR(y), low + high).alias("simhash"))
 
 
 def near_fingerprints(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints within ``threshold`` bits, as ``a, b, distance`` (a < b).
 
-    Fingerprints are cut into ``threshold + 1`` blocks of bits; a pair within the threshold has an equal block. Equal
+    Fingerprints are cut into ``threshold + agree`` blocks of bits. A pair within the threshold has at least ``agree`` equal
+    ones, so it meets in the key of some choice of that many: keys of 32 bits for up to 4, so that few others meet there. Equal
     fingerprints are collapsed before, so a common one is one row. ``prints``: ``simhash``.
     """
-    n = threshold + 1
-    if n > 16:
+    if threshold > 15:
         raise ValueError("at most 15 bits: with narrower blocks nearly all pairs meet")
+    agree = 3 if threshold <= 4 else 2 if threshold <= 8 else 1
+    n = threshold + agree
     cuts = [round(64 * i / n) for i in range(n + 1)]
+    masks = [((1 << z) - 1) ^ ((1 << a) - 1) for a, z in itertools.pairwise(cuts)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    chosen = [signed(sum(masks[i] for i in c)) for c in itertools.combinations(range(n), agree)]
     d = prints.select("simhash").distinct()
-    block = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (z - a)) - 1).cast("long")).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    keyed = d.select("simhash", F.explode(block).alias("k")).select("simhash", "k.i", "k.v")
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(chosen)])
+    keyed = d.select("simhash", F.explode(keys).alias("k")).select("simhash", "k.i", "k.v")
     a, b = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
     pairs = a.join(b, ["i", "v"]).where("a < b").withColumn("distance", X.hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= threshold)
-    # a pair is kept in the first block that it shares
-    earlier = functools.reduce(operator.or_, [(F.col("i") > i) & (F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), s).bitwiseAND(F.lit((1 << (z - s)) - 1).cast("long")) == 0) for i, (s, z) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    return pairs.where(~earlier).select("a", "b", "distance")
+    return pairs.select("a", "b", "distance").distinct()
 
 
 def near_documents(prints: DataFrame, key: str, threshold: int = 3) -> DataFrame:
@@ -65,19 +77,51 @@ def verified_pairs(pairs: DataFrame, vectors: DataFrame, least: float = 0.9) ->
     return rows.where(F.col("va").isNull() | F.col("vb").isNull() | (S.cosine(F.col("va"), F.col("vb")) >= least)).drop("va", "vb")
 
 
-def nearest(left: DataFrame, right: DataFrame, least: float, k: int = 1, strict: bool = False) -> DataFrame:
+#: Rows of each side that are compared at once.
+TILE = 4096
+
+
+def nearest(left: DataFrame, right: DataFrame, least: float, k: int = 1, strict: bool = False, other: bool = False) -> DataFrame:
     """For each left row (``id, vector``) the ``k`` right rows of highest cosine from ``least`` up (over it if ``strict``).
 
-    ``right`` is a vocabulary; whichever side is the smaller is broadcast by Spark if it is small, and each left row's ties go
-    to the smaller id. A row is never its own neighbour when ids are equal on both sides of the same table.
+    Both sides are dealt to chunks of about ``TILE`` rows by a hash. Each pair of chunks is a group, in which numpy multiplies them
+    and keeps a left row's ``k`` best, so a group is bounded and only ``k`` rows of each chunk are ranked. Ties go to the smaller id; vectors of
+    other lengths never meet. With ``other`` a row is not its own neighbour, for a table that is compared with itself.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double"))
-    a = left.select(F.col("id").alias("a"), unit(F.col("vector")).alias("va"))
-    b = right.select(F.col("id").alias("b"), unit(F.col("vector")).alias("vb"))
-    pairs = a.join(b, F.size("va") == F.size("vb")).withColumn("score", S.cosine(F.col("va"), F.col("vb"))).drop("va", "vb")
-    kept = pairs.where((F.col("score") > least) if strict else (F.col("score") >= least))
+    n, m = (max(1, -(-x.count() // TILE)) for x in (left, right))
+
+    def dealt(rows: DataFrame, mine: str, of: int, theirs: str, to: int, side: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
+        return rows.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit(side).alias("side"), part.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias(theirs)).where("vector is not null")
+
+    both = dealt(left, "i", n, "j", m, 0).unionByName(dealt(right, "j", m, "i", n, 1))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in sorted(set(pdf["vector"].map(len))):
+            held = pdf[pdf["vector"].map(len) == size]
+            a, b = (held[held["side"] == s].sort_values("id") for s in (0, 1))
+            if not size or not len(a) or not len(b):
+                continue
+            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+            x, y = (np.nan_to_num(v / np.linalg.norm(v, axis=1, keepdims=True)) for v in (np.stack(t["vector"].tolist()) for t in (a, b)))
+            for at in range(0, len(x), 512):
+                s = x[at : at + 512] @ y.T
+                ok = (s > least) if strict else (s >= least)
+                if other:
+                    ok &= ia[at : at + 512, None] != ib[None, :]
+                p, q = np.nonzero(ok)
+                order = np.lexsort((q, -s[p, q], p))
+                p, q = p[order], q[order]
+                rank = np.arange(len(p)) - np.searchsorted(p, p)
+                p, q = p[rank < k], q[rank < k]
+                out.append(pd.DataFrame({"a": ia[at + p], "b": ib[q], "score": s[p, q]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    kinds = [f.dataType.simpleString() for t in (left, right) for f in t.schema if f.name == "id"]
+    pairs = both.groupBy("i", "j").applyInPandas(best, f"a {kinds[0]}, b {kinds[1]}, score double")
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def aligned(names: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None = None, least: float = 0.6) -> DataFrame:
@@ -102,8 +146,6 @@ def aligned(names: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None =
 
 def first_fit_clusters(names: list[str], vectors: dict[str, list[float]], least: float = 0.75) -> list[list[str]]:
     """Greedy clusters in input order: a name joins the first cluster with any member that is similar enough."""
-    import numpy as np
-
     unit = {n: np.array(vectors[n], float) / (np.linalg.norm(vectors[n]) or 1.0) for n in names if n in vectors}
     rows = {len(u): np.empty((sum(len(x) == len(u) for x in unit.values()), len(u))) for u in {len(u): u for u in unit.values()}.values()}
     homes: dict[int, list[int]] = {size: [] for size in rows}  # the cluster of each row so far
@@ -121,20 +163,18 @@ def first_fit_clusters(names: list[str], vectors: dict[str, list[float]], least:
     return out
 
 
-def normalize_clusters(names: DataFrame, vectors: DataFrame, least: float = 0.75) -> DataFrame:
+def normalize_clusters(names: DataFrame, vectors: DataFrame, least: float = 0.75, most: int = 200_000) -> DataFrame:
     """``name, standard, confidence``; ``names``: ``name, seq, cnt`` after aliases, ``vectors``: ``name, vector``.
 
-    The clustering depends on order, so the vocabulary (not the mentions) is one group; its representative is the most
-    frequent member, the first on ties, and the confidence the mean similarity to it.
+    The clustering depends on order, so the vocabulary (not the mentions) is one group, which may have ``most`` names: more are an
+    error. A cluster's representative is the most frequent member, the first on ties, and the confidence the mean similarity to it.
     """
-    import pandas as pd
-
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} names: they are clustered in order, in one task")
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["seq", "name"])
         held = {r.name_: list(r.vector) for r in pdf.rename(columns={"name": "name_"}).itertuples() if r.vector is not None}
         count = dict(zip(pdf["name"], pdf["cnt"], strict=True))
-        import numpy as np
-
         rows = []
         for c in first_fit_clusters(list(pdf["name"]), held, least):
             top = max(c, key=lambda n: count[n])  # the first on ties

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
+from skillweft.sources.staging import shared_path, small, staged
 
 
 def first_seen(skills: DataFrame, as_of: Column) -> DataFrame:
@@ -26,29 +27,27 @@ def sai(aged: DataFrame, as_of: Column, recent_days: int = 90) -> DataFrame:
     return rows.select("id", "position_name", "sai", F.when(F.col("sai") > 2, "obsolete").when(F.col("sai") > 1.5, "stale").otherwise("fresh").alias("label"), F.when(F.col("sai") > 2, 0.0).when(F.col("sai") > 1.5, 0.5).otherwise(1.0).alias("weight"))
 
 
-#: Islands of equal sets that are looked at in one array; ads that are like all of them are compared with the rest in a join.
-HEAD = 64
-
-
 def zombies(sets: DataFrame, similar: float = 0.95) -> DataFrame:
     """How many of a position's other ads, from the latest back, have the current skill set in a row, and one.
 
-    ``sets``: ``id, position_name, publish_date, skills`` (sorted distinct, not empty). Ads come in order of date and id. Runs of
-    equal sets are one island, and an ad is compared with the latest islands until one differs, not with all other ads.
+    ``sets``: ``id, position_name, publish_date, skills`` (sorted distinct, not empty). Ads come in order of date and id. A set that isn't
+    like that of the position's latest ad has no such ad. Only the few distinct sets that are like it are held against the
+    position's other distinct sets, for the latest one that differs; the ads after that are counted. All of it are
+    aggregations that combine before their shuffle, so a position with most of the ads is sorted nowhere.
     """
-    order = Window.partitionBy("position_name").orderBy(F.desc("publish_date"), F.desc("id"))
-    rows = sets.withColumn("rn", F.row_number().over(order)).withColumn("new", F.coalesce(F.col("skills") != F.lag("skills").over(order), F.lit(True)))
-    islands = rows.where("new").select("position_name", F.col("rn").alias("first"), F.col("skills").alias("s2"), F.row_number().over(Window.partitionBy("position_name").orderBy("rn")).alias("k"))
-    heads = islands.groupBy("position_name").agg(F.array_sort(F.collect_list(F.when(F.col("k") <= HEAD, F.struct("first", "s2")))).alias("head"), F.max("k").alias("islands"))
-    total = rows.groupBy("position_name").agg(F.max("rn").alias("total"))
-    out = rows.join(heads, "position_name").join(total, "position_name")
-    unlike = F.filter("head", lambda x: S.jaccard(F.col("skills"), x["s2"]) < similar)
-    out = out.withColumn("miss", F.try_element_at(unlike, F.lit(1))["first"]).drop("head", "new")
-    far = out.where(F.col("miss").isNull() & (F.col("islands") > HEAD)).select("id", "position_name", "skills").join(islands.where(F.col("k") > HEAD), "position_name")
-    late = far.where(S.jaccard(F.col("skills"), F.col("s2")) < similar).groupBy("id").agg(F.min("first").alias("late"))
-    out = out.join(late, "id", "left")
-    head = F.coalesce(F.coalesce("miss", "late") - 1, F.col("total"))
-    return out.select("id", "position_name", (head - F.when(F.col("rn") <= head, 1).otherwise(0) + 1).cast("int").alias("run"))
+    when = F.struct("publish_date", "id")
+    kinds = sets.groupBy("position_name", "skills").agg(F.max(when).alias("last"))
+    kinds = staged(kinds, shared_path(sets.sparkSession, "kinds"))
+    latest = kinds.groupBy("position_name").agg(F.max_by("skills", "last").alias("s1"))
+    like = kinds.join(latest, "position_name").where(S.jaccard(F.col("skills"), F.col("s1")) >= similar).select("position_name", "skills")
+    unlike = like.join(kinds.select("position_name", F.col("skills").alias("s2"), "last"), "position_name").where(S.jaccard(F.col("skills"), F.col("s2")) < similar)
+    end = staged(like.join(unlike.groupBy("position_name", "skills").agg(F.max("last").alias("miss")), ["position_name", "skills"], "left"), shared_path(sets.sparkSession, "ends"))
+    end = small(end)
+    after = sets.select("position_name", when.alias("at")).join(end, "position_name").where(F.col("miss").isNull() | (F.col("at") > F.col("miss")))
+    head = end.join(after.groupBy("position_name", "skills").agg(F.count("*").alias("head")), ["position_name", "skills"], "left")
+    rows = sets.join(small(head), ["position_name", "skills"], "left")
+    own = F.when(F.col("head").isNotNull() & (F.col("miss").isNull() | (when > F.col("miss"))), 1).otherwise(0)
+    return rows.select("id", "position_name", (F.coalesce("head", F.lit(0)) - own + 1).cast("int").alias("run"))
 
 
 def plagiarism(sets: DataFrame, days: int = 90) -> DataFrame:
@@ -70,8 +69,10 @@ def temporal_decay(*weights: Column) -> Column:
 
 def validate(skills: DataFrame, as_of: Column, set_column: str = "skill") -> DataFrame:
     """All checks of each ad and its decay."""
+    work = shared_path(skills.sparkSession, "temporal")
+    skills = staged(skills, f"{work}/skills")
     age = sai(first_seen(skills, as_of), as_of)
-    sets = skill_sets(skills, set_column)
+    sets = staged(skill_sets(skills, set_column), f"{work}/sets")
     runs = zombies(sets).drop("position_name")
     copied = plagiarism(sets)
     rows = age.join(runs, "id").join(copied, "id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
+from skillweft.sources.staging import small
 
 
 def skill_windows(edges: DataFrame) -> DataFrame:
@@ -34,11 +35,11 @@ def rank_signals(signals: DataFrame, key: str, trend: str, n: int) -> DataFrame:
 def position_windows(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Out-degree of each named position in every version, 0 where there is none; ids of one name are added up.
 
-    ``names`` has ``source, name``. The versions are few (90 days are kept), so they are broadcast.
+    ``names`` has ``source, name``. The versions are few (90 days are kept); they are broadcast after they were counted.
     """
     counts = edges.groupBy("source", "version").agg(F.count("*").alias("n"))
     named = counts.join(names, "source").groupBy("name", "version").agg(F.sum("n").alias("n"))
-    grid = names.select("name").distinct().join(F.broadcast(edges.select("version").distinct()), how="cross")
+    grid = names.select("name").distinct().join(small(edges.select("version").distinct(), 10_000), how="cross")
     return grid.join(named, ["name", "version"], "left").select("name", "version", F.coalesce("n", F.lit(0)).alias("freq"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skillweft.functions import scores as S
 from skillweft.functions import vocab as V
 from skillweft.operators import evaluation, graph, matching, quality, retrieval, similarity
-from skillweft.plans.views import jd, jd_skill, requires, snapshots, table, with_views
+from skillweft.plans.views import jd, jd_skill, requires, snapshots, table
+from skillweft.sources.staging import shared_path, staged
 
 AS_OF = "2001-08-01"
 
@@ -28,7 +29,7 @@ def panorama(spark: SparkSession, sf: str) -> DataFrame:
 
 def techstack(spark: SparkSession, sf: str) -> DataFrame:
     """T2."""
-    return graph.tech_stack(requires(spark, sf).where("weight > 1"), 5).select("position_name", "skill", "degree")
+    return graph.tech_stack(requires(spark, sf), 5).select("position_name", "skill", "degree")
 
 
 def graph_view(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +75,7 @@ def degrees(spark: SparkSession, sf: str) -> DataFrame:
 def filtered_skills(spark: SparkSession, sf: str) -> DataFrame:
     """C12."""
     stop, white = spark.createDataFrame([("Brand#12",)], "skill string"), spark.createDataFrame([("Brand#13",)], "skill string")
-    return graph.filtered_skills(requires(spark, sf).where("weight > 3"), stop, white, 3)
+    return graph.filtered_skills(requires(spark, sf), stop, white, 3)
 
 
 def merge_vertices(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,10 +85,10 @@ def merge_vertices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Relations between brands, in both directions, whose ends are parts of size 1."""
+    """Relations between brands, in both directions, whose ends are brands of parts."""
     p = table(spark, sf, "part")
-    new = p.where("p_size < 5").select(F.col("p_brand").alias("src"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 60).cast("string")).alias("dst"))
-    return graph.relations(new, p.where("p_size <= 10").select(F.col("p_brand").alias("id")).distinct(), both_ways=True)
+    new = p.select(F.col("p_brand").alias("src"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 60).cast("string")).alias("dst"))
+    return graph.relations(new, p.select(F.col("p_brand").alias("id")).distinct(), both_ways=True)
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,16 +131,17 @@ def edit_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evolved_from(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names of one brand's large parts that another's small ones don't have."""
+    """Names made of types against the parts' names."""
     p = table(spark, sf, "part")
-    big, rest = p.where("p_size > 35 and p_brand like '%1'").select(F.col("p_name").alias("name")).distinct(), p.where("p_size <= 15 and p_brand = 'Brand#12'").select(F.col("p_name").alias("name")).distinct()
-    return graph.evolved_from(big.subtract(rest), rest.subtract(big), 6).select("new", "old", F.col("shared").cast("long").alias("shared"), "relation")
+    old, new = p.select(F.col("p_name").alias("name")).distinct(), p.select(F.concat_ws(" ", F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).distinct()
+    return graph.evolved_from(new.subtract(old), old.subtract(new), 4).select("new", "old", F.col("shared").cast("long").alias("shared"), "relation")
 
 
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """G1: ten rounds on skills that share strong positions."""
-    e = graph.adjacency(graph.cooccurrence(requires(spark, sf).where("weight > 2"), 2))
-    return graph.pagerank(e, rounds=10, tolerance=0.0).select("id", _r("rank"))
+    """G1: of nations and brands by segment that share ads, until no rank moves by the tolerance; a digit that both end in parts them."""
+    e = requires(spark, sf).select(F.split_part("position_name", F.lit("/"), F.lit(2)).alias("a"), F.concat("skill", F.lit("/"), F.substring("position_name", 1, 1)).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    e = e.where(F.substring("b", 8, 1) != F.substring("a", -1, 1)).select("a", "b")
+    return graph.pagerank(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))).select("id", F.round("rank", 4).alias("rank"))
 
 
 def _communities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -154,8 +156,10 @@ def modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
-    """G2, G6."""
-    c = graph.clusters(graph.louvain(graph.cooccurrence(requires(spark, sf).where("weight > 1"))))
+    """Brands by the positions that they share; those with one remainder by five are ten times as close, others a tenth."""
+    pairs = graph.cooccurrence(requires(spark, sf))
+    near = F.substring("a", 7, 9).cast("int") % 5 == F.substring("b", 7, 9).cast("int") % 5
+    c = graph.clusters(graph.louvain(pairs.withColumn("weight", F.col("weight") * F.when(near, 10.0).otherwise(0.1))))
     return c.select("community", "size", F.array_join("members", ",").alias("members"))
 
 
@@ -186,13 +190,21 @@ def prereq_order(spark: SparkSession, sf: str) -> DataFrame:
     return graph.chain_order(e, e.select(F.col("src").alias("skill")).distinct()).select("skill", F.array_join("chain", ",").alias("chain"))
 
 
+def _candidates_of(skills: DataFrame) -> DataFrame:
+    return skills.groupBy(F.col("company").alias("candidate"), "skill").agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("proficiency"), (F.max("weight") < 10).alias("low_confidence"))
+
+
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return jd_skill(spark, sf).groupBy(F.col("company").alias("candidate"), "skill").agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("proficiency"), (F.max("weight") < 10).alias("low_confidence"))
+    return _candidates_of(jd_skill(spark, sf))
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    agg = quality.position_aggregate(jd_skill(spark, sf))
-    stats = quality.ad_stats(jd(spark, sf).withColumn("years", F.col("id") % 10))
+    return _positions_of(jd_skill(spark, sf), jd(spark, sf))
+
+
+def _positions_of(skills: DataFrame, ads: DataFrame) -> DataFrame:
+    agg = quality.position_aggregate(skills)
+    stats = quality.ad_stats(ads.withColumn("years", F.col("id") % 10))
     level = F.when(F.col("hits") % 4 == 0, "初级").when(F.col("hits") % 4 == 1, "中级").when(F.col("hits") % 4 == 2, "高级").otherwise("专家")
     return quality.requires_edges(agg, stats).select("position_name", "skill", "necessity", (F.col("weight") + F.col("hits") / 1000.0).alias("weight"), level.alias("proficiency"), F.col("hits").alias("source_count"))
 
@@ -202,17 +214,25 @@ def cii(spark: SparkSession, sf: str) -> DataFrame:
     return matching.cii_corrected(_positions(spark, sf)).select("position_name", "skill", "necessity", "demoted")
 
 
+def _matching(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, positions and ads; the first two are aggregates, written once for all that is made of them."""
+    work = shared_path(spark, "matching")
+    skills, ads = staged(jd_skill(spark, sf), f"{work}/skills"), staged(jd(spark, sf), f"{work}/ads")
+    return staged(_candidates_of(skills), f"{work}/candidates"), staged(_positions_of(skills, ads), f"{work}/positions"), ads
+
+
 def rough_select(spark: SparkSession, sf: str) -> DataFrame:
     """Five positions a candidate."""
-    return matching.rough_select(_candidates(spark, sf), _positions(spark, sf), 5)
+    c, p, _ = _matching(spark, sf)
+    return matching.rough_select(c, p, 5)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    c, p = _candidates(spark, sf), matching.cii_corrected(_positions(spark, sf))
-    ads = jd(spark, sf)
+    c, p, ads = _matching(spark, sf)
+    chosen, p = matching.rough_select(c, p, 5), matching.cii_corrected(p)
     years = ads.groupBy(F.col("company").alias("candidate")).agg((F.datediff(F.max("publish_date"), F.min("publish_date")) / 365.0).alias("total_years"))
     meta = ads.groupBy("position_name").agg(F.median(F.col("id") % 10).cast("double").alias("required_years"), S.staleness_penalty(F.max("publish_date"), F.to_date(F.lit(AS_OF))).cast("double").alias("staleness"))
-    return matching.scores(c, years, p, meta, matching.rough_select(c, p, 5))
+    return matching.scores(c, years, p, meta, chosen)
 
 
 def match_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,7 +247,7 @@ def match_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, sf: str) -> DataFrame:
-    c, p = _candidates(spark, sf), _positions(spark, sf)
+    c, p, _ = _matching(spark, sf)
     return matching.gaps(c, p, matching.rough_select(c, p, 1))
 
 
@@ -259,23 +279,22 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors from 0.25 up among a vocabulary of forty, six each."""
+    """Of every vector the five nearest others from 0.25 up."""
     v = _vectors(spark, sf)
-    near = similarity.nearest(v, F.broadcast(v.where("id < 40")), 0.25, 6)
-    return near.where("a <> b").select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.nearest(v, v, 0.25, 5, other=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def nn_align(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest of ten vectors from 0.2 up."""
+    """The nearest of all other vectors, from 0.2 up."""
     v = _vectors(spark, sf)
-    return similarity.nearest(v.where("id >= 10"), F.broadcast(v.where("id < 10")), 0.2).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.nearest(v, v, 0.2, other=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def verified_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours in id whose vectors agree; from id 300 on there are no vectors."""
+    """Neighbours in id whose vectors agree; the last one's neighbour has none."""
     v = _vectors(spark, sf)
     pairs = v.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return similarity.verified_pairs(pairs, v.where("id < 300").select("id", "vector"), 0.1)
+    return similarity.verified_pairs(pairs, v.select("id", "vector"), 0.1)
 
 
 def hit_merge(spark: SparkSession, sf: str) -> DataFrame:

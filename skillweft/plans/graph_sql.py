@@ -17,8 +17,8 @@ _NODE = with_views("snapshots") + "node AS (SELECT version, target AS id, CASE W
 _MOD = _CO + ", adj AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs), com AS (SELECT *, substr(a, 7, 1) AS ca, substr(b, 7, 1) AS cb FROM adj), per AS (SELECT ca, sum(weight) AS tot, coalesce(sum(weight) FILTER (ca = cb), 0) AS inside FROM com GROUP BY ALL)"
 _RANKS = (
     _REQ
-    + "strong AS (SELECT * FROM requires WHERE weight > 2), p AS (SELECT x.skill AS a, y.skill AS b FROM strong x JOIN strong y ON x.position_name = y.position_name AND x.skill < y.skill GROUP BY ALL HAVING count(*) >= 2), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), deg AS (SELECT a AS id, count(*) AS d FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM deg, n)"
-    + "".join(f", r{i} AS (SELECT deg.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce((SELECT sum(r.rank / g.d) FROM e JOIN r{i - 1} r ON r.id = e.a JOIN deg g ON g.id = e.a WHERE e.b = deg.id), 0) AS rank FROM deg, n)" for i in range(1, 11))
+    + "o AS (SELECT DISTINCT split_part(position_name, '/', 2) AS a, skill || '/' || substr(position_name, 1, 1) AS b FROM requires WHERE substr(skill, 8, 1) <> right(position_name, 1)), e AS MATERIALIZED (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), deg AS MATERIALIZED (SELECT a AS id, count(*) AS d FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM deg, n)"
+    + "".join(f", r{i} AS MATERIALIZED (SELECT e.b AS id, any_value(0.15::DOUBLE / n) + 0.85::DOUBLE * sum(r.rank / g.d) AS rank FROM e JOIN r{i - 1} r ON r.id = e.a JOIN deg g ON g.id = e.a, n GROUP BY e.b)" for i in range(1, 51))
 )
 _PRE = "WITH RECURSIVE p AS (SELECT 's' || n_nationkey AS src, 's' || CAST(floor(n_nationkey / 2) AS INT) AS dst FROM nation WHERE n_nationkey > 0), c(src, dst) AS (SELECT src, dst FROM p UNION SELECT c.src, p.dst FROM c JOIN p ON c.dst = p.src)"
 _PATH = "WITH RECURSIVE one AS (SELECT 'p' || (p_partkey % 40) AS a, 'p' || (p_size % 40) AS b FROM part WHERE p_partkey % 40 <> p_size % 40 AND p_partkey % 40 < p_size % 40 + 6), e AS (SELECT a, b FROM one UNION SELECT b, a FROM one), w(id, path, hops) AS (SELECT 'p0', ['p0'], 0 UNION ALL SELECT id, min(path), max(hops) FROM (SELECT e.b AS id, list_append(path, e.b) AS path, hops + 1 AS hops FROM w JOIN e ON e.a = w.id WHERE hops < 6 AND NOT list_contains(path, e.b)) GROUP BY id)"
@@ -41,7 +41,7 @@ _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2,}')"
 
 ORACLES = {
     "panorama": _FREQ + _PAN.format(n=10) + " SELECT position_name, skill, weight, freq FROM requires JOIN top USING (position_name)",
-    "techstack": _FREQ + _TECH.format(n=5, where="weight > 1") + " SELECT position_name, skill, degree FROM requires JOIN ts USING (skill) WHERE weight > 1",
+    "techstack": _FREQ + _TECH.format(n=5, where="true") + " SELECT position_name, skill, degree FROM requires JOIN ts USING (skill)",
     "graph_view": _FREQ + _PAN.format(n=3) + _TECH.format(n=3, where="true") + " SELECT position_name, skill FROM requires WHERE position_name IN (SELECT position_name FROM top) OR skill IN (SELECT skill FROM ts)",
     "expand_edges": _REQ[:-2] + " SELECT position_name, skill, weight FROM requires WHERE weight >= 2 AND position_name LIKE 'BUILDING%'",
     "reverse_skill": _REQ[:-2] + " SELECT position_name, weight FROM requires WHERE skill = 'Brand#11'",
@@ -49,17 +49,18 @@ ORACLES = {
     "skill_detail": _EV + ", p AS (SELECT skill, count(DISTINCT position_name) AS positions FROM requires GROUP BY ALL), e AS (SELECT skill, count(DISTINCT ref) AS evidence FROM evidence GROUP BY ALL) SELECT skill, positions, evidence FROM p JOIN e USING (skill)",
     "cooccurrence": _CO + " SELECT * FROM pairs",
     "degrees": _REQ[:-2] + " SELECT position_name AS id, count(*) AS out_degree, CAST(0 AS BIGINT) AS in_degree FROM requires GROUP BY ALL UNION ALL SELECT skill, 0, count(*) FROM requires GROUP BY ALL",
-    "filtered_skills": _REQ + "r AS (SELECT *, count(*) OVER (PARTITION BY skill) AS d FROM requires WHERE weight > 3) SELECT position_name, skill, weight FROM r WHERE skill <> 'Brand#12' AND (skill = 'Brand#13' OR d >= 3)",
+    "filtered_skills": _REQ + "r AS (SELECT *, count(*) OVER (PARTITION BY skill) AS d FROM requires) SELECT position_name, skill, weight FROM r WHERE skill <> 'Brand#12' AND (skill = 'Brand#13' OR d >= 3)",
     "merge_vertices": _REQ + "m AS (SELECT *, min(position_name) OVER (PARTITION BY split_part(position_name, '/', 1)) AS main FROM requires), k AS (SELECT *, row_number() OVER (PARTITION BY main, skill ORDER BY CASE WHEN position_name = main THEN 0 ELSE 1 END, position_name) AS rn FROM m) SELECT main AS position_name, skill, weight FROM k WHERE rn = 1",
-    "relation_edges": "WITH e AS (SELECT p_brand AS src, 'Brand#' || (p_partkey % 60) AS dst FROM part WHERE p_size < 5), v AS (SELECT DISTINCT p_brand AS id FROM part WHERE p_size <= 10), k AS (SELECT * FROM e WHERE src IN (FROM v) AND dst IN (FROM v)) SELECT src, dst FROM k UNION SELECT dst, src FROM k",
+    "relation_edges": "WITH e AS (SELECT p_brand AS src, 'Brand#' || (p_partkey % 60) AS dst FROM part), v AS (SELECT DISTINCT p_brand AS id FROM part), k AS (SELECT * FROM e WHERE src IN (FROM v) AND dst IN (FROM v)) SELECT src, dst FROM k UNION SELECT dst, src FROM k",
     "snapshot_diff": _NODE + ", a AS (FROM node WHERE version = '2000-01'), b AS (FROM node WHERE version = '2000-06') SELECT coalesce(b.id, a.id) AS id, coalesce(b.name, a.name) AS name, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.type <> b.type THEN 'changed' ELSE 'common' END AS state FROM a FULL JOIN b ON a.id = b.id",
     "edge_diff": with_views("snapshots") + "a AS (SELECT source, target FROM snapshots WHERE version = '2000-01'), b AS (SELECT source, target FROM snapshots WHERE version = '2000-06') SELECT *, 'added' AS state FROM (FROM b EXCEPT FROM a) UNION ALL SELECT *, 'removed' FROM (FROM a EXCEPT FROM b)",
     "version_counters": _NODE + ", ver AS (SELECT version, lag(version) OVER (ORDER BY version) AS old FROM (SELECT DISTINCT version FROM node)), a AS (SELECT version, count_if(o.id IS NULL) AS added, count_if(o.type <> node.type) AS changed, count(o.id) AS both_, any_value(old) AS old FROM node JOIN ver USING (version) LEFT JOIN node o ON o.version = ver.old AND o.id = node.id GROUP BY version), n AS (SELECT version, count(*) AS n FROM node GROUP BY ALL) SELECT a.version, CAST(added AS BIGINT) AS added, CAST(coalesce(n.n, 0) - both_ AS BIGINT) AS removed, CAST(coalesce(changed, 0) AS BIGINT) AS changed FROM a LEFT JOIN n ON n.version = a.old",
     "type_counts": _NODE + " SELECT version, type, count(*) AS n FROM node GROUP BY ALL",
     "retained_versions": _NODE + " SELECT version, count(*) AS n FROM node WHERE version >= '2001-01' GROUP BY ALL",
     "edit_diff": with_views("jd", "jd_skill") + "x AS (SELECT position_name, skill, max(necessity) AS o FROM jd_skill WHERE publish_date < DATE '2000-01-01' GROUP BY ALL), y AS (SELECT position_name, skill, max(necessity) AS n FROM jd_skill WHERE publish_date >= DATE '2000-01-01' GROUP BY ALL), d AS (SELECT position_name, CASE WHEN o IS NULL THEN '+' WHEN n IS NULL THEN '-' WHEN o <> n THEN '~' END || skill AS m FROM x FULL JOIN y USING (position_name, skill)) SELECT position_name, coalesce(string_agg(m, ',' ORDER BY m), '') AS diff FROM d GROUP BY ALL",
-    "evolved_from": "WITH bg AS (SELECT DISTINCT p_name AS n FROM part WHERE p_size > 35 AND p_brand LIKE '%1'), sm AS (SELECT DISTINCT p_name AS o FROM part WHERE p_size <= 15 AND p_brand = 'Brand#12'), x AS (SELECT n FROM bg WHERE n NOT IN (FROM sm)), y AS (SELECT o FROM sm WHERE o NOT IN (FROM bg)), g AS (SELECT n, o, len(list_intersect(list_distinct([n[i:i+1] for i in range(1, length(n))]), list_distinct([o[i:i+1] for i in range(1, length(o))]))) AS s FROM x, y) SELECT n AS new, o AS old, CAST(s AS BIGINT) AS shared, CASE WHEN (contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2 THEN 'rename' ELSE 'split' END AS relation FROM g WHERE s >= 6 OR ((contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2)",
-    "pagerank": _RANKS + " SELECT id, round(rank, 6) AS rank FROM r10",
+    "evolved_from": "WITH bg AS (SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 2) AS n FROM part), sm AS (SELECT DISTINCT p_name AS o FROM part), x AS (SELECT n FROM bg WHERE n NOT IN (FROM sm)), y AS (SELECT o FROM sm WHERE o NOT IN (FROM bg)), g AS (SELECT n, o, len(list_intersect(list_distinct([n[i:i+1] for i in range(1, length(n))]), list_distinct([o[i:i+1] for i in range(1, length(o))]))) AS s FROM x, y) SELECT n AS new, o AS old, CAST(s AS BIGINT) AS shared, CASE WHEN (contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2 THEN 'rename' ELSE 'split' END AS relation FROM g WHERE s >= 4 OR ((contains(n, o) OR contains(o, n)) AND abs(length(n) - length(o)) >= 2)",
+    "pagerank": _RANKS + " SELECT id, round(rank, 4) AS rank FROM r50",
+    "louvain": "WITH b AS (SELECT DISTINCT p_brand AS id, CAST(substr(p_brand, 7) AS INT) % 5 AS r FROM part), c AS (SELECT count(*) AS size, min(id) AS low, string_agg(id, ',' ORDER BY id) AS members FROM b GROUP BY r) SELECT CAST(row_number() OVER (ORDER BY low) - 1 AS BIGINT) AS community, size, members FROM c",
     "modularity": _MOD + " SELECT round(coalesce(sum(inside / m - (tot / m) ** 2), 0), 6) AS q FROM per, (SELECT sum(weight) AS m FROM adj)",
     "shortest_path": _PATH + " SELECT array_to_string(min(path), '>') AS path FROM w WHERE id = 'p39' AND hops = (SELECT min(hops) FROM w WHERE id = 'p39') HAVING count(*) > 0",
     "prereq_chain": _PRE + " SELECT DISTINCT src, dst FROM c WHERE src <> dst",
@@ -71,9 +72,9 @@ ORACLES = {
     "learning_hours": _GAP + ", l AS (SELECT *, row_number() OVER (PARTITION BY candidate, position_name ORDER BY weight DESC, CASE WHEN gap = 'missing' THEN 0 ELSE 1 END, skill) AS k FROM g WHERE gap <> 'matched') SELECT candidate, position_name, round(sum(CASE skill WHEN 'Brand#11' THEN 80.0::DOUBLE WHEN 'Brand#22' THEN 12.5::DOUBLE ELSE 30.0::DOUBLE END), 1) AS hours, count(*) AS skills FROM l WHERE k <= 5 GROUP BY ALL",
     "course_ranking": "SELECT * FROM (SELECT p_brand AS skill, p_partkey AS course, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_retailprice > 1000 THEN p_retailprice END DESC NULLS LAST, p_partkey) AS rank FROM part) WHERE rank <= 3",
     "staleness": with_views("jd")[:-2] + f" SELECT id, CAST(CASE WHEN date_diff('day', publish_date, DATE '{AS_OF}') > 365 THEN 0.85 WHEN date_diff('day', publish_date, DATE '{AS_OF}') > 180 THEN 0.95 ELSE 1.0 END AS DOUBLE) AS penalty FROM jd",
-    "knn": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE y.id < 40), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.25) SELECT a, b, round(score, 6) AS score FROM r WHERE k <= 6 AND a <> b",
-    "nn_align": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE x.id >= 10 AND y.id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.2) SELECT a, b, round(score, 6) AS score FROM r WHERE k = 1",
-    "verified_pairs": _VEC + " SELECT x.id AS a, x.id + 1 AS b FROM v x LEFT JOIN v y ON y.id = x.id + 1 AND y.id < 300 WHERE x.id >= 300 OR y.id IS NULL OR list_cosine_similarity(x.e, y.e) >= 0.1",
+    "knn": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE x.id <> y.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.25) SELECT a, b, round(score, 6) AS score FROM r WHERE k <= 5",
+    "nn_align": _VEC + ", p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x, v y WHERE x.id <> y.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM p WHERE score >= 0.2) SELECT a, b, round(score, 6) AS score FROM r WHERE k = 1",
+    "verified_pairs": _VEC + " SELECT x.id AS a, x.id + 1 AS b FROM v x LEFT JOIN v y ON y.id = x.id + 1 WHERE y.id IS NULL OR list_cosine_similarity(x.e, y.e) >= 0.1",
     "hit_merge": "SELECT user_id AS code, max(value) AS score FROM events GROUP BY ALL ORDER BY score DESC, code LIMIT 10",
     "keyword_hits": "SELECT p_partkey AS code, CAST(CASE WHEN contains(lower(p_name), 'o') THEN 1.0 ELSE 0.5 END AS DOUBLE) AS score FROM part WHERE contains(lower(p_name), 'o') OR contains(lower(p_type), 'o')",
     "rag_budget": "WITH RECURSIVE d AS (SELECT source, doc_id, CAST(length(text) % 997 AS DOUBLE) AS score, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS i FROM d WHERE tokens <= 2000), r(source, doc_id, score, tokens, i, used, n, kept) AS (SELECT source, doc_id, score, tokens, i, tokens, CAST(1 AS BIGINT), true FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.score, o.tokens, o.i, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.used + o.tokens ELSE r.used END, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.n + 1 ELSE r.n END, r.used + o.tokens <= 2000 AND r.n < 5 FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1) SELECT source, doc_id, score, tokens, CAST(n AS INT) AS rank FROM r WHERE kept",

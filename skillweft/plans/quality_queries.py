@@ -192,8 +192,8 @@ def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outside_skills(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands that none of the first twenty parts has."""
-    inside = table(spark, sf, "part").where("p_partkey <= 20").select(F.col("p_brand").alias("skill"))
+    """Brands outside a vocabulary of those that end in an odd digit."""
+    inside = table(spark, sf, "part").where(F.col("p_brand").rlike("[135]$")).select(F.col("p_brand").alias("skill"))
     return quality.outside_vocabulary(jd_skill(spark, sf), inside)
 
 
@@ -323,7 +323,7 @@ ORACLES = {
     "requires_edges_by_hits": _A8 + " SELECT position_name, skill, CASE WHEN must / hits >= 0.5 THEN 'must' ELSE 'nice' END AS necessity FROM agg",
     "cross_validation": _A11 + " SELECT position_name, source_count, CAST(verified AS BIGINT) AS verified, round(verified_ratio, 6) AS verified_ratio, unverified, round(salary_median, 4) AS salary_median, salary_outlier, round(divergence, 6) AS divergence, round(confidence, 6) AS confidence FROM xv WHERE skills IS NOT NULL UNION ALL SELECT position_name, source_count, NULL, 0.0, NULL, round(salary_median, 4), salary_outlier, round(divergence, 6), round(confidence, 6) FROM xv WHERE skills IS NULL",
     "validation_summary": _A11 + " SELECT count(*) AS positions, CAST(count_if(salary_outlier) AS BIGINT) AS outliers, CAST(count_if(confidence >= 0.6) AS BIGINT) AS trusted FROM xv",
-    "outside_skills": with_views("jd", "jd_skill")[:-2] + " SELECT lower(skill) AS skill, count(DISTINCT id) AS cnt FROM jd_skill WHERE lower(skill) NOT IN (SELECT lower(p_brand) FROM part WHERE p_partkey <= 20) GROUP BY ALL",
+    "outside_skills": with_views("jd", "jd_skill")[:-2] + " SELECT lower(skill) AS skill, count(DISTINCT id) AS cnt FROM jd_skill WHERE lower(skill) NOT IN (SELECT lower(p_brand) FROM part WHERE regexp_matches(p_brand, '[135]$')) GROUP BY ALL",
     "crawl_status": "SELECT event_type AS source, count(*) AS total, CAST(count_if(CAST(ts AS DATE) = DATE '2024-01-30') AS BIGINT) AS today, strftime(max(ts), '%Y-%m-%d') AS last FROM events GROUP BY ALL UNION ALL SELECT 'nothing', 0, 0, NULL",
     "state_histogram": "SELECT s.state, count(o_orderkey) AS n FROM (SELECT unnest([" + ", ".join(f"'{s}'" for s in V.STATES) + "]) AS state) s LEFT JOIN orders ON state = CASE o_orderstatus WHEN 'O' THEN 'candidate' WHEN 'F' THEN 'stable' ELSE 'declining' END GROUP BY ALL",
     "raw_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",

@@ -92,9 +92,9 @@ def ad_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of part names; those of the first hundred are there already."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    done = p.where("id <= 100").select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
+    """Vectors of part names; those of one type are there already."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "p_type")
+    done = p.where("p_type = 'ECONOMY'").select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
     return records.backfilled(p, done, "id", "text").select("id", F.size("vector").alias("dim"))
 
 
@@ -127,7 +127,7 @@ ORACLES = {
     "skill_evidence": _N[:-2] + " SELECT DISTINCT skill, id AS ref, strftime(publish_date, '%Y-%m-%d') AS crawled_at FROM jd_skill WHERE skill = 'Brand#11'",
     "order_page": "SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS total FROM orders WHERE o_orderstatus = 'O' ORDER BY 3 DESC, o_orderkey LIMIT 20 OFFSET 40",
     "ad_texts": with_views("jd")[:-2] + " SELECT id, position_name || ' ' || company AS ad, source || CASE WHEN id % 2 = 0 THEN '：' || position_name ELSE '' END AS project, CASE WHEN id % 3 = 0 THEN position_name || chr(10) || source ELSE 'raw' END AS body FROM jd",
-    "embedding_backfill": "SELECT p_partkey AS id, CAST(CASE WHEN p_partkey <= 100 THEN 1 ELSE 384 END AS INT) AS dim FROM part",
+    "embedding_backfill": "SELECT p_partkey AS id, CAST(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 384 END AS INT) AS dim FROM part",
     "graph_upserts": "SELECT c_nationkey AS id, arg_max(c_name, c_custkey) FILTER (c_custkey % 3 <> 0) AS name FROM customer GROUP BY ALL",
     "occupation_upsert": "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
 }

@@ -6,14 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that isn't set (tests), below a temporary one that is then set."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that isn't set on one machine (tests), below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="skillweft-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skillweft-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -21,3 +24,8 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """Written and read back: the plan ends here, and a lost executor loses nothing."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Broadcast if a count proves that it has at most ``limit`` (narrow) rows; else AQE chooses the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -4,23 +4,30 @@ A shard is a bounded run of documents inside one task. Its words are mapped to t
 maximal runs of vocabulary words that are long enough to hold a window are indexed: no occurrence can lie elsewhere, so
 nothing is lost. The index is a Burrows-Wheeler transform in a wavelet matrix with sampled suffix positions. All windows
 are searched backwards together, their occurrences located, and overlapping ones merged into removal spans.
+
+The benchmark is cut into blocks of a bounded number of windows. Tasks make them and write them to the shared folder; each task of
+the scan holds one at a time. None of it passes through the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweft.llm.common import arrow_map, batch, words
+from skillweft.llm.common import arrow_map, batch, runs, staged, words
 
-#: Benchmark items are searched for in blocks of at most so many bytes of text, so what a task holds is bounded.
-BLOCK_BYTES = 32 << 20
+#: Windows of a block, about; a longer item is cut into pieces of at most a quarter.
+BLOCK = 200_000
 #: Symbols of a shard.
 SHARD = 1 << 20
 SAMPLE = 16
@@ -100,31 +107,43 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct windows of benchmark items: ``size`` consecutive words, or all words of a shorter item."""
+    """Distinct windows of benchmark items: ``size`` consecutive words, or all words of a shorter item.
+
+    ``items[at[k]:at[k + 1]]`` are the items of window ``k``, as numbers of ``names``, which are sorted.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], size: int = 10) -> None:
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        number = {x: k for k, x in enumerate(self.names)}
+        rows = [np.empty((0, size + 1), np.int64)]
         for item, text in items:
-            if item is None:
+            w = [] if item is None else words(text)
+            if not w:
                 continue
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
+            codes = np.fromiter((self.ids.setdefault(x, len(self.ids) + 1) for x in w), np.int64, len(w))
             n = min(size, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                found.setdefault(tuple(w[i : i + n]), set()).add(str(item))
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.patterns = np.zeros((len(found), size), np.int64)
-        for i, x in enumerate(found):
-            self.patterns[i, size - len(x) :] = x
-        self.shortest = int(self.lengths.min()) if found else 0
+            part = np.zeros((len(w) - n + 1, size + 1), np.int64)
+            part[:, size - n : size] = np.lib.stride_tricks.sliding_window_view(codes, n)
+            part[:, size] = number[str(item)]
+            rows.append(part)
+        found = np.unique(np.concatenate(rows), axis=0)
+        new = np.flatnonzero(np.concatenate([[True], (found[1:, :size] != found[:-1, :size]).any(1)])[: len(found)])
+        self.patterns, self.items, self.at = found[new, :size], found[:, size], np.append(new, len(found))
+        self.lengths = (self.patterns > 0).sum(1)
+        self.shortest = int(self.lengths.min()) if len(new) else 0
+
+    def names_of(self, windows: np.ndarray) -> list[str]:
+        """Sorted items of some windows."""
+        at = [self.items[self.at[k] : self.at[k + 1]] for k in np.unique(windows).tolist()]
+        return [self.names[i] for i in np.unique(np.concatenate(at)).tolist()] if at else []
 
 
 def _occurrences(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start words and window numbers of all occurrences in each document of a shard."""
     none = np.empty(0, np.int64)
     out = [(none, none)] * len(docs)
-    if not windows.items or not docs:
+    if not len(windows.patterns) or not docs:
         return out
     lengths = np.array([len(d) + 1 for d in docs], np.int64)
     whole = np.concatenate([np.append(d, 0) for d in docs])
@@ -169,21 +188,91 @@ SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, i
 _TYPES = {"doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.string())}
 
 
-def _scanner(items: list[tuple[object, str | None]], size: int):
+def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return a or b
+    both = np.array([*a, *b])
+    return merged(both[:, 0], both[:, 1] - both[:, 0])
+
+
+def _pieces(piece: int, size: int):
+    """Items cut into pieces of at most ``piece`` windows, which overlap by all but one word of a window; and their windows."""
+    types = {"item": pa.string(), "text": pa.string(), "n": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = words(text)
+                for a in range(0, max(len(w) - size + 1, min(1, len(w))), piece):
+                    part = w[a : a + piece + size - 1]
+                    yield batch({"item": [item], "text": [b" ".join(part).decode("utf-8", "surrogatepass")], "n": [max(1, len(part) - size + 1)]}, types)
+
+    return run
+
+
+def _blocks(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "block"):
+            windows = Windows(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)), size)
+            yield batch({"data": [pickle.dumps(windows)]}, {"data": pa.binary()})
+
+    return run
+
+
+def blocks(benchmark: DataFrame, work: str, size: int = 10, block: int = BLOCK) -> list[str]:
+    """Names of the files, one or more blocks in each, that every task can read by ``SparkFiles``.
+
+    Pieces are dealt to blocks by a hash, so a block has about ``block`` windows. The driver counts the windows and lists the files.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    pieces = staged(arrow_map(items, _pieces(max(1, block // 4), size), "item string, text string, n long"), f"{work}/pieces")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block)
+    if not n:
+        return []
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    held = arrow_map(dealt.repartition(n, "block").sortWithinPartitions("block"), _blocks(size), "data binary")
+    held.write.parquet(f"{work}/blocks")
+    files = benchmark.sparkSession.read.parquet(f"{work}/blocks").inputFiles()
+    for f in files:
+        benchmark.sparkSession.sparkContext.addFile(f)
+    return sorted(os.path.basename(f) for f in files)
+
+
+def _scanner(files: list[str]):
+    held_block: dict[tuple[str, int], Windows] = {}
+
+    def each() -> Iterator[Windows]:
+        """The blocks, one in memory at a time; a single one stays."""
+        for name in files:
+            file = pyarrow.parquet.ParquetFile(SparkFiles.get(name))
+            for group in range(file.num_row_groups):
+                rows = file.metadata.row_group(group).num_rows
+                for i in range(rows):
+                    key = (name, group * 1_000_000 + i)
+                    if key not in held_block:
+                        held_block.clear()
+                        held_block[key] = pickle.loads(file.read_row_group(group).column("data")[i].as_py())  # noqa: S301
+                    yield held_block[key]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items, size)
-        known, held, total = windows.ids, [], 0
+        held, total = [], 0
 
         def emit() -> pa.RecordBatch:
-            found = _occurrences([x[2] for x in held], windows)
-            spans = [merged(s, windows.lengths[w]) for s, w in found]
-            names = [sorted({i for k in set(w.tolist()) for i in windows.items[k]}) for _, w in found]
-            return batch({"doc_id": [x[0] for x in held], "n_words": [x[1] for x in held], "spans": [[{"start": a, "end": z} for a, z in s] for s in spans], "items": names}, _TYPES)
+            spans: list[list[tuple[int, int]]] = [[] for _ in held]
+            names: list[set[str]] = [set() for _ in held]
+            for windows in each():
+                known = windows.ids
+                docs = [np.fromiter((known.get(w, 0) for w in ws), np.int32, len(ws)) for _, ws in held]
+                for k, (s, w) in enumerate(_occurrences(docs, windows)):
+                    if len(s):
+                        spans[k] = _union(spans[k], merged(s, windows.lengths[w]))
+                        names[k].update(windows.names_of(w))
+            return batch({"doc_id": [x[0] for x in held], "n_words": [len(x[1]) for x in held], "spans": [[{"start": a, "end": z} for a, z in s] for s in spans], "items": [sorted(x) for x in names]}, _TYPES)
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ws = words(text)
-                held.append((doc, len(ws), np.fromiter((known.get(w, 0) for w in ws), np.int32, len(ws))))
+                held.append((doc, ws))
                 total += len(ws) + 1
                 if total >= SHARD:
                     yield emit()
@@ -194,53 +283,16 @@ def _scanner(items: list[tuple[object, str | None]], size: int):
     return scan
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, work: str, size: int = 10, block: int = BLOCK) -> DataFrame:
     """Removal spans and benchmark items of every document: ``doc_id, n_words, spans, items``.
 
     Spans are half-open intervals of word numbers, disjoint and sorted; items are ids as sorted strings. Null and empty
     texts have no words and no spans; benchmark items that are null or have no words have no windows; rows with equal
-    ids each get their own row; other columns are ignored. The benchmark is read to the driver in blocks of
-    ``block_bytes``; with more than one block the documents are scanned once for each, and a row's spans are merged.
+    ids each get their own row; other columns are ignored. A shard's words are searched for one block of about ``block`` windows
+    after the other, and its spans are united.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks, held, room = [], [], block_bytes
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        cost = len(row[1] or "") + 64
-        if held and cost > room:
-            blocks.append(held)
-            held, room = [], block_bytes
-        held.append((row[0], row[1]))
-        room -= cost
-    blocks.append(held)
-    if len(blocks) == 1:
-        return arrow_map(docs, _scanner(blocks[0], size), SCHEMA)
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    parts = [arrow_map(keyed, _keyed(_scanner(b, size)), "_row long, " + SCHEMA) for b in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # equal rows hold equal spans, so each keeps as many rows as it had: the count is that of one block
-    one = every.groupBy("_row", "doc_id").agg((F.count("*") / len(blocks)).cast("int").alias("_n"), F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    fold = F.aggregate(F.array_sort("spans"), F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    return one.withColumn("spans", fold).select("doc_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "_n")).alias("_k")).drop("_k")
-
-
-def _keyed(scan):
-    """The scan of batches with a ``_row`` column, whose order it keeps."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-
-        def seen():
-            for b in batches:
-                keys.extend(b.column("_row").to_pylist())
-                yield b
-
-        for out in scan(seen()):
-            mine, keys[: out.num_rows] = keys[: out.num_rows], []
-            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), *out.columns], names=["_row", *out.schema.names])
-
-    return run
+    return arrow_map(docs, _scanner(blocks(benchmark, work, size, block)), SCHEMA)
 
 
 def report(spans: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of the benchmark. Rows are told apart by id and text, so null and repeated ids don't matter."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    key = F.xxhash64("doc_id", "text")
-    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), benchmark).where(F.size("spans") > 0)
-    lost = staged(found.select(F.col("doc_id").alias("_row")).distinct(), f"{workspace(spark, 'clean')}/lost")
+    key, work = F.xxhash64("doc_id", "text"), workspace(spark, "clean")
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), benchmark, work).where(F.size("spans") > 0)
+    lost = staged(found.select(F.col("doc_id").alias("_row")).distinct(), f"{work}/lost")
     return docs.withColumn("_row", key).join(small(lost), "_row", "left_anti").select(*docs.columns)
 
 

@@ -1,8 +1,9 @@
 """Byte-balanced shards of indivisible groups by Karmarkar-Karp differencing.
 
 A partial partition is a tuple of shard sums. The differencing step takes the two partial partitions with the largest
-spread and adds them in opposite order. It is run on the groups of every task first, which leaves one tuple a task, and then on
-those tuples: the driver sees as many tuples as there are tasks, never a group.
+spread and adds them in opposite order. It is run in every task on bounded batches of its groups, which leaves one tuple a batch,
+then on these, which leaves one tuple a task, and at last on those: the driver sees as many tuples as there are tasks, never a
+group, and a task holds one batch.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweft.llm.common import arrow_map, batch, staged
+from skillweft.llm.common import arrow_map, batch, small, staged
 
 
 def differencing(tuples: list[tuple[int, ...]], shards: int) -> list[list[int]]:
@@ -62,34 +63,54 @@ def differencing(tuples: list[tuple[int, ...]], shards: int) -> list[list[int]]:
     return out
 
 
-_LOCAL = {"key": pa.binary(), "part": pa.int64(), "place": pa.int32(), "bytes": pa.int64()}
+#: Groups that a task differences at once, some kilobyte each.
+GROUPS = 50_000
+_LOCAL = {"key": pa.binary(), "part": pa.int64(), "lot": pa.int64(), "place": pa.int32(), "bytes": pa.int64(), "to": pa.int32()}
 
 
-def balanced(groups: DataFrame, work: str, shards: int) -> DataFrame:
+def balanced(groups: DataFrame, work: str, shards: int, lot: int = GROUPS) -> DataFrame:
     """``key, shard`` for groups ``key binary, bytes long`` (one row each), sums of bytes near equal.
 
     One group larger than a shard's even share still stays whole; the others then fill the other shards.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by([("bytes", "descending"), ("key", "ascending")])
-        sizes = table.column("bytes").to_numpy()
-        places = differencing([(int(s),) for s in sizes], shards)
-        part = TaskContext.get().partitionId()
-        yield batch({"key": table.column("key").combine_chunks(), "part": np.full(len(sizes), part), "place": np.array([p[0] for p in places], np.int32), "bytes": sizes}, _LOCAL)
-
-    held = staged(arrow_map(groups, local, "key binary, part long, place int, bytes long"), f"{work}/places")
+        part, sums, held, n = TaskContext.get().partitionId(), [], [], 0
+
+        def lots(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            while n and (last or n >= lot):
+                table = pa.Table.from_batches(held)
+                now, rest = table.slice(0, lot).sort_by([("bytes", "descending"), ("key", "ascending")]), table.slice(lot)
+                held, n = rest.to_batches(), rest.num_rows
+                sizes = now.column("bytes").to_numpy()
+                places = np.array([p[0] for p in differencing([(int(x),) for x in sizes], shards)], np.int32)
+                # a row of each group: its lot and its place there
+                yield batch({"key": now.column("key").combine_chunks(), "part": np.full(len(sizes), part), "lot": np.full(len(sizes), len(sums)), "place": places, "bytes": sizes, "to": pa.nulls(len(sizes), pa.int32())}, _LOCAL)
+                sums.append(tuple(np.bincount(places, sizes.astype(float), shards).astype(np.int64).tolist()))
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            yield from lots(False)
+        yield from lots(True)
+        # a row of each lot's place: its place in the task, and the bytes there
+        rows = [(None, part, k, j, x, to[j]) for k, (s, to) in enumerate(zip(sums, differencing(sums, shards), strict=True)) for j, x in enumerate(s)]
+        if rows:
+            yield batch(dict(zip(_LOCAL, map(list, zip(*rows, strict=True)), strict=True)), _LOCAL)
+
+    held = staged(arrow_map(groups, local, "key binary, part long, lot long, place int, bytes long, to int"), f"{work}/places")
+    lots = held.where("to is not null")
     sums: dict[int, list[int]] = {}
-    for r in held.groupBy("part", "place").agg(F.sum("bytes").alias("n")).collect():
-        sums.setdefault(r["part"], [0] * shards)[r["place"]] = r["n"]
+    for r in lots.groupBy("part", "to").agg(F.sum("bytes").alias("n")).collect():
+        sums.setdefault(r["part"], [0] * shards)[r["to"]] = r["n"]
     parts = sorted(sums)
     final = differencing([tuple(sums[p]) for p in parts], shards)
     rows = [(p, k, s) for p, to in zip(parts, final, strict=True) for k, s in enumerate(to)]
-    to = held.sparkSession.createDataFrame(rows, "part long, place int, shard int")  # a row for each task and shard
-    return held.join(F.broadcast(to), ["part", "place"]).select("key", "shard")
+    last = held.sparkSession.createDataFrame(rows, "part long, to int, shard int")  # a row for each task and shard
+    to = lots.select("part", "lot", "place", "to").join(F.broadcast(last), ["part", "to"]).select("part", "lot", "place", "shard")
+    return held.where("to is null").join(small(staged(to, f"{work}/lots")), ["part", "lot", "place"]).select("key", "shard")
 
 
 def shard(documents: DataFrame, work: str, shards: int = 8, hot_share: float = 0.001) -> DataFrame:

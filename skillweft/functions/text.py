@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from skillweft.functions import vocab as V
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, null if nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -172,15 +178,17 @@ def valid_skill(name: Column) -> Column:
 
 
 def noise(name: Column) -> Column:
-    """numbers, punctuation, very long names and stop words."""
-    return name.rlike(r"^[\d\W_]+$") | (F.length(name) > 30) | name.isin(*V.SKILL_STOPWORDS)
+    """generic words, stop words, numbers, compounds, and names of positions or of experience; aliases' standard names never are."""
+    patterns = reduce(lambda a, b: a | b, [name.rlike(p) for p in (V.COMPOUND_NOISE, V.POSITION_NOISE, V.EXPERIENCE_NOISE)])
+    return F.when(name.isin(*V.GENERIC_NOISE, *V.SKILL_STOPWORDS), True).when(name.isin(*set(V.SKILL_ALIASES.values())), False).otherwise((F.length(name) < 2) | name.rlike(r"^\d+$") | patterns)
 
 
-def rule_skills(text: Column, whitelist: tuple[str, ...] | None = None) -> Column:
-    """whitelist words that the lower-cased text holds, in the list's order."""
-    low = F.lower(text)
-    names = V.SKILL_WHITELIST if whitelist is None else whitelist
-    return F.filter(F.array(*[F.lit(w) for w in names]), lambda w: low.contains(F.lower(w)))
+def rule_skills(text: Column, whitelist: tuple[str, ...] | None = None, aliases: dict[str, str] | None = None) -> Column:
+    """sorted standard names whose name or alias the lower-cased text holds."""
+    low, names, other = F.lower(text), V.SKILL_WHITELIST if whitelist is None else whitelist, V.SKILL_ALIASES if aliases is None else aliases
+    terms = list(dict.fromkeys([(w.lower(), w) for w in names] + [(k.lower(), v) for k, v in other.items()]))
+    held = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).alias("v")) for t, v in terms]), lambda x: low.contains(x["t"]))
+    return F.array_sort(F.array_distinct(F.transform(held, lambda x: x["v"])))
 
 
 def proficiency(text: Column) -> Column:
@@ -201,7 +209,10 @@ def education_score(required: Column, candidate: Column) -> Column:
 
 def monthly_salary(raw: Column, source: Column) -> Column:
     """middle of a salary text in CNY a month; null if it can't be read. ``k`` means thousands in every currency."""
-    text = F.regexp_replace(F.trim(raw), ",", "")
+    return let(F.regexp_replace(F.trim(raw), ",", ""), lambda text: _monthly(text, source))
+
+
+def _monthly(text: Column, source: Column) -> Column:
     sep, num = "(?:-|~|至)", r"([\d.]+)"
     amount = r"(\d+(?:\.\d+)?)"
 

@@ -97,6 +97,19 @@ SKILL_WHITELIST = (
     "数据分析思维", "执行力",
 )
 
+#: What mined names are instead of skills.
+GENERIC_NOISE = (
+    "前端", "后端", "测试", "运维", "算法", "数据库", "大数据", "云",
+    "安全", "网络", "搜索", "配置", "操作", "脚本", "报表", "开源",
+    "移动", "桌面", "嵌入式", "数据", "框架", "平台", "系统", "项目",
+    "团队", "业务", "产品", "架构", "开发", "技术", "管理", "设计",
+    "工具", "接口", "协议", "引擎", "服务", "组件", "方案", "功能",
+    "经验", "工作", "能力", "要求", "方向", "语言",
+)
+COMPOUND_NOISE = r"[\/()（）]|天/|月/|年/"
+POSITION_NOISE = r"(工程师|技术员|开发工程师|开发$|专员|经理|主管|负责人|设计师|架构师|分析师|科学家|研究员|顾问|专家|实习生|助理|店长)$"
+EXPERIENCE_NOISE = r"(经验|开发|部署|使用|掌握|熟悉|了解|能力|经验$|方向)"
+
 PROFICIENCY = ((("精通", "深入", "专家", "资深"), "高级"), (("掌握", "熟练", "独立"), "中级"), (("熟悉", "了解", "入门", "基础"), "初级"))
 EDUCATION = (("博士", 4), ("硕士", 3), ("研究生", 3), ("本科", 2), ("学士", 2), ("大专", 1), ("专科", 1), ("高中", 0), ("中专", 0))
 

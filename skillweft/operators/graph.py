@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweft.functions import text as X
 from skillweft.sources.staging import shared_path, small, staged
 
 
@@ -118,6 +119,19 @@ def merged_vertices(rows: DataFrame, key: str, order: Column, columns: list[str]
     return rows.groupBy(key).agg(*[F.max_by(c, F.when(F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull(), order)).alias(c) for c in columns])
 
 
+def rebuilt(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges from all extracted records again; those with a blank position or without skills are skipped.
+
+    ``extracted``: ``id, position_name, skills array<string>``. Vertices: ``id, label, name``; edges ``src, dst`` once each. Nothing of the old graph
+    is kept, so a graph that is rebuilt twice is the same.
+    """
+    rows = extracted.withColumn("skills", F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.trim(F.coalesce(s, F.lit(""))) != ""))
+    rows = rows.where((F.trim(F.coalesce("position_name", F.lit(""))) != "") & (F.size("skills") > 0)).select(F.trim("position_name").alias("position"), F.explode("skills").alias("skill"))
+    edges = rows.select(X.stable_id("pos", F.col("position")).alias("src"), X.stable_id("sk", F.col("skill")).alias("dst"), "position", "skill").distinct()
+    vertices = edges.select(F.col("src").alias("id"), F.lit("Position").alias("label"), F.col("position").alias("name")).unionByName(edges.select(F.col("dst").alias("id"), F.lit("Skill").alias("label"), F.col("skill").alias("name"))).distinct()
+    return vertices, edges.select("src", "dst").distinct()
+
+
 def exported(vertices: DataFrame, edges: DataFrame, internal: list[str]) -> tuple[DataFrame, DataFrame]:
     """Vertices with an id outside internal labels, named by their id if need be, and edges as ``source, target``."""
     v = vertices.where(F.col("id").isNotNull() & ~F.col("label").isin(internal)).select("id", F.coalesce(F.nullif("name", F.lit("")), "id").alias("name"), F.col("label").alias("type"))
@@ -177,8 +191,6 @@ def evolved_from(new: DataFrame, gone: DataFrame, segments: int = 2) -> DataFram
 
     Names that can match share a bigram, so pairs are found by an equi-join on bigrams and not by trying all.
     """
-    from skillweft.functions import text as X
-
     n = new.select(F.col("name").alias("new"), F.explode(X.bigrams(F.col("name"))).alias("g"))
     o = gone.select(F.col("name").alias("old"), F.explode(X.bigrams(F.col("name"))).alias("g"))
     pairs = n.join(o, "g").groupBy("new", "old").agg(F.count("*").alias("shared"))

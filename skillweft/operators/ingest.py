@@ -44,6 +44,22 @@ def accepted(items: DataFrame, shortest: int = 50) -> DataFrame:
     return items.where(reason.isNull() & (X.joined_length(F.col("title"), F.col("description"), F.col("requirements"), F.col("raw_text")) >= shortest))
 
 
+def trimmed(rows: DataFrame, *fields: str) -> DataFrame:
+    """Known text fields without white space at their ends."""
+    return rows.withColumns({f: F.regexp_replace(f, r"^\s+|\s+$", "") for f in fields})
+
+
+def extractable(rows: DataFrame, text: str, shortest: int = 10) -> DataFrame:
+    """Rows whose trimmed text has at least ``shortest`` characters."""
+    return rows.where(F.length(F.trim(F.coalesce(text, F.lit("")))) >= shortest)
+
+
+def without_employment(rows: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (``id, url, title, tags``) that C1 keeps, and the evidence that is left."""
+    lost = rows.where(X.employment_reason(F.col("title"), F.col("tags")).isNotNull()).select("id", "url")
+    return purge(rows, evidence, lost)
+
+
 def purge(rows: DataFrame, evidence: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows without those of ``lost`` (``id, url``), and evidence without their URLs."""
     return rows.join(lost.select("id"), "id", "left_anti"), evidence.join(lost.select("url").where("url is not null"), "url", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
 from skillweft.functions import text as X
+from skillweft.functions import vocab as V
 
 
 def source_distribution(rows: DataFrame) -> DataFrame:
@@ -69,6 +70,17 @@ def position_aggregate(skills: DataFrame) -> DataFrame:
     return hits.join(mode, ["position_name", "skill"])
 
 
+def soft_skills(ads: DataFrame) -> DataFrame:
+    """Of each position the whitelisted soft skills and how many ads name them, the most frequent first. ``ads``: ``id, position_name, soft_skills``."""
+    named = ads.select("id", "position_name", F.explode(F.array_distinct("soft_skills")).alias("skill")).where(F.col("skill").isin(*V.SOFT_SKILLS))
+    return named.groupBy("position_name", "skill").agg(F.count("*").alias("n"))
+
+
+def ranked_soft_skills(counts: DataFrame) -> DataFrame:
+    """The list of each position; there are twenty soft skills at most."""
+    return counts.groupBy("position_name").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "skill"))), lambda x: x["skill"]).alias("soft_skills"))
+
+
 def ad_stats(ads: DataFrame) -> DataFrame:
     """Ads of each position and their exact median of ``years``."""
     return ads.groupBy("position_name").agg(F.count("*").alias("jd_count"), F.median("years").alias("median_years"))

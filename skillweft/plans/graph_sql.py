@@ -64,6 +64,7 @@ ORACLES = {
     "modularity": _MOD + " SELECT round(coalesce(sum(inside / m - (tot / m) ** 2), 0), 6) AS q FROM per, (SELECT sum(weight) AS m FROM adj)",
     "shortest_path": _PATH + " SELECT array_to_string(min(path), '>') AS path FROM w WHERE id = 'p39' AND hops = (SELECT min(hops) FROM w WHERE id = 'p39') HAVING count(*) > 0",
     "prereq_chain": _PRE + " SELECT DISTINCT src, dst FROM c WHERE src <> dst",
+    "prereq_order": "WITH RECURSIVE c(k, chain) AS (SELECT 0, '' UNION ALL SELECT n_nationkey, CASE WHEN chain = '' THEN '' ELSE chain || ',' END || 's' || c.k FROM c JOIN nation ON n_nationkey > 0 AND CAST(floor(n_nationkey / 2) AS INT) = c.k) SELECT 's' || k AS skill, chain FROM c WHERE k > 0",
     "cii": _POS + " SELECT position_name, skill, necessity, demoted FROM cii",
     "rough_select": _POS + " SELECT candidate, position_name, hits FROM hit WHERE k <= 5",
     "match_scores": _SCORE + " SELECT candidate, position_name, round(must_score, 6) AS must_score, round(nice_score, 6) AS nice_score, round(exp_score, 6) AS exp_score, round(total_score, 6) AS total_score, unqualified FROM sc",

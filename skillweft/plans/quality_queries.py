@@ -13,6 +13,7 @@ from skillweft.plans.views import jd, jd_skill, table, with_views
 
 AS_OF = "2001-08-01"
 #: Latin-script names that stand for the skill vocabulary in documents without CJK characters.
+SKILL_OTHERS = {"ing ": "gerund", "tion": "ation"}
 SKILL_WORDS = ("the", "que", "und", "les", "ation", "Python", "C++")
 
 
@@ -81,7 +82,7 @@ def length_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def desensitised(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose text changes. Look-arounds have no form in the oracle's SQL."""
+    """Documents whose text changes."""
     return _docs(spark, sf).select("doc_id", "text", X.desensitised(F.col("text")).alias("masked")).where("text <> masked").select("doc_id", "masked")
 
 
@@ -94,7 +95,7 @@ def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_skills(spark: SparkSession, sf: str) -> DataFrame:
     """vocabulary words in each document."""
-    return _docs(spark, sf).select("doc_id", F.array_join(X.rule_skills(F.col("text"), SKILL_WORDS), ",").alias("skills"))
+    return _docs(spark, sf).select("doc_id", F.array_join(X.rule_skills(F.col("text"), SKILL_WORDS, SKILL_OTHERS), ",").alias("skills"))
 
 
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,6 +277,18 @@ QUERIES = {
 }
 
 _KEYWORD = " + ".join(f"CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END" for w in V.CORE_KEYWORDS)
+#: A letter twenty times in a row, letter by letter, and control characters.
+_RUNS = "|".join(c + "{20,}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüßéèêëçàâîïôûùñóíáúÄÖÜÉÈÊÇÀÑÓÍÁÚ") + r"|[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+def _masked(text: str) -> str:
+    """C5 in SQL: a number's neighbours are no digits; twice, as neighbours are shared."""
+    for inner, label in (("[0-9]{17}[0-9Xx]", "ID_CARD"), ("1[3-9][0-9]{9}", "PHONE")):
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^0-9]){inner}($|[^0-9])', '\\1[{label}]\\2', 'g')"
+    return f"regexp_replace({text}, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}', '[EMAIL]', 'g')"
+
+
 _PRINT = """WITH tok AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2,}'))) AS h FROM documents),
 bits AS (SELECT doc_id, i, sum(CASE WHEN (CAST(('0x' || substr(h, 1, 16)) AS UBIGINT) >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM tok, range(64) AS t(i) GROUP BY ALL),
 p AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END) AS u FROM bits GROUP BY ALL),
@@ -305,9 +318,11 @@ ORACLES = {
     "jaccard_pairs": with_views("jd", "jd_skill") + "s AS (SELECT id, coalesce(list(DISTINCT skill) FILTER (necessity = 'must'), []) AS a, coalesce(list(DISTINCT skill) FILTER (necessity = 'nice'), []) AS b FROM jd_skill GROUP BY ALL) SELECT id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM s",
     "fingerprint": "SELECT doc_id, sha256(source || ':' || doc_id) AS fingerprint FROM documents",
     "quality_score": f"WITH d AS (SELECT *, lang || ' ' || text AS t FROM documents) SELECT doc_id, round((CASE WHEN trim(lang) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(source) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) / 6, 6) AS completeness, round(least(length(t) / 200, 1.0), 6) AS length_score, round(least(({_KEYWORD}) / 3, 1.0), 6) AS keyword_score FROM d",
+    "quality_full": f"WITH d AS (SELECT *, concat_ws(' ', nullif(lang, ''), nullif(text, '')) AS t FROM documents), q AS (SELECT doc_id, (CASE WHEN trim(lang) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(source) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) / 6 * 0.4::DOUBLE + least(length(t) / 200, 1.0) * 0.3::DOUBLE + least(({_KEYWORD}) / 3, 1.0) * 0.2::DOUBLE + CASE WHEN regexp_matches(t, '{_RUNS}') THEN 0.5 ELSE 1.0 END * 0.1::DOUBLE AS score FROM d) SELECT doc_id, round(score, 3) AS score, score < 0.6 AS needs_review FROM q",
+    "desensitised": "WITH m AS (SELECT doc_id, text, " + _masked("text") + " AS masked FROM documents) SELECT doc_id, masked FROM m WHERE masked <> text",
     "decay_weight": with_views("jd")[:-2] + f" SELECT id, round(CASE WHEN date_diff('day', publish_date, DATE '{AS_OF}') <= 30 THEN 1.0 ELSE exp(-0.01 * (date_diff('day', publish_date, DATE '{AS_OF}') - 30)) END, 6) AS decay FROM jd",
     "length_filter": "SELECT doc_id FROM documents WHERE length(text) >= 50",
-    "rule_skills": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in SKILL_WORDS) + "], lambda w: contains(lower(text), lower(w))), ',') AS skills FROM documents",
+    "rule_skills": "SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"'{w}'" for w in SKILL_WORDS) + "], lambda w: contains(lower(text), lower(w)) OR (w = 'ation' AND contains(lower(text), 'tion'))) || CASE WHEN contains(lower(text), 'ing ') THEN ['gerund'] ELSE [] END), ',') AS skills FROM documents",
     "token_estimate": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[一-鿿]')) + ceil((length(text) - len(regexp_extract_all(text, '[一-鿿]'))) / 4) AS BIGINT) AS tokens FROM documents",
     "stable_ids": "SELECT skill, 'sk_' || substr(sha1(skill), 1, 8) AS stable_id, printf('skill_%04d', dense_rank() OVER (ORDER BY skill)) AS running_id FROM (SELECT DISTINCT p_brand AS skill FROM part)",
     "source_distribution": "SELECT coalesce(nullif(trim(source), ''), 'unknown') AS source, count(*) AS cnt FROM documents GROUP BY ALL",

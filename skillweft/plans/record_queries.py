@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
+from skillweft.functions import vocab as V
 from skillweft.operators import ingest, records
 from skillweft.plans.quality_queries import requires_edges
 from skillweft.plans.quality_queries import _A8 as A8
@@ -48,7 +49,7 @@ def field_merge(spark: SparkSession, sf: str) -> DataFrame:
 def resume_rules(spark: SparkSession, sf: str) -> DataFrame:
     """skills and years of conversations."""
     r = records.resume_rules(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.array_join("r.skills", ",").alias("skills"), "r.education_level", "r.total_years")
+    return table(spark, sf, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.array_join(F.array_sort("r.skills"), ",").alias("skills"), "r.education_level", "r.total_years")
 
 
 def owner_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,6 +122,7 @@ ORACLES = {
     "skill_triples": _N[:-2] + " SELECT id, skill, CASE WHEN id % 2 = 1 THEN necessity ELSE 'nice' END AS necessity, CASE WHEN id % 2 = 1 THEN level ELSE '' END AS level FROM jd_skill",
     "source_skills": "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN p_brand || ',' || p_type WHEN 'LARGE' THEN p_brand || ',en,' || replace(p_name, ' ', ',') ELSE p_name END AS skills FROM part",
     "field_merge": "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
+    "resume_rules": "SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t.lower()}') THEN '{v}' END" for t, v in [*((w, w) for w in V.SKILL_WHITELIST), *V.SKILL_ALIASES.items()]) + "], lambda x: x IS NOT NULL))), ','), '') AS skills, '' AS education_level, 0.0::DOUBLE AS total_years FROM conversations",
     "owner_files": "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_custkey = 7",
     "quality_lookup": "SELECT doc_id, source, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)",
     "position_detail": A8 + ", m AS (SELECT position_name, skill, CASE WHEN jd_count >= 3 THEN must / jd_count > 0.5 ELSE must / hits >= 0.5 END AS m FROM agg JOIN st USING (position_name)) SELECT position_name, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (m), '') AS must, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (NOT m), '') AS nice FROM m GROUP BY ALL",

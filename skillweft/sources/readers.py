@@ -53,6 +53,18 @@ def job_titles(spark: SparkSession, path: str) -> DataFrame:
     return first.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title"))), lambda x: x["title"]).alias("aliases"))
 
 
+def whitelist(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Names of standard skills from a list of ``{name: "...", category: "..."}`` lines, in the file's order. It is a vocabulary of hundreds."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*-\s*\{\s*name:\s*\"([^\"]+)\""), F.lit(1))).alias("name"))
+    return tuple(dict.fromkeys(r[0] for r in lines.collect()))
+
+
+def prerequisites(spark: SparkSession, path: str) -> DataFrame:
+    """``src, dst`` of a table ``skill, prerequisites`` (separated by semicolons) with a header."""
+    raw = spark.read.option("header", True).schema("skill string, prerequisites string").csv(path)
+    return raw.select(F.trim("skill").alias("src"), F.explode(alias_list(F.col("prerequisites"))).alias("dst")).where("src <> ''")
+
+
 def write_report(report: DataFrame, path: str, day: str) -> None:
     """A day's report as JSON; writing it again replaces it."""
     report.write.mode("overwrite").json(f"{path.rstrip('/')}/day={day}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def connected_components(edges: DataFrame, work: str) -> DataFrame:
     """
     e = staged(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/e0")
     seen = None
-    for i in range(1, 60):
+    for i in itertools.count(1):
         low = _low(e, f"{work}/l{i}")
         large = staged(e.join(low.select(F.col("node").alias("a"), "m"), "a", "left").select(F.coalesce("m", "a").alias("a"), "b").distinct(), f"{work}/g{i}")
         low = _low(large, f"{work}/s{i}").select(F.col("node").alias("b"), "m")

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets verify them.
 
 Equal sets are collapsed to one node first. A node has ``BANDS`` bands of ``ROWS`` minima; at Jaccard 0.8 a pair shares no band
-with probability (1 - 0.8 ** 6) ** 36 < 2e-5. Nodes that share a band are joined to candidate groups. Each group is compared
-within tasks in tiles of bounded size, where links are counted and joined, so no list of pairs is ever made. A group with far
-more pairs than its buckets have together (many documents have run together over few) is compared bucket by bucket
-instead; a pair then counts in its first common band.
+with probability (1 - 0.8 ** 6) ** 36 < 2e-5. One law holds for all pairs: they link if they share a band and their full sets are
+similar enough. Nodes that share a band are joined to candidate groups. Each group is compared within tasks in tiles of
+bounded size, where links are counted and joined, so no list of pairs is ever made. A group with far more pairs than its
+buckets have together (many documents have run together over few) is compared bucket by bucket instead; a pair then
+counts in its first common band.
 """
 
 from __future__ import annotations
@@ -135,10 +136,14 @@ def _compare(n: int, numerator: int, denominator: int):
         if unit.column("low")[0] != unit.column("high")[0]:
             keep = chunk[i] != chunk[j]
             i, j = i[keep], j[keep]
-        if len(i) and unit.column("bucket")[0].as_py():
-            bands = signatures(sets).view(np.int64)
-            first = (bands[i] == bands[j]).argmax(1)
-            keep = bands[i, first] == unit.column("group")[0].as_py()
+        if len(i):
+            used, at_used = np.unique(np.concatenate([i, j]), return_inverse=True)
+            bands = signatures([sets[k] for k in used.tolist()]).view(np.int64)
+            bucket, keep = unit.column("group")[0].as_py() if unit.column("bucket")[0].as_py() else None, np.zeros(len(i), bool)
+            for a in range(0, len(i), 1 << 16):
+                x, y = bands[at_used[: len(i)][a : a + (1 << 16)]], bands[at_used[len(i) :][a : a + (1 << 16)]]
+                same = x == y
+                keep[a : a + (1 << 16)] = same.any(1) if bucket is None else same.any(1) & (x[np.arange(len(x)), same.argmax(1)] == bucket)
             i, j = i[keep], j[keep]
         out = Links(np.array(nodes)[at], unit.column("weight").to_numpy()[at])
         out.add(i, j)
@@ -158,8 +163,9 @@ def jaccard_join(documents: DataFrame, work: str, n: int = 5, numerator: int = 4
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     signed = staged(arrow_map(docs, _sign(n), "id long, node long, grams long, bands array<long>"), f"{work}/signed")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("weight"), F.max("grams").alias("grams"), F.first("bands").alias("bands"))
-    # buckets of a band: one shuffle by key serves both the counts and the join with them
-    keyed = classes.select("node", F.explode("bands").alias("key")).repartition("key")
+    # buckets of a band: counts combine before their shuffle, and AQE may split a key with many nodes in the join with them
+    classes = staged(classes, f"{work}/classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     buckets = staged(keyed.join(full, "key"), f"{work}/buckets")
     full = buckets.groupBy("key").agg(F.min("first").alias("first"), F.max("n").alias("n"))

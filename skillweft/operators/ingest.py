@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
+from skillweft.operators import running
+from skillweft.sources.staging import shared_path, staged
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -73,29 +74,71 @@ def rename_plan(names: DataFrame, column: str) -> DataFrame:
     return plan.join(taken, "new", "left").select("old", "new", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-def chunks(texts: DataFrame, key: str, order: str, text: str, size: int, most: int) -> DataFrame:
+def _leaps(n: np.ndarray, keys: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Where the chunk that begins at each row ends: after ``size`` rows, before over ``most`` characters, or with its key."""
+    at, total = np.arange(len(n)), np.concatenate([[0], np.cumsum(n)])
+    by_chars = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, at + 1)
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(n))
+    return np.minimum(np.minimum(at + size, by_chars), ends[np.searchsorted(ends, at, "right")])
+
+
+def chunks(texts: DataFrame, key: str, order: str, text: str, size: int, most: int, block: int = 200_000) -> DataFrame:
     """C14: chunk number of each text of a key: a chunk closes at ``size`` texts or before it has over ``most`` characters.
 
-    A chunk's beginning depends on all before it, so each key's lengths are folded in order in one pass over sorted Arrow
-    batches; only lengths are held, never a key's texts together.
+    Where a chunk begins depends on all before it, but not where the one that begins at a row ends. Rows are numbered by key and
+    ``order`` (distinct in a key) and cut into blocks, whatever the keys. Each block, with the first ``size`` lengths of the next, finds for
+    every row at which it can be entered where it is left and how many chunks it holds; the driver follows these, ``size`` rows a
+    block; then the blocks number their rows. Only lengths are held, of one block in a task.
     """
-    rows = texts.select(key, order, F.length(text).alias("n")).repartition(key).sortWithinPartitions(key, order)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chunk, held, chars = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for k, n in zip(b[key], b["n"].fillna(0), strict=True):
-                if k != at:
-                    at, chunk, held, chars = k, 0, 0, 0
-                elif held and (held >= size or chars + n > most):
-                    chunk, held, chars = chunk + 1, 0, 0
-                held, chars = held + 1, chars + n
-                out.append(chunk)
-            yield b[[key, order]].assign(chunk=out)
+    block = max(block, size)
+    spark = texts.sparkSession
+    rows = texts.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_n"), F.xxhash64(key).alias("_k"), F.struct(key, order).alias("_o"))
+    held = staged(running.numbered(rows, "_o", "_i").drop("_o").withColumn("_i", F.col("_i").cast("long") - 1).withColumn("_b", F.floor(F.col("_i") / block)), shared_path(spark, "chunks"))
+    ahead = held.where((F.col("_b") > 0) & (F.col("_i") % block < size)).withColumn("_b", F.col("_b") - 1)
+    seen = held.select("_b", "_i", "_n", "_k").unionByName(ahead.select("_b", "_i", "_n", "_k"))
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        b, keys = int(pdf["_b"].iloc[0]), pdf["_k"].to_numpy()
+        own, leap = min(block, len(pdf)), _leaps(pdf["_n"].to_numpy(), keys, size, most)
+        out = []
+        for e in range(min(size, own) + 1):
+            i, n, new = e, 0, False
+            last, fresh = -1, False  # of the chunk that reaches to the block's end; -1: none begins here
+            while i < own:
+                j, last, fresh = int(leap[i]), n, new
+                if j >= len(keys) or keys[j] != keys[i]:
+                    n, new = 0, True
+                else:
+                    n += 1
+                i = j
+            out.append((b, e, i - own, n, new, last, fresh))
+        return pd.DataFrame(out, columns=["b", "e", "exit", "n", "new", "last", "fresh"])
+
+    ways = {(r.b, r.e): r for r in seen.groupBy("_b").applyInPandas(enter, "b long, e long, exit long, n long, new boolean, last long, fresh boolean").collect()}
+    starts, e, number, before = [], 0, 0, 0
+    for b in sorted({b for b, _ in ways}):
+        starts.append((b, e, number, before))
+        way = ways[b, e]
+        if way.last >= 0:
+            before = way.last if way.fresh else number + way.last
+        number, e = way.n if way.new else number + way.n, way.exit
+    begin = spark.createDataFrame(starts, "_b long, _e long, _number long, _before long")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        keys, leap = pdf["_k"].to_numpy(), _leaps(pdf["_n"].to_numpy(), pdf["_k"].to_numpy(), size, most)
+        i, n = int(pdf["_e"].iloc[0]), int(pdf["_number"].iloc[0])
+        out = np.full(len(pdf), int(pdf["_before"].iloc[0]), np.int64)
+        while i < len(pdf):
+            j = int(leap[i])
+            out[i:j] = n
+            n = n + 1 if j < len(keys) and keys[j] == keys[i] else 0
+            i = j
+        return pd.DataFrame({key: pdf["_key"], order: pdf["_order"], "chunk": out})
 
     fields = {f.name: f.dataType.simpleString() for f in texts.schema}
-    return rows.mapInPandas(fold, f"`{key}` {fields[key]}, `{order}` {fields[order]}, chunk long")
+    return held.join(F.broadcast(begin), "_b").groupBy("_b").applyInPandas(assign, f"`{key}` {fields[key]}, `{order}` {fields[order]}, chunk long")
 
 
 def post_processed(skills: DataFrame, key: str) -> DataFrame:

@@ -61,12 +61,11 @@ def zombie_truth(data, similar=0.95):
     return sorted(out, key=str)
 
 
-def test_zombies(spark, monkeypatch):
+def test_zombies(spark):
     import random
 
     rng = random.Random(3)
-    for head in (64, 2):
-        monkeypatch.setattr(temporal, "HEAD", head)
+    for _ in range(2):
         big = [f"s{i:03d}" for i in range(50)]
         data = [(i, f"p{i % 3}", dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(20)), sorted(rng.choice([["a"], ["a"], ["a", "b"], big, big[:49], [*big[:48], "x"]]))) for i in range(80)]
         df = spark.createDataFrame(data, "id int, position_name string, publish_date date, skills array<string>")
@@ -224,7 +223,7 @@ def test_matching(spark):
     req = matching.position_requirements(p.select("position_name", "skill", "necessity", F.lit(None).cast("double").alias("weight"), "proficiency", "source_count").limit(1), spark.createDataFrame([("p", ["沟通能力"])], "position_name string, soft_skills array<string>"))
     assert sorted(r.weight for r in req.collect()) == [0.4, 1.0]
     a, b = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0])], "candidate int, vector array<double>"), spark.createDataFrame([("p", [3.0, 0.0])], "position_name string, vector array<double>")
-    assert matching.project_score(a, b).first().score == 0.5
+    assert matching.project_score(a, b, spark.createDataFrame([(1, "p"), (2, "p")], "candidate int, position_name string")).first().score == 0.5
     ids = matching.courses_of_skills(spark.createDataFrame([("i", "a"), ("j", "b")], "skill_id string, skill string"), spark.createDataFrame([("i", "c1", 1.0)], "skill_id string, course string, score double"), spark.createDataFrame([("a", "c1", 1.0), ("b", "c2", None)], "skill string, course string, score double"))
     assert rows(ids) == [("a", "c1", 1.0), ("b", "c2", None)]
 
@@ -255,3 +254,116 @@ def test_running_sums(spark):
         assert got[k] == total
     assert running.numbered(df.limit(0), "k", "n").collect() == []
     assert sorted(r.n for r in running.numbered(df, "k", "n").collect()) == list(range(1, 102))
+
+
+def chunk_truth(data, size, most):
+    out, held, last = [], {}, {}
+    for k, o, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or "", x[1])):
+        n = len(t or "")
+        if k not in held:
+            held[k], last[k] = (1, n), 0
+        elif held[k][0] >= size or held[k][1] + n > most:
+            held[k], last[k] = (1, n), last[k] + 1
+        else:
+            held[k] = (held[k][0] + 1, held[k][1] + n)
+        out.append((k, o, last[k]))
+    return sorted(out, key=str)
+
+
+def test_chunks_across_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, "", "x" * rng.randrange(40), "y" * 200])) for i in range(300)]
+    df = spark.createDataFrame(data, "source string, doc_id long, text string")
+    for size, most, block in ((3, 60, 7), (5, 1000, 5), (4, 30, 1000), (1, 10, 2)):
+        assert rows(ingest.chunks(df, "source", "doc_id", "text", size, most, block)) == chunk_truth(data, size, most)
+    assert ingest.chunks(df.limit(0), "source", "doc_id", "text", 3, 60).collect() == []
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "TILE", 7)
+    rng = np.random.default_rng(5)
+    v = [(i, [float(x) for x in rng.normal(size=3 + i % 2)]) for i in range(40)] + [(90, [0.0] * 3), (91, None)]
+    df = spark.createDataFrame(v, "id long, vector array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if any(a) and any(b) else 0.0
+    for k, other in ((1, False), (3, True)):
+        want = []
+        for a, x in v:
+            near = sorted((-cos(x, y), b) for b, y in v if x and y and len(x) == len(y) and (a != b or not other) and cos(x, y) >= 0.5 - 1e-12)
+            want += [(a, b) for _, b in near[:k]]
+        got = similarity.nearest(df, df, 0.5, k, other=other)
+        assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+
+
+def test_rough_selection_is_the_same_with_many_positions(spark, monkeypatch):
+    c = spark.createDataFrame([(i, f"s{(i * j) % 9}") for i in range(12) for j in range(5)], "candidate int, skill string")
+    p = spark.createDataFrame([(f"p{i}", f"s{(i + j) % 9}") for i in range(8) for j in range(3)], "position_name string, skill string")
+    few = rows(matching.rough_select(c, p, 3).select("candidate", "position_name", "hits"))
+    monkeypatch.setattr(matching, "FEW_POSITIONS", 0)
+    assert rows(matching.rough_select(c, p, 3).select("candidate", "position_name", "hits")) == few
+
+
+def test_budget_of_hits(spark):
+    hits = spark.createDataFrame([("q", 1, 9.0, 60), ("q", 2, 8.0, 50), ("q", 3, 7.0, 40), ("q", 4, 7.0, 1), ("q", 4, 6.0, 1), ("r", 1, 1.0, 101)], "g string, k long, score double, tokens long")
+    assert rows(retrieval.within_budget(hits, "g", "k", "tokens", 100, 3).select("g", "k", "rank")) == [("q", 1, 1), ("q", 3, 2)]
+    assert rows(retrieval.within_budget(hits, "g", "k", "tokens", 101, 5).select("g", "k", "rank")) == [("q", 1, 1), ("q", 3, 2), ("q", 4, 3), ("r", 1, 1)]
+    assert retrieval.within_budget(hits.limit(0), "g", "k", "tokens", 100, 3).collect() == []
+
+
+def test_louvain_finds_cliques(spark):
+    pairs = [(f"n{i}", f"n{j}", 1.0) for c in range(3) for i in range(4 * c, 4 * c + 4) for j in range(i + 1, 4 * c + 4)] + [("n3", "n4", 0.1), ("n7", "n8", 0.1)]
+    got = {r.id: r.community for r in graph.louvain(spark.createDataFrame(pairs, "a string, b string, weight double")).collect()}
+    assert len(set(got.values())) == 3
+    assert all(got[f"n{i}"] == got[f"n{4 * (i // 4)}"] for i in range(12))
+
+
+def test_pagerank_against_a_matrix(spark):
+    import numpy as np
+
+    e = [(a, b) for a, b in (("x", "y"), ("x", "z"), ("y", "z"), ("z", "w"))]
+    both = e + [(b, a) for a, b in e]
+    ids = sorted({a for a, _ in both})
+    m = np.array([[((b, a) in both) / sum(x == b for x, _ in both) for b in ids] for a in ids])
+    r = np.full(len(ids), 1 / len(ids))
+    for _ in range(50):
+        new = 0.15 / len(ids) + 0.85 * m @ r
+        done = abs(new - r).max() < 1e-6
+        r = new
+        if done:
+            break
+    got = {x.id: x["rank"] for x in graph.pagerank(spark.createDataFrame(both, "a string, b string")).collect()}
+    assert all(abs(got[i] - v) < 1e-9 for i, v in zip(ids, r, strict=True))
+
+
+def test_work_folders_without_a_setting(spark, monkeypatch):
+    from skillweft.sources import staging
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, folder = "local[2]", None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.folder
+
+        def setCheckpointDir(self, path):  # noqa: N802
+            self.folder = path
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    one, two = staging.shared_path(Session(), "a"), staging.shared_path(Session(), "a")
+    assert one != two
+    assert one.rpartition("/")[0] == two.rpartition("/")[0]
+    Session.sparkContext.folder, Session.sparkContext.master = None, "spark://x"
+    try:
+        staging.shared_path(Session(), "a")
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError("a folder of one machine was taken")

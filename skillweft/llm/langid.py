@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from skillweft.llm.common import arrow_map, batch
 
 ORDERS = (2, 3, 4)
+#: Code points whose grams are looked up at once.
+SLICE = 1 << 20
 _lut: np.ndarray | None = None
 
 
@@ -77,31 +79,36 @@ class Model:
     bits: int
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed class scores and numbers of grams of whole texts, in slices of bounded size."""
+        """Summed class scores and numbers of grams of whole texts.
+
+        Long texts are read in slices that reach as far into the next one as a gram does; each gram counts where it begins.
+        """
         sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        slice_, held, total = 1 << 20, [], 0
+        held, total = [], 0
 
         def flush() -> None:
-            x = np.concatenate([c for _, c in held])
-            ends = np.cumsum([len(c) for _, c in held])
+            x = np.concatenate([c for _, c, _ in held])
+            ends = np.cumsum([len(c) for _, c, _ in held])
             buckets, places = grams(x, self.bits)
             doc = np.searchsorted(ends, places, "right")
+            mine = places - (ends - [len(c) for _, c, _ in held])[doc] < np.array([own for _, _, own in held])[doc]
+            buckets, doc = buckets[mine], doc[mine]
             for k in range(len(self.languages)):
                 found = np.bincount(doc, self.table[:, k][buckets], len(held))
-                for (i, _), v in zip(held, found, strict=True):
+                for (i, _, _), v in zip(held, found, strict=True):
                     sums[i, k] += v
-            for (i, _), v in zip(held, np.bincount(doc, minlength=len(held)), strict=True):
+            for (i, _, _), v in zip(held, np.bincount(doc, minlength=len(held)), strict=True):
                 counts[i] += v
             held.clear()
 
         for i, t in enumerate(texts):
             if not t:
                 continue
-            for a in range(0, len(t), slice_):  # a longer text counts slice by slice, cut where a word may be cut
-                c = codes(t[a : a + slice_])
-                held.append((i, c))
-                total += len(c)
-                if total >= slice_:
+            c = codes(t)
+            for a in range(0, len(c), SLICE):
+                held.append((i, c[a : a + SLICE + max(ORDERS) - 1], SLICE))
+                total += len(held[-1][1])
+                if total >= SLICE:
                     flush()
                     total = 0
         if held:
@@ -166,14 +173,18 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 15, dim: i
     return Model(languages, table, b, temperature, threshold, bits)
 
 
-def fit(labelled: DataFrame, per_language: int = 800, languages: int = 200, bits: int = 15, **options: object) -> Model:
-    """Train on a bounded sample of ``doc_id, text, lang``: about ``per_language`` rows of each of the ``languages`` most frequent labels.
+def fit(labelled: DataFrame, per_language: int = 800, languages: int = 1000, bits: int = 15, **options: object) -> Model:
+    """Train on a bounded sample of ``doc_id, text, lang``: about ``per_language`` rows of each label.
 
     Rows with a null label or text teach nothing. The rows are drawn by a hash of id and text, alike at every size. Only the
-    sparse gram counts of the sample, at most ``2 ** bits`` a row, come to the driver.
+    sparse gram counts of the sample, at most ``2 ** bits`` a row, come to the driver. More than ``languages`` labels are an
+    error: none is left out, and a column with so many is no language.
     """
+    every = labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().limit(languages + 1).collect()
+    if len(every) > languages:
+        raise ValueError(f"more than {languages} languages")
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in sorted(every)}
     if not sizes:
         return train([], bits=bits)
     limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, per_language / n)))])

@@ -36,14 +36,25 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     """
     words = sorted({w for w in query.lower().split() if w})
     rows = docs.select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    n = rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
     counted = rows.select(key, F.size("t").alias("len"), *[_count(F.col("t"), w).alias(f"f{i}") for i, w in enumerate(words)])
-    df = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])
-    whole = counted.join(F.broadcast(n), how="cross").join(F.broadcast(df), how="cross")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words))])  # one row
+    whole = counted.join(F.broadcast(stats), how="cross")
     parts = [F.log(1 + (F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)) * F.col(f"f{i}") * (k1 + 1) / (F.col(f"f{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg"))) for i in range(len(words))]
     return whole.select(key, sum(parts, F.lit(0.0)).alias("score")).where("score > 0")
 
 
+def search(indexes: dict[str, tuple[DataFrame, str, str]], query: str, n: int = 10) -> DataFrame:
+    """``index, key, score``, the ``n`` best of each index; an index is a table with its key and text columns.
+
+    Scores are of each index's own statistics, so indexes are not ranked against each other.
+    """
+    found = None
+    for name, (docs, key, text) in indexes.items():
+        best = bm25(docs, key, text, query).select(F.lit(name).alias("index"), F.col(key).cast("string").alias("key"), "score").orderBy(F.desc(F.round("score", 10)), "key").limit(n)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def _count(tokens, word: str):
     return F.size(F.filter(tokens, lambda x: x == word))
 

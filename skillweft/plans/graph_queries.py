@@ -326,6 +326,14 @@ def fulltext(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf, "documents"), "doc_id", "text", "the licensed").select("doc_id", _r("score"))
 
 
+def fulltext_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best of parts, pages of customers, nations and documents for two words."""
+    t = lambda name, key, text: (table(spark, sf, name), key, text)
+    words = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "#", " ")).alias("t"))
+    found = retrieval.search({"part": (words, "p_partkey", "t"), "customer": t("customer", "c_custkey", "c_mktsegment"), "nation": t("nation", "n_nationkey", "n_name"), "document": t("documents", "doc_id", "text")}, "ring building", 5)
+    return found.select("index", "key", F.round("score", 4).alias("score"))
+
+
 def occupation_align(spark: SparkSession, sf: str) -> DataFrame:
     """N14."""
     v = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("X"), F.col("n_name"))).alias("aliases"))
@@ -425,7 +433,7 @@ def state_transition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (panorama, techstack, graph_view, expand_edges, reverse_skill, evidence_refs, skill_detail, cooccurrence, degrees, filtered_skills, merge_vertices, relation_edges, snapshot_diff, edge_diff, version_counters, type_counts, retained_versions, edit_diff, evolved_from, pagerank, modularity, louvain, shortest_path, prereq_chain, prereq_order, cii, rough_select, match_scores, match_topn, gaps, learning_hours, course_ranking, staleness, knn, nn_align, verified_pairs, hit_merge, rag_budget, seed_match, keyword_hits, fulltext, occupation_align, f1, confusion, recall_fpr, grid, spearman, accuracy, top3, kappa, stratified_sample, labelled_pairs, normalize_clusters, mli, state_transition)
+    for f in (panorama, techstack, graph_view, expand_edges, reverse_skill, evidence_refs, skill_detail, cooccurrence, degrees, filtered_skills, merge_vertices, relation_edges, snapshot_diff, edge_diff, version_counters, type_counts, retained_versions, edit_diff, evolved_from, pagerank, modularity, louvain, shortest_path, prereq_chain, prereq_order, cii, rough_select, match_scores, match_topn, gaps, learning_hours, course_ranking, staleness, knn, nn_align, verified_pairs, hit_merge, rag_budget, seed_match, keyword_hits, fulltext, fulltext_indexes, occupation_align, f1, confusion, recall_fpr, grid, spearman, accuracy, top3, kappa, stratified_sample, labelled_pairs, normalize_clusters, mli, state_transition)
 }
 
 from skillweft.plans.graph_sql import ORACLES  # noqa: E402, F401

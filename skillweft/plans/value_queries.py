@@ -5,17 +5,17 @@ Texts are made from the tables' numbers in all the forms that an operator knows;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweft.functions import positions
 from skillweft.functions import scores as S
 from skillweft.functions import text as X
 from skillweft.functions import vocab as V
-from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, records, similarity
+from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, records, running, similarity
 from skillweft.plans.views import jd, jd_skill, table, with_views
 from skillweft.sources import readers
-from skillweft.sources.staging import shared_path
+from skillweft.sources.staging import shared_path, small
 
 
 def _form(key: Column, forms: list) -> Column:
@@ -344,9 +344,11 @@ def titles_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def freq_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Each ad with how many earlier ads of its position there are, by date and id."""
-    w = Window.partitionBy("position_name").orderBy("publish_date", "id")
-    return jd(spark, sf).select("id", (F.row_number().over(w) - 1).cast("long").alias("earlier"))
+    """Each ad with how many earlier ads of its position there are, by date and id: running numbers less the position's first."""
+    ads = jd(spark, sf).select("id", "position_name", F.struct("position_name", "publish_date", "id").alias("o"))
+    n = running.numbered(ads, "o", "k")
+    first = n.groupBy("position_name").agg(F.min("k").alias("first"))
+    return n.join(small(first), "position_name").select("id", (F.col("k") - F.col("first")).cast("long").alias("earlier"))
 
 
 JOBS = ["Senior Software Engineer", "Data Analyst, Growth", "Lead Data Scientist (Remote)", "Sr. SRE / Platform", "web前端开发工程师", "React前端开发工程师", "前端开发工程师(Vue)", "前端开发工程师（上海）", "高级量化分析师", "分析师", "信贷分析师主管", "技术", "数据实习生", "", "大数据开发", "厨师", "财务经理", "项目经理助理", "开发工程师", "C++ 开发", "资深小程序开发", "Kafka Streaming Architect", "商业智能分析师", "嵌入式软件工程师", "UI designer, web"]

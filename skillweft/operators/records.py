@@ -152,23 +152,37 @@ def ad_text(title: Column, company: Column, location: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (title, company, location)])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashed(text: str, dim: int) -> np.ndarray:
+    """Signed counts of a text's character trigrams and words, of length 1."""
+    x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    three = _mixed(x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:])
+    inside = x > 32
+    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    hashes = [three]
+    if len(first):
+        word = np.cumsum(np.concatenate([[False], inside[1:] & ~inside[:-1]]))  # of each character
+        at = np.flatnonzero(inside)
+        place = at - first[word[at] - 1]
+        parts = _mixed(x[at] + place.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        hashes.append(_mixed(np.add.reduceat(parts, np.flatnonzero(np.diff(word[at], prepend=-1)))))
+    h = np.concatenate(hashes)
+    v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim)
+    n = np.linalg.norm(v)
+    return (v / n if n else v).astype(np.float32)
+
+
 def hashed_embedding(text: Column, dim: int = 384) -> Column:
     """A vector of length 1 from hashed character trigrams and words; the default where no model is plugged in."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
         for s in batches:
-            out = []
-            for t in s.fillna(""):
-                v, low = np.zeros(dim), f" {t.lower()} "
-                for g in [low[i : i + 3] for i in range(len(low) - 2)] + low.split():
-                    h = zlib.crc32(g.encode())
-                    v[h % dim] += 1 if h >> 31 else -1
-                n = np.linalg.norm(v)
-                out.append((v / n if n else v).astype(np.float32))
-            yield pd.Series(out)
+            yield pd.Series([_hashed(t, dim) if t else np.zeros(dim, np.float32) for t in s.fillna("")])
 
     return run(text)
 

@@ -8,6 +8,7 @@ begin on whole bytes, so any range of ids is read by its blocks alone.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ def width(vocabulary: int) -> int:
 
 def packed(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, lowest bit first, filled up to a whole byte."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} doesn't fit {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     return np.packbits(((ids[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -52,11 +55,16 @@ def unpacked(data: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a folder that Spark names: Hadoop's names of S3 become Arrow's; ``abfs``, ``gs`` and ``hdfs`` are alike."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 class PartFile:
     """Random access to a part file through a pyarrow file system."""
 
     def __init__(self, uri: str) -> None:
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
         magic, version, self.bits, self.block, self.docs, self.ids = _HEAD.unpack(self.file.read_at(_HEAD.size, 0))
         if magic != MAGIC or version != VERSION:
@@ -100,7 +108,7 @@ class PartWriter:
     def close(self) -> int:
         self._flush(True)
         total = sum(self.counts)
-        fs, path = pyarrow.fs.FileSystem.from_uri(self.uri)
+        fs, path = file_system(self.uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}") as f:
             f.write(_HEAD.pack(MAGIC, VERSION, self.bits, BLOCK, len(self.counts), total))
@@ -118,14 +126,22 @@ _PART_SCHEMA = "part long, path string, docs long, ids long"
 _PART = {"part": pa.int64(), "path": pa.string(), "docs": pa.int64(), "ids": pa.int64()}
 
 
-def write_ids(documents: DataFrame, out: str, tokenizer: str, vocabulary: int, end_id: int | None = None) -> DataFrame:
+def vocabulary_of(tokenizer: str) -> int:
+    """Ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True)
+    return max(known.values(), default=0) + 1
+
+
+def write_ids(documents: DataFrame, out: str, tokenizer: str, vocabulary: int | None = None, end_id: int | None = None) -> DataFrame:
     """Encode every whole text and write part files below ``out`` in ascending ``doc_id`` order; returns their list.
 
-    The list has ``part`` (ascending with the ids), ``path``, ``docs`` and ``ids``, one row a file. Null texts are empty;
+    ``vocabulary`` is the tokenizer's own unless it is given; an id that doesn't fit it is an error. The list has ``part`` (ascending with the ids), ``path``, ``docs`` and ``ids``, one row a file. Null texts are empty;
     rows with a null id come first; rows with equal ids are ordered by their text's hash. An empty table gives no file.
     The rows are range-partitioned by id and hash, so even a repeated id is dealt over tasks.
     """
-    bits = width(vocabulary)
+    bits = width(max(vocabulary or vocabulary_of(tokenizer), (end_id or 0) + 1))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, made, writer = CachedEncoder.of(tokenizer), TaskContext.get().partitionId(), [], None

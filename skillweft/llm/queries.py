@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skillweft.llm import decontaminate, idfile, jaccard, langid, licences, packing, rollups, sharding, vectors
 from skillweft.llm import html as html_
-from skillweft.llm.common import staged, workspace
+from skillweft.llm.common import small, staged, workspace
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +23,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place in every document where one of the eleven short notices of ``licences.TEMPLATES`` is covered to 0.8 or more.
+    """Every place in every document where one of ``licences.TEMPLATES`` is covered to 0.8 or more.
 
-    Other licences and full texts (GPL-2, LGPL, AGPL, the GPL header, ISC, Unlicense, CC0, EPL, BSD-2) are not among them.
+    These are short notices, the standard headers of GPL, LGPL, AGPL, Apache and MPL, and the whole texts of MIT, ISC and BSD. Other
+    licences (EPL, CC0) and the long texts of Apache, GPL and MPL are not among them.
     """
     return licences.licence_scan(_read(spark, sf_dir, "documents"))
 
@@ -47,14 +48,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version after five batches, one of them sent twice.
 
-    All documents are added; the end id revises every count; of equal texts all but the smallest id are deleted; then the
-    first batch is sent again.
+    All documents are added; the end id revises every count; of equal texts (by their SHA-256; null ones
+    are none) all but the smallest id are deleted; then the first batch is sent again.
     """
     work = workspace(spark, "op5")
     docs = staged(rollups.counted(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), f"{work}/counted")
     rollup, version = rollups.Rollup(spark, f"{work}/rollup"), "byte_bpe_50k"
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = docs.join(first, "digest").where("doc_id > first").withColumn("tokens", F.col("tokens") + 1)
+    first = staged(docs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), f"{work}/first")
+    copies = docs.join(small(first), "digest").where("doc_id > first").withColumn("tokens", F.col("tokens") + 1)
     rollup.commit("insert", rollups.changes(docs, version, 1))
     rollup.commit("end-id", rollups.changes(docs, version, 0, F.lit(1)))
     rollup.commit("copies", rollups.changes(copies, version, -1))
@@ -81,13 +82,13 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids as read back from bit-packed files."""
-    parts = idfile.write_ids(_read(spark, sf_dir, "documents"), workspace(spark, "op9"), public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257, end_id=2)
+    parts = idfile.write_ids(_read(spark, sf_dir, "documents"), workspace(spark, "op9"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return idfile.read_ids(spark, parts).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in 10-word windows of benchmark items."""
-    return decontaminate.report(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return decontaminate.report(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), workspace(spark, "op10")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,20 @@ def test_repeated_and_null_ids(spark, sf):
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.one_of_each(spark, odd, sf).collect())[:3] == [0, 1, 3]
     assert corpus_pipeline.language(spark, docs.limit(0), sf).collect() == []
     assert corpus_pipeline.packed(spark, docs.limit(0), sf).collect() == []
+
+
+def test_clashing_columns_are_packed(spark, sf):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 7, "x"), (2, None, None, None, 0, 8, "y")], "doc_id long, text string, lang string, source string, n_chars long, start int, sequence_id string")
+    got = corpus_pipeline.packed(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.start, r.sequence_id) for r in got) == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_very_long_texts_pass_all_stages(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
+    long = "some words of a very long text " * 40_000
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, long + "end", "en", "s", 1), (3, long + item, "en", "s", 1), (4, "short one", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(corpus_pipeline.language(spark, docs, sf).collect()) == 4
+    kept = corpus_pipeline.one_of_each(spark, docs.where("doc_id <> 3"), sf)
+    truth = jaccard_truth([(r.doc_id, r.text) for r in docs.where("doc_id <> 3").collect()])
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {c for _, c, _ in truth}
+    assert sorted(r.doc_id for r in corpus_pipeline.clean(spark, docs, sf).select("doc_id").collect()) == [1, 2, 4]

@@ -267,6 +267,16 @@ EDUCATION_LEVELS = ("博士", "硕士", "本科", "大专")
 EXPERIENCE_IN_CONTEXT = r"经验[^\d年]{0,4}(\d+(?:\.\d+)?)\s*年|(\d+(?:\.\d+)?)\s*年[^\d]{0,4}经验"
 YEARS = r"(?<!\d)(?!19\d{2}|20\d{2})(\d+(?:\.\d+)?)\s*年"
 NOT_SKILLS = ("前端开发", "后端开发", "通信/物联网/自动化", "嵌入式", "固定年终", "周末加班双薪", "经验不限", "1-3年", "3-5年", "5-10年", "10年以上", "大专", "本科", "硕士", "博士", "学历不限", "5天/周", "4天/周", "3天/周", "6天/周", "3个月", "6个月", "9个月", "12个月", "Remote", "全职", "兼职", "实习")
+#: Kinds of positions by the first keyword that a title holds.
+GOLDEN_CATEGORIES = (
+    (("后端", "Python", "Java", "Go", "C++", "服务端"), "后端"),
+    (("前端", "Vue", "React", "Web", "H5"), "前端"),
+    (("算法", "机器学习", "深度学习", "AI", "大模型", "NLP", "CV"), "算法"),
+    (("数据", "大数据", "数开", "数据挖掘", "BI"), "数据"),
+    (("全栈",), "全栈"),
+    (("测试", "QA"), "测试"),
+    (("运维", "DevOps", "SRE"), "运维"),
+)
 COURSE_SOURCES = ("icourse163", "coursera", "edx")
 PAPER_SOURCES = ("arxiv", "github", "stackoverflow")
 FRAGMENTS = {"微": "微服务"}

@@ -6,6 +6,7 @@ An extraction is ``struct<position_name, requirements: array<struct<skill_name,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,12 @@ def golden_skills(tags: Column) -> Column:
     return F.filter(names, lambda n, i: F.array_position(F.transform(names, lambda m: F.lower(m)), F.lower(n)) == i + 1)
 
 
+def golden_category(title: Column) -> Column:
+    """the kind of position by the first keyword that a title holds, in its case."""
+    rows = [F.when(reduce(lambda a, b: a | b, [title.contains(w) for w in words]), kind) for words, kind in V.GOLDEN_CATEGORIES]
+    return F.coalesce(*rows, F.lit("其他"))
+
+
 def remapped(name: Column, text: Column) -> Column:
     """A cleaned name; a fragment becomes the word that the ad has."""
     cleaned = X.clean_skill(X.skill_alias(name))

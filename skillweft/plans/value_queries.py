@@ -122,7 +122,7 @@ def golden_rules(spark: SparkSession, sf: str) -> DataFrame:
     """titles and tags of golden sets."""
     p = _part(spark, sf)
     tags = F.array(F.lit("Django"), F.lit("5天/周"), F.lit("本科"), F.lit("django"), F.col("brand"), F.lit("22"))
-    return p.select("id", records.golden_title(_form(F.col("id"), [t for t, _ in GOLDEN])).alias("title"), F.array_join(records.golden_skills(tags), ",").alias("tags"))
+    return p.select("id", records.golden_title(_form(F.col("id"), [t for t, _ in GOLDEN])).alias("title"), records.golden_category(_form(F.col("id"), [t for t, _ in GOLDEN])).alias("category"), F.array_join(records.golden_skills(tags), ",").alias("tags"))
 
 
 def skill_migration(spark: SparkSession, sf: str) -> DataFrame:
@@ -398,7 +398,7 @@ ORACLES = {
     "skill_names": f"{_P} SELECT id, {_case('id', [v for _, v in RAW_SKILLS])} AS alias, {_case('id', [v for _, v in CLEAN_SKILLS])} AS clean, {_case('id', [v for _, v in CANONICAL])} AS canonical, {_case('id', [v for _, v in VALID_SKILLS])} AS valid, {_case('id', [v for _, v in NOISE])} AS noise FROM p",
     "skill_clean": f"{_P} SELECT DISTINCT brand AS key, {_case('id', [v for _, v in RAW_SKILLS[:8]])} AS name FROM p",
     "resume_skill_filter": f"{_P}, own AS (SELECT DISTINCT brand AS key, {_case('id', ['Python', None, 'Foo', '沟通能力'])} AS name FROM p), soft AS (SELECT DISTINCT brand AS key, {_case('id', ['领导力', None, '沟通能力'])} AS name FROM p) SELECT key, name, name = 'Foo' AS unmapped, false AS low_confidence FROM own WHERE name IS NOT NULL UNION ALL SELECT key, name, false, true FROM soft WHERE name IS NOT NULL AND (key, name) NOT IN (SELECT (key, name) FROM own WHERE name IS NOT NULL)",
-    "golden_rules": f"{_P} SELECT id, {_case('id', [v for _, v in GOLDEN])} AS title, 'Django,' || brand AS tags FROM p",
+    "golden_rules": f"{_P} SELECT id, {_case('id', [v for _, v in GOLDEN])} AS title, {_case('id', ['后端', '后端', '其他', '后端', '前端'])} AS category, 'Django,' || brand AS tags FROM p",
     "skill_migration": f"{_P} SELECT id, {_case('id', ['微服务', '微', '前端'])} AS name FROM p",
     "prof_edu": f"{_P} SELECT id, {_case('id', ['高级', '中级', '初级', '中级', None])} AS proficiency, CASE WHEN id % 4 = 3 OR n % 4 = 3 THEN NULL ELSE (CASE (CASE n % 4 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 0 END) - (CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END) WHEN -1 THEN 0.5::DOUBLE WHEN -2 THEN 0.0::DOUBLE WHEN -3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) END AS education FROM p",
     "salaries": f"{_P} SELECT id, round(CAST(CASE id % 10 WHEN 0 THEN (n + 5) * 1000 WHEN 1 THEN (n + 0.5) * 10000 WHEN 2 THEN (n * 10 + 25) * {V.DAYS_PER_MONTH} WHEN 3 THEN n * 1100 * {_YEAR}::DOUBLE WHEN 4 THEN (n * 1000 + 2500) * {_YEAR}::DOUBLE WHEN 5 THEN n * 1000 * CASE WHEN id % 20 >= 10 THEN {_YEAR}::DOUBLE ELSE 1 END WHEN 6 THEN n * 1000 * {_YEAR}::DOUBLE WHEN 7 THEN n * {_HOUR} WHEN 9 THEN n * {_HOUR} END AS DOUBLE), 2) AS salary FROM p",

@@ -20,7 +20,7 @@ from skillweft.llm.common import arrow_map, batch
 
 ORDERS = (2, 3, 4)
 #: Code points whose grams are looked up at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _lut: np.ndarray | None = None
 
 
@@ -91,8 +91,9 @@ class Model:
             ends = np.cumsum([len(c) for _, c, _ in held])
             buckets, places = grams(x, self.bits)
             doc = np.searchsorted(ends, places, "right")
-            mine = places - (ends - [len(c) for _, c, _ in held])[doc] < np.array([own for _, _, own in held])[doc]
-            buckets, doc = buckets[mine], doc[mine]
+            if any(len(c) > own for _, c, own in held):
+                mine = places - (ends - [len(c) for _, c, _ in held])[doc] < np.array([own for _, _, own in held])[doc]
+                buckets, doc = buckets[mine], doc[mine]
             for k in range(len(self.languages)):
                 found = np.bincount(doc, self.table[:, k][buckets], len(held))
                 for (i, _, _), v in zip(held, found, strict=True):

@@ -50,6 +50,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _in_lots(sets: list[np.ndarray], grams: int = 100_000) -> np.ndarray:
+    """``signatures`` of so many n-grams at a time, so that what they take is bounded."""
+    ends = np.cumsum([len(s) for s in sets])
+    cuts = np.searchsorted(ends // grams, np.arange(int(ends[-1]) // grams + 1))
+    return np.concatenate([signatures(sets[a:z]) for a, z in zip(cuts.tolist(), [*cuts.tolist()[1:], len(sets)], strict=True) if a < z])
+
+
 def node_of(grams: np.ndarray) -> int:
     """Signed 64-bit name of an n-gram set."""
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
@@ -138,7 +145,7 @@ def _compare(n: int, numerator: int, denominator: int):
             i, j = i[keep], j[keep]
         if len(i):
             used, at_used = np.unique(np.concatenate([i, j]), return_inverse=True)
-            bands = signatures([sets[k] for k in used.tolist()]).view(np.int64)
+            bands = _in_lots([sets[k] for k in used.tolist()]).view(np.int64)
             bucket, keep = unit.column("group")[0].as_py() if unit.column("bucket")[0].as_py() else None, np.zeros(len(i), bool)
             for a in range(0, len(i), 1 << 16):
                 x, y = bands[at_used[: len(i)][a : a + (1 << 16)]], bands[at_used[len(i) :][a : a + (1 << 16)]]

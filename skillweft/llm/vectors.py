@@ -89,17 +89,33 @@ def _cells(kind: str, cosine: float, grid: int):
     return run
 
 
+def boxed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by their widest coordinate, and the least and largest coordinates of each ``TILE`` of them."""
+    order = np.argsort(x[:, x.astype(np.float32).var(0).argmax()], kind="stable")
+    starts = range(0, len(x), TILE)
+    return order, np.array([x[order[i : i + TILE]].min(0) for i in starts], np.float32), np.array([x[order[i : i + TILE]].max(0) for i in starts], np.float32)
+
+
 def near_rows(first: np.ndarray, second: np.ndarray, budget: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of two chunks have a row of the other within the budget, up to the rounding to steps."""
+    """Which rows of two chunks have a row of the other within the budget, up to the rounding to steps.
+
+    Tiles whose boxes are further apart than the budget are left out.
+    """
     reach = (np.sqrt(budget) + np.sqrt(first.shape[1]) / STEPS) ** 2 * STEPS * STEPS * (1 + 1e-5) + 1
-    a, b = first.astype(np.float32), second.astype(np.float32)
+    order_a, low_a, high_a = boxed(first)
+    order_b, low_b, high_b = (order_a, low_a, high_a) if same else boxed(second)
+    a, b = first[order_a].astype(np.float32), second[order_b].astype(np.float32)
     # one product gives the squared distance: |a|^2 + |b|^2 - 2 a b
     a = np.hstack([-2 * a, (a * a).sum(1, keepdims=True), np.ones((len(a), 1), np.float32)])
     b = np.hstack([b, np.ones((len(b), 1), np.float32), (b * b).sum(1, keepdims=True)])
     hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     buffer = np.empty(TILE * TILE, np.float32)  # tiles of this size stay in a core's cache
     for i in range(0, len(a), TILE):
-        for j in range(i if same else 0, len(b), TILE):
+        k = i // TILE
+        gap = np.maximum(np.maximum(low_b - high_a[k], low_a[k] - high_b), 0)
+        for j in (np.flatnonzero((gap * gap).sum(1) <= reach) * TILE).tolist():
+            if same and j < i:
+                continue
             x, y = a[i : i + TILE], b[j : j + TILE]
             d = np.matmul(x, y.T, out=buffer[: len(x) * len(y)].reshape(len(x), len(y)))
             if same and i == j:
@@ -108,7 +124,12 @@ def near_rows(first: np.ndarray, second: np.ndarray, budget: float, same: bool)
             if len(rows):
                 hit_a[i + rows] = True
                 hit_b[j : j + TILE] |= (d[rows] <= reach).any(0)
-    return (hit_a | hit_b, hit_a | hit_b) if same else (hit_a, hit_b)
+    if same:
+        hit_a |= hit_b
+        hit_b = hit_a
+    out_a, out_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    out_a[order_a], out_b[order_b] = hit_a, hit_b
+    return out_a, out_b
 
 
 def _candidates(cosine: float):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
 from skillweft.functions import vocab as V
-from skillweft.operators import retrieval, trends
+from skillweft.operators import retrieval, substring, trends
+from skillweft.operators.nearest import nearest
 
 
 def candidates(features: DataFrame) -> DataFrame:
@@ -54,15 +55,33 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("position_name", F.when(keeps | F.col("state").isNull(), F.col("os")).otherwise(F.col("state")).alias("state"), F.coalesce("confidence", "oc").alias("confidence"), F.coalesce("jd_freq_ma3", "om", F.lit(0.0)).alias("jd_freq_ma3"))
 
 
-def grounded(names: DataFrame, seeds: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The seed and the authoritative entry of each name, and a draft: the entry's definition, else the seed's.
+def authoritative(names: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """All entries that fit each name, ``name, code, score``: 1.0 if the entry's name holds it, 0.5 if only an alias does, and with ``vectors`` the cosine of the ten nearest.
 
-    ``seeds``: ``seed_order, seed, terms, description``; ``vocabulary``: ``code, name, definition``. Names under three
-    characters are not looked up. Entries whose name holds the position's are found by its words, not by trying all.
+    ``vocabulary``: ``code, name`` and maybe ``aliases``; ``vectors``: ``id, vector`` of names and codes. An entry's highest score counts. Case and outer white space
+    don't matter; names under three characters are not looked up, and no name is found by words only. Entries are found by a substring join.
+    """
+    folded = lambda c: F.lower(F.trim(c))
+    looked = names.select("name", folded(F.col("name")).alias("key")).where(F.length("key") >= 3).distinct()
+    terms = vocabulary.select("code", folded(F.col("name")).alias("term"), F.lit(1.0).alias("score"))
+    if "aliases" in vocabulary.columns:
+        terms = terms.unionByName(vocabulary.select("code", F.explode("aliases").alias("a")).select("code", folded(F.col("a")).alias("term"), F.lit(0.5).alias("score")))
+    pairs = substring.holds(terms.select(F.col("term").alias("text")), looked.select(F.col("key").alias("needle")))
+    hits = pairs.join(terms, pairs["text"] == terms["term"]).join(looked, F.col("needle") == F.col("key")).select("name", "code", "score")
+    if vectors is not None:
+        left = looked.join(vectors, F.col("name") == F.col("id")).select("id", "vector")
+        right = vocabulary.select("code").join(vectors, F.col("code") == F.col("id")).select("id", "vector")
+        hits = hits.unionByName(nearest(left, right, -1.0, 10).select(F.col("a").alias("name"), F.col("b").cast(vocabulary.schema["code"].dataType).alias("code"), "score"))
+    return hits.groupBy("name", "code").agg(F.max("score").alias("score"))
+
+
+def grounded(names: DataFrame, seeds: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """The seed and the best authoritative entry of each name, and a draft: the entry's definition, else the seed's.
+
+    ``seeds``: ``seed_order, seed, terms, description``; ``vocabulary``: ``code, name, definition`` and maybe ``aliases``. Of entries with one score the smallest
+    code is taken.
     """
     seed = retrieval.match_seeds(names, seeds).join(seeds.select("seed", "description"), "seed", "left")
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
-    entry = vocabulary.select("code", F.col("name").alias("entry"), "definition", F.explode(words(F.col("name"))).alias("w")).where("w <> ''")
-    looked = names.where(F.length("name") >= 3).select("name", F.explode(words(F.col("name"))).alias("w")).where("w <> ''")
-    hits = looked.join(entry, "w").where(F.lower("entry").contains(F.lower("name"))).groupBy("name").agg(F.min(F.struct("code", "definition")).alias("hit"))
-    return names.select("name").distinct().join(seed, "name", "left").join(hits, "name", "left").select("name", "seed", F.col("hit.code").alias("code"), F.coalesce("hit.definition", "description").alias("draft"))
+    best = authoritative(names, vocabulary, vectors).groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "code")).alias("hit")).select("name", F.col("hit.code").alias("code"))
+    entry = best.join(vocabulary.groupBy("code").agg(F.min("definition").alias("definition")), "code", "left")
+    return names.select("name").distinct().join(seed, "name", "left").join(entry, "name", "left").select("name", "seed", "code", F.coalesce("definition", "description").alias("draft"))

@@ -6,10 +6,10 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillweft.operators.running import running_sum
+from skillweft.operators.running import numbered, running_sum
 from skillweft.sources.staging import shared_path, small, staged
 
 
@@ -83,12 +83,48 @@ def grid_search(rows: DataFrame, grid: DataFrame, pred, least_recall: float = 0.
     if grid.limit(10_001).count() > 10_000:
         raise ValueError("more than ten thousand points")
     both = rows.join(F.broadcast(grid), how="cross").withColumn("pred", pred)
-    tp, fn, fp, tn = (F.count_if(c) for c in (F.col("pred") & F.col("gold"), ~F.col("pred") & F.col("gold"), F.col("pred") & ~F.col("gold"), ~F.col("pred") & ~F.col("gold")))
-    scored = both.groupBy(*keys).agg(F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(fp, fp + tn), F.lit(0.0)).alias("fpr"))
+    scored = _rates(both, keys)
     best = F.when(F.col("recall") >= least_recall, 0).otherwise(1)
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(best, "fpr", F.desc("recall"), *keys)))
 
 
+def objective(recall: Column, fpr: Column, most: float = 0.15) -> Column:
+    """What a search maximises: recall, less half of what the false-positive rate has over ``most``."""
+    return recall - 0.5 * F.greatest(F.lit(0.0), fpr - most)
+
+
+def successive_halving(rows: DataFrame, points: DataFrame, pred: Column, key: str, eta: int = 3) -> DataFrame:
+    """A search that gives many points few rows and few points many: ``rung``, the point's columns, ``recall, fpr, objective, rank`` of every evaluation.
+
+    Each rung keeps the best of ``eta`` points and takes ``eta`` times as many rows, drawn by the MD5 of their ``key``; a rung's rows are among the next one's. The last one is over all rows. So all rungs together
+    compare about as many pairs of row and point for each rung as there are points on ``eta ** -rungs`` of the rows. ``points`` are ten thousand at most and distinct; ``rows`` has a boolean ``gold``, ``pred`` is over rows and points. Ties
+    go to the lower rate, then the smaller point.
+    """
+    names, n = points.columns, points.limit(10_001).count()
+    if n > 10_000:
+        raise ValueError("more than ten thousand points")
+    rungs, k = 0, n
+    while k > 1:
+        k, rungs = -(-k // eta), rungs + 1
+    work, held, out = shared_path(rows.sparkSession, "halving"), points, None
+    for r in range(rungs + 1):
+        some = rows if r == rungs else rows.where(F.substring(F.md5(F.col(key).cast("string")), 1, 8) < format(2**32 // eta ** (rungs - r), "08x"))
+        both = some.join(F.broadcast(held), how="cross").withColumn("pred", pred)  # points were counted
+        scored = held.join(_rates(both, names), names, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("recall", "fpr")})
+        best = Window.orderBy(F.desc("objective"), "fpr", *names)  # a row a point
+        rung = scored.withColumn("objective", F.round(objective(F.col("recall"), F.col("fpr")), 9)).withColumn("rank", F.row_number().over(best)).withColumn("rung", F.lit(r))
+        rung = staged(rung, f"{work}/{r}")
+        n = -(-n // eta)
+        held = rung.where(F.col("rank") <= n).select(*names)
+        out = rung if out is None else out.unionByName(rung)
+    return out
+
+
+def _rates(both: DataFrame, keys: list[str]) -> DataFrame:
+    tp, fn, fp, tn = (F.count_if(c) for c in (F.col("pred") & F.col("gold"), ~F.col("pred") & F.col("gold"), F.col("pred") & ~F.col("gold"), ~F.col("pred") & ~F.col("gold")))
+    return both.groupBy(*keys).agg(F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide(fp, fp + tn), F.lit(0.0)).alias("fpr"))
+
+
 def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], quota: int, total: int) -> DataFrame:
     """``quota`` rows of each stratum in order, filled up in order to ``total``.
 
@@ -100,39 +136,40 @@ def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], quot
     return held.orderBy(first, *order).limit(total).drop("_k")
 
 
-def _strangers(candidates: DataFrame, positions: DataFrame, met: DataFrame, k: int) -> DataFrame:
-    """For each position the next ``k`` candidates (``candidate, position_name``) that it doesn't meet, in a ring by hash.
+def golden_pairs(positions: DataFrame, key: str, skills: str, keep: float = 0.6, other_keep: float = 0.7, most: int = 1, negatives: int = 2, draws: int = 1024) -> DataFrame:
+    """For each position a candidate with a ``keep`` of its skills (``label`` 1), and ``negatives`` with an ``other_keep`` of another position's that
+    shares ``most`` skills with it at most (0): ``position, other, label, candidate_skills``, the skills sorted.
 
-    A position's ring begins at a place of its own; ``d`` is the distance from there.
+    Subsets are drawn by hash, one skill at least, alike every time. Others are drawn from the ring of all positions by hash, from the position's own
+    place on, until there are enough or ``draws`` were looked at; so positions with a common skill are never listed, and what is shuffled grows with
+    the positions. Each round looks at eight times as many for those that lack some. Positions without skills have no pairs; keys are distinct.
     """
-    ring = running_sum(candidates.select("candidate", F.struct(F.xxhash64("candidate").alias("h"), F.col("candidate").alias("c")).alias("v")), "v", F.lit(1), "s").select("candidate", (F.col("s") - 1).alias("at"))
-    size = candidates.agg(F.count("*").alias("n"))
-    begin = positions.join(F.broadcast(size), how="cross").where("n > 0").withColumn("begin", F.pmod(F.xxhash64("position_name"), F.col("n")))
-    places = met.join(ring, "candidate").join(begin, "position_name").select("position_name", "n", "begin", F.pmod(F.col("at") - F.col("begin"), F.col("n")).alias("d"))
-    places = places.unionByName(begin.withColumn("d", F.col("n")))  # the end of the ring
-    w = Window.partitionBy("position_name").orderBy("d")
-    gaps = places.withColumn("i", F.row_number().over(w) - 1).withColumn("from", F.coalesce(F.lag("d").over(w), F.lit(-1)) + 1)
-    last = F.least(F.col("d"), F.col("i") + k) - 1  # before a place ``x`` in the gap, ``x - i`` strangers stand
-    free = gaps.where(F.col("from") <= last).select("position_name", F.explode(F.sequence("from", last)).alias("d"), "begin", "n")
-    return free.withColumn("at", F.pmod(F.col("begin") + F.col("d"), F.col("n"))).join(ring, "at").select("candidate", "position_name")
-
-
-def labelled_pairs(candidates: DataFrame, positions: DataFrame, share: float = 0.6, most: int = 1, each: int = 10) -> DataFrame:
-    """Pairs of skill arrays as positives (``share`` of the position's skills are common) and negatives (``most`` at most).
-
-    Drawn alike every time: ``each`` of each label and position by the hash of the pair, which is what this sample is for. Positives meet by a common skill, and so do negatives with
-    few of them. Of those without a common skill a position has the next ``each`` in the ring of all candidates, which stand in the
-    gaps between the ones that it meets; so pairs that share nothing are never listed.
-    """
-    p = positions.select("position_name", F.explode(F.array_distinct("skills")).alias("s"))
-    c = candidates.select("candidate", F.explode(F.array_distinct("skills")).alias("s"))
-    sizes = p.groupBy("position_name").agg(F.count("*").alias("n"))
-    by_skill = staged(c.join(p, "s").groupBy("candidate", "position_name").agg(F.count("*").alias("common")), shared_path(candidates.sparkSession, "pairs"))
-    yes = by_skill.join(small(sizes), "position_name").where(F.col("common") >= F.col("n") * share).select("candidate", "position_name", F.lit(1).alias("label"))
-    few = by_skill.where(F.col("common") <= most).select("candidate", "position_name", F.lit(0).alias("label"))
-    none = _strangers(candidates.select("candidate"), positions.select("position_name"), by_skill.select("candidate", "position_name"), each).withColumn("label", F.lit(0))
-    w = Window.partitionBy("position_name", "label").orderBy(F.xxhash64("candidate", "position_name"), "candidate")
-    return yes.unionByName(few).unionByName(none).withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).drop("k")
+    rows = positions.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_distinct(F.coalesce(skills, F.array().cast("array<string>"))).alias("s")).where(F.size("s") > 0)
+    ring = numbered(rows.withColumn("_m", F.struct(F.md5(F.col("id").cast("string")).alias("h"), "id")), "_m", "at").select("id", "s", (F.col("at") - 1).alias("at"))
+    work = shared_path(positions.sparkSession, "pairs")
+    ring = staged(ring, f"{work}/ring")
+    n = ring.count()
+
+    def subset(owner: Column, held: Column, share: float) -> Column:
+        drawn = F.transform(F.array_sort(F.transform(held, lambda x: F.struct(F.md5(F.concat_ws(":", owner.cast("string"), x)).alias("h"), x.alias("x")))), lambda p: p["x"])
+        return F.array_sort(F.slice(drawn, 1, F.greatest(F.lit(1), F.floor(F.size(held) * share)).cast("int")))
+
+    none = F.lit(None).cast(ring.schema["id"].dataType)
+    out = ring.select(F.col("id").alias("position"), none.alias("other"), F.lit(1).alias("label"), subset(F.col("id"), F.col("s"), keep).alias("candidate_skills"))
+    others = ring.select(F.col("id").alias("other"), F.col("s").alias("o"), F.col("at").alias("to"))
+    open_, seen, width = ring.withColumn("lacks", F.lit(negatives)), 0, 16
+    while seen < min(draws, n - 1):
+        upto = min(width, draws, n - 1)
+        asked = open_.withColumn("d", F.explode(F.sequence(F.lit(seen + 1), F.lit(upto)))).withColumn("to", (F.col("at") + F.col("d")) % n)
+        strange = asked.join(others, "to").where(F.size(F.array_intersect("s", "o")) <= most)
+        nth = Window.partitionBy("id").orderBy("d")  # the rows of one round
+        got = staged(strange.withColumn("k", F.row_number().over(nth)).where(F.col("k") <= F.col("lacks")).select("id", "other", "o"), f"{work}/{upto}")
+        out = out.unionByName(got.select(F.col("id").alias("position"), "other", F.lit(0).alias("label"), subset(F.col("other"), F.col("o"), other_keep).alias("candidate_skills")))
+        left = open_.join(got.groupBy("id").agg(F.count("*").alias("g")), "id", "left").withColumn("lacks", F.col("lacks") - F.coalesce("g", F.lit(0))).drop("g").where("lacks > 0")
+        open_, seen, width = staged(left, f"{work}/open{upto}"), upto, width * 8
+        if open_.isEmpty():
+            break
+    return out
 
 
 def weights_of(config: dict[str, object], defaults: dict[str, float]) -> dict[str, float]:
@@ -144,6 +181,13 @@ def weights_of(config: dict[str, object], defaults: dict[str, float]) -> dict[st
     return found if functools.reduce(lambda ok, v: ok and v >= 0, found.values(), True) else dict(defaults)
 
 
+def configured_weights(config: Column, defaults: dict[str, float]) -> Column:
+    """F38 for a column of JSON texts: a struct of the weights, or of the defaults unless every one of their names has a number, or a text of one, that isn't negative."""
+    read = {k: F.get_json_object(config, f"$.{k}").try_cast("double") for k in defaults}
+    fine = functools.reduce(lambda ok, k: ok & F.coalesce((read[k] >= 0) & ~F.isnan(read[k]), F.lit(False)), defaults, F.lit(True))
+    return F.struct(*[F.when(fine, read[k]).otherwise(F.lit(float(v))).alias(k) for k, v in defaults.items()])
+
+
 def report(frame: pd.DataFrame) -> dict[str, object]:
     """The one row of a small result as a dictionary."""
     return frame.iloc[0].to_dict() if len(frame) else {}

@@ -235,91 +235,6 @@ def modularity(pairs: DataFrame, partition: DataFrame) -> DataFrame:
     return per.join(F.broadcast(whole), how="cross").agg(F.coalesce(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("tot") / F.col("m2"), F.lit(2))), F.lit(0.0)).alias("q"))
 
 
-def _louvain(adjacent: dict[str, dict[str, float]], most: int = 32) -> dict[str, int]:
-    """Moves nodes to the neighbouring community of the largest gain, then merges communities, while quality grows.
-
-    Weights inside a community are left out of the merged graph.
-    """
-
-    def quality(part: dict[str, int]) -> float:
-        m2 = sum(sum(x.values()) for x in adjacent.values())
-        if not m2:
-            return 0.0
-        tot: dict[int, float] = {}
-        inside = 0.0
-        for a, near in adjacent.items():
-            tot[part[a]] = tot.get(part[a], 0.0) + sum(near.values())
-            inside += sum(w for b, w in near.items() if part[b] == part[a])
-        return inside / m2 - sum((t / m2) ** 2 for t in tot.values())
-
-    def moved(graph: dict, part: dict) -> bool:
-        m2 = sum(sum(x.values()) for x in graph.values())
-        if not m2:
-            return False
-        k = {a: sum(x.values()) for a, x in graph.items()}
-        tot: dict[int, float] = {}
-        for a in graph:
-            tot[part[a]] = tot.get(part[a], 0.0) + k[a]
-        any_ = again = False
-        for _ in range(most):
-            again = False
-            for a, near in graph.items():
-                home = part[a]
-                to: dict[int, float] = {}
-                for b, w in near.items():
-                    if b != a:
-                        to[part[b]] = to.get(part[b], 0.0) + w
-                tot[home] -= k[a]
-                gain = lambda c, to=to, a=a: to.get(c, 0.0) - tot[c] * k[a] / m2
-                best = max(sorted(to), key=gain, default=home)
-                if best != home and gain(best) > gain(home) + 1e-12:
-                    part[a], again, any_ = best, True, True
-                tot[part[a]] += k[a]
-            if not again:
-                break
-        return any_
-
-    members = {a: {a} for a in adjacent}
-    graph: dict = adjacent
-    best = {a: i for i, a in enumerate(adjacent)}
-    score = quality(best)
-    for _ in range(most):
-        part = {a: i for i, a in enumerate(graph)}
-        if not moved(graph, part):
-            break
-        held: dict[int, set] = {}
-        for a, c in part.items():
-            held.setdefault(c, set()).update(members[a])
-        now = {x: c for c, xs in held.items() for x in xs}
-        if (q := quality(now)) > score + 1e-9:
-            best, score = now, q
-        merged: dict[int, dict[int, float]] = {c: {} for c in held}
-        for a, near in graph.items():
-            for b, w in near.items():
-                if part[a] != part[b]:
-                    merged[part[a]][part[b]] = merged[part[a]].get(part[b], 0.0) + w
-        graph, members = merged, held
-    order: dict[int, int] = {}
-    return {a: order.setdefault(best[a], len(order)) for a in adjacent}
-
-
-def louvain(pairs: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """Communities of weighted pairs. The moves depend on order, so the skill graph, a vocabulary, is one group.
-
-    It may have ``most`` pairs: more are an error.
-    """
-    if pairs.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} pairs: their moves depend on order, in one task")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adjacent: dict[str, dict[str, float]] = {}
-        for a, b, w in pdf.sort_values(["a", "b"])[["a", "b", "weight"]].itertuples(index=False):
-            adjacent.setdefault(a, {})[b] = float(w)
-        return pd.DataFrame(list(_louvain(adjacent).items()), columns=["id", "community"])
-
-    return adjacency(pairs).groupBy().applyInPandas(run, "id string, community long")
-
-
 def clusters(partition: DataFrame, least: int = 1) -> DataFrame:
     """Members of each community with at least ``least`` of them."""
     return partition.groupBy("community").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members")).where(F.col("size") >= least)

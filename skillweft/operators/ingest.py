@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
 from skillweft.operators import running
-from skillweft.sources.staging import shared_path, staged
+from skillweft.sources.staging import shared_path, small, staged
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -87,8 +87,9 @@ def chunks(texts: DataFrame, key: str, order: str, text: str, size: int, most: i
 
     Where a chunk begins depends on all before it, but not where the one that begins at a row ends. Rows are numbered by key and
     ``order`` (distinct in a key) and cut into blocks, whatever the keys. Each block, with the first ``size`` lengths of the next, finds for
-    every row at which it can be entered where it is left and how many chunks it holds; the driver follows these, ``size`` rows a
-    block; then the blocks number their rows. Only lengths are held, of one block in a task.
+    every row at which it can be entered where it is left and how many chunks it holds. These functions compose, so neighbouring
+    blocks' are merged in a tree and the way down it tells each block where it begins; then the blocks number their rows. Only lengths are held, of one block
+    in a task, and nothing comes to the driver.
     """
     block = max(block, size)
     spark = texts.sparkSession
@@ -115,15 +116,8 @@ def chunks(texts: DataFrame, key: str, order: str, text: str, size: int, most: i
             out.append((b, e, i - own, n, new, last, fresh))
         return pd.DataFrame(out, columns=["b", "e", "exit", "n", "new", "last", "fresh"])
 
-    ways = {(r.b, r.e): r for r in seen.groupBy("_b").applyInPandas(enter, "b long, e long, exit long, n long, new boolean, last long, fresh boolean").collect()}
-    starts, e, number, before = [], 0, 0, 0
-    for b in sorted({b for b, _ in ways}):
-        starts.append((b, e, number, before))
-        way = ways[b, e]
-        if way.last >= 0:
-            before = way.last if way.fresh else number + way.last
-        number, e = way.n if way.new else number + way.n, way.exit
-    begin = spark.createDataFrame(starts, "_b long, _e long, _number long, _before long")
+    ways = staged(seen.groupBy("_b").applyInPandas(enter, _WAY), shared_path(spark, "ways"))
+    begin = _begins(ways)
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
@@ -138,7 +132,58 @@ def chunks(texts: DataFrame, key: str, order: str, text: str, size: int, most: i
         return pd.DataFrame({key: pdf["_key"], order: pdf["_order"], "chunk": out})
 
     fields = {f.name: f.dataType.simpleString() for f in texts.schema}
-    return held.join(F.broadcast(begin), "_b").groupBy("_b").applyInPandas(assign, f"`{key}` {fields[key]}, `{order}` {fields[order]}, chunk long")
+    return held.join(small(begin), "_b").groupBy("_b").applyInPandas(assign, f"`{key}` {fields[key]}, `{order}` {fields[order]}, chunk long")
+
+
+#: What a block does to a walk that enters it at its row ``e``: it leaves at row ``exit`` of the next one, the number of its next chunk is ``n`` (``new``) or ``n`` more, and
+#: so is that of the chunk that reaches to its end (``last``, ``fresh``; -1: none begins here).
+_WAY = "b long, e long, exit long, n long, new boolean, last long, fresh boolean"
+#: Neighbouring blocks that are merged at once.
+FAN_IN = 64
+
+
+def _begins(ways: DataFrame) -> DataFrame:
+    """``_b, _e, _number, _before``: where the walk from row 0 enters each block, and the numbers of the next chunk and the one before."""
+    spark = ways.sparkSession
+    work = shared_path(spark, "walk")
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = {(r.b, r.e): r for r in pdf.itertuples()}
+        blocks, out = sorted({b for b, _ in steps}), []
+        for e in sorted(e for b, e in steps if b == blocks[0]):
+            at, n, new, last, fresh = e, 0, False, -1, False
+            for b in blocks:
+                r = steps[b, at]
+                if r.last >= 0:
+                    last, fresh = (r.last, True) if r.fresh else (n + r.last, new)
+                n, new = (r.n, True) if r.new else (n + r.n, new)
+                at = r.exit
+            out.append((blocks[0] // FAN_IN, e, at, n, new, last, fresh))
+        return pd.DataFrame(out, columns=["b", "e", "exit", "n", "new", "last", "fresh"])
+
+    top = ways.agg(F.max("b")).first()[0]
+    levels = [ways]
+    while top:
+        top //= FAN_IN
+        levels.append(staged(levels[-1].withColumn("up", F.floor(F.col("b") / FAN_IN)).groupBy("up").applyInPandas(lambda pdf: merged(pdf), _WAY), f"{work}/up{len(levels)}"))
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = {(r.b, r.e): r for r in pdf.itertuples()}
+        first = pdf.iloc[0]
+        at, number, before, out = int(first["_e"]), int(first["_number"]), int(first["_before"]), []
+        for b in sorted({b for b, _ in steps}):
+            out.append((b, at, number, before))
+            r = steps[b, at]
+            if r.last >= 0:
+                before = r.last if r.fresh else number + r.last
+            number, at = (r.n if r.new else number + r.n), r.exit
+        return pd.DataFrame(out, columns=["_b", "_e", "_number", "_before"])
+
+    begin = spark.createDataFrame([(0, 0, 0, 0)], "_b long, _e long, _number long, _before long")
+    for k, level in reversed(list(enumerate(levels[:-1]))):
+        below = level.withColumn("_b", F.floor(F.col("b") / FAN_IN)).join(begin, "_b")
+        begin = staged(below.groupBy("_b").applyInPandas(walked, "_b long, _e long, _number long, _before long"), f"{work}/down{k}")
+    return begin
 
 
 def post_processed(skills: DataFrame, key: str) -> DataFrame:

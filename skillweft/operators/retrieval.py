@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
+from skillweft.operators import substring
 from skillweft.sources.staging import shared_path, small, staged
 
 
 def match_seeds(names: DataFrame, seeds: DataFrame) -> DataFrame:
     """The first seed whose name or alias a position holds, or that holds it. ``seeds``: ``seed_order, seed, terms``.
 
-    Seeds are a vocabulary of at most thousands; they are broadcast after their rows were counted.
+    Case and outer white space don't count, and words need no spaces around them. Both directions are substring joins, so neither side is tried against all of the other.
     """
-    terms = seeds.select("seed_order", "seed", F.explode("terms").alias("t")).select("seed_order", "seed", F.lower("t").alias("t"))
-    if terms.limit(100_001).count() <= 100_000:
-        terms = F.broadcast(terms)
-    low = F.lower("name")
-    pairs = names.select("name").distinct().join(terms, low.contains(F.col("t")) | F.col("t").contains(low))
-    return pairs.groupBy("name").agg(F.min_by("seed", "seed_order").alias("seed"))
+    folded = lambda c: F.lower(F.trim(c))
+    terms = seeds.select("seed_order", "seed", F.explode("terms").alias("t")).select("seed_order", "seed", folded(F.col("t")).alias("term")).where("term <> ''")
+    own = names.select("name", folded(F.col("name")).alias("key")).where("key <> ''").distinct()
+    keys, words = own.select("key").distinct(), terms.select("term").distinct()
+    inside = substring.holds(keys.select(F.col("key").alias("text")), words.select(F.col("term").alias("needle"))).select(F.col("text").alias("key"), F.col("needle").alias("term"))
+    around = substring.holds(words.select(F.col("term").alias("text")), keys.select(F.col("key").alias("needle"))).select(F.col("needle").alias("key"), F.col("text").alias("term"))
+    first = inside.unionByName(around).join(terms, "term").groupBy("key").agg(F.min_by("seed", "seed_order").alias("seed"))
+    return own.join(first, "key").select("name", "seed")
 
 
 def keyword_hits(vocabulary: DataFrame, query: str) -> DataFrame:

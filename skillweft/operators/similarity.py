@@ -5,13 +5,13 @@ from __future__ import annotations
 import functools
 import itertools
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
 from skillweft.functions import text as X
+from skillweft.operators import substring
+from skillweft.operators.nearest import nearest
 
 
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,64 +77,19 @@ def verified_pairs(pairs: DataFrame, vectors: DataFrame, least: float = 0.9) ->
     return rows.where(F.col("va").isNull() | F.col("vb").isNull() | (S.cosine(F.col("va"), F.col("vb")) >= least)).drop("va", "vb")
 
 
-#: Rows of each side that are compared at once.
-TILE = 4096
-
-
-def nearest(left: DataFrame, right: DataFrame, least: float, k: int = 1, strict: bool = False, other: bool = False) -> DataFrame:
-    """For each left row (``id, vector``) the ``k`` right rows of highest cosine from ``least`` up (over it if ``strict``).
-
-    Both sides are dealt to chunks of about ``TILE`` rows by a hash. Each pair of chunks is a group, in which numpy multiplies them
-    and keeps a left row's ``k`` best, so a group is bounded and only ``k`` rows of each chunk are ranked. Ties go to the smaller id; vectors of
-    other lengths never meet. With ``other`` a row is not its own neighbour, for a table that is compared with itself.
-    """
-    n, m = (max(1, -(-x.count() // TILE)) for x in (left, right))
-
-    def dealt(rows: DataFrame, mine: str, of: int, theirs: str, to: int, side: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
-        return rows.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit(side).alias("side"), part.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(to - 1))).alias(theirs)).where("vector is not null")
-
-    both = dealt(left, "i", n, "j", m, 0).unionByName(dealt(right, "j", m, "i", n, 1))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size in sorted(set(pdf["vector"].map(len))):
-            held = pdf[pdf["vector"].map(len) == size]
-            a, b = (held[held["side"] == s].sort_values("id") for s in (0, 1))
-            if not size or not len(a) or not len(b):
-                continue
-            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-            x, y = (np.nan_to_num(v / np.linalg.norm(v, axis=1, keepdims=True)) for v in (np.stack(t["vector"].tolist()) for t in (a, b)))
-            for at in range(0, len(x), 512):
-                s = x[at : at + 512] @ y.T
-                ok = (s > least) if strict else (s >= least)
-                if other:
-                    ok &= ia[at : at + 512, None] != ib[None, :]
-                p, q = np.nonzero(ok)
-                order = np.lexsort((q, -s[p, q], p))
-                p, q = p[order], q[order]
-                rank = np.arange(len(p)) - np.searchsorted(p, p)
-                p, q = p[rank < k], q[rank < k]
-                out.append(pd.DataFrame({"a": ia[at + p], "b": ib[q], "score": s[p, q]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "score": []})
-
-    kinds = [f.dataType.simpleString() for t in (left, right) for f in t.schema if f.name == "id"]
-    pairs = both.groupBy("i", "j").applyInPandas(best, f"a {kinds[0]}, b {kinds[1]}, score double")
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def aligned(names: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None = None, least: float = 0.6) -> DataFrame:
     """Rule alignment of names to a vocabulary (``code, name, aliases``), exact first, then by vector.
 
-    A name is matched if it equals a vocabulary name or alias in any case, or holds an alias of three characters or more. Equal
-    names are joined by key; only names without one are scanned for aliases. The first code wins.
+    A name is matched if it equals a vocabulary name or alias in any case, or holds an alias of three characters or more, with or without spaces around. Equal
+    names are joined by key; only names without one are looked through for terms, all at once. The first code wins.
     """
     terms = vocabulary.select("code", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("term")).select("code", F.lower("term").alias("term"))
     n = names.select("name").distinct()
     exact = n.join(terms, F.lower("name") == F.col("term")).groupBy("name").agg(F.min("code").alias("code"))
     rest = n.join(exact, "name", "left_anti")
-    held = rest.join(terms.where(F.length("term") >= 3), F.lower("name").contains(F.col("term"))).groupBy("name").agg(F.min("code").alias("code"))
+    low, long = rest.select("name", F.lower("name").alias("text")), terms.where(F.length("term") >= 3)
+    pairs = substring.holds(low, long.select(F.col("term").alias("needle"))).join(long.groupBy(F.col("term").alias("needle")).agg(F.min("code").alias("code")), "needle")
+    held = low.join(pairs.groupBy("text").agg(F.min("code").alias("code")), "text").select("name", "code")
     found = exact.unionByName(held).withColumn("confidence", F.lit(1.0))
     if vectors is None:
         return found
@@ -142,45 +97,3 @@ def aligned(names: DataFrame, vocabulary: DataFrame, vectors: DataFrame | None =
     right = vocabulary.join(vectors, vocabulary["code"] == vectors["id"]).select("id", "vector")
     near = nearest(left, right, least).select(F.col("a").alias("name"), F.col("b").alias("code"), F.col("score").alias("confidence"))
     return found.unionByName(near)
-
-
-def first_fit_clusters(names: list[str], vectors: dict[str, list[float]], least: float = 0.75) -> list[list[str]]:
-    """Greedy clusters in input order: a name joins the first cluster with any member that is similar enough."""
-    unit = {n: np.array(vectors[n], float) / (np.linalg.norm(vectors[n]) or 1.0) for n in names if n in vectors}
-    rows = {len(u): np.empty((sum(len(x) == len(u) for x in unit.values()), len(u))) for u in {len(u): u for u in unit.values()}.values()}
-    homes: dict[int, list[int]] = {size: [] for size in rows}  # the cluster of each row so far
-    out: list[list[str]] = []
-    for n in names:
-        if n not in unit:
-            out.append([n])
-            continue
-        m, held = rows[len(unit[n])], homes[len(unit[n])]
-        near = np.flatnonzero(m[: len(held)] @ unit[n] >= least)
-        home = min((held[i] for i in near.tolist()), default=len(out))
-        out.append([n]) if home == len(out) else out[home].append(n)
-        m[len(held)] = unit[n]
-        held.append(home)
-    return out
-
-
-def normalize_clusters(names: DataFrame, vectors: DataFrame, least: float = 0.75, most: int = 200_000) -> DataFrame:
-    """``name, standard, confidence``; ``names``: ``name, seq, cnt`` after aliases, ``vectors``: ``name, vector``.
-
-    The clustering depends on order, so the vocabulary (not the mentions) is one group, which may have ``most`` names: more are an
-    error. A cluster's representative is the most frequent member, the first on ties, and the confidence the mean similarity to it.
-    """
-    if names.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names: they are clustered in order, in one task")
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "name"])
-        held = {r.name_: list(r.vector) for r in pdf.rename(columns={"name": "name_"}).itertuples() if r.vector is not None}
-        count = dict(zip(pdf["name"], pdf["cnt"], strict=True))
-        rows = []
-        for c in first_fit_clusters(list(pdf["name"]), held, least):
-            top = max(c, key=lambda n: count[n])  # the first on ties
-            cos = lambda a, b: float(np.dot(held[a], held[b]) / ((np.linalg.norm(held[a]) * np.linalg.norm(held[b])) or 1.0)) if a in held and b in held else 1.0 * (a == b)
-            trust = sum(cos(n, top) for n in c) / len(c)
-            rows += [(n, top, round(trust, 4)) for n in c]
-        return pd.DataFrame(rows, columns=["name", "standard", "confidence"])
-
-    return names.join(vectors, "name", "left").groupBy().applyInPandas(run, "name string, standard string, confidence double")

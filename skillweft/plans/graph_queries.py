@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
 from skillweft.functions import vocab as V
-from skillweft.operators import evaluation, graph, matching, quality, retrieval, similarity
-from skillweft.plans.views import jd, jd_skill, requires, snapshots, table
+from skillweft.operators import clusters, communities, evaluation, graph, inverted, matching, quality, retrieval, similarity
+from skillweft.operators.nearest import nearest
+from skillweft.plans.views import CHINESE, chinese, jd, jd_skill, requires, snapshots, table
 from skillweft.sources.staging import shared_path, staged
 
 AS_OF = "2001-08-01"
@@ -159,7 +160,7 @@ def louvain(spark: SparkSession, sf: str) -> DataFrame:
     """Brands by the positions that they share; those with one remainder by five are ten times as close, others a tenth."""
     pairs = graph.cooccurrence(requires(spark, sf))
     near = F.substring("a", 7, 9).cast("int") % 5 == F.substring("b", 7, 9).cast("int") % 5
-    c = graph.clusters(graph.louvain(pairs.withColumn("weight", F.col("weight") * F.when(near, 10.0).otherwise(0.1))))
+    c = graph.clusters(communities.louvain(pairs.withColumn("weight", F.col("weight") * F.when(near, 10.0).otherwise(0.1))))
     return c.select("community", "size", F.array_join("members", ",").alias("members"))
 
 
@@ -281,13 +282,13 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 def knn(spark: SparkSession, sf: str) -> DataFrame:
     """Of every vector the five nearest others from 0.25 up."""
     v = _vectors(spark, sf)
-    return similarity.nearest(v, v, 0.25, 5, other=True).select("a", "b", F.round("score", 6).alias("score"))
+    return nearest(v, v, 0.25, 5, other=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def nn_align(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest of all other vectors, from 0.2 up."""
     v = _vectors(spark, sf)
-    return similarity.nearest(v, v, 0.2, other=True).select("a", "b", F.round("score", 6).alias("score"))
+    return nearest(v, v, 0.2, other=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def verified_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,10 +310,16 @@ def rag_budget(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.within_budget(d, "source", "doc_id", "tokens", 2000, 5)
 
 
+def both_names(spark: SparkSession, sf: str) -> DataFrame:
+    """``name``: positions, and a Chinese one for each, without spaces."""
+    names = _freqs(spark, sf).select(F.col("position_name").alias("name"))
+    return names.unionByName(names.select(chinese(F.col("name")).alias("name"))).distinct()
+
+
 def seed_match(spark: SparkSession, sf: str) -> DataFrame:
-    """N13."""
+    """Positions in both languages."""
     seeds = spark.createDataFrame([(1, "goods", ["goods", "NATION_1"]), (2, "house", ["HOUSE"]), (3, "build", ["BUILDING/NATION_10 AND MORE"])], "seed_order int, seed string, terms array<string>")
-    return retrieval.match_seeds(_freqs(spark, sf).select(F.col("position_name").alias("name")), seeds)
+    return retrieval.match_seeds(both_names(spark, sf), seeds.unionByName(spark.createDataFrame([(4, "数据", ["数据工程师"], ), (5, "云", ["腾讯云计算产品工程师平台"])], seeds.schema)))
 
 
 def keyword_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,6 +333,14 @@ def fulltext(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf, "documents"), "doc_id", "text", "the licensed").select("doc_id", _r("score"))
 
 
+def fulltext_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty best documents for two words from an index that was written in three batches, one of them twice."""
+    docs, index = table(spark, sf, "documents"), inverted.InvertedIndex(spark, shared_path(spark, "fulltext"))
+    for name in ("even", "odd", "even"):
+        index.add(docs.where(F.col("doc_id") % 2 == (0 if name == "even" else 1)), "doc_id", "text", name)
+    return index.search("the licensed", 20).select(F.col("key").cast("long").alias("doc_id"), _r("score"))
+
+
 def fulltext_indexes(spark: SparkSession, sf: str) -> DataFrame:
     """The five best of parts, pages of customers, nations and documents for two words."""
     t = lambda name, key, text: (table(spark, sf, name), key, text)
@@ -335,9 +350,9 @@ def fulltext_indexes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def occupation_align(spark: SparkSession, sf: str) -> DataFrame:
-    """N14."""
-    v = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("X"), F.col("n_name"))).alias("aliases"))
-    return similarity.aligned(_freqs(spark, sf).select(F.col("position_name").alias("name")), v)
+    """Positions in both languages against names and aliases that stand anywhere in them."""
+    v = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("X"), F.col("n_name")), F.element_at(F.array(*map(F.lit, CHINESE["BUILDING"])), F.col("n_nationkey") % 3 + 1)).alias("aliases"))
+    return similarity.aligned(both_names(spark, sf), v)
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -396,16 +411,15 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """T7."""
-    c = _candidates(spark, sf).groupBy("candidate").agg(F.collect_set("skill").alias("skills"))
-    p = _positions(spark, sf).groupBy("position_name").agg(F.collect_set("skill").alias("skills"))
-    return evaluation.labelled_pairs(c, p)
+    """Of every ad its own skills in part, and those of two that share one skill at most."""
+    ads = jd_skill(spark, sf).groupBy("id").agg(F.collect_set("skill").alias("skills"))
+    return evaluation.golden_pairs(ads, "id", "skills", draws=256).withColumn("candidate_skills", F.array_join("candidate_skills", ","))
 
 
 def normalize_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """All vectors are the vocabulary."""
     v = _vectors(spark, sf).select(F.col("id").cast("string").alias("name"), "vector")
-    return similarity.normalize_clusters(v.select("name", F.col("name").cast("long").alias("seq"), F.lit(1).alias("cnt")), v, 0.3)
+    return clusters.normalize_clusters(v.select("name", F.col("name").cast("long").alias("seq"), F.lit(1).alias("cnt")), v, 0.3)
 
 
 def mli(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,7 +447,7 @@ def state_transition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (panorama, techstack, graph_view, expand_edges, reverse_skill, evidence_refs, skill_detail, cooccurrence, degrees, filtered_skills, merge_vertices, relation_edges, snapshot_diff, edge_diff, version_counters, type_counts, retained_versions, edit_diff, evolved_from, pagerank, modularity, louvain, shortest_path, prereq_chain, prereq_order, cii, rough_select, match_scores, match_topn, gaps, learning_hours, course_ranking, staleness, knn, nn_align, verified_pairs, hit_merge, rag_budget, seed_match, keyword_hits, fulltext, fulltext_indexes, occupation_align, f1, confusion, recall_fpr, grid, spearman, accuracy, top3, kappa, stratified_sample, labelled_pairs, normalize_clusters, mli, state_transition)
+    for f in (panorama, techstack, graph_view, expand_edges, reverse_skill, evidence_refs, skill_detail, cooccurrence, degrees, filtered_skills, merge_vertices, relation_edges, snapshot_diff, edge_diff, version_counters, type_counts, retained_versions, edit_diff, evolved_from, pagerank, modularity, louvain, shortest_path, prereq_chain, prereq_order, cii, rough_select, match_scores, match_topn, gaps, learning_hours, course_ranking, staleness, knn, nn_align, verified_pairs, hit_merge, rag_budget, seed_match, keyword_hits, fulltext, fulltext_index, fulltext_indexes, occupation_align, f1, confusion, recall_fpr, grid, spearman, accuracy, top3, kappa, stratified_sample, labelled_pairs, normalize_clusters, mli, state_transition)
 }
 
 from skillweft.plans.graph_sql import ORACLES  # noqa: E402, F401

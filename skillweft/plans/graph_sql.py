@@ -79,10 +79,18 @@ ORACLES = {
     "hit_merge": "SELECT user_id AS code, max(value) AS score FROM events GROUP BY ALL ORDER BY score DESC, code LIMIT 10",
     "keyword_hits": "SELECT p_partkey AS code, CAST(CASE WHEN contains(lower(p_name), 'o') THEN 1.0 ELSE 0.5 END AS DOUBLE) AS score FROM part WHERE contains(lower(p_name), 'o') OR contains(lower(p_type), 'o')",
     "rag_budget": "WITH RECURSIVE d AS (SELECT source, doc_id, CAST(length(text) % 997 AS DOUBLE) AS score, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS i FROM d WHERE tokens <= 2000), r(source, doc_id, score, tokens, i, used, n, kept) AS (SELECT source, doc_id, score, tokens, i, tokens, CAST(1 AS BIGINT), true FROM o WHERE i = 1 UNION ALL SELECT o.source, o.doc_id, o.score, o.tokens, o.i, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.used + o.tokens ELSE r.used END, CASE WHEN r.used + o.tokens <= 2000 AND r.n < 5 THEN r.n + 1 ELSE r.n END, r.used + o.tokens <= 2000 AND r.n < 5 FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1) SELECT source, doc_id, score, tokens, CAST(n AS INT) AS rank FROM r WHERE kept",
-    "seed_match": with_views("jd") + "s(o, seed, t) AS (VALUES (1, 'goods', 'goods'), (1, 'goods', 'nation_1'), (2, 'house', 'house'), (3, 'build', 'building/nation_10 and more')) SELECT position_name AS name, arg_min(seed, o) AS seed FROM (SELECT DISTINCT position_name FROM jd), s WHERE contains(lower(position_name), t) OR contains(t, lower(position_name)) GROUP BY ALL",
+    "normalize_clusters": "WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS s FROM v x JOIN v y ON y.id < x.id), l AS (SELECT a, b FROM p WHERE s >= 0.3), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), f AS (SELECT id FROM v WHERE id NOT IN (SELECT a FROM l)), c AS (SELECT id, coalesce(min(b), any_value(id)) AS c FROM v LEFT JOIN (SELECT a, b FROM r WHERE b IN (SELECT id FROM f)) q ON q.a = v.id GROUP BY id), t AS (SELECT c.c, avg(list_cosine_similarity(x.e, y.e)) AS m FROM c JOIN v x USING (id) JOIN v y ON y.id = c.c WHERE c.id <> c.c GROUP BY c.c) SELECT CAST(id AS VARCHAR) AS name, CAST(c.c AS VARCHAR) AS standard, round(coalesce(m, 1.0), 4) AS confidence FROM c LEFT JOIN t USING (c)",
+    "labelled_pairs": with_views("jd", "jd_skill") + """x AS (SELECT DISTINCT id, skill FROM jd_skill), y AS (SELECT id, skill, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY md5(id || ':' || skill), skill) AS k FROM x),
+s AS (SELECT id, list(skill) AS s, string_agg(skill, ',' ORDER BY skill) FILTER (k <= greatest(1, floor(n * 0.6::DOUBLE))) AS own, string_agg(skill, ',' ORDER BY skill) FILTER (k <= greatest(1, floor(n * 0.7::DOUBLE))) AS lent FROM y GROUP BY id),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS at, count(*) OVER () AS m FROM s),
+p AS (SELECT a.id, a.s, d, (a.at + d) % a.m AS to_ FROM r a, generate_series(1, 256) AS g(d) WHERE d < a.m),
+q AS (SELECT p.id, b.id AS other, b.lent, row_number() OVER (PARTITION BY p.id ORDER BY d) AS k FROM p JOIN r b ON b.at = to_ WHERE len(list_intersect(p.s, b.s)) <= 1)
+SELECT id AS position, NULL::BIGINT AS other, 1 AS label, own AS candidate_skills FROM r UNION ALL SELECT id, other, 0, lent FROM q WHERE k <= 2""",
+    "seed_match": with_views("jd", "chinese") + "s(o, seed, t) AS (VALUES (1, 'goods', 'goods'), (1, 'goods', 'nation_1'), (2, 'house', 'house'), (3, 'build', 'building/nation_10 and more'), (4, '数据', '数据工程师'), (5, '云', '腾讯云计算产品工程师平台')) SELECT name, arg_min(seed, o) AS seed FROM chinese, s WHERE contains(lower(name), t) OR contains(t, lower(name)) GROUP BY ALL",
     "fulltext": f"WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'licensed')) AS f0, len(list_filter(t, lambda x: x = 'the')) AS f1 FROM d), n AS (SELECT count(*) AS n, avg(l) AS a, count_if(f0 > 0) AS d0, count_if(f1 > 0) AS d1 FROM c), s AS (SELECT doc_id, ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM c, n) SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0",
+    "fulltext_index": f"WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'licensed')) AS f0, len(list_filter(t, lambda x: x = 'the')) AS f1 FROM d), n AS (SELECT count(*) AS n, avg(l) AS a, count_if(f0 > 0) AS d0, count_if(f1 > 0) AS d1 FROM c), s AS (SELECT doc_id, ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM c, n) SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY round(score, 10) DESC, CAST(doc_id AS VARCHAR) LIMIT 20",
     "fulltext_indexes": f"WITH t AS (SELECT 'part' AS index, CAST(p_partkey AS VARCHAR) AS key, p_name || ' ' || p_type || ' ' || replace(p_brand, '#', ' ') AS text FROM part UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), text FROM documents), d AS (SELECT index, key, {_TOKENS} AS t FROM t), c AS (SELECT index, key, len(t) AS l, len(list_filter(t, lambda x: x = 'building')) AS f0, len(list_filter(t, lambda x: x = 'ring')) AS f1 FROM d), n AS (SELECT index, count(*) AS n, avg(l) AS a, count_if(f0 > 0) AS d0, count_if(f1 > 0) AS d1 FROM c GROUP BY index), s AS (SELECT index, key, ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * f0 * 2.2::DOUBLE / (f0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * f1 * 2.2::DOUBLE / (f1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)) AS score FROM c JOIN n USING (index)), r AS (SELECT *, row_number() OVER (PARTITION BY index ORDER BY round(score, 10) DESC, key) AS k FROM s WHERE score > 0) SELECT index, key, round(score, 4) AS score FROM r WHERE k <= 5",
-    "occupation_align": with_views("jd") + "p AS (SELECT DISTINCT position_name AS name FROM jd), t AS (SELECT n_nationkey AS code, lower(n_name) AS t FROM nation UNION ALL SELECT n_nationkey, 'x' || lower(n_name) FROM nation) SELECT name, min(code) AS code, CAST(1.0 AS DOUBLE) AS confidence FROM p JOIN t ON contains(lower(name), t) GROUP BY name",
+    "occupation_align": with_views("jd", "chinese") + "t AS (SELECT n_nationkey AS code, lower(n_name) AS t FROM nation UNION ALL SELECT n_nationkey, 'x' || lower(n_name) FROM nation UNION ALL SELECT n_nationkey, (['算法', '数据工程', '工程师'])[n_nationkey % 3 + 1] FROM nation) SELECT name, min(code) AS code, CAST(1.0 AS DOUBLE) AS confidence FROM chinese JOIN t ON contains(lower(name), t) AND length(t) >= 3 GROUP BY name",
     "f1": with_views("jd", "jd_skill") + "s AS (SELECT id, coalesce(list(DISTINCT lower(skill)) FILTER (necessity = 'must'), []) AS g, coalesce(list(DISTINCT lower(skill)) FILTER (weight > 20), []) AS p FROM jd_skill GROUP BY ALL), n AS (SELECT CAST(sum(len(list_intersect(p, g))) AS BIGINT) AS tp, CAST(sum(len(p) - len(list_intersect(p, g))) AS BIGINT) AS fp, CAST(sum(len(g) - len(list_intersect(p, g))) AS BIGINT) AS fn FROM s) SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM n",
     "confusion": "SELECT quality AS gold, toxic AS pred, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL",
     "recall_fpr": _LAB + " SELECT round(count_if(n > 500 AND quality = 1) / count_if(quality = 1), 6) AS recall, round(count_if(n > 500 AND quality <> 1) / count_if(quality <> 1), 6) AS fpr FROM l",

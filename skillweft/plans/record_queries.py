@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
@@ -92,11 +92,17 @@ def ad_texts(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("id", records.ad_text(F.col("position_name"), F.col("company").cast("string"), F.lit("")).alias("ad"), records.project_text(F.col("source"), F.when(F.col("id") % 2 == 0, F.col("position_name"))).alias("project"), X.document_text(F.lit(" "), F.when(F.col("id") % 3 == 0, F.col("source")), F.lit("raw"), F.col("position_name")).alias("body"))
 
 
+def _letters(text: Column) -> Column:
+    """A model for tests: a text's length and how often four letters stand in it."""
+    return F.array(*[c.cast("float") for c in (F.length(text), *[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in "aeio"])])
+
+
 def embedding_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of part names; those of one type are there already."""
+    """Vectors of part names by a plugged-in model and by the default one; those of one type are there already."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "p_type")
     done = p.where("p_type = 'ECONOMY'").select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
-    return records.backfilled(p, done, "id", "text").select("id", F.size("vector").alias("dim"))
+    hashed = records.backfilled(p, done, "id", "text").select("id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    return records.backfilled(p, done, "id", "text", _letters).select("id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("letters")).join(hashed, "id")
 
 
 def graph_upserts(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +135,7 @@ ORACLES = {
     "skill_evidence": _N[:-2] + " SELECT DISTINCT skill, id AS ref, strftime(publish_date, '%Y-%m-%d') AS crawled_at FROM jd_skill WHERE skill = 'Brand#11'",
     "order_page": "SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS at, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS total FROM orders WHERE o_orderstatus = 'O' ORDER BY 3 DESC, o_orderkey LIMIT 20 OFFSET 40",
     "ad_texts": with_views("jd")[:-2] + " SELECT id, position_name || ' ' || company AS ad, source || CASE WHEN id % 2 = 0 THEN '：' || position_name ELSE '' END AS project, CASE WHEN id % 3 = 0 THEN position_name || chr(10) || source ELSE 'raw' END AS body FROM jd",
-    "embedding_backfill": "SELECT p_partkey AS id, CAST(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 384 END AS INT) AS dim FROM part",
+    "embedding_backfill": "SELECT p_partkey AS id, CAST(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 384 END AS INT) AS dim, 1.0::DOUBLE AS norm, CASE WHEN p_type = 'ECONOMY' THEN '1' ELSE length(p_name)" + "".join(f" || ',' || (length(p_name) - length(replace(p_name, '{x}', '')))" for x in "aeio") + " END AS letters FROM part",
     "graph_upserts": "SELECT c_nationkey AS id, arg_max(c_name, c_custkey) FILTER (c_custkey % 3 <> 0) AS name FROM customer GROUP BY ALL",
     "occupation_upsert": "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation",
 }

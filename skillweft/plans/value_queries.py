@@ -13,6 +13,7 @@ from skillweft.functions import scores as S
 from skillweft.functions import text as X
 from skillweft.functions import vocab as V
 from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, records, running, similarity
+from skillweft.plans.graph_queries import both_names
 from skillweft.plans.views import jd, jd_skill, table, with_views
 from skillweft.sources import readers
 from skillweft.sources.staging import shared_path, small
@@ -188,13 +189,12 @@ def cosines(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(w, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
-CONFIGS = [{"must": 1, "nice": 2, "exp": 3}, {"must": 1}, {"must": "x", "nice": 2, "exp": 3}, {"must": -1, "nice": 2, "exp": 3}, {"must": 0.5, "nice": 0.25, "exp": 0.25, "more": 9}]
-
-
 def weights(spark: SparkSession, sf: str) -> DataFrame:
-    """configured weights, or else the defaults."""
-    found = [(i, *(evaluation.weights_of(c, V.MATCH_WEIGHTS)[k] for k in ("must", "nice", "exp"))) for i, c in enumerate(CONFIGS)]
-    return spark.createDataFrame(found, "config long, must double, nice double, exp double")
+    """configured weights of every part as JSON, or else the defaults: some lack one, have a text or a negative number, or are no JSON."""
+    n = (F.col("p_size") / 10.0).cast("string")
+    parts = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    config = _form(F.col("p_partkey"), [parts('{"must": ', n, ', "nice": 2, "exp": "0.5", "more": 9}'), parts('{"must": ', n, "}"), parts('{"must": "x", "nice": ', n, ', "exp": 3}'), parts('{"must": -', n, ', "nice": 2, "exp": 3}'), parts("none ", n)])
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), evaluation.configured_weights(config, V.MATCH_WEIGHTS).alias("w")).select("id", *[F.col(f"w.{k}").alias(k) for k in ("must", "nice", "exp")])
 
 
 # readers and sinks
@@ -296,11 +296,12 @@ def candidate_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions with their seed, entry and draft."""
-    names = jd(spark, sf).select(F.col("position_name").alias("name")).distinct()
-    seeds = spark.createDataFrame([(1, "build", ["BUILDING"], "builds"), (2, "house", ["HOUSEHOLD"], "keeps")], "seed_order int, seed string, terms array<string>, description string")
-    vocabulary = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.concat(F.lit("machinery/"), F.lower("n_name"), F.lit(" and more")).alias("name"), F.concat(F.lit("of "), F.col("n_name")).alias("definition"))
-    return discovery.grounded(names, seeds, vocabulary)
+    """Positions in both languages with their seed, entry and draft; entries hold a name anywhere, or an alias does."""
+    seeds = spark.createDataFrame([(1, "build", ["BUILDING"], "builds"), (2, "house", ["HOUSEHOLD"], "keeps"), (3, "算法", ["算法工程师"], "写算法")], "seed_order int, seed string, terms array<string>, description string")
+    n = table(spark, sf, "nation")
+    plain = n.select(F.col("n_nationkey").alias("code"), F.concat(F.lit("machinery/"), F.lower("n_name"), F.lit(" and more")).alias("name"), F.concat(F.lit("of "), F.col("n_name")).alias("definition"), F.array(F.concat(F.lit("资深高级"), F.element_at(F.array(*map(F.lit, ("前端", "算法", "数据"))), F.col("n_nationkey") % 3 + 1), F.lit("工程师专家"))).alias("aliases"))
+    whole = n.select((F.col("n_nationkey") + 100).alias("code"), F.concat(F.lit("首席云计算"), F.element_at(F.array(*map(F.lit, ("测试", "产品"))), F.col("n_nationkey") % 2 + 1), F.lit("工程师组")).alias("name"), F.lit(None).cast("string").alias("definition"), F.array(F.concat(F.lit("BUILDING/"), F.col("n_name"))).alias("aliases"))
+    return discovery.grounded(both_names(spark, sf), seeds, plain.unionByName(whole))
 
 
 def edge_migration(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,12 +330,29 @@ def soft_skill_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(ranked, "position_name")
 
 
+def _halving_sql() -> str:
+    """The rungs one after the other: 54 points on an 81st of the rows, then 18, 6, 2 and 1 on three times as many each."""
+    with_ = "WITH d AS (SELECT doc_id, length(text) AS n, quality = 1 AS gold, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS h FROM labels JOIN documents USING (doc_id)), p0 AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in SEARCHED) + "]) AS least)"
+    kept, rungs = 54, 4
+    for r in range(rungs + 1):
+        some = "" if r == rungs else f" AND h < '{2**32 // 3 ** (rungs - r):08x}'"
+        kept = -(-kept // 3)
+        with_ += f""", c{r} AS (SELECT least, count_if(n > least AND gold) AS tp, count_if(n <= least AND gold) AS fn, count_if(n > least AND NOT gold) AS fp, count_if(n <= least AND NOT gold) AS tn FROM p{r} LEFT JOIN d ON true{some} GROUP BY least),
+  o{r} AS (SELECT least, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0.0) AS fpr FROM c{r}),
+  s{r} AS (SELECT {r} AS rung, *, round(recall - 0.5 * greatest(0.0, fpr - 0.15), 9) AS objective FROM o{r}), r{r} AS (SELECT *, row_number() OVER (ORDER BY objective DESC, fpr, least) AS rank FROM s{r}), p{r + 1} AS (SELECT least FROM r{r} WHERE rank <= {kept})"""
+    return with_ + " SELECT CAST(rung AS INT) AS rung, least, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(objective, 6) AS objective, CAST(rank AS INT) AS rank FROM (" + " UNION ALL ".join(f"SELECT * FROM r{r}" for r in range(rungs + 1)) + ")"
+
+
+SEARCHED = [10.0 + 37.5 * ((31 * i) % 54) for i in range(54)]
+
+
 def random_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The best of fifty random limits, by what the same limits give in one pass."""
+    """All evaluations of a halving search for the length over which a labelled document is good."""
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    rows = d.select("n", (F.col("quality") == 1).alias("gold"))
-    found = evaluation.grid_search(rows, evaluation.random_points(spark, {"limit": (10.0, 5000.0)}, 50), F.col("n") > F.col("limit")).where("rank = 1")
-    return found.select(F.col("recall").between(0.8, 1.0).alias("reaches"), F.col("fpr").between(0.0, 1.0).alias("rate"))
+    rows = d.select("doc_id", "n", (F.col("quality") == 1).alias("gold"))
+    points = spark.createDataFrame([(x,) for x in SEARCHED], "least double")
+    found = evaluation.successive_halving(rows, points, F.col("n") > F.col("least"), "doc_id")
+    return found.select("rung", "least", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"), F.round("objective", 6).alias("objective"), "rank")
 
 
 def titles_normalized(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,7 +426,7 @@ ORACLES = {
     "instants": "SELECT event_id, CASE event_id % 4 WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) - 28800 WHEN 3 THEN NULL ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS seconds FROM events",
     "score_parts": f"{_P}, z AS (SELECT *, CASE WHEN id % 5 = 0 THEN 0.0::DOUBLE ELSE (n - 20) / 8.0::DOUBLE END AS z FROM p) SELECT id, round(z, 6) AS z, round(CASE WHEN id % 4 <> 0 THEN (n - id % 4) / CAST(id % 4 AS DOUBLE) END, 6) AS growth, CASE WHEN n < 10 THEN 'protected' WHEN z > 2 THEN 'emerging' WHEN z > 1.5 THEN 'rising' WHEN z < -1.5 THEN 'declining' ELSE 'stable' END AS trend, round(least(abs(z) / 4, 1.0), 6) AS confidence, round(least(greatest(n - 10, 0) / 25.0::DOUBLE, 1.0), 6) AS share FROM z",
     "cosines": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "weights": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE), (4, 0.5, 0.25, 0.25)" + "".join(f", ({i}, {V.MATCH_WEIGHTS['must']}, {V.MATCH_WEIGHTS['nice']}, {V.MATCH_WEIGHTS['exp']})" for i in (1, 2, 3)) + ") AS t(config, must, nice, exp)",
+    "weights": "SELECT p_partkey AS id, " + ", ".join(f"CASE WHEN p_partkey % 5 = 0 THEN {v}::DOUBLE ELSE {V.MATCH_WEIGHTS[k]}::DOUBLE END AS {k}" for k, v in (("must", "(p_size / 10.0)"), ("nice", "2"), ("exp", "0.5"))) + " FROM part",
     "golden_lines": "SELECT doc_id, CAST(quality AS INT) AS quality FROM labels WHERE doc_id % 10 <> 0",
     "occupation_table": "SELECT (10 + n_regionkey * 10) || '-' || n_nationkey AS code, n_name AS name, " + "CASE 10 + n_regionkey * 10 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in readers.CATEGORIES.items()) + " ELSE 'other' END AS category, 'a,b,' || n_name AS aliases FROM nation WHERE n_nationkey % 7 <> 3",
     "record_pages": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50",
@@ -420,11 +438,15 @@ ORACLES = {
     "skill_courses": f"{_P}, s AS (SELECT brand AS skill, min(id) AS skill_id FROM p GROUP BY brand) SELECT skill, id AS course FROM s JOIN p ON skill_id = n % 30 UNION SELECT skill, id FROM s JOIN p ON skill = brand",
     "radar": "WITH u AS (SELECT label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM embeddings), c AS (SELECT DISTINCT label AS a, unnest([label, (label + 1) % 10]) AS b FROM u) SELECT a AS candidate, b + 100 AS position_name, 0.5::DOUBLE AS must_score, 0.25::DOUBLE AS nice_score, 1.0::DOUBLE AS exp_score, CASE WHEN a < 5 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS education_score, round((SELECT avg(list_inner_product(x.e, y.e)) FROM u x, u y WHERE x.label = a AND y.label = b), 6) AS project_score FROM c WHERE b IN (SELECT label FROM u)",
     "candidate_upsert": "WITH c AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN " + _case("c_nationkey", ["candidate", "stable", "rejected"]) + " END AS old, c_acctbal < 5000 AS new, c_acctbal AS b FROM customer) SELECT k AS position_name, CASE WHEN old IS NOT NULL AND (old <> 'candidate' OR NOT new) THEN old ELSE 'candidate' END AS state, CASE WHEN new THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN new THEN b ELSE 0.0::DOUBLE END AS jd_freq_ma3 FROM c WHERE old IS NOT NULL OR new",
-    "grounding": with_views("jd") + "n AS (SELECT DISTINCT position_name AS name FROM jd), s AS (SELECT name, CASE WHEN contains(lower(name), 'building') THEN 'build' WHEN contains(lower(name), 'household') THEN 'house' END AS seed FROM n), h AS (SELECT name, min(n_nationkey) AS code FROM n, nation WHERE contains('machinery/' || lower(n_name) || ' and more', lower(name)) GROUP BY name) SELECT s.name, seed, code, coalesce('of ' || n_name, CASE seed WHEN 'build' THEN 'builds' WHEN 'house' THEN 'keeps' END) AS draft FROM s LEFT JOIN h ON h.name = s.name LEFT JOIN nation ON n_nationkey = code",
+    "grounding": with_views("jd", "chinese") + """e AS (SELECT n_nationkey AS code, 'machinery/' || lower(n_name) || ' and more' AS t, 1.0 AS s FROM nation UNION ALL SELECT n_nationkey, '资深高级' || (['前端', '算法', '数据'])[n_nationkey % 3 + 1] || '工程师专家', 0.5 FROM nation
+  UNION ALL SELECT n_nationkey + 100, '首席云计算' || (['测试', '产品'])[n_nationkey % 2 + 1] || '工程师组', 1.0 FROM nation UNION ALL SELECT n_nationkey + 100, 'building/' || lower(n_name), 0.5 FROM nation),
+s AS (SELECT name, CASE WHEN contains(lower(name), 'building') THEN 'build' WHEN contains(lower(name), 'household') THEN 'house' WHEN contains(name, '算法工程师') THEN '算法' END AS seed FROM chinese),
+h AS (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY s DESC, code) AS k FROM chinese JOIN e ON contains(t, lower(name)))
+SELECT s.name, seed, code, coalesce('of ' || n_name, CASE seed WHEN 'build' THEN 'builds' WHEN 'house' THEN 'keeps' WHEN '算法' THEN '写算法' END) AS draft FROM s LEFT JOIN (SELECT * FROM h WHERE k = 1) h ON h.name = s.name LEFT JOIN nation ON n_nationkey = code""",
     "edge_migration": "SELECT type, count(*) AS n FROM (SELECT DISTINCT p_brand, p_name, CASE p_type WHEN 'SMALL' THEN 'LARGE' ELSE p_type END AS type FROM part) GROUP BY ALL",
     "graph_rebuild": with_views("jd", "jd_skill") + "x AS (SELECT DISTINCT position_name AS p, skill AS s FROM jd_skill WHERE id % 13 <> 0 AND id % 17 <> 0) SELECT DISTINCT 'pos_' || substr(sha1(p), 1, 8) AS id, 'Position' AS label, p AS name FROM x UNION ALL SELECT DISTINCT 'sk_' || substr(sha1(s), 1, 8), 'Skill', s FROM x UNION ALL SELECT 'pos_' || substr(sha1(p), 1, 8), 'edge', 'sk_' || substr(sha1(s), 1, 8) FROM x",
     "soft_skill_counts": with_views("jd") + f"s AS (SELECT position_name, unnest(list_distinct([{_case('id', ['沟通能力', '领导力', None])}, {_case('id', ['责任心', '沟通能力'])}])) AS skill FROM jd), c AS (SELECT position_name, skill, count(*) AS n FROM s WHERE skill IS NOT NULL GROUP BY ALL), l AS (SELECT position_name, string_agg(skill, ',' ORDER BY n DESC, skill) AS listed FROM c GROUP BY ALL) SELECT position_name, skill, n, listed FROM c JOIN l USING (position_name)",
-    "random_search": "SELECT true AS reaches, true AS rate",
+    "random_search": _halving_sql(),
     "titles_normalized": titles_sql(f"SELECT c_custkey AS id, {_case('c_custkey', JOBS)} AS name FROM customer"),
     "positions_normalized": "WITH s AS (" + titles_sql(f"SELECT c_custkey AS id, {_SEGMENT} AS name FROM customer") + f") SELECT c_custkey, {_SEGMENT} AS title, standard FROM s JOIN customer ON id = c_custkey",
     "freq_history": with_views("jd")[:-2] + " SELECT id, row_number() OVER (PARTITION BY position_name ORDER BY publish_date, id) - 1 AS earlier FROM jd",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,17 @@ def requires(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jd_skill(spark, sf_dir).groupBy("position_name", "skill").agg(F.countDistinct("id").alias("weight"))
 
 
+#: Chinese words for a position's segment (three of one meaning), and what stands before them by the nation's number.
+CHINESE = {"BUILDING": ("算法", "数据工程", "工程师"), "AUTOMOBILE": ("数据",), "MACHINERY": ("前端",), "HOUSEHOLD": ("测试",), "FURNITURE": ("产品",)}
+BEFORE = ("人工智能", "高级", "", "云计算")
+
+
+def chinese(position: Column) -> Column:
+    """A Chinese name for a position ``SEGMENT/NATION_n``, without spaces."""
+    word = F.create_map(*[F.lit(x) for k, v in CHINESE.items() for x in (k, v[0])])[F.substring_index(position, "/", 1)]
+    return F.concat(F.element_at(F.array(*map(F.lit, BEFORE)), F.substring_index(position, "_", -1).cast("int") % 4 + 1), F.coalesce(word, F.lit("其他")), F.lit("工程师"))
+
+
 #: The same views for the oracle; a query's SQL begins with the ones that it needs.
 SQL = {
     "jd": "jd AS (SELECT o_orderkey AS id, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS publish_date, c_mktsegment || '/' || n_name AS position_name, o_custkey AS company, o_totalprice AS salary FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
@@ -49,5 +60,9 @@ SQL = {
 }
 
 
+_WORD = "CASE split_part(position_name, '/', 1) " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in CHINESE.items()) + " ELSE '其他' END"
+SQL["chinese"] = f"chinese AS (SELECT position_name AS name FROM jd UNION SELECT ([{', '.join(repr(b) for b in BEFORE)}])[CAST(split_part(position_name, '_', -1) AS INT) % 4 + 1] || {_WORD} || '工程师' FROM jd)"
+
+
 def with_views(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(SQL[n] for n in names) + (", " if names else "")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, retrieval, running, similarity, temporal, trends
+from skillweft.operators import communities, discovery, evaluation, graph, ingest, matching, quality, retrieval, running, similarity, temporal, trends
 
 
 def rows(df):
@@ -93,22 +93,6 @@ def test_labelled_pairs_draw_strangers(spark):
     assert len({r.candidate for r in s if r.position_name == "t"}) == 10
 
 
-def test_clusters_take_all_vectors(spark, sf):
-    import random
-
-    from skillweft.plans import graph_queries
-
-    rng = random.Random(4)
-    vectors = {str(i): [rng.gauss(0, 1) for _ in range(3 + i % 2)] for i in range(60)}
-    names, cos = [*vectors, "none"], lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
-    want: list[list[str]] = []
-    for n in names:
-        home = next((c for c in want if any(n in vectors and m in vectors and len(vectors[n]) == len(vectors[m]) and cos(vectors[n], vectors[m]) >= 0.9 for m in c)), None)
-        want.append([n]) if home is None else home.append(n)
-    assert similarity.first_fit_clusters(names, vectors, 0.9) == want
-    assert graph_queries.normalize_clusters(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() > 100
-
-
 def test_quality_operators(spark):
     empty = spark.createDataFrame([], "fingerprint string")
     assert rows(quality.dedup_stats(empty)) == [(0, 0, 0, 0.0)]
@@ -135,9 +119,7 @@ def test_fingerprint_pairs(spark):
     assert [r.duplicate_of for r in similarity.near_documents(df, "doc_id").orderBy("doc_id").collect()] == [x if x < i else None for i, x in enumerate(low)]
 
 
-def test_clusters_and_alignment(spark):
-    got = similarity.first_fit_clusters(["a", "b", "c", "d"], {"a": [1, 0], "b": [0.9, 0.1], "c": [0, 1]})
-    assert got == [["a", "b"], ["c"], ["d"]]
+def test_alignment(spark):
     v = spark.createDataFrame([(1, "Data Engineer", ["DE x", "ab"]), (2, "Cook", None)], "code int, name string, aliases array<string>")
     n = spark.createDataFrame([("cook",), ("Senior DE X",), ("lab",), ("none",)], "name string")
     assert rows(similarity.aligned(n, v)) == [("Senior DE X", 1, 1.0), ("cook", 2, 1.0)]
@@ -156,8 +138,8 @@ def test_graph_algorithms(spark):
     assert graph.pagerank(star.limit(0)).collect() == []
     two = [(a, b, 1.0) for g in ("abc", "xyz") for a in g for b in g if a < b] + [("c", "x", 0.1)]
     pairs = spark.createDataFrame(two, "a string, b string, weight double")
-    assert rows(graph.clusters(graph.louvain(pairs)).select("members")) == [(["a", "b", "c"],), (["x", "y", "z"],)]
-    assert graph.modularity(pairs, graph.louvain(pairs).select("id", "community")).first().q > 0.4
+    assert rows(graph.clusters(communities.louvain(pairs)).select("members")) == [(["a", "b", "c"],), (["x", "y", "z"],)]
+    assert graph.modularity(pairs, communities.louvain(pairs).select("id", "community")).first().q > 0.4
     path = edges(spark, [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e")])
     assert graph.shortest_path(path, "a", "e").collect()[0].path == ["a", "b", "c", "e"]
     assert graph.shortest_path(path, "a", "a").collect()[0].path == ["a"]
@@ -270,7 +252,7 @@ def chunk_truth(data, size, most):
     return sorted(out, key=str)
 
 
-def test_chunks_across_blocks(spark):
+def test_chunks_across_blocks(spark, monkeypatch):
     import random
 
     rng = random.Random(2)
@@ -279,23 +261,8 @@ def test_chunks_across_blocks(spark):
     for size, most, block in ((3, 60, 7), (5, 1000, 5), (4, 30, 1000), (1, 10, 2)):
         assert rows(ingest.chunks(df, "source", "doc_id", "text", size, most, block)) == chunk_truth(data, size, most)
     assert ingest.chunks(df.limit(0), "source", "doc_id", "text", 3, 60).collect() == []
-
-
-def test_nearest_in_tiles(spark, monkeypatch):
-    import numpy as np
-
-    monkeypatch.setattr(similarity, "TILE", 7)
-    rng = np.random.default_rng(5)
-    v = [(i, [float(x) for x in rng.normal(size=3 + i % 2)]) for i in range(40)] + [(90, [0.0] * 3), (91, None)]
-    df = spark.createDataFrame(v, "id long, vector array<double>")
-    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if any(a) and any(b) else 0.0
-    for k, other in ((1, False), (3, True)):
-        want = []
-        for a, x in v:
-            near = sorted((-cos(x, y), b) for b, y in v if x and y and len(x) == len(y) and (a != b or not other) and cos(x, y) >= 0.5 - 1e-12)
-            want += [(a, b) for _, b in near[:k]]
-        got = similarity.nearest(df, df, 0.5, k, other=other)
-        assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(ingest, "FAN_IN", 3)
+    assert rows(ingest.chunks(df, "source", "doc_id", "text", 3, 60, 7)) == chunk_truth(data, 3, 60)
 
 
 def test_rough_selection_is_the_same_with_many_positions(spark, monkeypatch):
@@ -313,13 +280,6 @@ def test_budget_of_hits(spark):
     assert retrieval.within_budget(hits.limit(0), "g", "k", "tokens", 100, 3).collect() == []
 
 
-def test_louvain_finds_cliques(spark):
-    pairs = [(f"n{i}", f"n{j}", 1.0) for c in range(3) for i in range(4 * c, 4 * c + 4) for j in range(i + 1, 4 * c + 4)] + [("n3", "n4", 0.1), ("n7", "n8", 0.1)]
-    got = {r.id: r.community for r in graph.louvain(spark.createDataFrame(pairs, "a string, b string, weight double")).collect()}
-    assert len(set(got.values())) == 3
-    assert all(got[f"n{i}"] == got[f"n{4 * (i // 4)}"] for i in range(12))
-
-
 def test_pagerank_against_a_matrix(spark):
     import numpy as np
 

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -164,17 +165,31 @@ class Known(StatefulProcessor):
 
 
 def key_bits(rows: int) -> int:
-    """Bits of the digest that make a state key when ``rows`` texts are expected; more or fewer may come."""
+    """Bits of the digest that make a state key when ``rows`` texts are expected."""
     return max(0, math.ceil(math.log2(max(1, rows) / PER_KEY)))
 
 
-def dedup_stream(stream: DataFrame, work: str, bits: int, size: int = 32):
+def _layout(work: str, bits: int, size: int) -> tuple[int, int]:
+    """Key bits and digest size of the first start in ``work``: state is found again by them only."""
+    fs, path = file_system(work)
+    if fs.get_file_info(f"{path}/layout").type == pyarrow.fs.FileType.NotFound:
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/layout") as f:
+            f.write(f"{bits} {size}".encode())
+    with fs.open_input_file(f"{path}/layout") as f:
+        bits, size = map(int, f.read().split())
+    return bits, size
+
+
+def dedup_stream(stream: DataFrame, work: str, expected: int, size: int = 32):
     """Starts the deduplication of a stream of ``doc_id, text`` and returns its query, which ends when all that is there was read.
 
     It goes on from ``work`` when it is started again there, with what has come since. A batch's changed groups are written over those of
-    an earlier attempt at it, so each counts once. ``groups`` reads the outcome. ``bits`` and ``size`` stay what they were at the first start.
+    an earlier attempt at it, so each counts once. ``groups`` reads the outcome. The first start decides the state's keys from the texts ``expected`` in the end (more or
+    fewer may come) and the digests' ``size``.
     """
     spark = stream.sparkSession
+    bits, size = _layout(work, key_bits(expected), size)
     rows = entries(stream, f"{work}/texts", bits, size).groupBy("bucket").transformWithState(Known(f"{work}/texts"), GROUPS, "update", "none")
 
     def write(changed: DataFrame, batch_id: int) -> None:
@@ -248,7 +263,7 @@ def dedup_folder(spark: SparkSession, path: str, work: str, batch_bytes: str | N
     reader = spark.readStream.schema(docs.schema)
     reader = reader.option("maxBytesPerTrigger", batch_bytes) if batch_bytes else reader
     path = path.rstrip("/")
-    query = dedup_stream(reader.parquet(f"{path[:-1]}[{path[-1]}]"), work, key_bits(n), size)  # a stream takes a single file only by a pattern
+    query = dedup_stream(reader.parquet(f"{path[:-1]}[{path[-1]}]"), work, n, size)  # a stream takes a single file only by a pattern
     query.awaitTermination()
     return labelled(docs, groups(spark, work), work, size)
 

@@ -86,7 +86,12 @@ _WORD_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b i
 
 def words(text: str | None) -> list[bytes]:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a whole text as UTF-8; none for null."""
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    return folded(text).split()
+
+
+def folded(text: str | None) -> bytes:
+    """A whole text as UTF-8 with its words in lower case and spaces between them."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES) if text else b""
 
 
 class WordHashes(dict):

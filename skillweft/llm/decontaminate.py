@@ -12,19 +12,18 @@ the scan holds one at a time. None of it passes through the driver.
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweft.llm.common import arrow_map, batch, runs, staged, words
+from skillweft.llm.common import arrow_map, batch, folded, runs, staged, words
+from skillweft.llm.idfile import file_system
 
 #: Windows of a block, about; a longer item is cut into pieces of at most a quarter.
 BLOCK = 200_000
@@ -210,17 +209,23 @@ def _pieces(piece: int, size: int):
     return run
 
 
-def _blocks(size: int):
+def _blocks(folder: str, size: int):
+    """Writes each block to a file of its own; the name is the attempt's, so a lost one is never read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(folder)
         for rows in runs(batches, "block"):
             windows = Windows(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)), size)
-            yield batch({"data": [pickle.dumps(windows)]}, {"data": pa.binary()})
+            fs.create_dir(path, recursive=True)
+            with fs.open_output_stream(f"{path}/{(name := uuid.uuid4().hex)}") as f:
+                f.write(pickle.dumps(windows))
+            yield batch({"name": [name]}, {"name": pa.string()})
 
     return run
 
 
 def blocks(benchmark: DataFrame, work: str, size: int = 10, block: int = BLOCK) -> list[str]:
-    """Names of the files, one or more blocks in each, that every task can read by ``SparkFiles``.
+    """Names of the files below ``work``/blocks, one block each, which every task reads from the shared folder.
 
     Pieces are dealt to blocks by a hash, so a block has about ``block`` windows. The driver counts the windows and lists the files.
     """
@@ -230,55 +235,78 @@ def blocks(benchmark: DataFrame, work: str, size: int = 10, block: int = BLOCK)
     if not n:
         return []
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    held = arrow_map(dealt.repartition(n, "block").sortWithinPartitions("block"), _blocks(size), "data binary")
-    held.write.parquet(f"{work}/blocks")
-    files = benchmark.sparkSession.read.parquet(f"{work}/blocks").inputFiles()
-    for f in files:
-        benchmark.sparkSession.sparkContext.addFile(f)
-    return sorted(os.path.basename(f) for f in files)
+    return sorted(r["name"] for r in arrow_map(dealt.repartition(n, "block").sortWithinPartitions("block"), _blocks(f"{work}/blocks", size), "name string").collect())
+
+
+#: Bytes of a text whose words are a list at one time.
+SLICE_BYTES = 1 << 20
 
 
-def _scanner(files: list[str]):
-    held_block: dict[tuple[str, int], Windows] = {}
+def sliced(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a whole text, as ``words`` gives them, in lists of bounded size."""
+    data, at = folded(text), 0
+    while at < len(data):
+        end = at + SLICE_BYTES
+        if end < len(data) and (cut := data.rfind(b" ", at, end)) > at:
+            end = cut
+        elif end < len(data):  # one word is longer
+            end = cut if (cut := data.find(b" ", end)) >= 0 else len(data)
+        if part := data[at:end].split():
+            yield part
+        at = end
+
+
+def _scanner(folder: str, files: list[str], size: int):
+    held_block: dict[str, Windows] = {}
 
     def each() -> Iterator[Windows]:
         """The blocks, one in memory at a time; a single one stays."""
+        fs, path = file_system(folder)
         for name in files:
-            file = pyarrow.parquet.ParquetFile(SparkFiles.get(name))
-            for group in range(file.num_row_groups):
-                rows = file.metadata.row_group(group).num_rows
-                for i in range(rows):
-                    key = (name, group * 1_000_000 + i)
-                    if key not in held_block:
-                        held_block.clear()
-                        held_block[key] = pickle.loads(file.read_row_group(group).column("data")[i].as_py())  # noqa: S301
-                    yield held_block[key]
+            if name not in held_block:
+                held_block.clear()
+                with fs.open_input_file(f"{path}/{name}") as f:
+                    held_block[name] = pickle.loads(f.read())  # noqa: S301
+            yield held_block[name]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        rows: list[list] = []  # documents that were begun: id, words, spans, items
+        held: list[tuple[list, int, int, bytes]] = []  # document, first word, words, and these as bytes: a tenth of what a list takes
+        total = 0
 
-        def emit() -> pa.RecordBatch:
-            spans: list[list[tuple[int, int]]] = [[] for _ in held]
-            names: list[set[str]] = [set() for _ in held]
-            for windows in each():
+        def search() -> None:
+            for windows in each() if held else ():
                 known = windows.ids
-                docs = [np.fromiter((known.get(w, 0) for w in joined.split()), np.int32, n) for _, n, joined in held]
-                for k, (s, w) in enumerate(_occurrences(docs, windows)):
+                parts = [np.fromiter((known.get(w, 0) for w in joined.split()), np.int32, n) for _, _, n, joined in held]
+                for (row, first, _, _), (s, w) in zip(held, _occurrences(parts, windows), strict=True):
                     if len(s):
-                        spans[k] = _union(spans[k], merged(s, windows.lengths[w]))
-                        names[k].update(windows.names_of(w))
-            return batch({"doc_id": [x[0] for x in held], "n_words": [x[1] for x in held], "spans": [[{"start": a, "end": z} for a, z in s] for s in spans], "items": [sorted(x) for x in names]}, _TYPES)
+                        row[2] = _union(row[2], merged(s + first, windows.lengths[w]))
+                        row[3].update(windows.names_of(w))
+            held.clear()
+
+        def emit(done: list[list]) -> pa.RecordBatch:
+            return batch({"doc_id": [r[0] for r in done], "n_words": [r[1] for r in done], "spans": [[{"start": a, "end": z} for a, z in r[2]] for r in done], "items": [sorted(r[3]) for r in done]}, _TYPES)
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = words(text)
-                held.append((doc, len(ws), b" ".join(ws)))  # a tenth of what the list takes
-                total += len(ws) + 1
-                if total >= SHARD:
-                    yield emit()
-                    held, total = [], 0
-        if held:
-            yield emit()
+                rows.append(row := [doc, 0, [], set()])
+                tail: list[bytes] = []
+                for part in sliced(text):
+                    first = row[1] - len(tail)
+                    both = [*tail, *part]
+                    held.append((row, first, len(both), b" ".join(both)))
+                    row[1] += len(part)
+                    tail = both[max(0, len(both) - size + 1) :]  # a window that goes on meets in the next part
+                    total += len(both) + 1
+                    if total >= SHARD:
+                        search()
+                        total = 0
+                        if len(rows) > 1:
+                            yield emit(rows[:-1])
+                            del rows[:-1]
+        search()
+        if rows:
+            yield emit(rows)
 
     return scan
 
@@ -289,10 +317,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, work: str, size: i
     Spans are half-open intervals of word numbers, disjoint and sorted; items are ids as sorted strings. Null and empty
     texts have no words and no spans; benchmark items that are null or have no words have no windows; rows with equal
     ids each get their own row; other columns are ignored. A shard's words are searched for one block of about ``block`` windows
-    after the other, and its spans are united.
+    after the other, and its spans are united. A text that is longer than a shard stands in several, which share ``size - 1`` words.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(docs, _scanner(blocks(benchmark, work, size, block)), SCHEMA)
+    return arrow_map(docs, _scanner(f"{work}/blocks", blocks(benchmark, work, size, block), size), SCHEMA)
 
 
 def report(spans: DataFrame) -> DataFrame:

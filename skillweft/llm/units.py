@@ -49,12 +49,14 @@ class Links:
             return
         np.add.at(self.links, i, self.weights[j])
         np.add.at(self.links, j, self.weights[i])
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if self.parent[a] == self.parent[b]:
-                continue
-            a, b = self._root(a), self._root(b)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
+        while len(apart := np.flatnonzero(self.parent[i] != self.parent[j])):
+            i, j = i[apart], j[apart]
+            for a, b in zip(i[:4096].tolist(), j[:4096].tolist(), strict=True):
+                a, b = self._root(a), self._root(b)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
+                self.parent = up
 
     def batch(self) -> pa.RecordBatch | None:
         """A row for each linked node: its links here, and a node that it is connected with (itself: none)."""

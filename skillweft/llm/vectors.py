@@ -22,9 +22,11 @@ from skillweft.llm.common import arrow_map, batch, runs, small, staged
 from skillweft.llm.units import Links, grouped, verified
 
 BLOCKS = 4
-#: Rows of a chunk; a unit compares two.
-CHUNK = 16384
+#: Rows of a chunk at most, and bytes of its vectors as doubles; a unit compares two.
+CHUNK, CHUNK_BYTES = 16384, 32 << 20
 TILE = 512
+#: Rows of each side that are verified at once, and bytes of the vectors of pairs that are fetched one by one.
+BLOCK_ROWS, LOT_BYTES = 1024, 8 << 20
 #: Byte steps for a distance of 1: coordinates of a block lie within 1.
 STEPS = 127
 
@@ -40,7 +42,13 @@ def blocks(dim: int) -> list[slice]:
     return [slice(a, z) for a, z in itertools.pairwise(cuts.tolist())]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component, which is exact: no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def rotated(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
 
 
@@ -153,49 +161,72 @@ def _candidates(cosine: float):
 
 
 def _compare(kind: str, cosine: float):
+    """Verifies a unit's pairs block by block: a few by their own vectors, many by products of matrices, so work arrays are bounded in bytes."""
+
     def compare(unit: pa.Table) -> Links | None:
         table = unit.sort_by([("side", "ascending"), ("node", "ascending")])
         low, high, block = (table.column(c)[0].as_py() for c in ("low", "high", "block"))
         side = table.column("side").to_numpy()
         values = table.column("vector").combine_chunks()
-        x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
+        x = scaled(values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float))
         norm, z = np.linalg.norm(x, axis=1), rotated(x)
         budget, parts = budgets(x.shape[1], cosine)[block], blocks(x.shape[1])
+        sizes = [s.stop - s.start for s in parts]
+        squares = [(z[:, s] ** 2).sum(1) for s in parts]
         y = z[:, parts[block]].astype(np.float32)
         square = (y.astype(float) ** 2).sum(1).astype(np.float32)
         out = Links(table.column("node").to_numpy(), table.column("weight").to_numpy())
+        lot = max(1, LOT_BYTES // (8 * x.shape[1]))
+
+        def linked(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Pairs by their own vectors, ``lot`` at once."""
+            return np.concatenate([np.einsum("ij,ij->i", x[p[c : c + lot]], x[q[c : c + lot]]) / (norm[p[c : c + lot]] * norm[q[c : c + lot]]) >= cosine for c in range(0, len(p), lot)])
+
         end, start = (len(y), 0) if low == high else (int((side == low).sum()),) * 2
-        for a in range(0, end, 2048):
-            to_a = min(a + 2048, end)
-            for b in range(a if low == high else start, len(y), 4096):
-                to = min(b + 4096, len(y))
+        for a in range(0, end, BLOCK_ROWS):
+            to_a = min(a + BLOCK_ROWS, end)
+            for b in range(a if low == high else start, len(y), BLOCK_ROWS):
+                to = min(b + BLOCK_ROWS, len(y))
                 close = square[a:to_a, None] + square[b:to] - 2 * (y[a:to_a] @ y[b:to].T) <= np.float32(budget + 1e-5)
+                if low == high and a == b:
+                    close = np.triu(close, 1)
                 i, j = np.nonzero(close)
-                i, j = i + a, j + b
-                keep = i < j
+                if not len(i):
+                    continue
+                if len(i) > lot:
+                    s = (x[a:to_a] @ x[b:to].T) / (norm[a:to_a, None] * norm[b:to])
+                    i, j = np.nonzero(close & (s >= cosine - 1e-9))
+                    edge = np.flatnonzero(s[i, j] < cosine + 1e-9)  # products of matrices round in other ways
+                    keep = np.ones(len(i), bool)
+                    if len(edge):
+                        keep[edge] = linked(i[edge] + a, j[edge] + b)
+                else:
+                    keep = linked(i + a, j + b)
                 i, j = i[keep], j[keep]
-                for c in range(0, len(i), 1 << 17):
-                    p, q = i[c : c + (1 << 17)], j[c : c + (1 << 17)]
-                    ok = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= cosine
-                    p, q = p[ok], q[ok]
-                    if len(p):
-                        d = (z[p] - z[q]) ** 2
-                        share = np.stack([d[:, s].sum(1) / (s.stop - s.start) for s in parts])
-                        mine = np.round(share * 1e9).argmin(0) == block
-                        out.add(p[mine], q[mine])
+                if not len(i):
+                    continue
+                # the block of least distance, only for pairs that are links
+                if len(i) > lot:
+                    share = np.stack([((q[a:to_a, None] + q[b:to] - 2 * (z[a:to_a, s] @ z[b:to, s].T)) / n)[i, j] for s, n, q in zip(parts, sizes, squares, strict=True)])
+                else:
+                    d = (z[i + a] - z[j + b]) ** 2
+                    share = np.stack([d[:, s].sum(1) / n for s, n in zip(parts, sizes, strict=True)])
+                mine = np.round(share * 1e9).argmin(0) == block
+                out.add(i[mine] + a, j[mine] + b)
         return out
 
     return compare
 
 
 def units(cells: DataFrame, counts: DataFrame, chunk: int) -> DataFrame:
-    """Rows of cells dealt to units of two chunks of about ``chunk`` rows: adds ``unit``, ``side`` (the row's chunk), ``low``, ``high``.
+    """Rows of cells dealt to units of two chunks of about ``chunk`` rows, and fewer of long vectors: adds ``unit``, ``side`` (the row's chunk), ``low``, ``high``.
 
     The chunks of a cell are those of its home rows, from 0 on, and then those of its guests. Home chunks meet each
     other and themselves, and the guests' chunks: a home row stands in as many units as there are chunks, a guest in as
     many as there are home chunks. ``counts``: ``dim, block, cell, homes, guests``.
     """
-    sizes = counts.where("homes > 0").select("dim", "block", "cell", F.ceil(F.col("homes") / chunk).cast("int").alias("h"), F.ceil(F.col("guests") / chunk).cast("int").alias("g"))
+    most = F.least(F.lit(chunk), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / (8 * F.col("dim")))))
+    sizes = counts.where("homes > 0").select("dim", "block", "cell", F.ceil(F.col("homes") / most).cast("int").alias("h"), F.ceil(F.col("guests") / most).cast("int").alias("g"))
     mine = F.pmod(F.xxhash64("node", F.lit("chunk")), F.when(F.col("home"), F.col("h")).otherwise(F.col("g")).cast("long")).cast("int")
     side = F.when(F.col("home"), mine).otherwise(F.col("h") + mine)
     others = F.sequence(F.lit(0), F.when(F.col("home"), F.col("h") + F.col("g")).otherwise(F.col("h")) - 1)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -476,6 +477,35 @@ def test_links_are_the_same_with_any_grid(spark, grid):
     assert sorted(map(tuple, vectors.near_vectors(df, workspace(spark, "t"), grid=grid, chunk=7).collect()), key=str) == vector_truth(rows)
 
 
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 5e-324]), (6, [1e300, -1e300]), (7, [1e-310, 0.0]), (8, [2.0, 0.0])]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), workspace(spark, "t"))
+    assert sorted(map(tuple, found.collect())) == [(i, 4, 1, i == 1) for i in range(1, 6)] + [(6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+@pytest.mark.parametrize(("lot", "size"), [(1, 1 << 30), (1 << 30, 3 * 8 * 16)])
+def test_links_are_the_same_in_small_and_wide_work_arrays(spark, monkeypatch, lot, size):
+    """Products of matrices for all pairs, or pairs one by one; and chunks of three vectors."""
+    monkeypatch.setattr(vectors, "LOT_BYTES", lot)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(vectors, "CHUNK_BYTES", size)
+    rows = vector_rows(16, 3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vectors.near_vectors(df, workspace(spark, "t"), grid=1).collect()), key=str) == vector_truth(rows)
+
+
+def test_a_wide_unit_stays_small():
+    """As many wide vectors as a unit may have, all near each other."""
+    n = 2 * (vectors.CHUNK_BYTES // (8 * 1536))
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=1536) + rng.normal(size=(n, 1536)) * 0.1).astype(np.float32)
+    assert 3 * x.astype(float).nbytes < 256 << 20
+    zero = pa.array(np.zeros(n, np.int32))
+    unit = {"node": pa.array(np.arange(n)), "weight": pa.array(np.ones(n, np.int64)), "low": zero, "high": zero, "side": zero, "block": zero, "vector": pa.array(list(x[:400]))}
+    found = [vectors._compare("<f4", 0.95)(pa.table({**{k: v[:400] for k, v in unit.items()}, "block": pa.array(np.full(400, k, np.int32))})) for k in range(4)]
+    assert sum(f.links.sum() for f in found) == 400 * 399
+
+
 @pytest.mark.parametrize(("dim", "chunk", "kind"), [(16, 8192, "float"), (16, 5, "double"), (3, 4, "float"), (1, 8, "double")])
 def test_vectors_against_brute_force(spark, dim, chunk, kind):
     rows = [*vector_rows(dim, dim), (900, None), (901, [0.0] * dim), (902, [float("nan")] * dim), (903, [float("inf")] * dim), (904, [None] * dim), (905, []), (None, [1.0] * dim), (906, [1.0] * (dim + 1)), (907, [2.0] * (dim + 1)), (908, [1.0] * dim), (909, [1.0] * dim), (910, [3.0] * dim)]
@@ -752,6 +782,16 @@ def contamination_truth(rows, items, size=10):
     return sorted(out, key=str)
 
 
+def test_slices_of_a_text_hold_its_words(monkeypatch):
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 7, 50):
+        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
+        for text in (None, "", " . ", "a", "Ab" * 40, " x " * 30, " ".join("w" * rng.integers(0, 12) for _ in range(80)), "é中\x1cf, g"):
+            parts = list(decontaminate.sliced(text))
+            assert sum(parts, []) == words(text)
+            assert all(len(b" ".join(p)) <= max(size, max(map(len, p))) for p in parts)
+
+
 @pytest.mark.parametrize("block", [200_000, 8])
 def test_contamination(spark, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD", 200)

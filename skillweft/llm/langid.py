@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax and calibrated rejection.
 
 A text is the average of the embeddings of its hashed letter 2- to 4-grams (marked at word ends). Embeddings and the
-softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows. A temperature
-and a rejection threshold are then fitted on a part of that sample which training doesn't see. For prediction the product of
+softmax are trained together by stochastic gradient descent in numpy on a bounded sample of labelled rows. On a part of that sample which
+training doesn't see, a temperature is fitted to smoothed labels, and rejection to what isn't known: the same texts as seen without their own language,
+and with their letters shuffled. For prediction the product of
 embeddings and softmax weights is one small table, and the scores of a whole text are a mean of its rows.
 """
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from skillweft.llm.common import arrow_map, batch
 
 ORDERS = (2, 3, 4)
+#: Bits by which buckets are finer where only their being known counts.
+FINER = 5
+#: Share of texts in no known language that scores allow for.
+STRANGERS = 0.01
 #: Code points whose grams are looked up at once.
 SLICE = 1 << 18
 _lut: np.ndarray | None = None
@@ -69,7 +74,7 @@ def grams(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``table`` has a row of class scores for each bucket."""
+    """``table`` has a row of class scores for each bucket, ``known`` has a bit for each language and finer bucket that it was seen with, ``accept`` are a logistic's weights."""
 
     languages: list[str]
     table: np.ndarray
@@ -77,29 +82,32 @@ class Model:
     temperature: float
     threshold: float
     bits: int
+    known: np.ndarray | None = None
+    accept: np.ndarray | None = None
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed class scores and numbers of grams of whole texts.
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed class scores, numbers of grams of whole texts, and how many of these training never saw in each language.
 
         Long texts are read in slices that reach as far into the next one as a gram does; each gram counts where it begins.
         """
-        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        sums, counts, strange = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)), np.int64)
         held, total = [], 0
 
         def flush() -> None:
             x = np.concatenate([c for _, c, _ in held])
             ends = np.cumsum([len(c) for _, c, _ in held])
-            buckets, places = grams(x, self.bits)
+            fine, places = grams(x, self.bits + FINER)
             doc = np.searchsorted(ends, places, "right")
             if any(len(c) > own for _, c, own in held):
                 mine = places - (ends - [len(c) for _, c, _ in held])[doc] < np.array([own for _, _, own in held])[doc]
-                buckets, doc = buckets[mine], doc[mine]
+                fine, doc = fine[mine], doc[mine]
+            buckets = fine >> np.uint32(FINER)
+            texts_of = [i for i, _, _ in held]
             for k in range(len(self.languages)):
-                found = np.bincount(doc, self.table[:, k][buckets], len(held))
-                for (i, _, _), v in zip(held, found, strict=True):
-                    sums[i, k] += v
-            for (i, _, _), v in zip(held, np.bincount(doc, minlength=len(held)), strict=True):
-                counts[i] += v
+                np.add.at(sums[:, k], texts_of, np.bincount(doc, self.table[:, k][buckets], len(held)))
+                if self.known is not None:
+                    np.add.at(strange[:, k], texts_of, np.bincount(doc[~seen(self.known[k], fine)], minlength=len(held)))
+            np.add.at(counts, texts_of, np.bincount(doc, minlength=len(held)))
             held.clear()
 
         for i, t in enumerate(texts):
@@ -114,23 +122,60 @@ class Model:
                     total = 0
         if held:
             flush()
-        return sums, counts
+        return sums, counts, strange
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language (``und`` without a letter), calibrated probability and whether it is rejected, for each text."""
-        sums, counts = self.scores(texts)
-        logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        """Language (``und`` without a letter), calibrated probability and whether it is rejected, for each text.
+
+        The probability is the softmax's times that of being in a known language at all, if ``STRANGERS`` are not. By the latter texts are rejected.
+        """
+        sums, counts, strange = self.scores(texts)
+        p = softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(1)
-        score = np.where(counts > 0, p[np.arange(len(texts)), best], 0.0)
-        return [self.languages[k] if c else "und" for k, c in zip(best, counts, strict=True)], score, (counts == 0) | (score < self.threshold)
+        top = p[np.arange(len(texts)), best]
+        fits = np.ones(len(texts)) if self.accept is None else accepted(self.accept, counts, strange[np.arange(len(texts)), best], top)
+        score = np.where(counts > 0, top * fits * (1 - STRANGERS) / (fits * (1 - STRANGERS) + (1 - fits) * STRANGERS), 0.0)
+        return [self.languages[k] if c else "und" for k, c in zip(best, counts, strict=True)], score, (counts == 0) | (fits < self.threshold)
+
+
+def seen(known: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Bits of a packed row."""
+    return (known[fine >> 3] >> (7 - (fine & 7)).astype(np.uint8)) & 1 == 1
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _traits(counts: np.ndarray, strange: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """What acceptance is judged by: the share of grams that are new in the predicted language, eased for short texts, the length, and the softmax's certainty."""
+    return np.stack([np.ones(len(counts)), (strange + 0.5) / (counts + 5.0), np.log1p(counts), np.log(np.clip(top, 1e-6, 1))], 1)
+
 
+def accepted(weights: np.ndarray, counts: np.ndarray, strange: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Probability that a text is of a known language, if unknown ones were as frequent."""
+    return 1 / (1 + np.exp(-np.clip(_traits(counts, strange, top) @ weights, -40, 40)))
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> Model:
-    """Fit on ``(language, buckets, counts)`` rows of a sample; every fifth row is held back for calibration.
 
-    ``keep`` is the share of rightly classified rows of the calibration part that the threshold has to accept.
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), g)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], noise: list[tuple[np.ndarray, np.ndarray]] = (), bits: int = 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.998, seed: int = 7) -> Model:
+    """Fit on ``(language, finer buckets, counts)`` rows of a sample; every fifth row is held back for calibration.
+
+    ``noise`` has buckets and counts of texts in no language. ``keep`` is the least share of rightly classified rows of the calibration part that is accepted, whatever else
+    would be rejected.
     """
     rng = np.random.default_rng(seed)
     rows = [r for r in rows if len(r[1])]
@@ -142,11 +187,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 15, dim: i
     e, w, b = rng.normal(0, 0.1, (1 << bits, dim)), rng.normal(0, 0.1, (dim, n)), np.zeros(n)
     order = rng.permutation(len(rows))
     fit, calibrate = (order[len(rows) // 5 :], order[: len(rows) // 5]) if len(rows) >= 10 * n else (order, order)
+    coarse = [r[1] >> FINER for r in rows]
     weights = [(r[2] / r[2].sum()).astype(np.float32) for r in rows]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
-            at, c, y = rows[i][1], weights[i], label[rows[i][0]]
+            at, c, y = coarse[i], weights[i], label[rows[i][0]]
             h = c @ e[at]
             z = h @ w + b
             p = np.exp(z - z.max())
@@ -155,30 +201,61 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = 15, dim: i
             back = w @ p
             w -= step * np.outer(h, p)
             b -= step * p
-            e[at] -= (step * 50) * c[:, None] * back
+            np.subtract.at(e, at, (step * 50) * c[:, None] * back)
     table = e @ w
-    logits = np.array([weights[i] @ table[rows[i][1]] + b for i in calibrate])
+    logits_of = lambda at, c: (c / c.sum()) @ table[at >> FINER] + b
+    logits = np.array([logits_of(rows[i][1], rows[i][2]) for i in calibrate])
     truth = np.array([label[rows[i][0]] for i in calibrate])
+    smoothed = 1 / (len(truth) + 2)  # as if one more were wrong: separable data have a temperature, too
+    target = np.full(logits.shape, smoothed / n)
+    target[np.arange(len(truth)), truth] += 1 - smoothed
 
     def loss(t: float) -> float:
         z = logits / t
         z = z - z.max(1, keepdims=True)
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
-
-    temperature = min(np.geomspace(0.1, 10, 60).tolist(), key=loss)
-    z = logits / temperature
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = np.sort(p.max(1)[p.argmax(1) == truth])
+        return float(np.mean(np.log(np.exp(z).sum(1)) - (z * target).sum(1)))
+
+    temperature = min(np.geomspace(1e-3, 1e3, 400).tolist(), key=loss)
+    known = np.zeros((n, (1 << (bits + FINER)) // 8), np.uint8)
+    for k in range(n):
+        mine = np.zeros(1 << (bits + FINER), bool)
+        for i in fit:
+            if label[rows[i][0]] == k:
+                mine[rows[i][1]] = True
+        known[k] = np.packbits(mine)
+
+    def trait(at: np.ndarray, c: np.ndarray, z: np.ndarray) -> tuple[int, int, float]:
+        return int(c.sum()), int(c[~seen(known[z.argmax()], at)].sum()), float(softmax(z[None] / temperature).max())
+
+    good, bad = [], [trait(at, c, logits_of(at, c)) for at, c in noise if len(at)]
+    for i, z, y in zip(calibrate, logits, truth, strict=True):
+        good.append(trait(rows[i][1], rows[i][2], z))
+        if n > 1:  # the same text where its own language is left out
+            other = z.copy()
+            other[y] = -np.inf
+            bad.append(trait(rows[i][1], rows[i][2], other))
+    if not bad:
+        return Model(languages, table, b, temperature, 0.0, bits, known)
+    x = _traits(*(np.array(v) for v in zip(*good, *bad, strict=True)))
+    y = np.arange(len(x)) < len(good)
+    accept = logistic(x, y.astype(float), np.where(y, 0.5 / len(good), 0.5 / len(bad)) * len(x), 1.0)
+    right = np.sort(accepted(accept, *(np.array(v) for v in zip(*good, strict=True)))[logits.argmax(1) == truth])
     threshold = min(0.5, float(right[int((1 - keep) * len(right))])) if len(right) else 0.0
-    return Model(languages, table, b, temperature, threshold, bits)
+    return Model(languages, table, b, temperature, threshold, bits, known, accept)
 
 
-def fit(labelled: DataFrame, per_language: int = 800, languages: int = 1000, bits: int = 15, **options: object) -> Model:
-    """Train on a bounded sample of ``doc_id, text, lang``: about ``per_language`` rows of each label.
+def shuffled(x: np.ndarray) -> np.ndarray:
+    """A code sequence with its letters in another order, the same for the same text; words keep their lengths."""
+    out, at = x.copy(), np.flatnonzero(x)
+    out[at] = x[np.random.default_rng(len(x)).permutation(at)]
+    return out
+
+
+def fit(labelled: DataFrame, per_language: int = 800, languages: int = 1000, bits: int = 15, sample: int = 40_000, **options: object) -> Model:
+    """Train on a bounded sample of ``doc_id, text, lang``: about ``per_language`` rows of each label, and about ``sample`` together.
 
     Rows with a null label or text teach nothing. The rows are drawn by a hash of id and text, alike at every size. Only the
-    sparse gram counts of the sample, at most ``2 ** bits`` a row, come to the driver. More than ``languages`` labels are an
+    sparse gram counts of the sample, at most ``2 ** (bits + FINER)`` a row, come to the driver. More than ``languages`` labels are an
     error: none is left out, and a column with so many is no language.
     """
     every = labelled.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).count().limit(languages + 1).collect()
@@ -188,22 +265,31 @@ def fit(labelled: DataFrame, per_language: int = 800, languages: int = 1000, bit
     sizes = {r["lang"]: r["count"] for r in sorted(every)}
     if not sizes:
         return train([], bits=bits)
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, per_language / n)))])
+    most = min(per_language, max(1, sample // len(sizes)))
+    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int((1 << 30) * min(1.0, most / n)))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"lang": pa.string(), "at": pa.list_(pa.int32()), "n": pa.list_(pa.int32())}
         for b in batches:
-            found = [np.unique(grams(codes(t), bits)[0], return_counts=True) for t in b.column("text").to_pylist()]
-            yield batch({"lang": b.column("lang"), "at": [x.astype(np.int32) for x, _ in found], "n": [n.astype(np.int32) for _, n in found]}, types)
-
-    sample = arrow_map(rows.where(F.col("h") < limits[F.col("lang")]).drop("h"), features, "lang string, at array<int>, n array<int>").toArrow()
-    found = []
-    for b in sample.to_batches():
+            seen = [codes(t) for t in b.column("text").to_pylist()]
+            names = b.column("lang").to_pylist()
+            every = [(lang, x) for lang, x in zip(names, seen, strict=True)] + [(None, shuffled(x)) for x, h in zip(seen, b.column("h").to_pylist(), strict=True) if h % 8 == 0]
+            found = [np.unique(grams(x, bits + FINER)[0], return_counts=True) for _, x in every]
+            yield batch({"lang": [lang for lang, _ in every], "at": [x.astype(np.int32) for x, _ in found], "n": [n.astype(np.int32) for _, n in found]}, types)
+
+    held = arrow_map(rows.where(F.col("h") < limits[F.col("lang")]), features, "lang string, at array<int>, n array<int>").toArrow()
+    found, noise = [], []
+    for b in held.to_batches():
         at, n = b.column("at"), b.column("n")
         ends, buckets, counts = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
-        found += [(lang, buckets[a:z], counts[a:z]) for lang, a, z in zip(b.column("lang").to_pylist(), ends[:-1], ends[1:], strict=True)]
+        for lang, a, z in zip(b.column("lang").to_pylist(), ends[:-1], ends[1:], strict=True):
+            if lang is None:
+                noise.append((buckets[a:z], counts[a:z]))
+            else:
+                found.append((lang, buckets[a:z], counts[a:z]))
     found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
-    return train(found, bits=bits, **options)
+    noise.sort(key=lambda r: (len(r[0]), r[0].tobytes()))
+    return train(found, noise, bits=bits, **options)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

@@ -305,6 +305,31 @@ def test_language_accuracy_and_calibration(spark, sf):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
 
 
+@pytest.mark.parametrize("lang", ["es", "de"])
+def test_a_language_that_was_left_out_is_rejected(spark, sf, lang):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    model = langid.fit(langid.taught(docs).where(F.col("lang") != lang))
+    held = langid.identify(docs.where(langid.held_out(docs.doc_id)), model).collect()
+    assert np.mean([r.lang_rejected for r in held if r.lang == lang]) >= 0.9
+    assert np.mean([r.lang_rejected for r in held if r.lang != lang]) <= 0.01
+    strangers = ["Это предложение написано на русском языке", "这是一个用中文写的句子", "To zdanie jest napisane po polsku i powinno zostać odrzucone", "zxqv kjhg wpt qqqq mnbv"]
+    names, score, rejected = model.predict(strangers)
+    assert all(rejected) and max(score) < 0.5 and set(names) <= set(model.languages)
+    assert 1e-3 < model.temperature < 1e3
+
+
+def test_the_sample_is_bounded(spark):
+    docs = frame(spark, [(i, f"text number {i} of many", f"l{i % 5}", "s") for i in range(500)])
+    seen = []
+    train, langid_train = langid.train, lambda rows, noise=(), **k: seen.append(len(rows)) or train(rows, noise, **k)
+    langid.train = langid_train
+    try:
+        langid.fit(docs, sample=50)
+    finally:
+        langid.train = train
+    assert seen[0] < 110
+
+
 def test_language_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(docs)
@@ -318,7 +343,7 @@ def test_language_odd_rows(spark, sf):
 
 
 def test_scores_of_a_long_text_add_up():
-    model = langid.train([("a", *np.unique(langid.grams(langid.codes("abc abd"), 10)[0], return_counts=True)), ("b", *np.unique(langid.grams(langid.codes("xyz xyw"), 10)[0], return_counts=True))] * 12, bits=10)
+    model = langid.train([("a", *np.unique(langid.grams(langid.codes("abc abd"), 15)[0], return_counts=True)), ("b", *np.unique(langid.grams(langid.codes("xyz xyw"), 15)[0], return_counts=True))] * 12, bits=10)
     assert model.predict(["abc abd " * 200_000])[0] == model.predict(["abc abd"])[0] == ["a"]
 
 

@@ -40,13 +40,15 @@ CLOSES = {
 }
 SCOPES = frozenset("ul ol dl table body html article main section div td th blockquote nav aside form header footer".split())
 #: Elements that only hold others; content may be sought inside them.
-CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+CONTAINERS = frozenset("html body div section article main center table tbody tr td form".split())
 #: Words of a class, id or role that say what an element outside an article is for.
-NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments reply replies disqus respond footer masthead toolbar search searchbox paywall skip dialog contentinfo complementary disclaimer".split())
+NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars widget widgets related recommended recommendations share sharing social comment comments commentlist reply replies disqus respond footer masthead toolbar search searchbox paywall skip dialog contentinfo complementary disclaimer".split())
 #: Of these, words that inside an article name what is never part of it; others may be its sections, and the wrapper decides.
 NEVER_ARTICLE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies gdpr newsletter signup nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar sidebars comments disqus masthead paywall contentinfo".split())
+#: Of these, words of readers' comments, wherever they stand.
+COMMENTS = frozenset("comment comments commentlist reply replies disqus respond".split())
 #: Of these, words of elements that list other articles than the page's own.
-LISTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion widget widgets related recommended recommendations comment comments reply replies disqus respond".split())
+LISTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion widget widgets related recommended recommendations comment comments commentlist reply replies disqus respond".split())
 #: Classes of an element's state or layout say what it has, not what it is.
 _STATE = re.compile(r"(?:has|no|with|without)[-_]")
 NAMED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -96,7 +98,7 @@ def _element(tag: str, source: str) -> Node:
                 if not found.isdisjoint(NOT_CONTENT):
                     node.outer = True
                     node.listed |= not found.isdisjoint(LISTS)
-                    node.inner |= not (NEVER_ARTICLE.isdisjoint(low) if name == "id" else NEVER_ARTICLE.isdisjoint(found))
+                    node.inner |= not COMMENTS.isdisjoint(found) or not (NEVER_ARTICLE.isdisjoint(low) if name == "id" else NEVER_ARTICLE.isdisjoint(found))
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
                 node.gone = True
             elif name == "itemprop" and value.lower() == "articlebody":
@@ -107,7 +109,7 @@ def _element(tag: str, source: str) -> Node:
 def parse(source: str) -> Node:
     """The element tree of a page, however badly it is closed. Quotes that are never closed are no quotes."""
     root, at, n = Node("#", "#"), 0, len(source)
-    stack, open_ = [root], Counter()
+    stack, open_, forms = [root], Counter(), False
     last = {q: source.rfind(q) for q in "\"'"}
 
     def cut(k: int) -> None:
@@ -176,9 +178,29 @@ def parse(source: str) -> Node:
             continue
         stack.append(node)
         open_[tag] += 1
+        forms |= tag == "form"
+    if forms:
+        _open_forms(root)
     return root
 
 
+def _open_forms(root: Node) -> None:
+    """A form that holds a marked article or half of the page's text is a container like any other; its controls are still none."""
+    order, stack = [], [(root, -1)]
+    while stack:
+        node, above = stack.pop()
+        stack += [(c, len(order)) for c in node.children if isinstance(c, Node) and (c.tag == "form" or not c.gone)]
+        order.append((node, above))
+    chars, marks = [sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n, _ in order], [n.tag in ("article", "main") or "@articlebody" in n.label for n, _ in order]
+    for i in range(len(order) - 1, 0, -1):
+        above = order[i][1]
+        chars[above] += chars[i]
+        marks[above] |= marks[i]
+    for (node, _), n, marked in zip(order, chars, marks, strict=True):
+        if node.tag == "form" and n and (marked or 2 * n >= chars[0]):
+            node.gone = False
+
+
 def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -312,6 +334,10 @@ def region(labels: list[str], size: np.ndarray, plain: np.ndarray, marked: np.nd
                 found.append(i)
                 end = i + int(size[i])
         found = [i for i in found if plain[i] > 0] or found  # where all stand below a name, that name says nothing
+        if len(found) > 1:  # teasers of others: the page's own has the most text, and maybe parts that are like it and beside it
+            above = _parents(size)
+            top = max(found, key=lambda i: marked[i])
+            found = [i for i in found if above[i] == above[top] and labels[i] == labels[top]]
         held = float(sum(marked[i] for i in found))
         if found and held >= MARKED * (held + max(0.0, float(plain[0]) - float(sum(plain[i] for i in found)))):
             return found, True
@@ -324,6 +350,16 @@ def region(labels: list[str], size: np.ndarray, plain: np.ndarray, marked: np.nd
         at = best
 
 
+def _parents(size: np.ndarray) -> list[int]:
+    out, open_ = [], []
+    for i, n in enumerate(size.tolist()):
+        while open_ and i >= open_[-1][1]:
+            open_.pop()
+        out.append(open_[-1][0] if open_ else -1)
+        open_.append((i, i + n))
+    return out
+
+
 def _children(at: int, size: np.ndarray) -> list[int]:
     out, i, end = [], at + 1, at + int(size[at])
     while i < end:
@@ -547,6 +583,35 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"host": rows.column("host")[:1].combine_chunks(), "tree": [_dumps(whole)]}, {"host": pa.string(), "tree": pa.string()})
 
 
+def _plain(label: str) -> str:
+    """A label without its classes."""
+    return label.split(".", 1)[0].split("@", 1)[0] + ("@articlebody" if "@articlebody" in label else "")
+
+
+def relabelled(trees: DataFrame, work: str, share: float = 0.01) -> DataFrame:
+    """``trees`` whose labels that fewer than ``share`` of the host's different pages have, or only one, are tags without classes.
+
+    Classes that a page makes up would never align, and the wrapper would grow with the pages. So a host has at most ``1 / share`` times as many labels as a page has.
+    """
+    weight = F.greatest("pages", F.lit(1))
+    labels = trees.select("host", weight.alias("w"), F.explode(F.array_distinct(F.from_json("tree", "array<array<string>>")[0])).alias("label"))
+    found = labels.groupBy("host", "label").agg(F.sum("w").alias("n"))
+    whole = trees.groupBy("host").agg(F.sum(weight).alias("of"))
+    common = found.join(whole, "host").where((F.col("n") > 1) & (F.col("n") >= share * F.col("of"))).groupBy("host").agg(F.collect_set("label").alias("common"))
+    common = staged(common, f"{work}/labels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for tree, known in zip(b.column("tree").to_pylist(), b.column("common").to_pylist(), strict=True):
+                labels, depths = json.loads(tree)
+                held = set(known or ())
+                out.append(json.dumps(([x if x in held else _plain(x) for x in labels], depths), separators=(",", ":")))
+            yield batch({"host": b.column("host"), "shape": b.column("shape"), "tree": out, "pages": b.column("pages")}, {"host": pa.string(), "shape": pa.int64(), "tree": pa.string(), "pages": pa.int64()})
+
+    return staged(arrow_map(trees.join(common, "host", "left").select("host", "shape", "tree", "pages", "common"), run, "host string, shape long, tree string, pages long"), f"{work}/relabelled")
+
+
 def wrappers(trees: DataFrame, work: str, fan_in: int = 32) -> DataFrame:
     """``host, wrapper``: the trees ``host, tree`` of each host merged to one, about ``fan_in`` at a time, until one is left."""
     held, k = staged(trees.select("host", "tree"), f"{work}/merge0"), 0
@@ -600,8 +665,8 @@ def templates(every: DataFrame, work: str, share: float = 0.6, least: int = 5) -
     shapes = held.select("host", "shape", "tree", "slots", F.lit(0).alias("counted")).unionByName(counted)
     trees = staged(shapes.groupBy("host", "shape").agg(F.min("tree").alias("tree"), F.sum("counted").alias("pages")), f"{work}/trees")
     enough = staged(trees.groupBy("host").agg(F.sum("pages").alias("n")).where(F.col("n") >= least).select("host"), f"{work}/hosts")
-    trees = trees.join(enough, "host", "left_semi")
-    whole = wrappers(trees, work)
+    trees = relabelled(trees.join(enough, "host", "left_semi"), work)
+    whole = wrappers(trees.select("host", "tree").distinct(), work)
     aligned = staged(arrow_map(trees.join(whole, "host").select("host", "shape", "tree", "wrapper"), _aligned, "host string, shape long, nodes array<int>, sizes array<int>"), f"{work}/aligned")
     counts = shapes.select("host", "shape", "counted", F.explode("slots").alias("s")).groupBy("host", "shape", F.col("s.slot").alias("slot"), F.col("s.text").alias("text")).agg(F.sum("counted").alias("n"), F.sum(F.col("counted") * F.col("s.plain")).alias("plain"), F.sum(F.col("counted") * F.col("s.marked")).alias("marked"))
     placed = staged(counts.join(aligned.select("host", "shape", "nodes"), ["host", "shape"]).withColumn("node", F.get("nodes", "slot")).drop("nodes").where("node >= 0"), f"{work}/placed")

@@ -705,6 +705,43 @@ def test_articles_renamed(spark, sf):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+STORY = "<h1>Title {0}</h1><p>Story {0} begins on line {0} and goes on for a while, {0} times over.</p><p>It ends {0}.</p>"
+
+
+def told(i):
+    return f"Title {i} Story {i} begins on line {i} and goes on for a while, {i} times over. It ends {i}."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id='aspnetForm'><div class='top'><ul><li>Menu</li></ul></div><div id='content'>{0}<input value='x'><button>Send</button></div></form></body>",
+        "<body><article>{0}<ol class='comment-list'><li class='comment'>Reader {1} likes it</li><li class='comment'>So do I</li></ol></article></body>",
+        "<body><article>{0}<div id='comments-section'><p>Reader {1} likes it a lot, and says so at length</p></div></article></body>",
+        "<body><main><article class='post'>{0}</article><section class='more'><article><h2>Other {1}</h2><p>A teaser of {1}</p></article></section></main></body>",
+        "<body><main><article class='post'>{0}</article><article class='tease'><h2>Other {1}</h2></article></main></body>",
+        "<body><form><article>{0}</article></form><form><h2>Subscribe</h2><input></form></body>",
+    ],
+)
+def test_forms_comments_and_teasers(spark, page):
+    pages = [(i, f"http://h/{i}", page.format(STORY.format(i), 1000 - i)) for i in range(10)]
+    assert all(told(i) in html_.extract(p) and "Reader" not in html_.extract(p) and "teaser" not in html_.extract(p) for i, _, p in pages)
+    got = {r.page_id: r.text for r in html_.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), workspace(spark, "t")).collect()}
+    assert got == {i: told(i) for i in range(10)}
+
+
+def test_class_names_of_one_page_dont_grow_the_wrapper(spark):
+    import hashlib
+
+    h = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:8].translate(str.maketrans("0123456789", "ghijklmnop"))
+    pages = [(i, f"http://h/{i}", "<body><nav>Home</nav><div class='page'>" + f"<div class='s{h(i)}'>{STORY.format(i)}" + "".join(f"<div class='c{h(i, k)}'><p>Part {i} {k}</p></div>" for k in range(3 + i % 9)) + "</div><div class='end'>All rights here</div></div></body>") for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    work = workspace(spark, "t")
+    got = {r.page_id: r.text for r in html_.main_text(df, work).collect()}
+    assert got == {i: " ".join([told(i), *(f"Part {i} {k}" for k in range(3 + i % 9))]) for i in range(300)}
+    assert max(r.n for r in spark.read.parquet(f"{work}/relabelled").groupBy("host").agg(F.countDistinct("tree").alias("n")).collect()) <= 9
+
+
 def test_wrappers_are_merged_in_rounds(spark):
     trees = [(h, html_._dumps(("#", [(f"x{i}", []), ("p", [(f"y{i % 7}", [])])]))) for h in ("a", "b") for i in range(40)]
     got = {r.host: html_._loads(r.wrapper) for r in html_.wrappers(spark.createDataFrame(trees, "host string, tree string"), workspace(spark, "t"), 3).collect()}

@@ -26,6 +26,10 @@ from skillweft.llm.idfile import file_system
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Settings of the state stores, of which there are as many as shuffle partitions: memory that those of an executor share, nothing allocated ahead on disk, and
+#: changes uploaded instead of whole files.
+STORE = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "256", "allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
+
 #: Bytes and number of texts within which a task combines equal ones before it forgets them.
 WINDOW_BYTES, WINDOW_TEXTS = 32 << 20, 50_000
 
@@ -195,7 +199,7 @@ def dedup_stream(stream: DataFrame, work: str, expected: int, size: int = 32):
     def write(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{work}/groups/batch={batch_id}")
 
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, **{f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in STORE.items()}}
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():

@@ -30,9 +30,13 @@ def _first(pairs: list[tuple[Column, object]]) -> Column:
     return F.coalesce(*[F.when(cond, value if isinstance(value, Column) else F.lit(value)) for cond, value in pairs])
 
 
+#: A token of lower-case text.
+TOKEN = r"[a-z0-9]+|[一-鿿]{2,}"
+
+
 def tokens(text: Column) -> Column:
     """lower-case runs of a-z0-9, and of two CJK characters or more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+|[一-鿿]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_hash(token: Column) -> Column:

@@ -200,30 +200,40 @@ def evolved_from(new: DataFrame, gone: DataFrame, segments: int = 2) -> DataFram
 # algorithms
 
 
+#: Rounds of PageRank between two tables.
+ROUNDS_A_TABLE = 5
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """G1: unweighted PageRank of a symmetric graph ``a, b``; stops when no rank moves by ``tolerance``.
 
-    Ranks are written to the shared folder every round: one join on the edges' key, which stays partitioned, and one
-    aggregation that combines before its shuffle. The driver sees three numbers a round.
+    A few rounds are one plan and one written table, which has a column for each round, so that the stop is the same as round by round. A round is one join on the edges'
+    key and one aggregation that combines before its shuffle. The driver sees a number for each round of a table.
     """
     work = shared_path(edges.sparkSession, "pagerank")
     e = staged(edges.select("a", "b").distinct(), f"{work}/edges")
     nodes = e.select("a").union(e.select("b")).distinct().toDF("id")
     degree = e.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-    n = nodes.count()
+    state = staged(nodes.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), f"{work}/nodes")
+    n, loose = state.agg(F.count("*"), F.count_if(F.col("degree") == 0)).first()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    state = staged(nodes.join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("rank")), f"{work}/0")
-    for i in range(1, rounds + 1):
-        loose = state.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = e.join(state.where("degree > 0").select(F.col("id").alias("a"), (F.col("rank") / F.col("degree")).alias("part")), "a").groupBy(F.col("b").alias("id")).agg(F.sum("part").alias("got"))
-        new = state.join(sent, "id", "left").select("id", "degree", (F.lit((1 - damping) / n + damping * loose / n) + F.coalesce("got", F.lit(0.0)) * damping).alias("new"), "rank")
-        held = staged(new, f"{work}/{i}")
-        moved = held.agg(F.max(F.abs(F.col("new") - F.col("rank")))).first()[0]
-        state = held.select("id", "degree", F.col("new").alias("rank"))
-        if moved < tolerance:
+    state, done = state.withColumn("r0", F.lit(1.0 / n)), 0
+    few = F.broadcast if n <= 100_000 else lambda t: t  # a row a node, which was counted
+    while done < rounds:
+        k = min(ROUNDS_A_TABLE if loose == 0 else 1, rounds - done)  # what loose nodes hold goes to all
+        held = state
+        lost = held.where("degree = 0").agg(F.sum("r0")).first()[0] if loose else 0.0
+        for i in range(1, k + 1):
+            sent = e.join(few(held.where("degree > 0").select(F.col("id").alias("a"), (F.col(f"r{i - 1}") / F.col("degree")).alias("part"))), "a").groupBy(F.col("b").alias("id")).agg(F.sum("part").alias("got"))
+            held = held.join(few(sent), "id", "left").withColumn(f"r{i}", F.lit((1 - damping) / n + damping * lost / n) + F.coalesce("got", F.lit(0.0)) * damping).drop("got")
+        held = staged(held, f"{work}/{done + k}")
+        moved = held.agg(*[F.max(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))) for i in range(1, k + 1)]).first()
+        stop = next((i for i, m in enumerate(moved, 1) if m < tolerance), None)
+        state, done = held.select("id", "degree", F.col(f"r{stop or k}").alias("r0")), done + k
+        if stop:
             break
-    return state.select("id", "rank")
+    return state.select("id", F.col("r0").alias("rank"))
 
 
 def modularity(pairs: DataFrame, partition: DataFrame) -> DataFrame:

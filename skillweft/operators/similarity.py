@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 import itertools
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,24 +18,39 @@ from skillweft.operators import substring
 from skillweft.operators.nearest import nearest
 
 
+#: Token hashes that a worker remembers, and bits that are added up at once.
+KNOWN_TOKENS, TOKENS_AT_ONCE = 200_000, 1 << 16
+
+
+def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, bytes] = {}
+    find = re.compile(X.TOKEN).findall
+
+    def print_of(text: str) -> int:
+        hashes = []
+        for t in find(text):
+            if (h := known.get(t)) is None:
+                if len(known) >= KNOWN_TOKENS:
+                    known.clear()
+                h = known[t] = hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8]
+            hashes.append(h)
+        votes = np.zeros(64, np.int64)
+        for a in range(0, len(hashes), TOKENS_AT_ONCE):
+            some = hashes[a : a + TOKENS_AT_ONCE]
+            votes += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), 8), axis=1).sum(0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
+
+    for s in texts:
+        yield pd.Series([print_of(t) for t in s], dtype="int64")
+
+
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, simhash`` of every row: 64 votes of hashed tokens; 0 without tokens.
+    """``key, simhash`` of every row: 64 votes of hashed tokens; 0 without tokens. A bit is set if more than half of the tokens have it.
 
-    A row's tokens vote inside the row, so nothing is shuffled. Bits i and i + 32 of all hashes are added up at once, in the
-    two halves of a 64-bit integer; a bit is set if more than half of the tokens have it.
+    A row's tokens vote inside the row, so nothing is shuffled. Texts go to Python in Arrow batches: there all 64 bits are added up at once, and a token is hashed once
+    and remembered.
     """
-    hashes = F.transform(X.tokens(F.coalesce(F.col(text), F.lit(""))), X.token_hash)
-    rows = docs.select(key, hashes.alias("h"))
-    both = F.lit((1 << 32) + 1)
-
-    def votes(i: int):
-        return F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, i).bitwiseAND(both))
-
-    sums = [votes(i).alias(f"s{i}") for i in range(32)]
-    counted = rows.select(key, F.size("h").alias("n"), *sums)
-    low = [F.when((F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))) * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)]
-    high = [F.when(F.shiftrightunsigned(f"s{i}", 32) * 2 > F.col("n"), F.lit(1 << (i + 32) if i < 31 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(32)]
-    return counted.select(key, functools.reduce(lambda x, y: x.bitwiseOR(y), low + high).alias("simhash"))
+    return docs.select(key, F.pandas_udf(_prints, "long")(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("simhash"))
 
 
 def near_fingerprints(prints: DataFrame, threshold: int = 3) -> DataFrame:

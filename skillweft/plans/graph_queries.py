@@ -139,9 +139,10 @@ def evolved_from(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """G1: of nations and brands by segment that share ads, until no rank moves by the tolerance; a digit that both end in parts them."""
+    """G1: of nations and brands by segment that share as many ads as the mean of all pairs at least, until no rank moves by the tolerance."""
     e = requires(spark, sf).select(F.split_part("position_name", F.lit("/"), F.lit(2)).alias("a"), F.concat("skill", F.lit("/"), F.substring("position_name", 1, 1)).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    e = e.where(F.substring("b", 8, 1) != F.substring("a", -1, 1)).select("a", "b")
+    e = staged(e, shared_path(spark, "shared"))
+    e = e.join(F.broadcast(e.agg(F.avg("weight").alias("mean"))), how="cross").where(F.col("weight") >= F.col("mean")).select("a", "b")  # one row
     return graph.pagerank(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))).select("id", F.round("rank", 4).alias("rank"))
 
 

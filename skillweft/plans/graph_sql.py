@@ -17,7 +17,7 @@ _NODE = with_views("snapshots") + "node AS (SELECT version, target AS id, CASE W
 _MOD = _CO + ", adj AS (SELECT a, b, weight FROM pairs UNION ALL SELECT b, a, weight FROM pairs), com AS (SELECT *, substr(a, 7, 1) AS ca, substr(b, 7, 1) AS cb FROM adj), per AS (SELECT ca, sum(weight) AS tot, coalesce(sum(weight) FILTER (ca = cb), 0) AS inside FROM com GROUP BY ALL)"
 _RANKS = (
     _REQ
-    + "o AS (SELECT DISTINCT split_part(position_name, '/', 2) AS a, skill || '/' || substr(position_name, 1, 1) AS b FROM requires WHERE substr(skill, 8, 1) <> right(position_name, 1)), e AS MATERIALIZED (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), deg AS MATERIALIZED (SELECT a AS id, count(*) AS d FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM deg, n)"
+    + "w AS (SELECT split_part(position_name, '/', 2) AS a, skill || '/' || substr(position_name, 1, 1) AS b, sum(weight) AS weight FROM requires GROUP BY ALL), o AS (SELECT a, b FROM w WHERE weight >= (SELECT avg(weight) FROM w)), e AS MATERIALIZED (SELECT a, b FROM o UNION ALL SELECT b, a FROM o), deg AS MATERIALIZED (SELECT a AS id, count(*) AS d FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM deg), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM deg, n)"
     + "".join(f", r{i} AS MATERIALIZED (SELECT e.b AS id, any_value(0.15::DOUBLE / n) + 0.85::DOUBLE * sum(r.rank / g.d) AS rank FROM e JOIN r{i - 1} r ON r.id = e.a JOIN deg g ON g.id = e.a, n GROUP BY e.b)" for i in range(1, 51))
 )
 _PRE = "WITH RECURSIVE p AS (SELECT 's' || n_nationkey AS src, 's' || CAST(floor(n_nationkey / 2) AS INT) AS dst FROM nation WHERE n_nationkey > 0), c(src, dst) AS (SELECT src, dst FROM p UNION SELECT c.src, p.dst FROM c JOIN p ON c.dst = p.src)"

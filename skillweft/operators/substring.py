@@ -52,6 +52,36 @@ def scanned(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "text string, needle string")
 
 
+def names_in(rows: DataFrame, key: str, text: str, terms: list[tuple[str, str]]) -> DataFrame:
+    """F35 for long vocabularies: ``key, names``, the sorted distinct names of all ``terms`` (``term, name``) that stand in each row's text, in any case.
+
+    One automaton finds all terms in one reading of a text, whatever their number; a fixed expression for each would read it as often as there are terms. Null texts hold
+    none; every row stays.
+    """
+    if sum(len(t.encode()) for t, _ in terms) > AUTOMATON_BYTES:
+        raise ValueError(f"a vocabulary of more than {AUTOMATON_BYTES} bytes: use holds")
+    by: dict[str, set[str]] = {}
+    for t, name in terms:
+        if t:
+            by.setdefault(t.lower(), set()).add(name)
+    shared = rows.sparkSession.sparkContext.broadcast(by)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t, names in shared.value.items():
+            automaton.add_word(t, names)
+        if shared.value:
+            automaton.make_automaton()
+        for b in batches:
+            found = [sorted(set().union(*(names for _, names in automaton.iter(t)))) if t and shared.value else [] for t in b.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(found, type=pa.list_(pa.string()))], names=[key, "names"])
+
+    return rows.select(key, F.lower(text).alias("_t")).mapInArrow(run, f"`{key}` {kind}, names array<string>")
+
+
 def grams(text: Column, shortest: int = 1) -> Column:
     """All distinct substrings of ``shortest`` to ``GRAM`` characters."""
     cut = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

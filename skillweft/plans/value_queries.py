@@ -12,7 +12,7 @@ from skillweft.functions import positions
 from skillweft.functions import scores as S
 from skillweft.functions import text as X
 from skillweft.functions import vocab as V
-from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, records, running, similarity
+from skillweft.operators import discovery, evaluation, graph, ingest, matching, quality, records, running, similarity, substring
 from skillweft.plans.graph_queries import both_names
 from skillweft.plans.views import jd, jd_skill, table, with_views
 from skillweft.sources import readers
@@ -355,6 +355,15 @@ def random_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("rung", "least", F.round("recall", 6).alias("recall"), F.round("fpr", 6).alias("fpr"), F.round("objective", 6).alias("objective"), "rank")
 
 
+def whitelist_skills(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of a whitelist file in every document; the file lists the long words of all benchmark items."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    path = shared_path(spark, "whitelist")
+    words.orderBy("w").coalesce(1).select(F.format_string('- { name: "%s", category: "x" }', "w").alias("value")).write.text(path)
+    found = substring.names_in(table(spark, sf, "documents"), "doc_id", "text", [(w, w) for w in readers.whitelist(spark, path)])
+    return found.select("doc_id", F.size("names").cast("long").alias("n"), F.array_join("names", ",").alias("names"))
+
+
 def titles_normalized(spark: SparkSession, sf: str) -> DataFrame:
     """titles of customers in English and Chinese."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), _form(F.col("c_custkey"), JOBS).alias("title"))
@@ -373,7 +382,7 @@ JOBS = ["Senior Software Engineer", "Data Analyst, Growth", "Lead Data Scientist
 
 QUERIES = {
     f.__name__: f
-    for f in (employment_reasons, employment_purge, trimmed_fields, invalid_positions, rename_plan, skill_names, skill_clean, resume_skill_filter, golden_rules, skill_migration, prof_edu, salaries, experience, durations, dates, instants, score_parts, cosines, weights, golden_lines, occupation_table, record_pages, report_sink, graph_export, position_loader, candidate_loader, semantic_guard, skill_courses, radar, candidate_upsert, grounding, edge_migration, graph_rebuild, soft_skill_counts, random_search, titles_normalized, freq_history)
+    for f in (employment_reasons, employment_purge, trimmed_fields, invalid_positions, rename_plan, skill_names, skill_clean, resume_skill_filter, golden_rules, skill_migration, prof_edu, salaries, experience, durations, dates, instants, score_parts, cosines, weights, golden_lines, occupation_table, record_pages, report_sink, graph_export, position_loader, candidate_loader, semantic_guard, skill_courses, radar, candidate_upsert, grounding, edge_migration, graph_rebuild, soft_skill_counts, random_search, whitelist_skills, titles_normalized, freq_history)
 }
 
 
@@ -447,6 +456,7 @@ SELECT s.name, seed, code, coalesce('of ' || n_name, CASE seed WHEN 'build' THEN
     "graph_rebuild": with_views("jd", "jd_skill") + "x AS (SELECT DISTINCT position_name AS p, skill AS s FROM jd_skill WHERE id % 13 <> 0 AND id % 17 <> 0) SELECT DISTINCT 'pos_' || substr(sha1(p), 1, 8) AS id, 'Position' AS label, p AS name FROM x UNION ALL SELECT DISTINCT 'sk_' || substr(sha1(s), 1, 8), 'Skill', s FROM x UNION ALL SELECT 'pos_' || substr(sha1(p), 1, 8), 'edge', 'sk_' || substr(sha1(s), 1, 8) FROM x",
     "soft_skill_counts": with_views("jd") + f"s AS (SELECT position_name, unnest(list_distinct([{_case('id', ['沟通能力', '领导力', None])}, {_case('id', ['责任心', '沟通能力'])}])) AS skill FROM jd), c AS (SELECT position_name, skill, count(*) AS n FROM s WHERE skill IS NOT NULL GROUP BY ALL), l AS (SELECT position_name, string_agg(skill, ',' ORDER BY n DESC, skill) AS listed FROM c GROUP BY ALL) SELECT position_name, skill, n, listed FROM c JOIN l USING (position_name)",
     "random_search": _halving_sql(),
+    "whitelist_skills": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark), h AS (SELECT doc_id, string_agg(w, ',' ORDER BY w) AS names, count(*) AS n FROM documents JOIN w ON contains(lower(text), w) GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n, coalesce(names, '') AS names FROM documents LEFT JOIN h USING (doc_id)",
     "titles_normalized": titles_sql(f"SELECT c_custkey AS id, {_case('c_custkey', JOBS)} AS name FROM customer"),
     "positions_normalized": "WITH s AS (" + titles_sql(f"SELECT c_custkey AS id, {_SEGMENT} AS name FROM customer") + f") SELECT c_custkey, {_SEGMENT} AS title, standard FROM s JOIN customer ON id = c_custkey",
     "freq_history": with_views("jd")[:-2] + " SELECT id, row_number() OVER (PARTITION BY position_name ORDER BY publish_date, id) - 1 AS earlier FROM jd",

@@ -84,6 +84,14 @@ def test_substrings(spark, monkeypatch, most):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_names_of_a_vocabulary(spark):
+    rows = spark.createDataFrame([(1, "Uses K8S and 数据分析平台"), (2, None), (3, ""), (1, "golang")], "doc_id long, text string")
+    terms = [("k8s", "Kubernetes"), ("数据分析", "数据分析"), ("Go", "Go"), ("golang", "Go"), ("", "x"), ("uses", "U"), ("uses", "V")]
+    got = sorted((r.doc_id, r.names) for r in substring.names_in(rows, "doc_id", "text", terms).collect())
+    assert got == [(1, ["Go"]), (1, ["Kubernetes", "U", "V", "数据分析"]), (2, []), (3, [])]
+    assert [r.names for r in substring.names_in(rows, "doc_id", "text", []).collect()] == [[]] * 4
+
+
 def test_grounding_without_spaces(spark):
     vocabulary = spark.createDataFrame([("2", "人工智能算法工程师", "trains", None), ("1", "Lead", "leads", ["senior data engineer"]), ("3", "data engineering", "pipes", None)], "code string, name string, definition string, aliases array<string>")
     names = spark.createDataFrame([("算法工程师",), ("Engine",), ("data",), ("ai",), (" ",)], "name string")

@@ -184,7 +184,7 @@ def valid_skill(name: Column) -> Column:
 def noise(name: Column) -> Column:
     """generic words, stop words, numbers, compounds, and names of positions or of experience; aliases' standard names never are."""
     patterns = reduce(lambda a, b: a | b, [name.rlike(p) for p in (V.COMPOUND_NOISE, V.POSITION_NOISE, V.EXPERIENCE_NOISE)])
-    return F.when(name.isin(*V.GENERIC_NOISE, *V.SKILL_STOPWORDS), True).when(name.isin(*set(V.SKILL_ALIASES.values())), False).otherwise((F.length(name) < 2) | name.rlike(r"^\d+$") | patterns)
+    return F.when(name.isin(*V.GENERIC_NOISE, *V.SKILL_STOPWORDS), True).when(name.isin(*set(V.SKILL_ALIASES.values())), False).otherwise((F.length(name) < 2) | name.rlike(r"^\p{Nd}+$") | patterns)
 
 
 def rule_skills(text: Column, whitelist: tuple[str, ...] | None = None, aliases: dict[str, str] | None = None) -> Column:

@@ -41,8 +41,8 @@ def cii_corrected(positions: DataFrame, most: int = 7, share: float = 0.2) -> Da
     return rows.withColumn("demoted", demote).withColumn("necessity", F.when(demote, "nice").otherwise(F.col("necessity"))).drop("_n", "_open", "_rank")
 
 
-#: Positions whose skill sets are sent to all tasks at once; with more, candidates and positions meet by their skills.
-FEW_POSITIONS = 5_000
+#: Positions, and bytes of their skills' names, that are sent to all tasks at once; with more, candidates and positions meet by their skills.
+FEW_POSITIONS, FEW_BYTES = 5_000, 8 << 20
 
 
 def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> DataFrame:
@@ -52,7 +52,8 @@ def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> D
     in its own row: no pairs are shuffled or ranked, and no skill is a key. The result is the same either way.
     """
     want = positions.groupBy("position_name").agg(F.collect_set("skill").alias("want"))
-    if positions.select("position_name").distinct().limit(FEW_POSITIONS + 1).count() <= FEW_POSITIONS:
+    count, size = want.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("want", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 8)), F.lit(0))).first()
+    if count <= FEW_POSITIONS and size <= FEW_BYTES:
         every = want.agg(F.array_sort(F.collect_list(F.struct("position_name", "want"))).alias("every"))
         rows = candidates.groupBy("candidate").agg(F.collect_set("skill").alias("have")).join(F.broadcast(every), how="cross")
         hits = F.transform("every", lambda p: F.struct((-F.size(F.array_intersect("have", p["want"]))).alias("n"), p["position_name"].alias("position_name")))

@@ -68,7 +68,7 @@ def test_skills(spark):
     assert values(spark, X.clean_skill(F.col("s")), "s string", [("前端开发",), ("项目管理",), ("软件工程师",)]) == ["前端", "项目管理", "软件"]
     assert values(spark, X.canonical_skill(F.col("s")), "s string", [("K8S",), ("Spark框架",), ("spark",)]) == ["kubernetes", "spark", "apache spark"]
     assert values(spark, X.valid_skill(F.col("s")), "s string", [("C",), ("x",), ("金融",), ("Go",)]) == [True, False, False, True]
-    assert values(spark, X.noise(F.col("s")), "s string", [("123",), ("x" * 31,), ("Rust",)]) == [True, False, False]
+    assert values(spark, X.noise(F.col("s")), "s string", [("123",), ("１２",), ("x" * 31,), ("Rust",)]) == [True, True, False, False]
     assert values(spark, X.shared_bigrams(F.lit("数据分析师"), F.lit("数据分析员")), "s int", [(1,)]) == [3]
     assert values(spark, X.contains_name(F.lit("abcd"), F.lit("abc")), "s int", [(1,)]) == [False]
 

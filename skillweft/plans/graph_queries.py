@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
-from skillweft.functions import vocab as V
 from skillweft.operators import clusters, communities, evaluation, graph, inverted, matching, quality, retrieval, similarity
 from skillweft.operators.nearest import nearest
 from skillweft.plans.views import CHINESE, chinese, jd, jd_skill, requires, snapshots, table

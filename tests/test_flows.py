@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from skillweft.functions import vocab as V
 from skillweft.operators import evaluation, inverted, layout, retrieval, similarity
-from skillweft.sources.staging import shared_path
 from skillweft.streaming import lifecycle
 
 

@@ -174,8 +174,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], noise: list[tuple[np.ndarray, np.ndarray]] = (), bits: int = 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.998, seed: int = 7) -> Model:
     """Fit on ``(language, finer buckets, counts)`` rows of a sample; every fifth row is held back for calibration.
 
-    ``noise`` has buckets and counts of texts in no language. ``keep`` is the least share of rightly classified rows of the calibration part that is accepted, whatever else
-    would be rejected.
+    ``noise`` has buckets and counts of texts in no language. ``keep`` is the least share of the calibration part that is accepted, mixed texts and wrong labels
+    included, whatever else would be rejected.
     """
     rng = np.random.default_rng(seed)
     rows = [r for r in rows if len(r[1])]
@@ -239,8 +239,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], noise: list[tuple[np.n
     x = _traits(*(np.array(v) for v in zip(*good, *bad, strict=True)))
     y = np.arange(len(x)) < len(good)
     accept = logistic(x, y.astype(float), np.where(y, 0.5 / len(good), 0.5 / len(bad)) * len(x), 1.0)
-    right = np.sort(accepted(accept, *(np.array(v) for v in zip(*good, strict=True)))[logits.argmax(1) == truth])
-    threshold = min(0.5, float(right[int((1 - keep) * len(right))])) if len(right) else 0.0
+    fits = np.sort(accepted(accept, *(np.array(v) for v in zip(*good, strict=True))))
+    threshold = min(0.5, float(fits[int((1 - keep) * len(fits))]))
     return Model(languages, table, b, temperature, threshold, bits, known, accept)
 
 

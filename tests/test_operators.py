@@ -79,20 +79,6 @@ def test_sai_without_recent_ads(spark):
     assert (got[1].sai, got[2].sai) == (0.0, 0.0)
 
 
-def test_labelled_pairs_draw_strangers(spark):
-    c = spark.createDataFrame([(i, ["a", "b"] if i % 3 else ["z"]) for i in range(40)] + [(40, ["a", "q"])], "candidate long, skills array<string>")
-    p = spark.createDataFrame([("p", ["a", "b"]), ("q", ["y"]), ("r", ["a", "b", "z"])], "position_name string, skills array<string>")
-    got = {(r.position_name, r.candidate): r.label for r in evaluation.labelled_pairs(c, p).collect()}
-    have = {r.candidate: set(r.skills) for r in c.collect()}
-    want = {r.position_name: set(r.skills) for r in p.collect()}
-    assert all(len(have[c] & want[p]) >= 0.6 * len(want[p]) if label else len(have[c] & want[p]) <= 1 for (p, c), label in got.items())
-    assert {(p, label): sum(k[0] == p and v == label for k, v in got.items()) for p in want for label in (0, 1)} == {("p", 0): 10, ("p", 1): 10, ("q", 0): 10, ("q", 1): 0, ("r", 0): 10, ("r", 1): 10}
-    met = spark.createDataFrame([(i, "s") for i in range(38)], "candidate long, position_name string")
-    s = evaluation._strangers(c.select("candidate"), spark.createDataFrame([("s",), ("t",)], "position_name string"), met, 10).collect()
-    assert sorted(r.candidate for r in s if r.position_name == "s") == [38, 39, 40]
-    assert len({r.candidate for r in s if r.position_name == "t"}) == 10
-
-
 def test_quality_operators(spark):
     empty = spark.createDataFrame([], "fingerprint string")
     assert rows(quality.dedup_stats(empty)) == [(0, 0, 0, 0.0)]

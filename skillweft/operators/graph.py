@@ -201,7 +201,7 @@ def evolved_from(new: DataFrame, gone: DataFrame, segments: int = 2) -> DataFram
 
 
 #: Rounds of PageRank between two tables.
-ROUNDS_A_TABLE = 5
+ROUNDS_A_TABLE = 2
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:

@@ -20,7 +20,7 @@ from skillweft.sources.staging import shared_path, small, staged
 #: Bytes of a cell's chunk, of all pivots together, and of the sample that they are chosen from.
 CHUNK_BYTES, PIVOT_BYTES, SAMPLE_BYTES = 8 << 20, 16 << 20, 32 << 20
 #: Cells at most, and queries of a chunk that one task takes.
-MOST_PIVOTS, LANE_ROWS = 2048, 50_000
+MOST_PIVOTS, LANE_ROWS = 2048, 16_384
 #: Bounds and scores that differ by rounding.
 SLACK, REACH_SLACK = 1e-9, 1e-7
 
@@ -104,23 +104,43 @@ def celled(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return rows.where("u is not null").mapInArrow(run, f"{kinds}, cell int, r double")
 
 
+def _places(pivots: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each cell, and the rows of each place: near cells together, ``most`` rows in one unless a single cell has more."""
+    order = np.argsort((pivots @ pivots[0]) if len(pivots) else n, kind="stable")
+    place, held = np.zeros(len(n), np.int64), [0]
+    for c in order.tolist():
+        if held[-1] and n[c] and held[-1] + n[c] > most:
+            held.append(0)
+        place[c] = len(held) - 1
+        held[-1] += int(n[c])
+    return place, np.array(held)
+
+
 class Cells:
-    """A base table dealt to cells, and what bounds need of each: rows, nearest and farthest distance from the pivot."""
+    """A base table dealt to cells, and what bounds need of each: rows, nearest and farthest distance from the pivot.
+
+    Cells that are filled together up to ``CHUNK_BYTES`` are one place, to which a query is sent once however many of them it has to see. So copies of
+    a query are as many as places at most, not as cells.
+    """
 
     def __init__(self, base: DataFrame, work: str) -> None:
         self.pivots = pivots_of(base)
-        self.rows = staged(celled(base, self.pivots), f"{work}/cells")
-        found = self.rows.groupBy("size", "cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # a row a cell
+        rows = staged(celled(base, self.pivots), f"{work}/cells")
+        found = rows.groupBy("size", "cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # a row a cell
         self.known = {s: {k: np.zeros(len(p)) for k in ("n", "low", "high")} for s, p in self.pivots.items()}
         for f in found:
             for k in ("n", "low", "high"):
                 self.known[f["size"]][k][f["cell"]] = f[k]
+        for size, k in self.known.items():
+            k["place"], k["held"] = _places(self.pivots[size], k["n"], max(1, CHUNK_BYTES // (8 * size)))
+        places = [(s, c, int(k["place"][c])) for s, k in self.known.items() for c in np.flatnonzero(k["n"]).tolist()]
+        self.rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(places, "size int, cell int, place int")), ["size", "cell"])  # a row a cell
 
     def visits(self, queries: DataFrame, reach: float, bounded: bool, home: bool) -> DataFrame:
         """``queries`` with the ``cells`` that they have to see.
 
         With ``home`` that is the nearest cell with rows. Else it is every cell that may hold a row within ``reach``, or with ``bounded`` within the
-        query's own ``reach``, less the nearest one, which was seen before.
+        query's own ``reach``, less those of the nearest one's place, which was seen before.
         """
         shared = queries.sparkSession.sparkContext.broadcast((self.pivots, self.known))
 
@@ -144,7 +164,10 @@ class Cells:
                             apart = _distances(p[near], p)
                             plane = np.divide(d * d - (own * own)[:, None], 2 * apart, out=np.zeros_like(d), where=apart > 1e-6)
                             seen = (np.maximum(least, plane) <= limit[:, None] + REACH_SLACK) & (k["n"] > 0)
-                            seen[np.arange(len(y)), near] = not bounded
+                            if bounded:
+                                seen &= k["place"][None, :] != k["place"][near][:, None]
+                            else:
+                                seen[np.arange(len(y)), near] = True
                             lists = [np.flatnonzero(s).tolist() for s in seen]
                         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists, type=pa.list_(pa.int32()))], names=[*rows.schema.names, "cells"])
 
@@ -152,22 +175,23 @@ class Cells:
         return queries.where("u is not null").mapInArrow(run, f"{kinds}, cells array<int>").where(F.size("cells") > 0)
 
     def compared(self, visits: DataFrame, fn: Callable[[pa.Table, np.ndarray, pa.Table, np.ndarray], pa.RecordBatch | None], schema: str, base: DataFrame | None = None) -> DataFrame:
-        """Runs ``fn(queries, their vectors, chunk, its vectors)`` wherever a query visits a cell.
+        """Runs ``fn(queries, their vectors, chunk, its vectors)`` wherever a query visits a place.
 
-        A cell of many rows is cut into chunks of ``CHUNK_BYTES``, and one with many visitors stands in as many lanes as they need, so a common vector
-        makes more tasks and no large one. ``base``: the cells' rows with further columns.
+        A place of many rows is cut into chunks of ``CHUNK_BYTES``, and one with many visitors stands in as many lanes as they need, so a common vector
+        makes more tasks and no large one. ``base``: the cells' rows with further columns, or some of them.
         """
         base = self.rows if base is None else base
         known, spark = self.known, visits.sparkSession
-        each = visits.withColumn("cell", F.explode("cells")).drop("cells")
-        came = visits.select("size", F.explode("cells").alias("cell")).groupBy("size", "cell").count().collect()  # a row a cell
-        plan = [(r["size"], r["cell"], max(1, math.ceil(known[r["size"]]["n"][r["cell"]] * 8 * r["size"] / CHUNK_BYTES)), max(1, math.ceil(r["count"] / LANE_ROWS))) for r in came]
-        plan = F.broadcast(spark.createDataFrame(plan, "size int, cell int, chunks int, lanes int"))  # a row a cell
+        of = F.broadcast(spark.createDataFrame([(s, k["place"].tolist()) for s, k in known.items()], "size int, of array<int>"))  # a row a vector length
+        each = visits.join(of, "size").withColumn("place", F.explode(F.array_distinct(F.transform("cells", lambda c: F.get("of", c))))).drop("cells", "of")
+        came = each.groupBy("size", "place").count().collect()  # a row a place
+        plan = [(r["size"], r["place"], max(1, math.ceil(int(known[r["size"]]["held"][r["place"]]) * 8 * r["size"] / CHUNK_BYTES)), max(1, math.ceil(r["count"] / LANE_ROWS))) for r in came]
+        plan = F.broadcast(spark.createDataFrame(plan, "size int, place int, chunks int, lanes int"))  # a row a place
         part = lambda salt, of: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of).cast("long")).cast("int")
         every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-        left = each.join(plan, ["size", "cell"]).withColumn("lane", part("lane", "lanes")).withColumn("chunk", every("chunks")).withColumn("side", F.lit(1))
-        right = base.join(plan, ["size", "cell"]).withColumn("chunk", part("chunk", "chunks")).withColumn("lane", every("lanes")).withColumn("side", F.lit(0))
-        keys = ["size", "cell", "chunk", "lane"]
+        left = each.join(plan, ["size", "place"]).withColumn("lane", part("lane", "lanes")).withColumn("chunk", every("chunks")).withColumn("side", F.lit(1))
+        right = base.join(plan, ["size", "place"]).withColumn("chunk", part("chunk", "chunks")).withColumn("lane", every("lanes")).withColumn("side", F.lit(0))
+        keys = ["size", "place", "chunk", "lane"]
         both = left.unionByName(right, allowMissingColumns=True).drop("chunks", "lanes")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,28 @@ def stratified_sample(rows: DataFrame, strata: list[str], order: list[str], quot
     return held.orderBy(first, *order).limit(total).drop("_k")
 
 
+#: Places of the ring that are looked through together.
+STRETCH = 4096
+
+
+def _next_on_ring(ring: DataFrame, n: int, width: int, enough: int, most: int) -> DataFrame:
+    """``id, at, found``: of each row of a ring of ``n`` the first ``enough`` of the ``width`` rows after it that share ``most`` skills with it at most, as ``id, s``.
+
+    A stretch of the ring is dealt with the ``width`` places after it, so a row is sent about once, not once for each row before it.
+    """
+    m = max(1, n // max(STRETCH, width))  # stretches are wider than what is looked at, so a row is seen from its own and one more
+    before = (F.col("at") - width + n) % n  # the first row that sees this one
+    of = lambda at: F.floor(at * m / n)
+    home = F.struct(of(F.col("at")).alias("stretch"), F.col("at").alias("place"), F.lit(True).alias("home"))
+    guest = F.struct(of(before).alias("stretch"), (before + width).alias("place"), F.lit(False).alias("home"))
+    seen_before = (of(before) != of(F.col("at"))) | (before > F.col("at"))
+    dealt = ring.select("id", "s", "at", F.inline(F.when(seen_before, F.array(home, guest)).otherwise(F.array(home))))
+    after = Window.partitionBy("stretch").orderBy("place").rowsBetween(1, width)
+    held = dealt.withColumn("next", F.collect_list(F.struct("id", "s")).over(after)).where("home")
+    strange = F.filter("next", lambda x: F.size(F.array_intersect("s", x["s"])) <= most)
+    return held.select("id", "at", F.slice(strange, 1, enough).alias("found"))
+
+
 def golden_pairs(positions: DataFrame, key: str, skills: str, keep: float = 0.6, other_keep: float = 0.7, most: int = 1, negatives: int = 2, draws: int = 1024) -> DataFrame:
     """For each position a candidate with a ``keep`` of its skills (``label`` 1), and ``negatives`` with an ``other_keep`` of another position's that
     shares ``most`` skills with it at most (0): ``position, other, label, candidate_skills``, the skills sorted.
@@ -145,8 +167,9 @@ def golden_pairs(positions: DataFrame, key: str, skills: str, keep: float = 0.6,
     the positions. Each round looks at eight times as many for those that lack some. Positions without skills have no pairs; keys are distinct.
     """
     rows = positions.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_distinct(F.coalesce(skills, F.array().cast("array<string>"))).alias("s")).where(F.size("s") > 0)
-    ring = numbered(rows.withColumn("_m", F.struct(F.md5(F.col("id").cast("string")).alias("h"), "id")), "_m", "at").select("id", "s", (F.col("at") - 1).alias("at"))
     work = shared_path(positions.sparkSession, "pairs")
+    rows = staged(rows, f"{work}/rows")  # ranges are drawn from it before it is dealt
+    ring = numbered(rows.withColumn("_m", F.struct(F.md5(F.col("id").cast("string")).alias("h"), "id")), "_m", "at").select("id", "s", (F.col("at") - 1).alias("at"))
     ring = staged(ring, f"{work}/ring")
     n = ring.count()
 
@@ -156,19 +179,26 @@ def golden_pairs(positions: DataFrame, key: str, skills: str, keep: float = 0.6,
 
     none = F.lit(None).cast(ring.schema["id"].dataType)
     out = ring.select(F.col("id").alias("position"), none.alias("other"), F.lit(1).alias("label"), subset(F.col("id"), F.col("s"), keep).alias("candidate_skills"))
+    def paired(got: DataFrame) -> DataFrame:
+        return got.select(F.col("id").alias("position"), "other", F.lit(0).alias("label"), subset(F.col("other"), F.col("o"), other_keep).alias("candidate_skills"))
+
+    first = min(16, draws, n - 1)
+    if first < 1:
+        return out
+    seen = staged(_next_on_ring(ring, n, first, negatives, most), f"{work}/first")
+    out = out.unionByName(paired(seen.select("id", F.explode("found").alias("f")).select("id", F.col("f.id").alias("other"), F.col("f.s").alias("o"))))
+    lacking = seen.where(F.size("found") < negatives).select("id", "at", (F.lit(negatives) - F.size("found")).alias("lacks"))
+    open_, looked, width = staged(lacking.join(ring.select("id", "s"), "id"), f"{work}/open"), first, first * 8
     others = ring.select(F.col("id").alias("other"), F.col("s").alias("o"), F.col("at").alias("to"))
-    open_, seen, width = ring.withColumn("lacks", F.lit(negatives)), 0, 16
-    while seen < min(draws, n - 1):
+    while looked < min(draws, n - 1) and not open_.isEmpty():
         upto = min(width, draws, n - 1)
-        asked = open_.withColumn("d", F.explode(F.sequence(F.lit(seen + 1), F.lit(upto)))).withColumn("to", (F.col("at") + F.col("d")) % n)
+        asked = open_.withColumn("d", F.explode(F.sequence(F.lit(looked + 1), F.lit(upto)))).withColumn("to", (F.col("at") + F.col("d")) % n)
         strange = asked.join(others, "to").where(F.size(F.array_intersect("s", "o")) <= most)
         nth = Window.partitionBy("id").orderBy("d")  # the rows of one round
         got = staged(strange.withColumn("k", F.row_number().over(nth)).where(F.col("k") <= F.col("lacks")).select("id", "other", "o"), f"{work}/{upto}")
-        out = out.unionByName(got.select(F.col("id").alias("position"), "other", F.lit(0).alias("label"), subset(F.col("other"), F.col("o"), other_keep).alias("candidate_skills")))
+        out = out.unionByName(paired(got))
         left = open_.join(got.groupBy("id").agg(F.count("*").alias("g")), "id", "left").withColumn("lacks", F.col("lacks") - F.coalesce("g", F.lit(0))).drop("g").where("lacks > 0")
-        open_, seen, width = staged(left, f"{work}/open{upto}"), upto, width * 8
-        if open_.isEmpty():
-            break
+        open_, looked, width = staged(left, f"{work}/open{upto}"), upto, width * 8
     return out
 
 

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from skillweft.operators import clusters, nearest
+from skillweft.operators import clusters, evaluation, nearest
 from skillweft.sources.staging import shared_path, staged
 
 
@@ -31,3 +31,15 @@ def test_a_query_is_sent_once_to_each_place(spark):
 
     out = cells.compared(cells.visits(units, 2.0, False, False), count, "id long")
     assert out.count() == 900 and len(cells.pivots[8]) > 20
+
+
+def test_a_row_of_the_ring_is_sent_about_once(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "STRETCH", 40)
+    for n in (2, 17, 130):
+        rows = {i: {f"s{i % 5}", f"s{i % 7}", "x" if i % 3 else "y"} for i in range(n)}
+        ring = spark.createDataFrame([(i, sorted(s), i) for i, s in rows.items()], "id long, s array<string>, at long")
+        width = min(16, n - 1)
+        found = evaluation._next_on_ring(ring, n, width, 3, 0)
+        got = {r.id: [f.id for f in r.found] for r in found.collect()}
+        assert got == {i: [j for d in range(1, width + 1) if not rows[i] & rows[j := (i + d) % n]][:3] for i in range(n)}
+        assert "Join" not in found._jdf.queryExecution().toString()

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +16,14 @@ from skillweft.functions import scores as S
 from skillweft.functions import text as X
 from skillweft.operators import substring
 from skillweft.operators.nearest import nearest
+from skillweft.sources.staging import shared_path, staged
 
 
 #: Token hashes that a worker remembers, and bits that are added up at once.
 KNOWN_TOKENS, TOKENS_AT_ONCE = 200_000, 1 << 16
 
 
-def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, bytes] = {}
     find = re.compile(X.TOKEN).findall
 
@@ -40,8 +41,8 @@ def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             votes += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), 8), axis=1).sum(0, dtype=np.int64)
         return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 
-    for s in texts:
-        yield pd.Series([print_of(t) for t in s], dtype="int64")
+    for b in batches:  # a batch's texts stay in Arrow, one is a Python text at a time
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((print_of(t.as_py()) for t in b.column(1)), pa.int64())], names=[b.schema.names[0], "simhash"])
 
 
 def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,7 +51,8 @@ def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
     A row's tokens vote inside the row, so nothing is shuffled. Texts go to Python in Arrow batches: there all 64 bits are added up at once, and a token is hashed once
     and remembered.
     """
-    return docs.select(key, F.pandas_udf(_prints, "long")(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("simhash"))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(_prints, f"`{key}` {kind}, simhash long")
 
 
 def near_fingerprints(prints: DataFrame, threshold: int = 3) -> DataFrame:
@@ -68,7 +70,7 @@ def near_fingerprints(prints: DataFrame, threshold: int = 3) -> DataFrame:
     masks = [((1 << z) - 1) ^ ((1 << a) - 1) for a, z in itertools.pairwise(cuts)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     chosen = [signed(sum(masks[i] for i in c)) for c in itertools.combinations(range(n), agree)]
-    d = prints.select("simhash").distinct()
+    d = staged(prints.select("simhash").distinct(), shared_path(prints.sparkSession, "prints"))  # both sides of the join read it
     keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(chosen)])
     keyed = d.select("simhash", F.explode(keys).alias("k")).select("simhash", "k.i", "k.v")
     a, b = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
@@ -81,8 +83,9 @@ def near_documents(prints: DataFrame, key: str, threshold: int = 3) -> DataFrame
 
     Each row joins its fingerprint's smallest neighbouring key, so copies are never listed in pairs.
     """
+    prints = staged(prints, shared_path(prints.sparkSession, "documents"))  # texts are read once
     first = prints.groupBy("simhash").agg(F.min(key).alias("first"))
-    pairs = near_fingerprints(prints, threshold)
+    pairs = staged(near_fingerprints(prints, threshold), shared_path(prints.sparkSession, "pairs"))
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("simhash")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("simhash")))
     low = both.join(first, "simhash").groupBy(F.col("x").alias("simhash")).agg(F.min("first").alias("near"))
     rows = prints.join(first.join(low, "simhash", "left").select("simhash", F.least("first", "near").alias("low")), "simhash")

@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweft.functions import text as X
@@ -76,10 +76,12 @@ def resume_skills(skills: DataFrame, soft: DataFrame, key: str) -> DataFrame:
     ``skills``: ``key, seq, name, proficiency``; ``soft``: ``key, name``. Inferred soft skills have low confidence.
     """
     name = X.clean_skill(X.skill_alias(F.col("name")))
-    rows = skills.withColumn("name", name).where((F.col("name") != "") & ~F.col("name").isin(*V.SKILL_STOPWORDS))
-    w = Window.partitionBy(key, F.lower("name")).orderBy("seq")
-    own = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(key, "name", "proficiency", (~F.col("name").isin(*V.SKILL_WHITELIST)).alias("unmapped"), F.lit(False).alias("low_confidence"))
-    inferred = soft.select(key, name.alias("name")).where(F.col("name").isin(*V.SOFT_SKILLS)).distinct()
+    # equal names are one row before they are cleaned, and combined before the shuffle: a common name is neither a large group nor cleaned often
+    raw = skills.groupBy(key, "name").agg(F.min(F.struct("seq", "proficiency")).alias("r"))
+    rows = raw.select(key, name.alias("name"), "r.seq", "r.proficiency").where((F.col("name") != "") & ~F.col("name").isin(*V.SKILL_STOPWORDS))
+    first = rows.groupBy(key, F.lower("name").alias("_low")).agg(F.min(F.struct("seq", "name", "proficiency")).alias("m"))
+    own = first.select(key, "m.name", "m.proficiency").select(key, "name", "proficiency", (~F.col("name").isin(*V.SKILL_WHITELIST)).alias("unmapped"), F.lit(False).alias("low_confidence"))
+    inferred = soft.select(key, "name").distinct().select(key, name.alias("name")).where(F.col("name").isin(*V.SOFT_SKILLS)).distinct()
     named = own.select(key, F.lower("name").alias("_low"))
     more = inferred.withColumn("_low", F.lower("name")).join(named, [key, "_low"], "left_anti").select(key, "name", F.lit(2).alias("proficiency"), F.lit(False).alias("unmapped"), F.lit(True).alias("low_confidence"))
     return own.unionByName(more)

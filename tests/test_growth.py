@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from skillweft.operators import clusters, evaluation, inverted, nearest
+from skillweft.operators import clusters, evaluation, inverted, nearest, records, similarity
 from skillweft.sources.staging import shared_path, staged
 
 
@@ -54,3 +54,17 @@ def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
     rows = spark.read.parquet(f"{tmp_path}/postings")
     assert rows.where("term = 'b'").selectExpr("sum(n)", "max(most)", "min(shortest)").first()[:] == (50, 2, 4)
     assert spark.read.parquet(f"{tmp_path}/statistics").first()[:2] == (52, 200)
+
+
+def test_texts_are_hashed_once(spark):
+    docs = spark.createDataFrame([(3, "a b c d"), (1, "a b c d"), (2, None)], "id long, text string")
+    marks = similarity.near_documents(similarity.simhash(docs, "id", "text"), "id")
+    assert sorted((r.id, r.duplicate_of) for r in marks.collect()) == [(1, None), (2, None), (3, 1)]
+    assert "Arrow" not in marks._jdf.queryExecution().toString()
+
+
+def test_a_common_name_is_no_window(spark):
+    skills = spark.createDataFrame([("k", i, "python" if i % 2 else "Python", i) for i in range(9, 0, -1)], "key string, seq long, name string, proficiency int")
+    got = records.resume_skills(skills, spark.createDataFrame([], "key string, name string"), "key")
+    assert [(r.name, r.proficiency) for r in got.collect()] == [("Python", 1)]
+    assert "Window" not in got._jdf.queryExecution().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,20 @@ def jd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.to_date("o_orderdate").alias("publish_date"), "position_name", F.col("o_custkey").alias("company"), F.col("o_totalprice").alias("salary"))
 
 
+#: Lines that one task joins with their ads and counts by ad, about; tasks are as many as this takes, so that none holds more on a larger table.
+LINES_A_TASK = 1 << 18
+
+
 def jd_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skills of ads: ``id, seq, skill, necessity, level, weight, flag`` and the ad's columns."""
+    """Skills of ads: ``id, seq, skill, necessity, level, weight, flag`` and the ad's columns.
+
+    Both sides are dealt by ad to as many tasks as the lines' number needs: session-wide partitions, or small ones that AQE puts together by their
+    compressed bytes, would hold more and more lines. What counts by ad afterwards needs no other shuffle.
+    """
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq"), F.col("p_brand").alias("skill"), F.when(F.col("l_returnflag") != "N", "must").otherwise("nice").alias("necessity"), F.col("l_linestatus").alias("level"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("flag"))
-    return lines.join(jd(spark, sf_dir), "id")
+    n = max(1, math.ceil(t("lineitem").count() / LINES_A_TASK))  # the files' footers know
+    return lines.repartition(n, "id").join(jd(spark, sf_dir).repartition(n, "id"), "id")
 
 
 def snapshots(spark: SparkSession, sf_dir: str, end: str = "2001-07-01") -> DataFrame:

@@ -4,7 +4,10 @@ import math
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from skillweft.operators import clusters, evaluation, inverted, nearest, records, similarity
+from skillweft.plans import views
 from skillweft.sources.staging import shared_path, staged
 
 
@@ -68,3 +71,12 @@ def test_a_common_name_is_no_window(spark):
     got = records.resume_skills(skills, spark.createDataFrame([], "key string, name string"), "key")
     assert [(r.name, r.proficiency) for r in got.collect()] == [("Python", 1)]
     assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_tasks_are_as_many_as_the_lines_need(spark, sf, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    one, lines = rows(views.requires(spark, sf)), spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(views, "LINES_A_TASK", 500)
+    held = [r.n for r in views.jd_skill(spark, sf).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(held) > lines / 1000 and max(held) < 1000 and sum(held) == lines
+    assert rows(views.requires(spark, sf)) == one

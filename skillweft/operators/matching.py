@@ -43,14 +43,31 @@ def cii_corrected(positions: DataFrame, most: int = 7, share: float = 0.2) -> Da
 
 #: Positions, and bytes of their skills' names, that are sent to all tasks at once; with more, candidates and positions meet by their skills.
 FEW_POSITIONS, FEW_BYTES = 5_000, 8 << 20
+#: Different skills of all positions together that are numbered, with a bit in a word of each candidate and an entry of its map.
+FEW_SKILLS = 256
+
+
+def _few_skills(positions: DataFrame) -> int | None:
+    """How many skills the positions have, if both are counted to be few, so that skills can be numbered and all positions sent to every task."""
+    n = positions.select("skill").where("skill is not null").distinct().limit(FEW_SKILLS + 1).count()
+    count, size = positions.agg(F.countDistinct("position_name"), F.coalesce(F.sum(F.octet_length("skill") + 24), F.lit(0))).first()
+    return n if n <= FEW_SKILLS and count <= FEW_POSITIONS and size <= FEW_BYTES else None
+
+
+def _numbered(positions: DataFrame) -> DataFrame:
+    """``at, skill``: the few skills of all positions, numbered by name."""
+    return F.broadcast(positions.agg(F.array_sort(F.collect_set("skill")).alias("s")).select(F.posexplode("s").alias("at", "skill")))
 
 
 def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> DataFrame:
     """For each candidate the ``k`` positions with the most common skills; ties by name.
 
     Positions are aggregates. If they are counted to be few, all of them are one broadcast row, and a candidate's best are found
-    in its own row: no pairs are shuffled or ranked, and no skill is a key. The result is the same either way.
+    in its own row: no pairs are shuffled or ranked, and no skill is a key. Few skills are bits, and common ones are counted by words of them. The
+    result is the same either way.
     """
+    if (n := _few_skills(positions)) is not None:
+        return _by_bits(candidates, positions, k, n)
     want = positions.groupBy("position_name").agg(F.collect_set("skill").alias("want"))
     count, size = want.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("want", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 8)), F.lit(0))).first()
     if count <= FEW_POSITIONS and size <= FEW_BYTES:
@@ -64,6 +81,61 @@ def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> D
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "position_name", "hits")
 
 
+def _by_bits(candidates: DataFrame, positions: DataFrame, k: int, skills: int) -> DataFrame:
+    """``rough_select`` for few skills. A position is one number: its place by name, less its hits times the number of positions, so that a sort of numbers ranks them."""
+    at, words = _numbered(positions), range(skills // 64 + 1)
+    bits = [F.coalesce(F.bit_or(F.when(F.shiftright("at", 6) == w, F.expr("shiftleft(1L, at % 64)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
+    want = positions.join(at, "skill").groupBy("position_name").agg(*bits)
+    every = want.agg(F.array_sort(F.collect_list(F.struct("position_name", *[f"w{w}" for w in words]))).alias("every"))
+    rows = candidates.join(at, "skill").groupBy("candidate").agg(*bits).join(F.broadcast(every), how="cross")
+    common = lambda p: sum((F.bit_count(F.col(f"w{w}").bitwiseAND(p[f"w{w}"])) for w in words[1:]), F.bit_count(F.col("w0").bitwiseAND(p["w0"])))
+    ranked = F.sort_array(F.filter(F.transform("every", lambda p, i: i - common(p) * F.size("every")), lambda x: x < 0))
+    name = lambda x: F.get("every", F.pmod(x, F.size("every")))["position_name"].alias("position_name")
+    hits = lambda x: F.ceil(-x / F.size("every")).cast("long").alias("hits")
+    best = F.transform(F.slice(ranked, 1, k), lambda x: F.struct(name(x), hits(x)))
+    return rows.select("candidate", F.explode(best).alias("b")).select("candidate", "b.position_name", "b.hits")
+
+
+def _in_rows(owned: DataFrame, positions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Sums and lists of chosen pairs, each in its own row: a candidate's similarities are one map by skills' numbers, positions' lists are sent to all tasks.
+
+    Only candidates' skills are shuffled, once and by candidate; pairs and their skills never are.
+    """
+    at, must, nice = _numbered(positions), F.col("necessity") == "must", F.col("necessity") == "nice"
+    want = positions.join(at, "skill", "left").groupBy("position_name").agg(
+        F.count_if(must).alias("musts"),
+        F.array_sort(F.collect_list(F.when(must, F.struct("skill", "at")))).alias("must"),
+        F.array_sort(F.collect_list(F.when(nice, F.struct("at", "weight")))).alias("nice"),
+        F.sum(F.when(nice, F.col("weight"))).alias("nice_weight"),
+    )
+    have = owned.join(at, "skill").groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("at", "sim"))).alias("sims"))
+    rows = chosen.select("candidate", "position_name").distinct().join(have, "candidate", "left").join(F.broadcast(want), "position_name")  # lists come after what is sorted
+    sim = lambda s: F.coalesce(F.col("sims")[s["at"]], F.lit(0.0))
+    total = lambda a, x: F.aggregate(a, F.lit(0.0), lambda n, s: n + F.coalesce(x(s), F.lit(0.0)))
+    listed = lambda of: F.transform(F.filter("must", lambda s: s["at"].isNotNull() & of(sim(s))), lambda s: s["skill"])
+    return rows.select(
+        "candidate", "position_name", "musts",
+        F.coalesce(F.try_divide(total("must", sim), F.col("musts")), F.lit(1.0)).alias("must_score"),
+        F.coalesce(F.try_divide(total("nice", lambda s: sim(s) * s["weight"]), F.col("nice_weight")), F.lit(1.0)).alias("nice_score"),
+        listed(lambda x: x > 0).alias("matched_must"),
+        listed(lambda x: x == 0).alias("missing_must"),
+    )
+
+
+def _by_joins(owned: DataFrame, positions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The same by a row for each skill of a chosen pair, for any number of positions and skills."""
+    wanted = chosen.select("candidate", "position_name").distinct().join(positions, "position_name")
+    rows = wanted.join(owned, ["candidate", "skill"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    must, nice = F.col("necessity") == "must", F.col("necessity") == "nice"
+    return rows.groupBy("candidate", "position_name").agg(
+        F.count_if(must).alias("musts"),
+        F.coalesce(F.try_divide(F.sum(F.when(must, F.col("sim"))), F.count_if(must)), F.lit(1.0)).alias("must_score"),
+        F.coalesce(F.try_divide(F.sum(F.when(nice, F.col("sim") * F.col("weight"))), F.sum(F.when(nice, F.col("weight")))), F.lit(1.0)).alias("nice_score"),
+        F.array_sort(F.collect_list(F.when(must & (F.col("sim") > 0), F.col("skill")))).alias("matched_must"),
+        F.array_sort(F.collect_list(F.when(must & (F.col("sim") == 0), F.col("skill")))).alias("missing_must"),
+    )
+
+
 def scores(candidates: DataFrame, years: DataFrame, positions: DataFrame, meta: DataFrame, chosen: DataFrame, weights: dict[str, float] | None = None, near: DataFrame | None = None) -> DataFrame:
     """Must, nice and experience scores and their total for chosen pairs ``candidate, position_name``.
 
@@ -75,18 +147,10 @@ def scores(candidates: DataFrame, years: DataFrame, positions: DataFrame, meta:
     if near is not None:
         soft = owned.join(near.select(F.col("other").alias("skill"), F.col("skill").alias("want"), F.col("sim").alias("_s")), "skill").groupBy("candidate", F.col("want").alias("skill")).agg(F.max(F.col("_s") * F.col("sim")).alias("soft"))
         owned = owned.join(soft, ["candidate", "skill"], "full").select("candidate", "skill", F.coalesce("sim", "soft").alias("sim"))
-    wanted = chosen.select("candidate", "position_name").join(positions, "position_name")
-    rows = wanted.join(owned, ["candidate", "skill"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    must, nice = F.col("necessity") == "must", F.col("necessity") == "nice"
-    agg = rows.groupBy("candidate", "position_name").agg(
-        F.coalesce(F.try_divide(F.sum(F.when(must, F.col("sim"))), F.count_if(must)), F.lit(1.0)).alias("must_score"),
-        F.coalesce(F.try_divide(F.sum(F.when(nice, F.col("sim") * F.col("weight"))), F.sum(F.when(nice, F.col("weight")))), F.lit(1.0)).alias("nice_score"),
-        F.array_sort(F.collect_list(F.when(must & (F.col("sim") > 0), F.col("skill")))).alias("matched_must"),
-        F.array_sort(F.collect_list(F.when(must & (F.col("sim") == 0), F.col("skill")))).alias("missing_must"),
-    )
+    agg = _by_joins(owned, positions, chosen) if _few_skills(positions) is None else _in_rows(owned, positions, chosen)
     rows = agg.join(years, "candidate", "left").join(meta, "position_name", "left")
     exp = F.when(F.coalesce("required_years", F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.coalesce("total_years", F.lit(0.0)) / F.col("required_years"), F.lit(1.0)))
-    rows = rows.withColumn("exp_score", exp).withColumn("unqualified", (F.size("matched_must") + F.size("missing_must") > 0) & (F.col("must_score") == 0))
+    rows = rows.withColumn("exp_score", exp).withColumn("unqualified", (F.col("musts") > 0) & (F.col("must_score") == 0)).drop("musts")
     total = F.when(F.col("unqualified"), 0.0).otherwise((F.col("must_score") * w["must"] + F.col("nice_score") * w["nice"] + F.col("exp_score") * w["exp"]) * F.coalesce("staleness", F.lit(1.0)))
     return rows.withColumn("total_score", total).drop("total_years", "required_years", "staleness")
 

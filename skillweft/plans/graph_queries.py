@@ -218,7 +218,8 @@ def cii(spark: SparkSession, sf: str) -> DataFrame:
 def _matching(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates, positions and ads; the first two are aggregates, written once for all that is made of them."""
     work = shared_path(spark, "matching")
-    skills, ads = staged(jd_skill(spark, sf), f"{work}/skills"), staged(jd(spark, sf), f"{work}/ads")
+    skills = staged(jd_skill(spark, sf).select("id", "seq", "company", "position_name", "source", "skill", "necessity", "level", "weight"), f"{work}/skills")
+    ads = staged(jd(spark, sf).select("id", "company", "position_name", "publish_date"), f"{work}/ads")
     return staged(_candidates_of(skills), f"{work}/candidates"), staged(_positions_of(skills, ads), f"{work}/positions"), ads
 
 

@@ -1,12 +1,13 @@
 """What is sent, compared or held grows no faster than the input."""
 
 import math
+import re
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from skillweft.operators import clusters, evaluation, inverted, nearest, records, similarity
+from skillweft.operators import clusters, evaluation, inverted, matching, nearest, records, similarity
 from skillweft.plans import views
 from skillweft.sources.staging import shared_path, staged
 
@@ -80,3 +81,28 @@ def test_tasks_are_as_many_as_the_lines_need(spark, sf, monkeypatch):
     held = [r.n for r in views.jd_skill(spark, sf).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(held) > lines / 1000 and max(held) < 1000 and sum(held) == lines
     assert rows(views.requires(spark, sf)) == one
+
+
+def test_pairs_are_scored_in_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    name = lambda i: f"s{i}" if i else None
+    c = [(int(a), name(i), 2, bool(rng.integers(2))) for a in range(30) for i in rng.integers(0, 90, 12)] + [(90, "elsewhere", 1, False), (91, None, 1, False)]
+    p = [(f"p{a}", name(i), ("must", "nice", None)[rng.integers(3)], None if i % 7 == 0 else float(i % 5), None, 1) for a in range(12) for i in rng.integers(0, 80, 15)]
+    p += [("only null", None, "must", 1.0, None, 1), ("weightless", "s3", "nice", 0.0, None, 1), ("twice", "s5", "must", 1.0, None, 1), ("twice", "s5", "must", 2.0, None, 2), (None, "s5", "must", 1.0, None, 1)]
+    c = spark.createDataFrame(c, "candidate int, skill string, proficiency int, low_confidence boolean")
+    p = spark.createDataFrame(p, "position_name string, skill string, necessity string, weight double, proficiency string, source_count int")
+    years, meta = spark.createDataFrame([(1, 2.0)], "candidate int, total_years double"), spark.createDataFrame([("p1", 4.0, 0.9)], "position_name string, required_years double, staleness double")
+    near = spark.createDataFrame([("s1", "s2", 0.75), ("s4", "elsewhere", 0.5)], "skill string, other string, sim double")
+    chosen = c.select("candidate").distinct().crossJoin(p.select("position_name").distinct())
+    chosen = chosen.unionByName(chosen.limit(3))
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    rows = lambda df: sorted((tuple(map(plain, r)) for r in df.select(*sorted(df.columns)).collect()), key=str)
+    few, of = matching.scores(c, years, p, meta, chosen, near=near), matching.rough_select(c, p, 4)
+    plan = few._jdf.queryExecution().toString()
+    got, best = rows(few), rows(of)
+    monkeypatch.setattr(matching, "FEW_SKILLS", 0)
+    assert rows(matching.rough_select(c, p, 4)) == best
+    many = matching.scores(c, years, p, meta, chosen, near=near)
+    assert rows(many) == got and len(got) == 32 * 15
+    by_skill = re.compile(r"\[candidate#\d+, skill#\d+\], LeftOuter")
+    assert by_skill.search(many._jdf.queryExecution().toString()) and not by_skill.search(plan)

@@ -6,6 +6,8 @@ proficiency, low_confidence``. Skills are canonical names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ def cii_corrected(positions: DataFrame, most: int = 7, share: float = 0.2) -> Da
 FEW_POSITIONS, FEW_BYTES = 5_000, 8 << 20
 #: Different skills of all positions together that are numbered, with a bit in a word of each candidate and an entry of its map.
 FEW_SKILLS = 256
+#: Rows of candidates' skills that one task ranks and scores, about; tasks are as many as this takes, so that none holds more of a larger table.
+SKILLS_A_TASK = 1 << 18
 
 
 def _few_skills(positions: DataFrame) -> int | None:
@@ -54,6 +58,10 @@ def _few_skills(positions: DataFrame) -> int | None:
     return n if n <= FEW_SKILLS and count <= FEW_POSITIONS and size <= FEW_BYTES else None
 
 
+def _tasks(candidates: DataFrame) -> int:
+    return max(1, math.ceil(candidates.count() / SKILLS_A_TASK))
+
+
 def _numbered(positions: DataFrame) -> DataFrame:
     """``at, skill``: the few skills of all positions, numbered by name."""
     return F.broadcast(positions.agg(F.array_sort(F.collect_set("skill")).alias("s")).select(F.posexplode("s").alias("at", "skill")))
@@ -87,7 +95,7 @@ def _by_bits(candidates: DataFrame, positions: DataFrame, k: int, skills: int) -
     bits = [F.coalesce(F.bit_or(F.when(F.shiftright("at", 6) == w, F.expr("shiftleft(1L, at % 64)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
     want = positions.join(at, "skill").groupBy("position_name").agg(*bits)
     every = want.agg(F.array_sort(F.collect_list(F.struct("position_name", *[f"w{w}" for w in words]))).alias("every"))
-    rows = candidates.join(at, "skill").groupBy("candidate").agg(*bits).join(F.broadcast(every), how="cross")
+    rows = candidates.join(at, "skill").groupBy("candidate").agg(*bits).repartition(_tasks(candidates), "candidate").join(F.broadcast(every), how="cross")
     common = lambda p: sum((F.bit_count(F.col(f"w{w}").bitwiseAND(p[f"w{w}"])) for w in words[1:]), F.bit_count(F.col("w0").bitwiseAND(p["w0"])))
     ranked = F.sort_array(F.filter(F.transform("every", lambda p, i: i - common(p) * F.size("every")), lambda x: x < 0))
     name = lambda x: F.get("every", F.pmod(x, F.size("every")))["position_name"].alias("position_name")
@@ -143,11 +151,13 @@ def scores(candidates: DataFrame, years: DataFrame, positions: DataFrame, meta:
     similar skills, used where a candidate lacks the skill itself. A pair without any must skill matched is unqualified, total 0.
     """
     w = weights or V.MATCH_WEIGHTS
+    few = _few_skills(positions) is not None
+    candidates = candidates.repartition(_tasks(candidates), "candidate") if few else candidates
     owned = candidates.groupBy("candidate", "skill").agg(F.max(F.when(F.col("low_confidence"), 0.5).otherwise(1.0)).alias("sim"))
     if near is not None:
         soft = owned.join(near.select(F.col("other").alias("skill"), F.col("skill").alias("want"), F.col("sim").alias("_s")), "skill").groupBy("candidate", F.col("want").alias("skill")).agg(F.max(F.col("_s") * F.col("sim")).alias("soft"))
         owned = owned.join(soft, ["candidate", "skill"], "full").select("candidate", "skill", F.coalesce("sim", "soft").alias("sim"))
-    agg = _by_joins(owned, positions, chosen) if _few_skills(positions) is None else _in_rows(owned, positions, chosen)
+    agg = _in_rows(owned, positions, chosen) if few else _by_joins(owned, positions, chosen)
     rows = agg.join(years, "candidate", "left").join(meta, "position_name", "left")
     exp = F.when(F.coalesce("required_years", F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.coalesce("total_years", F.lit(0.0)) / F.col("required_years"), F.lit(1.0)))
     rows = rows.withColumn("exp_score", exp).withColumn("unqualified", (F.col("musts") > 0) & (F.col("must_score") == 0)).drop("musts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skillweft.functions import scores as S
 from skillweft.operators import clusters, communities, evaluation, graph, inverted, matching, quality, retrieval, similarity
 from skillweft.operators.nearest import nearest
-from skillweft.plans.views import CHINESE, chinese, jd, jd_skill, requires, snapshots, table
+from skillweft.plans.views import CHINESE, chinese, dealt, jd, jd_skill, requires, snapshots, table
 from skillweft.sources.staging import shared_path, staged
 
 AS_OF = "2001-08-01"
@@ -220,7 +220,8 @@ def _matching(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     work = shared_path(spark, "matching")
     skills = staged(jd_skill(spark, sf).select("id", "seq", "company", "position_name", "source", "skill", "necessity", "level", "weight"), f"{work}/skills")
     ads = staged(jd(spark, sf).select("id", "company", "position_name", "publish_date"), f"{work}/ads")
-    return staged(_candidates_of(skills), f"{work}/candidates"), staged(_positions_of(skills, ads), f"{work}/positions"), ads
+    n = skills.count()
+    return staged(_candidates_of(dealt(skills, n, "company", "skill")), f"{work}/candidates"), staged(_positions_of(dealt(skills, n, "id"), ads), f"{work}/positions"), ads
 
 
 def rough_select(spark: SparkSession, sf: str) -> DataFrame:

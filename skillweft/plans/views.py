@@ -26,6 +26,11 @@ def jd(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_A_TASK = 1 << 18
 
 
+def dealt(rows: DataFrame, lines: int, *keys: str) -> DataFrame:
+    """Rows by their keys in as many tasks as ``lines`` need."""
+    return rows.repartition(max(1, math.ceil(lines / LINES_A_TASK)), *keys)
+
+
 def jd_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills of ads: ``id, seq, skill, necessity, level, weight, flag`` and the ad's columns.
 
@@ -34,8 +39,8 @@ def jd_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq"), F.col("p_brand").alias("skill"), F.when(F.col("l_returnflag") != "N", "must").otherwise("nice").alias("necessity"), F.col("l_linestatus").alias("level"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("flag"))
-    n = max(1, math.ceil(t("lineitem").count() / LINES_A_TASK))  # the files' footers know
-    return lines.repartition(n, "id").join(jd(spark, sf_dir).repartition(n, "id"), "id")
+    n = t("lineitem").count()  # the files' footers know
+    return dealt(lines, n, "id").join(dealt(jd(spark, sf_dir), n, "id"), "id")
 
 
 def snapshots(spark: SparkSession, sf_dir: str, end: str = "2001-07-01") -> DataFrame:

@@ -6,9 +6,10 @@ proficiency, low_confidence``. Skills are canonical names.
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweft.functions import scores as S
@@ -45,9 +46,11 @@ def cii_corrected(positions: DataFrame, most: int = 7, share: float = 0.2) -> Da
 
 #: Positions, and bytes of their skills' names, that are sent to all tasks at once; with more, candidates and positions meet by their skills.
 FEW_POSITIONS, FEW_BYTES = 5_000, 8 << 20
-#: Different skills of all positions together that are numbered, with a bit in a word of each candidate and an entry of its map.
+#: Different skills of all positions together that are numbered, with a bit in a word of each candidate and an entry of its array.
 FEW_SKILLS = 256
-#: Rows of candidates' skills that one task ranks and scores, about; tasks are as many as this takes, so that none holds more of a larger table.
+#: Must and nice skills of a position together up to which sums over them are compiled; more wouldn't fit what the JVM compiles of one method.
+FEW_TERMS = 28
+#: Rows of candidates' skills, or of their pairs with positions, that one task ranks and scores, about; tasks are as many as this takes, so that none holds more of a larger table.
 SKILLS_A_TASK = 1 << 18
 
 
@@ -58,8 +61,11 @@ def _few_skills(positions: DataFrame) -> int | None:
     return n if n <= FEW_SKILLS and count <= FEW_POSITIONS and size <= FEW_BYTES else None
 
 
-def _tasks(candidates: DataFrame) -> int:
-    return max(1, math.ceil(candidates.count() / SKILLS_A_TASK))
+def _tasks(candidates: DataFrame, positions: DataFrame | None = None) -> int:
+    """For candidates' skills; with ``positions`` for all pairs, too, which are estimated."""
+    rows, n = candidates.agg(F.count("*"), F.approx_count_distinct("candidate")).first()
+    pairs = n * positions.agg(F.countDistinct("position_name")).first()[0] if positions is not None else 0
+    return max(1, math.ceil(max(rows, pairs) / SKILLS_A_TASK))
 
 
 def _numbered(positions: DataFrame) -> DataFrame:
@@ -67,6 +73,17 @@ def _numbered(positions: DataFrame) -> DataFrame:
     return F.broadcast(positions.agg(F.array_sort(F.collect_set("skill")).alias("s")).select(F.posexplode("s").alias("at", "skill")))
 
 
+def _bits(words: range, own: Column | None = None) -> list[Column]:
+    """Numbers ``at`` of a group, those that are its ``own`` only, as bits of words ``w0, w1 ...``."""
+    of = lambda w: F.shiftright("at", 6) == w if own is None else own & (F.shiftright("at", 6) == w)
+    return [F.coalesce(F.bit_or(F.when(of(w), F.expr("shiftleft(1L, at % 64)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
+
+
+def _hits(candidates: DataFrame, positions: DataFrame) -> DataFrame:
+    """All pairs with a common skill, and how many they have."""
+    return candidates.select("candidate", "skill").distinct().join(positions.select("position_name", "skill").distinct(), "skill").groupBy("candidate", "position_name").agg(F.count("*").alias("hits"))
+
+
 def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> DataFrame:
     """For each candidate the ``k`` positions with the most common skills; ties by name.
 
@@ -84,15 +101,14 @@ def rough_select(candidates: DataFrame, positions: DataFrame, k: int = 200) -> D
         hits = F.transform("every", lambda p: F.struct((-F.size(F.array_intersect("have", p["want"]))).alias("n"), p["position_name"].alias("position_name")))
         best = F.slice(F.array_sort(F.filter(hits, lambda h: h["n"] < 0)), 1, k)
         return rows.select("candidate", F.explode(best).alias("b")).select("candidate", "b.position_name", (-F.col("b.n")).cast("long").alias("hits"))
-    hits = candidates.select("candidate", "skill").distinct().join(positions.select("position_name", "skill").distinct(), "skill").groupBy("candidate", "position_name").agg(F.count("*").alias("hits"))
     w = Window.partitionBy("candidate").orderBy(F.desc("hits"), "position_name")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "position_name", "hits")
+    return _hits(candidates, positions).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("candidate", "position_name", "hits")
 
 
 def _by_bits(candidates: DataFrame, positions: DataFrame, k: int, skills: int) -> DataFrame:
     """``rough_select`` for few skills. A position is one number: its place by name, less its hits times the number of positions, so that a sort of numbers ranks them."""
     at, words = _numbered(positions), range(skills // 64 + 1)
-    bits = [F.coalesce(F.bit_or(F.when(F.shiftright("at", 6) == w, F.expr("shiftleft(1L, at % 64)"))), F.lit(0).cast("long")).alias(f"w{w}") for w in words]
+    bits = _bits(words)
     want = positions.join(at, "skill").groupBy("position_name").agg(*bits)
     every = want.agg(F.array_sort(F.collect_list(F.struct("position_name", *[f"w{w}" for w in words]))).alias("every"))
     rows = candidates.join(at, "skill").groupBy("candidate").agg(*bits).repartition(_tasks(candidates), "candidate").join(F.broadcast(every), how="cross")
@@ -104,27 +120,47 @@ def _by_bits(candidates: DataFrame, positions: DataFrame, k: int, skills: int) -
     return rows.select("candidate", F.explode(best).alias("b")).select("candidate", "b.position_name", "b.hits")
 
 
-def _in_rows(owned: DataFrame, positions: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Sums and lists of chosen pairs, each in its own row: a candidate's similarities are one map by skills' numbers, positions' lists are sent to all tasks.
+def _total(n: int, x, compiled: bool = False) -> Column:
+    """Sum of ``x(0)`` to ``x(n - 1)`` in this order. With weights that is from the largest down, above and below the line of a share alike, so that a share of all is exactly 1."""
+    if compiled:
+        return sum(map(x, map(F.lit, range(n))), F.lit(0.0))
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, n), F.lit(0.0), lambda s, i: s + x(i))
+
+
+def _in_rows(owned: DataFrame, years: DataFrame, positions: DataFrame, meta: DataFrame, chosen: DataFrame | None, skills: int, tasks: int) -> DataFrame:
+    """Sums and lists of pairs, each in its own row: a candidate's similarities are one array by skills' numbers, positions' lists are sent to all tasks.
 
-    Only candidates' skills are shuffled, once and by candidate; pairs and their skills never are.
+    Only candidates' skills are shuffled, once and by candidate; their pairs and pairs' skills never are. Without ``chosen`` a candidate meets every position that
+    has a bit of its own skills.
     """
-    at, must, nice = _numbered(positions), F.col("necessity") == "must", F.col("necessity") == "nice"
-    want = positions.join(at, "skill", "left").groupBy("position_name").agg(
+    at, words, must, nice = _numbered(positions), range(skills // 64 + 1), F.col("necessity") == "must", F.col("necessity") == "nice"
+    want = positions.where("position_name is not null").join(at, "skill", "left").groupBy("position_name").agg(
         F.count_if(must).alias("musts"),
         F.array_sort(F.collect_list(F.when(must, F.struct("skill", "at")))).alias("must"),
-        F.array_sort(F.collect_list(F.when(nice, F.struct("at", "weight")))).alias("nice"),
-        F.sum(F.when(nice, F.col("weight"))).alias("nice_weight"),
+        F.sort_array(F.collect_list(F.when(nice, F.struct("weight", "source_count", "skill", "at"))), False).alias("nice"),
+        *_bits(words),
     )
-    have = owned.join(at, "skill").groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("at", "sim"))).alias("sims"))
-    rows = chosen.select("candidate", "position_name").distinct().join(have, "candidate", "left").join(F.broadcast(want), "position_name")  # lists come after what is sorted
-    sim = lambda s: F.coalesce(F.col("sims")[s["at"]], F.lit(0.0))
-    total = lambda a, x: F.aggregate(a, F.lit(0.0), lambda n, s: n + F.coalesce(x(s), F.lit(0.0)))
-    listed = lambda of: F.transform(F.filter("must", lambda s: s["at"].isNotNull() & of(sim(s))), lambda s: s["skill"])
+    longest = want.agg(*[F.coalesce(F.max(F.size(c)), F.lit(0)) for c in ("must", "nice")]).first()
+    padded = lambda x, n, of, pad: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.coalesce(F.get(x, i)[of], F.lit(pad)))
+    want = want.join(meta, "position_name", "left").withColumns({
+        "must_at": padded("must", longest[0], "at", skills),  # behind the last skill's similarity is a 0, for what no candidate has
+        "nice_at": padded("nice", longest[1], "at", skills),
+        "nice_weight": padded("nice", longest[1], "weight", 0.0),
+    }).withColumn("nice_sum", _total(longest[1], lambda i: F.get("nice_weight", i))).withColumnsRenamed({f"w{w}": f"_w{w}" for w in words})
+    have = owned.join(at, "skill").groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("at", "sim"))).alias("m"), *_bits(words, F.col("own")))
+    have = have.withColumn("sims", F.transform(F.sequence(F.lit(0), F.lit(skills)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))).drop("m")
+    if chosen is None:
+        common = functools.reduce(Column.__or__, (F.col(f"w{w}").bitwiseAND(F.col(f"_w{w}")) != 0 for w in words))
+        rows = have.join(years.repartition(tasks, "candidate"), "candidate", "left").join(F.broadcast(want), common)
+    else:
+        rows = chosen.select("candidate", "position_name").distinct().join(have, "candidate", "left").join(years, "candidate", "left").join(F.broadcast(want), "position_name")  # lists come after what is sorted
+        rows = rows.withColumn("sims", F.coalesce("sims", F.array_repeat(F.lit(0.0), skills + 1)))
+    sim, compiled = lambda i: F.get("sims", i), sum(longest) <= FEW_TERMS
+    listed = lambda of: F.transform(F.filter("must", lambda s: s["at"].isNotNull() & of(sim(s["at"]))), lambda s: s["skill"])
     return rows.select(
-        "candidate", "position_name", "musts",
-        F.coalesce(F.try_divide(total("must", sim), F.col("musts")), F.lit(1.0)).alias("must_score"),
-        F.coalesce(F.try_divide(total("nice", lambda s: sim(s) * s["weight"]), F.col("nice_weight")), F.lit(1.0)).alias("nice_score"),
+        "candidate", "position_name", "musts", "total_years", "required_years", "staleness",
+        F.coalesce(F.try_divide(_total(longest[0], lambda i: sim(F.get("must_at", i)), compiled), F.col("musts")), F.lit(1.0)).alias("must_score"),
+        F.coalesce(F.try_divide(_total(longest[1], lambda i: sim(F.get("nice_at", i)) * F.get("nice_weight", i), compiled), F.col("nice_sum")), F.lit(1.0)).alias("nice_score"),
         listed(lambda x: x > 0).alias("matched_must"),
         listed(lambda x: x == 0).alias("missing_must"),
     )
@@ -133,32 +169,39 @@ def _in_rows(owned: DataFrame, positions: DataFrame, chosen: DataFrame) -> DataF
 def _by_joins(owned: DataFrame, positions: DataFrame, chosen: DataFrame) -> DataFrame:
     """The same by a row for each skill of a chosen pair, for any number of positions and skills."""
     wanted = chosen.select("candidate", "position_name").distinct().join(positions, "position_name")
-    rows = wanted.join(owned, ["candidate", "skill"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    rows = wanted.join(owned.select("candidate", "skill", "sim"), ["candidate", "skill"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
     must, nice = F.col("necessity") == "must", F.col("necessity") == "nice"
-    return rows.groupBy("candidate", "position_name").agg(
+    rows = rows.groupBy("candidate", "position_name").agg(
         F.count_if(must).alias("musts"),
         F.coalesce(F.try_divide(F.sum(F.when(must, F.col("sim"))), F.count_if(must)), F.lit(1.0)).alias("must_score"),
-        F.coalesce(F.try_divide(F.sum(F.when(nice, F.col("sim") * F.col("weight"))), F.sum(F.when(nice, F.col("weight")))), F.lit(1.0)).alias("nice_score"),
+        F.sort_array(F.collect_list(F.when(nice, F.struct("weight", "source_count", "skill", "sim"))), False).alias("nice"),
         F.array_sort(F.collect_list(F.when(must & (F.col("sim") > 0), F.col("skill")))).alias("matched_must"),
         F.array_sort(F.collect_list(F.when(must & (F.col("sim") == 0), F.col("skill")))).alias("missing_must"),
     )
+    weight = lambda s: F.coalesce(s["weight"], F.lit(0.0))
+    total = lambda x: F.aggregate("nice", F.lit(0.0), lambda n, s: n + x(s))  # noqa: E731; as in _total
+    return rows.withColumn("nice_score", F.coalesce(F.try_divide(total(lambda s: s["sim"] * weight(s)), total(weight)), F.lit(1.0))).drop("nice")
 
 
-def scores(candidates: DataFrame, years: DataFrame, positions: DataFrame, meta: DataFrame, chosen: DataFrame, weights: dict[str, float] | None = None, near: DataFrame | None = None) -> DataFrame:
-    """Must, nice and experience scores and their total for chosen pairs ``candidate, position_name``.
+def scores(candidates: DataFrame, years: DataFrame, positions: DataFrame, meta: DataFrame, chosen: DataFrame | None = None, weights: dict[str, float] | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Must, nice and experience scores and their total for chosen pairs ``candidate, position_name``, or else for all pairs with a common skill.
 
     ``years``: ``candidate, total_years``; ``meta``: ``position_name, required_years, staleness``; ``near``: ``skill, other, sim`` of
     similar skills, used where a candidate lacks the skill itself. A pair without any must skill matched is unqualified, total 0.
     """
     w = weights or V.MATCH_WEIGHTS
-    few = _few_skills(positions) is not None
-    candidates = candidates.repartition(_tasks(candidates), "candidate") if few else candidates
-    owned = candidates.groupBy("candidate", "skill").agg(F.max(F.when(F.col("low_confidence"), 0.5).otherwise(1.0)).alias("sim"))
+    skills, tasks = _few_skills(positions), 1
+    if skills is not None:
+        tasks = _tasks(candidates, positions if chosen is None else None)
+        candidates = candidates.repartition(tasks, "candidate")
+    owned = candidates.groupBy("candidate", "skill").agg(F.max(F.when(F.col("low_confidence"), 0.5).otherwise(1.0)).alias("sim")).withColumn("own", F.lit(True))
     if near is not None:
         soft = owned.join(near.select(F.col("other").alias("skill"), F.col("skill").alias("want"), F.col("sim").alias("_s")), "skill").groupBy("candidate", F.col("want").alias("skill")).agg(F.max(F.col("_s") * F.col("sim")).alias("soft"))
-        owned = owned.join(soft, ["candidate", "skill"], "full").select("candidate", "skill", F.coalesce("sim", "soft").alias("sim"))
-    agg = _in_rows(owned, positions, chosen) if few else _by_joins(owned, positions, chosen)
-    rows = agg.join(years, "candidate", "left").join(meta, "position_name", "left")
+        owned = owned.join(soft, ["candidate", "skill"], "full").select("candidate", "skill", F.coalesce("sim", "soft").alias("sim"), "own")
+    if skills is not None:
+        rows = _in_rows(owned, years, positions, meta, chosen, skills, tasks)
+    else:
+        rows = _by_joins(owned, positions, _hits(candidates, positions) if chosen is None else chosen).join(years, "candidate", "left").join(meta, "position_name", "left")
     exp = F.when(F.coalesce("required_years", F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.coalesce("total_years", F.lit(0.0)) / F.col("required_years"), F.lit(1.0)))
     rows = rows.withColumn("exp_score", exp).withColumn("unqualified", (F.col("musts") > 0) & (F.col("must_score") == 0)).drop("musts")
     total = F.when(F.col("unqualified"), 0.0).otherwise((F.col("must_score") * w["must"] + F.col("nice_score") * w["nice"] + F.col("exp_score") * w["exp"]) * F.coalesce("staleness", F.lit(1.0)))

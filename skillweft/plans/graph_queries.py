@@ -230,12 +230,17 @@ def rough_select(spark: SparkSession, sf: str) -> DataFrame:
     return matching.rough_select(c, p, 5)
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
+def _scorable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``matching.scores`` takes: candidates and their years, positions and their measures."""
     c, p, ads = _matching(spark, sf)
-    chosen, p = matching.rough_select(c, p, 5), matching.cii_corrected(p)
     years = ads.groupBy(F.col("company").alias("candidate")).agg((F.datediff(F.max("publish_date"), F.min("publish_date")) / 365.0).alias("total_years"))
     meta = ads.groupBy("position_name").agg(F.median(F.col("id") % 10).cast("double").alias("required_years"), S.staleness_penalty(F.max("publish_date"), F.to_date(F.lit(AS_OF))).cast("double").alias("staleness"))
-    return matching.scores(c, years, p, meta, chosen)
+    return c, years, matching.cii_corrected(p), meta
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all candidates and positions that have a skill in common."""
+    return matching.scores(*_scorable(spark, sf))
 
 
 def match_scores(spark: SparkSession, sf: str) -> DataFrame:

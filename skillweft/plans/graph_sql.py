@@ -30,7 +30,7 @@ cii AS (SELECT position_name, skill, weight, proficiency, op AND n > 7 AND k <=
 hit AS (SELECT candidate, position_name, count(*) AS hits, row_number() OVER (PARTITION BY candidate ORDER BY count(*) DESC, position_name) AS k FROM cand JOIN pos USING (skill) GROUP BY candidate, position_name)"""
 _SCORE = _POS + f""", years AS (SELECT company AS candidate, date_diff('day', min(publish_date), max(publish_date)) / 365 AS total_years FROM jd GROUP BY ALL),
 meta AS (SELECT position_name, median(id % 10) AS required, CASE WHEN date_diff('day', max(publish_date), DATE '{AS_OF}') > 365 THEN 0.85 WHEN date_diff('day', max(publish_date), DATE '{AS_OF}') > 180 THEN 0.95 ELSE 1.0 END AS stale FROM jd GROUP BY ALL),
-w AS (SELECT hit.candidate, position_name, cii.skill, cii.necessity, cii.weight, coalesce(CASE WHEN low THEN 0.5 WHEN NOT low THEN 1.0 END, 0)::DOUBLE AS sim FROM hit JOIN cii USING (position_name) LEFT JOIN cand ON cand.candidate = hit.candidate AND cand.skill = cii.skill WHERE k <= 5),
+w AS (SELECT hit.candidate, position_name, cii.skill, cii.necessity, cii.weight, coalesce(CASE WHEN low THEN 0.5 WHEN NOT low THEN 1.0 END, 0)::DOUBLE AS sim FROM hit JOIN cii USING (position_name) LEFT JOIN cand ON cand.candidate = hit.candidate AND cand.skill = cii.skill),
 w2 AS (SELECT candidate, position_name, coalesce(sum(CASE WHEN necessity = 'must' THEN CASE WHEN sim > 0 THEN sim ELSE 0 END END) / nullif(count_if(necessity = 'must'), 0), 1) AS must_score, coalesce(sum(sim * weight) FILTER (necessity = 'nice') / nullif(sum(weight) FILTER (necessity = 'nice'), 0), 1) AS nice_score, count_if(necessity = 'must') AS musts, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (necessity = 'must' AND sim = 0), '') AS missing FROM w GROUP BY ALL),
 w3 AS (SELECT *, CASE WHEN coalesce(required, 0) <= 0 THEN 1.0::DOUBLE ELSE least(total_years / required, 1.0) END AS exp_score, musts > 0 AND must_score = 0 AS unqualified FROM w2 LEFT JOIN years USING (candidate) LEFT JOIN meta USING (position_name)),
 sc AS (SELECT *, CASE WHEN unqualified THEN 0 ELSE (must_score * 0.673 + nice_score * 0.129 + exp_score * 0.198) * stale END AS total_score FROM w3)"""

@@ -249,7 +249,7 @@ def match_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_topn(spark: SparkSession, sf: str) -> DataFrame:
-    """The two best positions and what is missing."""
+    """The two best of all positions and what is missing."""
     t = matching.top_matches(_scored(spark, sf), 2)
     return t.select("candidate", F.col("rank").cast("long").alias("rank"), "position_name", F.array_join("missing_must", ",").alias("missing"))
 

@@ -61,3 +61,10 @@ def test_all_pairs_are_those_with_a_common_skill(spark, monkeypatch):
             m.setattr(matching, "SKILLS_A_TASK", 20)
             m.setattr(matching, "FEW_TERMS", 0)
             assert rows(matching.scores(c, years, p, meta, near=like)) == want
+
+
+def test_the_best_are_those_of_all_positions(spark, small):
+    got = {(r.candidate, r.rank): (r.position_name, r.missing) for r in QUERIES["match_topn"](spark, small).collect()}
+    assert got[0, 1] == ("A/N0", "") and got[0, 2] == ("A/N6", "")
+    assert got[6, 1] == ("A/N6", "") and got[6, 2] == ("A/N0", "B1,B2")
+    assert sorted(got) == [(a, r) for a in range(7) for r in (1, 2)]

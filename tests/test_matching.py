@@ -68,3 +68,7 @@ def test_the_best_are_those_of_all_positions(spark, small):
     assert got[0, 1] == ("A/N0", "") and got[0, 2] == ("A/N6", "")
     assert got[6, 1] == ("A/N6", "") and got[6, 2] == ("A/N0", "B1,B2")
     assert sorted(got) == [(a, r) for a in range(7) for r in (1, 2)]
+
+
+def test_a_positive_among_all_positions_counts(spark, small):
+    assert [tuple(r) for r in QUERIES["top3"](spark, small).collect()] == [(1, 1.0)]  # A/N6, which fewest skills lead to, has the only odd number of ads
